@@ -6,8 +6,8 @@ in one plan:
 * ``groupBy(keys, score)`` with integer positive / negative counts - partial
   aggregation on the map side, so the shuffle carries distinct scores, not
   rows;
-* negatives strictly below each score by :func:`ranks.prefix_sums` (range
-  partitioned, no single-task window even for one group);
+* negatives strictly below each score by :func:`ranks.prefix_sums`
+  (deterministic value buckets, no single-task window even for one group);
 * ``sum(pos * (2 * neg_below + neg)) / (2 * P * N)`` per key.  The numerator
   is summed as ``decimal(38,0)`` so it cannot overflow at any scale; the only
   floating-point step is the final division, so results are bit-equal across
@@ -52,7 +52,7 @@ def auc_table(
     dist = base.groupBy(*keys, score).agg(
         F.sum(pos_v).alias("__pos"), F.sum(neg_v).alias("__neg"), F.count(F.lit(1)).alias("__rows")
     )
-    pref = prefix_sums(dist, keys, [score], ["__neg"], num_partitions)
+    pref = prefix_sums(dist, keys, [score], ["__neg"], num_partitions, unique=True)
     if weight is None:
         term = F.col("__pos").cast(DEC) * (2 * F.col("__neg_before").cast(DEC) + F.col("__neg").cast(DEC))
     else:

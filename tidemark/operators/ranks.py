@@ -1,18 +1,24 @@
-"""Ranks and prefix sums without a single-partition window.
+"""Ranks and prefix sums without a single-task window.
 
 A window with no (or a low-cardinality) ``partitionBy`` moves every row of a
-group to one task.  The helpers here compute "sum of a column over all rows
-that sort before me inside my group" in three bounded steps:
-
-1. ``repartitionByRange(n, *keys, *order)`` - each partition holds a
-   contiguous slice of the sort order, so a hot group is spread over many
-   partitions (range bounds come from a sample, not from the group key);
-2. a window over ``(keys, partition id)`` gives the sum inside the slice;
-3. per-slice totals (``n_partitions x groups`` rows) give each slice its
-   offset with a small window, joined back on ``(keys, partition id)``.
+group to one task.  :func:`prefix_sums` computes "sum of a column over all
+rows of my group whose order key is strictly smaller" in bounded pieces:
+
+1. a deterministic bucket id ``b`` - the number of sampled boundary values
+   of the order column at or below the row's value (monotone in the order,
+   a pure function of the row, so every re-evaluation and every retried task
+   agrees);
+2. a window over ``(keys, b)`` gives the sum inside the bucket;
+3. per-bucket totals (``buckets x groups`` rows) give each bucket its offset
+   with a small window, joined back on ``(keys, b)``.
+
+A multi-column order is handled lexicographically: the prefix over the
+distinct values of the first column, plus the prefix inside each tie on the
+remaining columns, so a value holding a third of all rows is still split.
+Inputs up to ``SINGLE_TASK_ROWS`` rows (counted first) use one bucket.
 
 Used by exact AUC (E21), average / ordinal rank percentiles (D03, D06-D08),
-equal-count bins (D09) and dense day ids (C26).
+equal-count bins (D09), positions (G05, H05, I04, I05) and dense ids (C26).
 """
 
 from __future__ import annotations
@@ -22,7 +28,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PID = "__pid"
+BUCKET = "__bkt"
+SINGLE_TASK_ROWS = 2_000_000
+SAMPLES_PER_BUCKET = 40
 
 
 def _n_parts(df: DataFrame, num_partitions: int | None) -> int:
@@ -49,41 +57,88 @@ def join_back(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     for k in keys:
         cond = cond & left[k].eqNullSafe(r[f"__r_{k}"])
     out = left.join(r, cond, how)
+    if how in ("left_semi", "left_anti", "semi", "anti"):
+        return out
     return out.drop(*[f"__r_{k}" for k in keys])
 
 
+def _boundaries(df: DataFrame, x: str, buckets: int, n: int) -> list:
+    """Sorted distinct boundary values of ``x`` from a seeded sample of about
+    ``buckets * SAMPLES_PER_BUCKET`` rows (bounded; collected to the driver)."""
+    frac = min(1.0, buckets * SAMPLES_PER_BUCKET / max(n, 1))
+    vals = [r[0] for r in df.select(x).filter(F.col(x).isNotNull()).sample(False, frac, seed=20240601).collect()]
+    vals.sort()
+    if not vals:
+        return []
+    picks = [vals[(i * len(vals)) // buckets] for i in range(1, buckets)]
+    return sorted(set(picks))
+
+
+def _bucket_expr(x: Column, bounds: list) -> Column:
+    """Number of boundaries <= x, as a balanced tree of comparisons; missing
+    x goes after every bucket (nulls last)."""
+
+    def tree(lo: int, hi: int) -> Column:
+        # Returns the count of bounds[lo:hi] <= x, given all bounds[:lo] <= x.
+        if lo >= hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(x >= F.lit(bounds[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
+
+    return F.when(x.isNull(), F.lit(len(bounds) + 1)).otherwise(tree(0, len(bounds)))
+
+
+def _unique_prefix(df: DataFrame, keys: list[str], x: str, sums: list[str], buckets: int) -> DataFrame:
+    """Prefix sums when ``x`` is unique inside each ``keys`` group."""
+    n = df.count() if buckets > 1 else 0
+    bounds = _boundaries(df, x, buckets, n) if n > SINGLE_TASK_ROWS else []
+    dfb = df.withColumn(BUCKET, _bucket_expr(F.col(x), bounds) if bounds else F.lit(0))
+    w_local = Window.partitionBy(*keys, BUCKET).orderBy(F.col(x).asc_nulls_last()).rowsBetween(
+        Window.unboundedPreceding, -1)
+    local = dfb.select("*", *[F.coalesce(F.sum(c).over(w_local), F.lit(0)).alias(f"__loc_{c}") for c in sums])
+    if not bounds:
+        return local.select(*df.columns, *[F.col(f"__loc_{c}").alias(f"{c}_before") for c in sums])
+    totals = dfb.groupBy(*keys, BUCKET).agg(*[F.sum(c).alias(f"__tot_{c}") for c in sums])
+    w_off = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *keys, BUCKET, *[F.coalesce(F.sum(f"__tot_{c}").over(w_off), F.lit(0)).alias(f"__off_{c}") for c in sums])
+    joined = join_back(local, offsets, keys + [BUCKET], how="inner") if keys else local.join(offsets, BUCKET)
+    return joined.select(*df.columns, *[(F.col(f"__loc_{c}") + F.col(f"__off_{c}")).alias(f"{c}_before") for c in sums])
+
+
 def prefix_sums(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     sums: Sequence[str],
     num_partitions: int | None = None,
+    unique: bool = False,
+    _depth: int = 0,
 ) -> DataFrame:
     """Add ``<c>_before`` = sum of ``c`` over rows of the same ``keys`` group
     whose ``order`` tuple is strictly smaller, for every ``c`` in ``sums``.
 
-    ``order`` must be unique inside a group (aggregate ties first, or add a
-    row id).  ``keys`` may contain nulls; they form their own group.
+    ``unique=True`` promises the (single) order column is unique inside each
+    group, which skips the tie handling.  ``keys`` may contain nulls; they
+    form their own group.
     """
     keys, order, sums = list(keys), list(order), list(sums)
-    n = _n_parts(df, num_partitions)
-    ranged = df.repartitionByRange(n, *[F.col(c).asc_nulls_last() for c in keys + order]).withColumn(
-        PID, F.spark_partition_id()
-    )
-    w_local = Window.partitionBy(*keys, PID).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = ranged.select(
-        "*", *[F.coalesce(F.sum(c).over(w_local), F.lit(0)).alias(f"__loc_{c}") for c in sums]
-    )
-    totals = ranged.groupBy(*keys, PID).agg(*[F.sum(c).alias(f"__tot_{c}") for c in sums])
-    w_off = Window.partitionBy(*keys).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, PID, *[F.coalesce(F.sum(f"__tot_{c}").over(w_off), F.lit(0)).alias(f"__off_{c}") for c in sums]
-    )
-    joined = join_back(local, offsets, keys + [PID], how="inner")
-    return joined.select(
-        *df.columns,
-        *[(F.col(f"__loc_{c}") + F.col(f"__off_{c}")).alias(f"{c}_before") for c in sums],
-    )
+    buckets = _n_parts(df, num_partitions)
+    x, rest = order[0], order[1:]
+    if unique and not rest:
+        return _unique_prefix(df, keys, x, sums, buckets)
+    # Rows strictly below on the first column: prefix over its distinct values.
+    dist = df.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(*[F.sum(c).alias(c) for c in sums])
+    tag = f"__b{_depth}_"
+    below = _unique_prefix(dist, keys, x, sums, buckets).select(
+        *keys, x, *[F.col(f"{c}_before").alias(f"{tag}{c}") for c in sums])
+    out = join_back(df, below, keys + [x], how="left")
+    if rest:
+        # Rows tied on the first column and below on the remaining ones.
+        out = prefix_sums(out, keys + [x], rest, sums, num_partitions, _depth=_depth + 1)
+        return out.select(*df.columns, *[
+            (F.coalesce(F.col(f"{tag}{c}"), F.lit(0)) + F.col(f"{c}_before")).alias(f"{c}_before") for c in sums])
+    return out.select(*df.columns, *[F.coalesce(F.col(f"{tag}{c}"), F.lit(0)).alias(f"{c}_before") for c in sums])
 
 
 def average_rank_pct(
@@ -105,7 +160,7 @@ def average_rank_pct(
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("__cnt"))
     )
-    pref = prefix_sums(dist, keys, [value], ["__cnt"], num_partitions)
+    pref = prefix_sums(dist, keys, [value], ["__cnt"], num_partitions, unique=True)
     if keys:
         tot = dist.groupBy(*keys).agg(F.sum("__cnt").alias("__n"))
         pref = join_back(pref, tot, keys, how="inner")
@@ -129,8 +184,8 @@ def ordinal_rank_pct(
     """Percent rank with ordinal ties, first ``row_id`` wins (D07):
     ``row_number() over (order by value, row_id) / count(*)``.
 
-    The range partitioning includes ``row_id``, so one heavily tied value is
-    split over many tasks.
+    Ties are positioned by a second prefix keyed by the value, so one heavily
+    tied value is split over many tasks.
     """
     keys = list(keys)
     base = df.withColumn("__one", F.lit(1))
@@ -162,9 +217,10 @@ def equal_count_bins(
     if n is None or n < 2:
         binv = F.lit(0).cast("long")
     else:
-        binv = F.greatest(
-            F.floor(((rn - 1) * bins + (n - 2)) / F.lit(n - 1)).cast("long") - 1, F.lit(0).cast("long")
-        )
+        num = ((rn - 1) * bins + (n - 2)).cast("long")
+        # Exact integer division: (num - num mod d) / d is an integer.
+        quotient = ((num - F.pmod(num, F.lit(n - 1))) / F.lit(n - 1)).cast("long")
+        binv = F.greatest(quotient - 1, F.lit(0).cast("long"))
     return pref.select(*df.columns, binv.alias(out))
 
 
@@ -172,6 +228,6 @@ def dense_index(df: DataFrame, value: str, out: str, num_partitions: int | None
     """``dense_rank() - 1`` over the distinct values of ``value`` (C26),
     joined back to every row."""
     dist = df.select(value).filter(F.col(value).isNotNull()).distinct().withColumn("__one", F.lit(1))
-    pref = prefix_sums(dist, [], [value], ["__one"], num_partitions)
+    pref = prefix_sums(dist, [], [value], ["__one"], num_partitions, unique=True)
     codes = pref.select(value, F.col("__one_before").cast("int").alias(out))
     return join_back(df, codes, [value], how="left")
