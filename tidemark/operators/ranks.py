@@ -212,7 +212,7 @@ def equal_count_bins(
     the ordinal rank: ``greatest(((rn-1)*q + n-2) div (n-1) - 1, 0)``."""
     base = df.withColumn("__one", F.lit(1))
     pref = prefix_sums(base, [], [value, row_id], ["__one"], num_partitions)
-    n = df.select(F.count(F.lit(1))).scalar()
+    n = df.select(F.count(F.lit(1))).first()[0]
     rn = F.col("__one_before") + 1
     if n is None or n < 2:
         binv = F.lit(0).cast("long")
