@@ -15,7 +15,8 @@ rows of my group whose order key is strictly smaller" in bounded pieces:
 A multi-column order is handled lexicographically: the prefix over the
 distinct values of the first column, plus the prefix inside each tie on the
 remaining columns, so a value holding a third of all rows is still split.
-Inputs up to ``SINGLE_TASK_ROWS`` rows (counted first) use one bucket.
+Inputs whose plan size estimate is at most ``SINGLE_TASK_BYTES``, or that
+count at most ``SINGLE_TASK_ROWS`` rows, use one bucket.
 
 Used by exact AUC (E21), average / ordinal rank percentiles (D03, D06-D08),
 equal-count bins (D09), positions (G05, H05, I04, I05) and dense ids (C26).
@@ -30,9 +31,21 @@ from pyspark.sql import functions as F
 
 BUCKET = "__bkt"
 SINGLE_TASK_ROWS = 2_000_000
+SINGLE_TASK_BYTES = 64 * 1024 * 1024
 SAMPLES_PER_BUCKET = 40
 
 
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of the optimized plan (no job is run).
+
+    Without column statistics the estimate of filters and aggregates is the
+    size of their input, so it bounds the real size from above."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - estimate unavailable (e.g. Spark Connect)
+        return None
+
+
 def _n_parts(df: DataFrame, num_partitions: int | None) -> int:
     if num_partitions:
         return int(num_partitions)
@@ -90,7 +103,9 @@ def _bucket_expr(x: Column, bounds: list) -> Column:
 
 def _unique_prefix(df: DataFrame, keys: list[str], x: str, sums: list[str], buckets: int) -> DataFrame:
     """Prefix sums when ``x`` is unique inside each ``keys`` group."""
-    n = df.count() if buckets > 1 else 0
+    est = estimated_bytes(df)
+    small = buckets <= 1 or (est is not None and est <= SINGLE_TASK_BYTES)
+    n = 0 if small else df.count()
     bounds = _boundaries(df, x, buckets, n) if n > SINGLE_TASK_ROWS else []
     dfb = df.withColumn(BUCKET, _bucket_expr(F.col(x), bounds) if bounds else F.lit(0))
     w_local = Window.partitionBy(*keys, BUCKET).orderBy(F.col(x).asc_nulls_last()).rowsBetween(
