@@ -1,3 +1,338 @@
-"""Checks (filled in below)."""
+"""Model-based checks (rows / property only): K01-K18, E35, E36, I04, I06, I07.
+
+Models are Spark ML estimators fitted on the fixture features; configs are
+small so the checks stay quick, the code paths are the full ones.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import calendar as cal
+from ..functions import scalar as sc
+from ..operators import blend as bl
+from ..operators import context as ctx
+from ..operators import encoders as enc
+from ..operators import history as hs
+from ..operators import metrics, splits
+from ..operators import weights as wt
+from ..operators.schema import DRIFT_EXCLUSIONS, confident_rows, feature_variants
+from ..sources import fixtures as fx
+from ..sources.tables import read_table
+from . import models as md
+from .catalog import query
+
+NUM = ["loan_amount_last", "balance_amt", "cnt_30", "cnt_90"]
+CAT = ["db_group_last", "fl_adminarea"]
+GBT = {"model_type": "gbt", "iterations": 8, "depth": 3, "learning_rate": 0.2}
+SEED = 42
+
+
+def _train_test(spark, sf):
+    a = fx.apps(spark, sf)
+    return a.filter("is_test = 0"), a.filter("is_test = 1")
+
+
+def _features(df, extra_num=()):
+    return md.tree_features(df, [*NUM, *extra_num], CAT)
+
+
+def _fold_spec(tr):
+    return splits.fold_spec(tr, "decision_day", fx.FOLD_CUTOFFS)
+
+
+@query("k01_gbt_time_folds")
+def k01_gbt_time_folds(spark, sf):
+    tr, _ = _train_test(spark, sf)
+    feats, ncols = _features(tr)
+    _, m = md.evaluate_folds(feats, "decision_day", _fold_spec(tr), ncols, CAT, GBT, SEED)
+    return m
+
+
+@query("k02_refit_score_test")
+def k02_refit_score_test(spark, sf):
+    tr, te = _train_test(spark, sf)
+    ftr, ncols = _features(tr)
+    fte, _ = _features(te)
+    return md.refit_and_score(ftr, fte, ncols, CAT, GBT, SEED)
+
+
+@query("k03_forest_time_folds")
+def k03_forest_time_folds(spark, sf):
+    tr, _ = _train_test(spark, sf)
+    feats, ncols = _features(tr)
+    cfg = {"model_type": "extra_trees", "n_estimators": 20, "depth": 6, "min_samples_leaf": 20}
+    _, m = md.evaluate_folds(feats, "decision_day", _fold_spec(tr), ncols, CAT, cfg, SEED)
+    return m
+
+
+@query("k04_dense_network_time_folds")
+def k04_dense_network_time_folds(spark, sf):
+    tr, _ = _train_test(spark, sf)
+    fit = tr.filter(F.col("decision_day") < F.lit("2000-01-01").cast("date"))
+    z = tr.select("front_id", "decision_day", "target_value", *CAT,
+                  *[sc.median_fill(fit, c).alias(c) for c in NUM])
+    z = z.select("front_id", "decision_day", "target_value", *CAT, *[sc.standardize(fit, c).alias(c) for c in NUM])
+    feats, ncols = _features(z)
+    cfg = {"model_type": "mlp", "layers": [len(ncols) + len(CAT), 8, 2], "iterations": 30}
+    _, m = md.evaluate_folds(feats, "decision_day", _fold_spec(tr), ncols, CAT, cfg, SEED)
+    return m
+
+
+@query("k05_late_holdouts")
+def k05_late_holdouts(spark, sf):
+    tr, _ = _train_test(spark, sf)
+    feats, ncols = _features(tr)
+    spec = splits.holdout_spec(fx.HOLDOUT_CUTOFFS)
+    _, m = md.evaluate_folds(feats, "decision_day", spec, ncols, CAT, GBT, SEED, scope="holdout")
+    return md.holdout_summary(m)
+
+
+@query("k06_recent_window_scan")
+def k06_recent_window_scan(spark, sf):
+    tr, _ = _train_test(spark, sf)
+    feats, ncols = _features(tr)
+    rows = None
+    for win in (None, 365, 180):
+        spec = splits.fold_spec(tr, "decision_day", fx.FOLD_CUTOFFS, window_days=win)
+        _, m = md.evaluate_folds(feats, "decision_day", spec, ncols, CAT, GBT, SEED)
+        m = m.withColumn("window", F.lit("expanding" if win is None else f"{win}d"))
+        rows = m if rows is None else rows.unionByName(m)
+    wide = rows.groupBy("window").pivot("fold", ["1", "2", "3", "OOF_TIME_HOLDOUT"]).agg(F.first("roc_auc"))
+    return wide.withColumn("is_best_fold3", F.col("3") == wide.select(F.max("3")).scalar())
+
+
+@query("k07_feature_family_probe")
+def k07_feature_family_probe(spark, sf):
+    tr, _ = _train_test(spark, sf)
+    fit = tr.filter(F.col("decision_day") < F.lit("2000-01-01").cast("date"))
+    variants = feature_variants(NUM, CAT, "decision_day", fit)
+    rows = None
+    for name in ("base", "log", "zero_flags", "time_regime"):
+        extra = variants[name](tr)
+        df = tr.select("*", *extra)
+        extra_num = [c for c in df.columns if c not in tr.columns and dict(df.dtypes)[c] != "string"]
+        feats, ncols = _features(df, extra_num)
+        _, m = md.evaluate_folds(feats, "decision_day", _fold_spec(tr), ncols, CAT, GBT, SEED)
+        m = m.withColumn("variant", F.lit(name))
+        rows = m if rows is None else rows.unionByName(m)
+    return rows.groupBy("variant").pivot("fold", ["1", "2", "3", "OOF_TIME_HOLDOUT"]).agg(F.first("roc_auc"))
+
+
+@query("k08_history_feature_ab")
+def k08_history_feature_ab(spark, sf):
+    tr, _ = _train_test(spark, sf)
+    ev = read_table(spark, sf, "events", ["user_id", "event_type", "value"])
+    roll = hs.rollup(hs.matched_history(ev, tr, "user_id", "cust_id"), "user_id", ["value"],
+                     flag=F.col("event_type") == "error")
+    withh = hs.attach(tr, roll, "cust_id", "user_id")
+    hcols = [c for c in withh.columns if c.startswith("scoring_")] + ["has_history"]
+    out = None
+    for name, df, extra in (("base", tr, []), ("base_plus_history", withh, hcols)):
+        feats, ncols = _features(df, extra)
+        _, m = md.evaluate_folds(feats, "decision_day", _fold_spec(tr), ncols, CAT, GBT, SEED)
+        m = m.withColumn("arm", F.lit(name))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+@query("k09_drift_forest")
+def k09_drift_forest(spark, sf):
+    tr, te = _train_test(spark, sf)
+    out = None
+    base_cols = ["decision_day", *NUM, *CAT]
+    for name in ("all_except_id", "no_decision_day"):
+        cols = [c for c in base_cols if c not in DRIFT_EXCLUSIONS[name]]
+        trx = tr.withColumn("decision_day", cal.ordinal("decision_day").cast("double"))
+        tex = te.withColumn("decision_day", cal.ordinal("decision_day").cast("double"))
+        numeric = [c for c in cols if c not in CAT]
+        m, imp = md.drift_forest(trx, tex, cols, numeric, CAT, SEED, "front_id",
+                                 {"model_type": "rf", "n_estimators": 20, "depth": 6, "min_samples_leaf": 20})
+        top = imp.limit(3).agg(F.array_join(F.collect_list("feature"), ",").alias("top_features"))
+        m = m.withColumn("exclusion_set", F.lit(name)).withColumn("top_features", top.select("top_features").scalar())
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+@query("k10_density_ratio_weights")
+def k10_density_ratio_weights(spark, sf):
+    tr, te = _train_test(spark, sf)
+    cols = ["front_id", *NUM, *CAT]
+    oof = md.oof_domain_scores(tr.select(*cols), te.select(*cols), "front_id", NUM, CAT, SEED, 3,
+                               {"model_type": "gbt", "iterations": 6, "depth": 3})
+    auc = metrics.auc_table(oof, "label_domain", "prediction").select("roc_auc").scalar()
+    w = wt.density_ratio_weights(oof.filter("label_domain = 0"), "prediction", 0.01, 10.0)
+    return metrics.weight_profile(w, "sample_weight").withColumn("oof_domain_auc", auc)
+
+
+@query("k11_pseudo_label_probe")
+def k11_pseudo_label_probe(spark, sf):
+    tr, _ = _train_test(spark, sf)
+    feats, ncols = _features(tr)
+    cut = F.lit("2000-04-01").cast("date")
+    fit, hold = feats.filter(F.col("decision_day") < cut), feats.filter(F.col("decision_day") >= cut)
+    base, _ = md.fit_score(fit, hold, ncols, CAT, GBT, SEED, carry=["target_value"])
+    base_auc = metrics.auc_table(base, "target_value", "prediction").select("roc_auc").scalar()
+    out = None
+    for hi, lo, pw in ((0.9, 0.05, 0.3), (0.85, 0.1, 0.5)):
+        scored = hold.join(base.select("front_id", "prediction"), "front_id")
+        pseudo = confident_rows(scored, "prediction", hi, lo).drop("target_value", "prediction").withColumnRenamed(
+            "pseudo_target", "target_value").withColumn("w", wt.constant_weight(pw))
+        aug = fit.withColumn("w", F.lit(1.0)).unionByName(pseudo.select(*fit.columns, "w"))
+        pred, _ = md.fit_score(aug, hold, ncols, CAT, GBT, SEED, weight_col="w", carry=["target_value"])
+        a = metrics.auc_table(pred, "target_value", "prediction").select(
+            F.lit(hi).alias("hi"), F.lit(lo).alias("lo"), F.lit(pw).alias("pseudo_weight"), "roc_auc",
+            (F.col("roc_auc") - base_auc).alias("auc_delta"),
+            F.lit(pseudo.count()).alias("pseudo_rows"))
+        out = a if out is None else out.unionByName(a)
+    return out
+
+
+@query("k12_multiseed_calendar_ablation")
+def k12_multiseed_calendar_ablation(spark, sf):
+    tr, _ = _train_test(spark, sf)
+    spec = [s for s in _fold_spec(tr) if s["fold"] == 3]
+    out = None
+    for variant in ("no_month", "day_num_only"):
+        df = tr.select("*", *cal.calendar_columns("decision_day", tr, variant))
+        extra = [c for c in ("day_num", "week") if c in df.columns]
+        feats, ncols = _features(df, extra)
+        for seed in (1, 2):
+            _, m = md.evaluate_folds(feats, "decision_day", spec, ncols, CAT, GBT, seed)
+            m = m.filter(F.col("fold") == "3").withColumn("variant", F.lit(variant)).withColumn("seed", F.lit(seed))
+            out = m if out is None else out.unionByName(m)
+    return out.groupBy("variant").agg(F.avg("roc_auc").alias("mean_auc"), F.min("roc_auc").alias("min_auc"),
+                                      F.count(F.lit(1)).alias("n_seeds"))
+
+
+SPACE = {
+    "iterations": {"type": "int", "low": 4, "high": 10, "step": 2},
+    "depth": {"type": "int", "low": 2, "high": 4},
+    "learning_rate": {"type": "float", "low": 0.05, "high": 0.3, "log": True},
+    "model_type": {"type": "categorical", "choices": ["gbt"]},
+}
+
+
+def _search(spark, sf, n=3):
+    tr, _ = _train_test(spark, sf)
+    feats, ncols = _features(tr)
+    spec = [s for s in _fold_spec(tr) if s["fold"] == 3]
+    trials = md.draw_trials(SPACE, n, SEED)
+    values = []
+    for t in trials:
+        _, m = md.evaluate_folds(feats, "decision_day", spec, ncols, CAT, t, SEED)
+        values.append(m.filter(F.col("fold") == "3").select("roc_auc").first()[0])
+    return md.trial_table(spark, trials, values)
+
+
+@query("k13_parameter_search")
+def k13_parameter_search(spark, sf):
+    return _search(spark, sf)
+
+
+@query("k14_export_top_trials")
+def k14_export_top_trials(spark, sf):
+    return md.export_top_trials(_search(spark, sf), 2, "k13_parameter_search")
+
+
+@query("k15_two_view_experiment")
+def k15_two_view_experiment(spark, sf):
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "overdraft_limit_max"]
+    o = ctx.context_features(fx.offers(spark, sf), ["l_orderkey"], fx.OFFER_COLS, strategy="auto")
+    relative = [c for c in o.columns if "context" in c]
+    spec = splits.fold_spec(o, "decision_day", ("1995-01-01", "1996-01-01", "1997-01-01"))
+    preds = {}
+    for name, cols in (("absolute", ["offered_rate", "overdraft_limit_min"]), ("context", relative)):
+        feats, ncols = md.tree_features(o, cols, ["l_linestatus"])
+        feats = feats.withColumn("overdraft_limit_max", o["overdraft_limit_max"]) if "overdraft_limit_max" not in feats.columns else feats
+        p, _ = md.evaluate_folds(feats, "decision_day", spec, ncols, ["l_linestatus"], GBT, SEED, id_cols=key)
+        preds[name] = p
+    # Score sets joined on their keys (F01/F12), then a rank blend scan per fold.
+    a = preds["absolute"].select(*key, "fold", "target_value", F.col("prediction").alias("p_abs"))
+    b = preds["context"].select(*key, "fold", F.col("prediction").alias("p_ctx"))
+    j = bl.join_predictions(a, b, [*key, "fold"], one_to_one=True)
+    corr = metrics.correlations(j, "p_abs", "p_ctx", ["fold"]).select(F.col("fold").alias("__f"), "pearson")
+    j = bl.rank_normalize(j, "p_abs", "r_abs", ["fold"])
+    j = bl.rank_normalize(j, "p_ctx", "r_ctx", ["fold"])
+    scan = bl.scan_1d(j, "r_abs", "r_ctx", "target_value", ["fold"], bl.weight_grid_1d(0.25, 1.0))
+    return scan.join(corr, scan["fold"] == corr["__f"], "left").drop("__f")
+
+
+@query("k16_within_day_ranking")
+def k16_within_day_ranking(spark, sf):
+    tr, _ = _train_test(spark, sf)
+    filled = tr.select("front_id", "decision_day", "target_value", *CAT,
+                       *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in NUM])
+    dc = md.day_centered(filled, "decision_day", NUM)
+    feats, ncols = md.tree_features(dc, [f"dc_{c}" for c in NUM], CAT)
+    spec = [s for s in _fold_spec(tr) if s["fold"] == 3]
+    _, m = md.evaluate_folds(feats, "decision_day", spec, ncols, CAT, {"model_type": "logreg", "iterations": 30}, SEED)
+    return m
+
+
+@query("k17_attribution_sample")
+def k17_attribution_sample(spark, sf):
+    tr, _ = _train_test(spark, sf)
+    feats, ncols = _features(tr)
+    cut = F.lit("2000-01-01").cast("date")
+    fit, hold = feats.filter(F.col("decision_day") < cut), feats.filter(F.col("decision_day") >= cut)
+    _, model = md.fit_score(fit, hold.limit(1), ncols, CAT, GBT, SEED)
+    sample = splits.seeded_sample(hold, "front_id", 300, SEED)
+    med_row = fit.agg(*[F.median(c).alias(c) for c in ncols]).first()
+    return md.substitution_attribution(model, sample, ncols, {c: med_row[c] for c in ncols}, "front_id")
+
+
+@query("k18_foldsafe_feature_model")
+def k18_foldsafe_feature_model(spark, sf):
+    tr, _ = _train_test(spark, sf)
+    spec = _fold_spec(tr)
+    member = splits.assign_folds(tr, "decision_day", spec)
+    out = None
+    for s in spec:
+        f = s["fold"]
+        fit = member.filter((F.col("fold") == f) & (F.col("role") == "train")).drop("fold", "role")
+        val = member.filter((F.col("fold") == f) & (F.col("role") == "valid")).drop("fold", "role")
+        fit_s = enc.segment_stats(fit, fit, ["db_group_last"], ["loan_amount_last"], min_count=20)
+        val_s = enc.segment_stats(fit, val, ["db_group_last"], ["loan_amount_last"], min_count=20)
+        fit_e, val_e = enc.foldsafe_target_encoding(fit_s, val_s, ["fl_adminarea"], "target_value", 50.0, 5,
+                                                    order_cols=["front_id"])
+        extra = [c for c in fit_e.columns if "__" in c]
+        ftr, ncols = _features(fit_e, extra)
+        fva, _ = _features(val_e, extra)
+        pred, _ = md.fit_score(ftr, fva, ncols, CAT, GBT, SEED, carry=["target_value"])
+        pred = pred.withColumn("fold", F.lit(str(f)))
+        out = pred if out is None else out.unionByName(pred)
+    return metrics.fold_auc(out, "target_value", "prediction", "fold")
+
+
+@query("i04_stratified_split")
+def i04_stratified_split(spark, sf):
+    tr, _ = _train_test(spark, sf)
+    s = splits.stratified_split(tr, "target_value", "front_id", SEED, 0.7)
+    return s.groupBy("target_value", "is_train").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("i06_out_of_fold_predictions")
+def i06_out_of_fold_predictions(spark, sf):
+    tr, te = _train_test(spark, sf)
+    cols = ["front_id", *NUM, *CAT]
+    oof = md.oof_domain_scores(tr.select(*cols), te.select(*cols), "front_id", NUM, CAT, SEED, 3,
+                               {"model_type": "gbt", "iterations": 5, "depth": 3})
+    return oof.groupBy("label_domain").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("front_id").alias("n_ids"))
+
+
+@query("i07_seeded_sample")
+def i07_seeded_sample(spark, sf):
+    tr, _ = _train_test(spark, sf)
+    return splits.seeded_sample(tr, "front_id", 500, SEED).select("front_id")
+
+
+@query("e35_feature_importance")
+def e35_feature_importance(spark, sf):
+    tr, _ = _train_test(spark, sf)
+    feats, ncols = _features(tr)
+    _, model = md.fit_score(feats, feats.limit(1), ncols, CAT, GBT, SEED)
+    imp = model.stages[-1].featureImportances.toArray().tolist()
+    names = [*ncols, *[f"i_{c}" for c in CAT]]
+    return spark.createDataFrame([(n, float(v)) for n, v in zip(names, imp)], "feature string, importance double").orderBy(
+        F.desc("importance"), "feature")
