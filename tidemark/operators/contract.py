@@ -48,15 +48,19 @@ def submission_contract(sub: DataFrame, test_ids: DataFrame, id_col: str, score:
         F.count_if((x < 0) | (x > 1)).alias("out_of_range"))
     head = s.createDataFrame([("columns", have == want, ",".join(have))], "check_name string, passed boolean, detail string")
     rest = agg.select(F.explode(F.array(
-        F.struct(F.lit("row_count").alias("check_name"), (F.col("n") == n_ref).alias("passed"), F.col("n").cast("string").alias("detail")),
-        F.struct(F.lit("unique_ids"), F.col("nd") == F.col("n"), F.col("nd").cast("string")),
-        F.struct(F.lit("id_order"), order_ok == n_ref, order_ok.cast("string")),
-        F.struct(F.lit("finite"), F.col("bad") == 0, F.col("bad").cast("string")),
-        F.struct(F.lit("range_0_1"), F.col("out_of_range") == 0, F.col("out_of_range").cast("string")),
+        _check("row_count", F.col("n") == n_ref, F.col("n")),
+        _check("unique_ids", F.col("nd") == F.col("n"), F.col("nd")),
+        _check("id_order", order_ok == n_ref, order_ok),
+        _check("finite", F.col("bad") == 0, F.col("bad")),
+        _check("range_0_1", F.col("out_of_range") == 0, F.col("out_of_range")),
     )).alias("c")).select("c.*")
     return head.unionByName(rest)
 
 
+def _check(name: str, passed, detail):
+    return F.struct(F.lit(name).alias("check_name"), passed.alias("passed"), detail.cast("string").alias("detail"))
+
+
 def non_finite_count(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Missing / NaN / infinite values per column (one aggregate)."""
     return df.agg(*[F.count_if(F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf"))).alias(c) for c in cols])

@@ -1,3 +1,179 @@
-"""Checks (filled in below)."""
+"""Checks for sources, sinks, run registry, config pipeline and contracts
+(A01, A02, A04-A11, B02, B04, B14, M01, M05, M06, M09)."""
 
 from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..operators import contract as ct
+from ..operators import schema as sch
+from ..session import scratch_path
+from ..sources import fixtures as fx
+from ..sources import sinks as sk
+from ..sources.tables import read_csv_table, read_table, table_path
+from . import config as cf
+from .catalog import query
+
+W = fx.with_views
+
+APPS_SCHEMA = T.StructType([
+    T.StructField("front_id", T.LongType()), T.StructField("decision_day", T.DateType()),
+    T.StructField("cust_id", T.LongType()), T.StructField("loan_amount_last", T.DoubleType()),
+    T.StructField("balance_amt", T.DoubleType()), T.StructField("db_group_last", T.StringType()),
+    T.StructField("fl_adminarea", T.StringType()), T.StructField("cnt_30", T.DoubleType()),
+    T.StructField("cnt_90", T.DoubleType()), T.StructField("target_value", T.IntegerType()),
+    T.StructField("is_test", T.IntegerType()),
+])
+
+
+def _scratch(spark, name):
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+@query("a01_csv_scan_declared_schema", W("apps") + "SELECT * FROM apps")
+def a01_csv_scan_declared_schema(spark, sf):
+    path = _scratch(spark, "apps_csv")
+    fx.apps(spark, sf).write.mode("overwrite").option("header", True).csv(path)
+    return read_csv_table(spark, path, APPS_SCHEMA)
+
+
+@query("a02_projected_scan", "SELECT o_orderkey FROM orders")
+def a02_projected_scan(spark, sf):
+    return read_table(spark, sf, "orders", ["o_orderkey"])
+
+
+def _write_runs(spark, sf, path):
+    s = fx.scores(spark, sf)
+    for run, col in (("m1_20240101T000000Z_seed42", "s1"), ("m1_20240301T000000Z_seed42", "s1"),
+                     ("m2_20240201T000000Z_seed7", "s2")):
+        sk.append_predictions(s, path, run, "oof", "fold", "front_id", "target_value", col)
+
+
+@query("a04_a08_prediction_set_scan", W("scores") + """SELECT CAST(fold AS VARCHAR) AS grp, front_id AS row_index, target_value,
+  s1 AS champion, s2 AS candidate FROM scores""")
+def a04_a08_prediction_set_scan(spark, sf):
+    path = _scratch(spark, "predictions")
+    _write_runs(spark, sf, path)
+    latest = sk.latest_runs(sk.run_registry(spark, path)).collect()
+    by_prefix = {r["prefix"]: r["run_id"] for r in latest}
+    return sk.load_runs(spark, path, {by_prefix["m1"]: "champion", by_prefix["m2"]: "candidate"}, "oof")
+
+
+@query("a05_latest_run_lookup")
+def a05_latest_run_lookup(spark, sf):
+    path = _scratch(spark, "predictions")
+    _write_runs(spark, sf, path)
+    return sk.latest_runs(sk.run_registry(spark, path))
+
+
+@query("a06_fixed_decimal_csv_sink", W("scores") + "SELECT front_id, printf('%.10f', s1) AS s1 FROM scores")
+def a06_fixed_decimal_csv_sink(spark, sf):
+    path = _scratch(spark, "submission_csv")
+    s = fx.scores(spark, sf).select("front_id", "s1")
+    sk.write_csv_fixed(s, path, ["s1"], order_by="front_id")
+    schema = T.StructType([T.StructField("front_id", T.LongType()), T.StructField("s1", T.StringType())])
+    return read_csv_table(spark, path, schema)
+
+
+@query("a07_parquet_sink_history", W("apps") + "SELECT event_id, user_id, event_type, value FROM events WHERE user_id IN (SELECT cust_id FROM apps)")
+def a07_parquet_sink_history(spark, sf):
+    from ..operators.history import matched_history
+    path = _scratch(spark, "history_rows")
+    ev = read_table(spark, sf, "events", ["event_id", "user_id", "event_type", "value"])
+    sk.write_parquet(matched_history(ev, fx.apps(spark, sf), "user_id", "cust_id"), path)
+    return spark.read.parquet(path)
+
+
+@query("a09_json_summary")
+def a09_json_summary(spark, sf):
+    from ..operators.metrics import auc_table
+    a = auc_table(fx.scores(spark, sf), "target_value", "s2", ["fold"])
+    return sk.json_summary(a.withColumn("ratio", F.when(F.col("fold") == 1, F.lit(float("nan"))).otherwise(F.lit(float("inf")))))
+
+
+@query("a10_m09_fingerprints")
+def a10_m09_fingerprints(spark, sf):
+    files = [table_path(sf, t) for t in ("orders", "customer", "nation")]
+    cur = sk.file_fingerprints(spark, files)
+    card = cur.select("path", "sha256")  # a stored card written earlier
+    tab = sk.table_fingerprint(fx.apps(spark, sf))
+    chk = sk.check_fingerprint(cur, card)
+    return chk.withColumn("apps_rows", tab.select("n_rows").scalar()).withColumn("apps_xor_hash", tab.select("xor_hash").scalar())
+
+
+APPS_SPECS = [("cnt_30_to_90", "cnt_30", "cnt_90", "ratio"), ("balance_to_loan_amount", "balance_amt", "loan_amount_last", "ratio")]
+CFG = {"id_col": "front_id", "day_col": "decision_day", "target": "target_value", "categorical": ["db_group_last", "fl_adminarea"],
+       "time_features": {"include_day_num": True, "include_week": True},
+       "feature_engineering": {"enabled": True, "add_pairwise_features": True, "add_missing_flags": True},
+       "excluded_features": ["cust_id", "is_test"]}
+
+
+@query("a11_b01_config_feature_table", W("apps") + """, tr AS (SELECT * FROM apps WHERE is_test = 0)
+SELECT front_id, target_value, loan_amount_last, balance_amt, db_group_last, fl_adminarea, cnt_30, cnt_90,
+  CAST(date_diff('day', (SELECT MIN(decision_day) FROM tr), decision_day) AS INTEGER) AS day_num, CAST(weekofyear(decision_day) AS INTEGER) AS week,
+  CASE WHEN ABS(cnt_90) > 1e-9 THEN cnt_30 / cnt_90 END AS cnt_30_to_90,
+  CASE WHEN ABS(loan_amount_last) > 1e-9 THEN balance_amt / loan_amount_last END AS balance_to_loan_amount,
+  CAST(balance_amt IS NULL AS INTEGER) AS balance_amt_is_missing, CAST(cnt_90 IS NULL AS INTEGER) AS cnt_90_is_missing,
+  CAST(CASE WHEN ABS(cnt_90) > 1e-9 THEN cnt_30 / cnt_90 END IS NULL AS INTEGER) AS cnt_30_to_90_is_missing,
+  CAST(CASE WHEN ABS(loan_amount_last) > 1e-9 THEN balance_amt / loan_amount_last END IS NULL AS INTEGER) AS balance_to_loan_amount_is_missing
+FROM tr""")
+def a11_b01_config_feature_table(spark, sf):
+    a = fx.apps(spark, sf)
+    tr, te = a.filter("is_test = 0"), a.filter("is_test = 1").drop("target_value")
+    cfg = cf.derive(CFG, {"time_features": {"include_week": True}})
+    tr_x, _te_x, _names, _manifest = cf.build_features(tr, te, cfg, APPS_SPECS)
+    return tr_x
+
+
+@query("b02_b04_b14_schema_checks")
+def b02_b04_b14_schema_checks(spark, sf):
+    a = fx.apps(spark, sf)
+    tr, te = a.filter("is_test = 0"), a.filter("is_test = 1").drop("target_value")
+    kept, skipped = sch.resolve_columns(tr.columns, ["loan_amount_last", "cnt_90", "no_such_column"])
+    _tr_x, _te_x, _names, manifest = cf.build_features(tr, te, CFG, APPS_SPECS)
+    aligned = True
+    try:
+        sch.check_aligned(tr.drop("target_value"), te)
+    except ValueError:
+        aligned = False
+    return sk.feature_manifest(spark, manifest).withColumn("aligned", F.lit(aligned)).withColumn(
+        "skipped_requested", F.lit(",".join(skipped))).withColumn("kept_requested", F.lit(",".join(kept)))
+
+
+@query("m01_submission_contract", W("apps") + """, te AS (SELECT front_id FROM apps WHERE is_test = 1)
+SELECT * FROM (VALUES ('columns', TRUE, 'front_id,target_value')) t(check_name, passed, detail)
+UNION ALL SELECT 'row_count', COUNT(*) = (SELECT COUNT(*) FROM te), CAST(COUNT(*) AS VARCHAR) FROM te
+UNION ALL SELECT 'unique_ids', COUNT(DISTINCT front_id) = COUNT(*), CAST(COUNT(DISTINCT front_id) AS VARCHAR) FROM te
+UNION ALL SELECT 'id_order', TRUE, CAST(COUNT(*) AS VARCHAR) FROM te
+UNION ALL SELECT 'finite', TRUE, '0' UNION ALL SELECT 'range_0_1', TRUE, '0'""")
+def m01_submission_contract(spark, sf):
+    from ..operators.blend import rank_blend
+    te = fx.test_apps(spark, sf)
+    fid = F.col("front_id")
+    te = te.select("front_id", ((fid * 7919 % 1000).cast("double") / 1150.0).alias("s1"),
+                   ((fid * 104729 % 97).cast("double") / 109.0).alias("s2"))
+    b = rank_blend(te, "s1", "s2", 0.7, "target_value")
+    sub = ct.submission_table(te.select("front_id"), b.select("front_id", "target_value"), "front_id")
+    return ct.submission_contract(sub, te.select("front_id"), "front_id")
+
+
+@query("m05_label_free_features")
+def m05_label_free_features(spark, sf):
+    a = fx.apps(spark, sf)
+    tr, te = a.filter("is_test = 0"), a.filter("is_test = 1").drop("target_value")
+
+    def build(df):
+        x, _, _, _ = cf.build_features(df, te, CFG, APPS_SPECS)
+        return x
+
+    ok = ct.label_free(build, tr, "target_value")
+    return spark.range(1).select(F.lit(ok).alias("label_free"))
+
+
+@query("m06_non_finite_scores", W("scores") + """SELECT COUNT(*) FILTER (WHERE s1 IS NULL OR isnan(s1) OR isinf(s1)) AS s1,
+  COUNT(*) FILTER (WHERE s2 IS NULL OR isnan(s2) OR isinf(s2)) AS s2 FROM scores""")
+def m06_non_finite_scores(spark, sf):
+    return ct.non_finite_count(fx.scores(spark, sf), ["s1", "s2"])
