@@ -15,8 +15,9 @@ rows of my group whose order key is strictly smaller" in bounded pieces:
 A multi-column order is handled lexicographically: the prefix over the
 distinct values of the first column, plus the prefix inside each tie on the
 remaining columns, so a value holding a third of all rows is still split.
-Inputs whose plan size estimate is at most ``SINGLE_TASK_BYTES``, or that
-count at most ``SINGLE_TASK_ROWS`` rows, use one bucket.
+Inputs whose plan size estimate is at most ``SINGLE_TASK_BYTES``, or whose
+largest group holds at most ``SINGLE_TASK_ROWS`` rows, use one bucket (a plain
+window per group).
 
 Used by exact AUC (E21), average / ordinal rank percentiles (D03, D06-D08),
 equal-count bins (D09), positions (G05, H05, I04, I05) and dense ids (C26).
@@ -105,8 +106,14 @@ def _unique_prefix(df: DataFrame, keys: list[str], x: str, sums: list[str], buck
     """Prefix sums when ``x`` is unique inside each ``keys`` group."""
     est = estimated_bytes(df)
     small = buckets <= 1 or (est is not None and est <= SINGLE_TASK_BYTES)
-    n = 0 if small else df.count()
-    bounds = _boundaries(df, x, buckets, n) if n > SINGLE_TASK_ROWS else []
+    bounds = []
+    if not small:
+        # One partial-aggregate job: the largest group decides whether a plain
+        # window per group fits one task; only then are buckets needed.
+        sizes = df.groupBy(*keys).count() if keys else df.select(F.count(F.lit(1)).alias("count"))
+        largest, total = sizes.agg(F.max("count"), F.sum("count")).first()
+        if (largest or 0) > SINGLE_TASK_ROWS:
+            bounds = _boundaries(df, x, buckets, int(total))
     dfb = df.withColumn(BUCKET, _bucket_expr(F.col(x), bounds) if bounds else F.lit(0))
     w_local = Window.partitionBy(*keys, BUCKET).orderBy(F.col(x).asc_nulls_last()).rowsBetween(
         Window.unboundedPreceding, -1)
