@@ -40,6 +40,7 @@ def _load() -> None:
         q_encode,
         q_folds,
         q_history,
+        q_misc,
         q_models,
         q_profile,
         q_scalar,
