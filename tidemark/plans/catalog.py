@@ -45,6 +45,7 @@ def _load() -> None:
         q_profile,
         q_scalar,
         q_sinks,
+        q_stream,
     )
 
 
