@@ -25,9 +25,19 @@ LATE_MIN_TOLERANCE = -0.002
 VERDICT_MIN_DELTA = -0.001
 
 
-def rank_normalize(df: DataFrame, col: str, out: str, keys: Sequence[str] = ()) -> DataFrame:
+def rank_normalize(df: DataFrame, col: str, out: str, keys: Sequence[str] = (),
+                   max_group_rows: int | None = None) -> DataFrame:
     """D06 (global) / D08 (inside ``keys``): average-tie rank / n."""
-    return average_rank_pct(df, col, out, keys)
+    return average_rank_pct(df, col, out, keys, max_group_rows=max_group_rows)
+
+
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows in the largest ``keys`` group (one partial aggregate).  Passed as
+    ``max_group_rows`` it bounds every table derived per group from ``df``
+    (ranks, exploded weight grids), so those skip their own checks."""
+    if keys:
+        return int(df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0)
+    return int(df.count())
 
 
 def rank_ordinal(df: DataFrame, col: str, row_id: str, out: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -87,21 +97,27 @@ def simplex_grid(parts: int = 20) -> list[tuple[int, int, int]]:
 
 
 def scan_1d(df: DataFrame, a: str, b: str, label: str, keys: Sequence[str], weights: Sequence[float],
-            pooled: bool = True) -> DataFrame:
+            pooled: bool = True, max_group_rows: int | None = None) -> DataFrame:
     """AUC of ``(1 - w) * a + w * b`` for every weight and group in
     one job.  The weight list is a literal array exploded per row (a bounded
     Generate, not a join); output (w, group..., roc_auc)."""
     grid = F.array(*[F.lit(float(w)) for w in weights])
     x = df.select(*keys, label, a, b, F.explode(grid).alias("w"))
     x = x.withColumn("__blend", (F.lit(1.0) - F.col("w")) * F.col(a) + F.col("w") * F.col(b))
-    per = auc_table(x, label, "__blend", ["w", *keys]).select("w", *[F.col(k).cast("string").alias(k) for k in keys], "roc_auc")
+    # Each (weight, group) holds exactly the rows of one group of ``df``.
+    bound = max_group_rows if max_group_rows is not None else largest_group(df, keys)
+    per = auc_table(x, label, "__blend", ["w", *keys], max_group_rows=bound).select(
+        "w", *[F.col(k).cast("string").alias(k) for k in keys], "roc_auc")
     if not pooled or not keys:
         return per
-    pool = auc_table(x, label, "__blend", ["w"]).select("w", *[F.lit("OOF").alias(k) for k in keys], "roc_auc")
+    total = largest_group(df, [])
+    pool = auc_table(x, label, "__blend", ["w"], max_group_rows=total).select(
+        "w", *[F.lit("OOF").alias(k) for k in keys], "roc_auc")
     return per.unionByName(pool)
 
 
-def scan_simplex(df: DataFrame, cols: Sequence[str], label: str, keys: Sequence[str], parts: int = 20) -> DataFrame:
+def scan_simplex(df: DataFrame, cols: Sequence[str], label: str, keys: Sequence[str], parts: int = 20,
+                 max_group_rows: int | None = None) -> DataFrame:
     """AUC on every point of the 3-way simplex (weights in 1/parts) in one
     job; output (i, j, k, group..., roc_auc) with integer weights."""
     a, b, c = cols
@@ -111,7 +127,8 @@ def scan_simplex(df: DataFrame, cols: Sequence[str], label: str, keys: Sequence[
     blend = (F.col("g.i").cast("double") / d) * F.col(a) + (F.col("g.j").cast("double") / d) * F.col(b) + \
         (F.col("g.k").cast("double") / d) * F.col(c)
     x = x.select(*keys, label, F.col("g.i").alias("i"), F.col("g.j").alias("j"), F.col("g.k").alias("k"), blend.alias("__blend"))
-    return auc_table(x, label, "__blend", ["i", "j", "k", *keys]).select("i", "j", "k", *keys, "roc_auc")
+    bound = max_group_rows if max_group_rows is not None else largest_group(df, keys)
+    return auc_table(x, label, "__blend", ["i", "j", "k", *keys], max_group_rows=bound).select("i", "j", "k", *keys, "roc_auc")
 
 
 def gate(df: DataFrame, champ_fold3: float, champ_lh_mean: float, champ_lh_min: float) -> DataFrame:

@@ -6,10 +6,10 @@ missing).  Two physical strategies give the same columns:
 * ``window``    - one ``Window.partitionBy(keys)`` shared by every statistic:
                   one shuffle, one sort.  Right when contexts are small.
 * ``aggregate`` - ``groupBy(keys)`` statistics (partial aggregation on the
-                  map side) joined back null-safely, and ranks from the
-                  range-partitioned prefix sums.  A context holding a third of
-                  all rows is then spread over many tasks (AQE splits the skewed
-                  join partition).
+                  map side) joined back null-safely, and ranks of all offer
+                  columns from one bucketed prefix-sum pass.  A context
+                  holding a third of all rows is then spread over many tasks
+                  (AQE splits the skewed join partition).
 
 ``auto`` measures the largest context with one aggregate and picks
 ``window`` only under ``max_window_group`` rows.
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import finite
-from .ranks import average_rank_pct, join_back
+from .ranks import average_rank_pct_multi, join_back
 
 
 def max_group_size(df: DataFrame, keys: Sequence[str]) -> int:
@@ -71,8 +71,10 @@ def context_features(
     flags (missing -> 0).  Use ``keys + [day]`` for the same-day variant."""
     keys = list(keys)
     count_name = f"{tag}_offer_count"
+    largest = None
     if strategy == "auto":
-        strategy = "window" if max_group_size(df, keys) <= max_window_group else "aggregate"
+        largest = max_group_size(df, keys)
+        strategy = "window" if largest <= max_window_group else "aggregate"
 
     if strategy == "window":
         w = Window.partitionBy(*keys)
@@ -82,7 +84,8 @@ def context_features(
             names = _names(c, tag, flags)
             mn, mx, mean = F.min(x).over(w), F.max(x).over(w), F.avg(x).over(w)
             wr = Window.partitionBy(*keys).orderBy(x.asc_nulls_last())
-            ties = F.count(x).over(Window.partitionBy(*keys, c))
+            # Peers of x (RANGE 0..0) on the same partitioning: no extra exchange.
+            ties = F.count(x).over(wr.rangeBetween(0, 0))
             rank = F.when(x.isNotNull(), (F.rank().over(wr) + (ties - 1) / 2.0) / F.count(x).over(w))
             cols += _derive(x, mn, mx, mean, names) + [rank.alias(names["rank"])]
         return df.select("*", *cols)
@@ -94,8 +97,10 @@ def context_features(
         aggs += [F.min(c).alias(f"__min_{c}"), F.max(c).alias(f"__max_{c}"), F.avg(c).alias(f"__avg_{c}")]
     stats = df.groupBy(*keys).agg(*aggs)
     out = join_back(df, stats, keys, how="left")
-    for c in offer_cols:
-        out = average_rank_pct(out, c, _names(c, tag, flags)["rank"], keys)
+    # All offer columns ranked in one prefix pass (bounded by the largest context).
+    largest = largest if largest is not None else max_group_size(df, keys)
+    out = average_rank_pct_multi(out, list(offer_cols), [_names(c, tag, flags)["rank"] for c in offer_cols], keys,
+                                 max_group_rows=largest)
     cols = [F.col(count_name)]
     for c in offer_cols:
         names = _names(c, tag, flags)

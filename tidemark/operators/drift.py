@@ -21,7 +21,8 @@ from .metrics import auc_table
 from .ranks import join_back, prefix_sums
 
 
-def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
+def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float],
+                    max_group_rows: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles (same rule as ``percentile`` and
     ``quantile_cont``) per ``keys`` group, from distinct-value counts and
     prefix sums: one row per (keys..., q) with ``quantile``.
@@ -33,7 +34,7 @@ def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str, qs: Sequen
     src = long if keys else long.withColumn("__g", F.lit(0))
     gk = keys or ["__g"]
     dist = src.filter(F.col(value).isNotNull()).groupBy(*gk, value).agg(F.count(F.lit(1)).alias("__c"))
-    pref = prefix_sums(dist, gk, [value], ["__c"], unique=True)
+    pref = prefix_sums(dist, gk, [value], ["__c"], unique=True, max_group_rows=max_group_rows)
     qarr = F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")
     pos = dist.groupBy(*gk).agg(F.sum("__c").alias("__n")).select(*gk, qarr, "__n")
     h = (F.col("__n") - 1) * F.col("q")
@@ -82,12 +83,15 @@ def univariate_drift(train: DataFrame, test: DataFrame, cols: Sequence[str]) ->
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)
-    med = exact_quantiles(long, ["column_name"], "x", [0.5]).select("column_name", F.col("quantile").alias("__med"))
+    # Every per-column group holds at most all rows of both sides: one count
+    # bounds all the grouped prefix passes below.
+    bound = both.count()
+    med = exact_quantiles(long, ["column_name"], "x", [0.5], bound).select("column_name", F.col("quantile").alias("__med"))
     filled = long.join(med, "column_name", "left").withColumn(
         "xf", F.coalesce("x", "__med", F.lit(0.0))).withColumn("miss", F.col("x").isNull().cast("int"))
-    vauc = auc_table(filled, "domain", "xf", ["column_name"]).select(
+    vauc = auc_table(filled, "domain", "xf", ["column_name"], max_group_rows=bound).select(
         "column_name", F.greatest("roc_auc", 1 - F.col("roc_auc")).alias("adv_auc_value"))
-    mauc = auc_table(filled, "domain", "miss", ["column_name"])
+    mauc = auc_table(filled, "domain", "miss", ["column_name"], max_group_rows=bound)
     two = filled.groupBy("column_name").agg((F.min("miss") != F.max("miss")).alias("__two"))
     mauc = mauc.join(two, "column_name").select(
         "column_name", F.when(F.col("__two"), F.greatest("roc_auc", 1 - F.col("roc_auc"))).alias("adv_auc_missing"))
@@ -104,7 +108,7 @@ def univariate_target_auc(df: DataFrame, cols: Sequence[str], target: str, min_r
     non-missing rows (at least ``min_rows`` and both classes), folded."""
     long = df.select(target, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
         [target], list(cols), "column_name", "x").filter(F.col("x").isNotNull())
-    a = auc_table(long, target, "x", ["column_name"])
+    a = auc_table(long, target, "x", ["column_name"], max_group_rows=df.count())
     return a.filter(F.col("n_rows") >= min_rows).filter(F.col("roc_auc").isNotNull()).select(
         "column_name", F.greatest("roc_auc", 1 - F.col("roc_auc")).alias("auc"), "n_rows")
 

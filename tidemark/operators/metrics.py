@@ -34,6 +34,7 @@ def auc_table(
     weight: str | None = None,
     num_partitions: int | None = None,
     out: str = "roc_auc",
+    max_group_rows: int | None = None,
 ) -> DataFrame:
     """One row per ``keys`` group: ``roc_auc``, ``n_rows``, ``n_pos``, ``n_neg``.
 
@@ -52,7 +53,7 @@ def auc_table(
     dist = base.groupBy(*keys, score).agg(
         F.sum(pos_v).alias("__pos"), F.sum(neg_v).alias("__neg"), F.count(F.lit(1)).alias("__rows")
     )
-    pref = prefix_sums(dist, keys, [score], ["__neg"], num_partitions, unique=True)
+    pref = prefix_sums(dist, keys, [score], ["__neg"], num_partitions, unique=True, max_group_rows=max_group_rows)
     if weight is None:
         term = F.col("__pos").cast(DEC) * (2 * F.col("__neg_before").cast(DEC) + F.col("__neg").cast(DEC))
     else:

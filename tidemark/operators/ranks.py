@@ -102,10 +102,16 @@ def _bucket_expr(x: Column, bounds: list) -> Column:
     return F.when(x.isNull(), F.lit(len(bounds) + 1)).otherwise(tree(0, len(bounds)))
 
 
-def _unique_prefix(df: DataFrame, keys: list[str], x: str, sums: list[str], buckets: int) -> DataFrame:
-    """Prefix sums when ``x`` is unique inside each ``keys`` group."""
+def _unique_prefix(df: DataFrame, keys: list[str], x: str, sums: list[str], buckets: int,
+                   max_group_rows: int | None = None) -> DataFrame:
+    """Prefix sums when ``x`` is unique inside each ``keys`` group.
+
+    ``max_group_rows`` is a caller-proven bound on the largest group (e.g.
+    the row count of the input the groups were derived from); with it no
+    checking job is run."""
     est = estimated_bytes(df)
-    small = buckets <= 1 or (est is not None and est <= SINGLE_TASK_BYTES)
+    small = buckets <= 1 or (est is not None and est <= SINGLE_TASK_BYTES) or (
+        max_group_rows is not None and max_group_rows <= SINGLE_TASK_ROWS)
     bounds = []
     if not small:
         # One partial-aggregate job: the largest group decides whether a plain
@@ -136,6 +142,7 @@ def prefix_sums(
     num_partitions: int | None = None,
     unique: bool = False,
     _depth: int = 0,
+    max_group_rows: int | None = None,
 ) -> DataFrame:
     """Add ``<c>_before`` = sum of ``c`` over rows of the same ``keys`` group
     whose ``order`` tuple is strictly smaller, for every ``c`` in ``sums``.
@@ -148,16 +155,17 @@ def prefix_sums(
     buckets = _n_parts(df, num_partitions)
     x, rest = order[0], order[1:]
     if unique and not rest:
-        return _unique_prefix(df, keys, x, sums, buckets)
+        return _unique_prefix(df, keys, x, sums, buckets, max_group_rows)
     # Rows strictly below on the first column: prefix over its distinct values.
     dist = df.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(*[F.sum(c).alias(c) for c in sums])
     tag = f"__b{_depth}_"
-    below = _unique_prefix(dist, keys, x, sums, buckets).select(
+    below = _unique_prefix(dist, keys, x, sums, buckets, max_group_rows).select(
         *keys, x, *[F.col(f"{c}_before").alias(f"{tag}{c}") for c in sums])
     out = join_back(df, below, keys + [x], how="left")
     if rest:
         # Rows tied on the first column and below on the remaining ones.
-        out = prefix_sums(out, keys + [x], rest, sums, num_partitions, _depth=_depth + 1)
+        out = prefix_sums(out, keys + [x], rest, sums, num_partitions, _depth=_depth + 1,
+                          max_group_rows=max_group_rows)
         return out.select(*df.columns, *[
             (F.coalesce(F.col(f"{tag}{c}"), F.lit(0)) + F.col(f"{c}_before")).alias(f"{c}_before") for c in sums])
     return out.select(*df.columns, *[F.coalesce(F.col(f"{tag}{c}"), F.lit(0)).alias(f"{c}_before") for c in sums])
@@ -169,6 +177,7 @@ def average_rank_pct(
     out: str,
     keys: Sequence[str] = (),
     num_partitions: int | None = None,
+    max_group_rows: int | None = None,
 ) -> DataFrame:
     """Percent rank with average ties inside ``keys`` groups.
 
@@ -182,7 +191,7 @@ def average_rank_pct(
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("__cnt"))
     )
-    pref = prefix_sums(dist, keys, [value], ["__cnt"], num_partitions, unique=True)
+    pref = prefix_sums(dist, keys, [value], ["__cnt"], num_partitions, unique=True, max_group_rows=max_group_rows)
     if keys:
         tot = dist.groupBy(*keys).agg(F.sum("__cnt").alias("__n"))
         pref = join_back(pref, tot, keys, how="inner")
@@ -195,6 +204,38 @@ def average_rank_pct(
     return join_back(df, ranks, keys + [value], how="left")
 
 
+def average_rank_pct_multi(
+    df: DataFrame,
+    values: Sequence[str],
+    outs: Sequence[str],
+    keys: Sequence[str] = (),
+    max_group_rows: int | None = None,
+) -> DataFrame:
+    """:func:`average_rank_pct` for several columns with one prefix pass:
+    the columns are unpivoted to (keys, name, value) so all distinct-value
+    counts share one shuffle and one window; each rank is then joined back on
+    (keys, value)."""
+    keys = list(keys)
+    pairs = F.explode(F.array(*[F.struct(F.lit(v).alias("__name"), F.col(v).cast("double").alias("__v"))
+                                for v in values])).alias("__p")
+    long = df.select(*keys, pairs).select(*keys, "__p.__name", "__p.__v").filter(F.col("__v").isNotNull())
+    dist = long.groupBy(*keys, "__name", "__v").agg(F.count(F.lit(1)).alias("__cnt"))
+    pref = prefix_sums(dist, keys + ["__name"], ["__v"], ["__cnt"], unique=True, max_group_rows=max_group_rows)
+    tot = dist.groupBy(*keys, "__name").agg(F.sum("__cnt").alias("__n"))
+    pref = join_back(pref, tot, keys + ["__name"], how="inner")
+    ranks = pref.select(*keys, "__name", "__v",
+                        ((F.col("__cnt_before") + (F.col("__cnt") + 1) / 2.0) / F.col("__n")).alias("__r"))
+    out = df
+    for v, o in zip(values, outs):
+        r = ranks.filter(F.col("__name") == v).select(
+            *[F.col(k).alias(f"__rk_{k}") for k in keys], F.col("__v").alias("__val"), F.col("__r").alias(o))
+        cond = F.col(v).cast("double") == F.col("__val")
+        for k in keys:
+            cond = cond & F.col(k).eqNullSafe(F.col(f"__rk_{k}"))
+        out = out.join(r, cond, "left").drop(*[f"__rk_{k}" for k in keys], "__val")
+    return out
+
+
 def ordinal_rank_pct(
     df: DataFrame,
     value: str,

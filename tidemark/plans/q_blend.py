@@ -36,9 +36,10 @@ SC3 = "sc AS (SELECT *, " + S3_SQL + " AS s3 FROM scores)"
 
 def _ranked(spark, sf, cols=("s1", "s2"), keys=("fold",)):
     df = _scores(spark, sf)
+    bound = bl.largest_group(df, list(keys))  # one job bounds every per-fold table below
     for c in cols:
-        df = bl.rank_normalize(df, c, f"r_{c}", list(keys))
-    return df
+        df = bl.rank_normalize(df, c, f"r_{c}", list(keys), max_group_rows=bound)
+    return df, bound
 
 
 @query("d06_rank_normalize_global", W("scores") + f"SELECT front_id, {rank_sql('s2')} AS r FROM scores")
@@ -122,8 +123,8 @@ xp AS (SELECT w, 'OOF' AS fold, target_value, b FROM x), """ + auc_sql("x", ["w"
 """ + auc_sql("xp", ["w", "fold"], "b").replace("d AS (", "d2 AS (").replace("FROM d", "FROM d2").replace("c AS (", "c2 AS (").replace(
     "FROM c", "FROM c2").replace("auc AS (", "auc2 AS (") + " SELECT * FROM per UNION ALL SELECT w, fold, roc_auc FROM auc2")
 def l03_f11_weight_scan_1d(spark, sf):
-    r = _ranked(spark, sf)
-    return bl.scan_1d(r, "r_s1", "r_s2", "target_value", ["fold"], SCAN_W)
+    r, bound = _ranked(spark, sf)
+    return bl.scan_1d(r, "r_s1", "r_s2", "target_value", ["fold"], SCAN_W, max_group_rows=bound)
 
 
 @query("l04_simplex_scan", W("scores") + ", " + SC3 + ", " + RANKED_SQL + """, g AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(20 - i - j AS INTEGER) AS k
@@ -131,8 +132,8 @@ def l03_f11_weight_scan_1d(spark, sf):
 x AS (SELECT i, j, k, fold, target_value, (CAST(i AS DOUBLE) / 20e0) * r_s1 + (CAST(j AS DOUBLE) / 20e0) * r_s2 + (CAST(k AS DOUBLE) / 20e0) * r_s3 AS b
   FROM rk CROSS JOIN g), """ + auc_sql("x", ["i", "j", "k", "fold"], "b") + " SELECT i, j, k, fold, roc_auc FROM auc")
 def l04_simplex_scan(spark, sf):
-    r = _ranked(spark, sf, ("s1", "s2", "s3"))
-    return bl.scan_simplex(r, ["r_s1", "r_s2", "r_s3"], "target_value", ["fold"], 20)
+    r, bound = _ranked(spark, sf, ("s1", "s2", "s3"))
+    return bl.scan_simplex(r, ["r_s1", "r_s2", "r_s3"], "target_value", ["fold"], 20, max_group_rows=bound)
 
 
 LATE_SQL = HOLDOUTS_SQL + """, late AS (SELECT fold AS holdout, front_id, target_value,
@@ -166,7 +167,7 @@ SELECT w, ROUND(fold3_auc, 9) AS fold3_auc, ROUND(lh_mean, 9) AS lh_mean, ROUND(
   ROUND(lh_mean + 0.25 * fold3_auc, 9) AS selection_score,
   CASE WHEN lh_min - cn >= -0.001 AND lh_mean - cm >= 0 THEN 'PASS_WITH_RISKS' ELSE 'RETEST' END AS verdict FROM t, ch""")
 def l05_l07_gated_selection(spark, sf):
-    r = _ranked(spark, sf).filter(F.col("fold") == 3)
+    r = _ranked(spark, sf)[0].filter(F.col("fold") == 3)
     f3 = bl.scan_1d(r, "r_s1", "r_s2", "target_value", [], SCAN_W).withColumnRenamed("roc_auc", "fold3_auc")
     late = _late(spark, sf)
     late = bl.rank_normalize(late, "s1", "r1", ["holdout"])
