@@ -18,6 +18,7 @@ from pyspark.sql.types import DateType, NumericType
 
 from ..functions.categorical import normalize
 from .metrics import auc_table
+from ..session import cut_lineage
 from .ranks import join_back, prefix_sums
 
 
@@ -83,8 +84,11 @@ def univariate_drift(train: DataFrame, test: DataFrame, cols: Sequence[str]) ->
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)
-    # Every per-column group holds at most all rows of both sides: one count
-    # bounds all the grouped prefix passes below.
+    # The long table feeds five grouped passes (median, two AUCs, stats):
+    # materialise it once in the shared checkpoint folder instead of
+    # re-reading and re-joining the sources for each.  Every per-column group
+    # holds at most all rows of both sides, which bounds the prefix passes.
+    long = cut_lineage(long)
     bound = both.count()
     med = exact_quantiles(long, ["column_name"], "x", [0.5], bound).select("column_name", F.col("quantile").alias("__med"))
     filled = long.join(med, "column_name", "left").withColumn(

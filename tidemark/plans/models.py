@@ -114,28 +114,37 @@ def evaluate_folds(df: DataFrame, day: str, spec: list[dict], num_cols: Sequence
                    id_cols: Sequence[str] = ("front_id",)) -> tuple[DataFrame, DataFrame]:
     """Fit per fold (or holdout), score its valid rows; returns the
     long predictions table and the metric table (per fold + pooled)."""
-    member = splits.assign_folds(df, day, spec)
+    from pyspark import StorageLevel
+
+    # The fold table feeds one fit per fold: keep it (memory, spilling to
+    # disk) for the loop, count every (fold, role) in one job, and cut the
+    # predictions from the lineage before releasing it.
+    member = splits.assign_folds(df, day, spec).persist(StorageLevel.MEMORY_AND_DISK)
     folds = [s["fold"] for s in spec]
+    got_all = {(r["fold"], r["role"]): (r["n"], r["k"]) for r in member.groupBy("fold", "role").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct(label).alias("k")).collect()}
     parts = None
-    for f in folds:
-        tr = member.filter((F.col("fold") == f) & (F.col("role") == "train"))
-        va = member.filter((F.col("fold") == f) & (F.col("role") == "valid"))
-        counts = member.filter(F.col("fold") == f).groupBy("role").agg(
-            F.count(F.lit(1)).alias("n"), F.countDistinct(label).alias("k")).collect()
-        got = {r["role"]: (r["n"], r["k"]) for r in counts}
-        if "train" not in got or "valid" not in got:
-            if scope == "holdout":
-                raise ValueError(f"empty split for holdout {f}")
-            continue  # rolling folds skip empty folds (M08)
-        if got["valid"][1] < 2 and scope == "holdout":
-            raise ValueError(f"holdout {f} has one class")
-        pred, _ = fit_score(tr, va, num_cols, categorical, cfg, seed, label, weight_col, id_cols=id_cols, carry=[label])
-        pred = pred.withColumn(scope, F.lit(str(f)))
-        parts = pred if parts is None else parts.unionByName(pred)
-        if checkpoint:
-            parts = cut_lineage(parts)
-    if parts is None:
-        raise ValueError("no usable fold")
+    try:
+        for f in folds:
+            got = {role: v for (ff, role), v in got_all.items() if ff == f}
+            if "train" not in got or "valid" not in got:
+                if scope == "holdout":
+                    raise ValueError(f"empty split for holdout {f}")
+                continue  # rolling folds skip empty folds (M08)
+            if got["valid"][1] < 2 and scope == "holdout":
+                raise ValueError(f"holdout {f} has one class")
+            tr = member.filter((F.col("fold") == f) & (F.col("role") == "train"))
+            va = member.filter((F.col("fold") == f) & (F.col("role") == "valid"))
+            pred, _ = fit_score(tr, va, num_cols, categorical, cfg, seed, label, weight_col, id_cols=id_cols, carry=[label])
+            pred = pred.withColumn(scope, F.lit(str(f)))
+            parts = pred if parts is None else parts.unionByName(pred)
+            if checkpoint:
+                parts = cut_lineage(parts)
+        if parts is None:
+            raise ValueError("no usable fold")
+        parts = cut_lineage(parts)
+    finally:
+        member.unpersist()
     per = auc_table(parts, label, "prediction", [scope]).select(scope, "roc_auc", "n_rows", "n_pos")
     pooled_name = "OOF_TIME_HOLDOUT" if scope == "fold" else "POOLED"
     pooled = auc_table(parts, label, "prediction").select(F.lit(pooled_name).alias(scope), "roc_auc", "n_rows", "n_pos")
