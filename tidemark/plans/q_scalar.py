@@ -223,14 +223,23 @@ def c23_shared_dictionary(spark, sf):
     return cat.dictionary([a.filter("is_test = 0"), a.filter("is_test = 1")], "fl_adminarea", "code")
 
 
-@query("c24_ordinal_encode", W("apps") + """, d AS (SELECT db_group_last AS v, DENSE_RANK() OVER (ORDER BY db_group_last) - 1 AS code
-  FROM (SELECT DISTINCT db_group_last FROM apps WHERE is_test = 0 AND db_group_last IS NOT NULL AND front_id % 4 <> 0))
-SELECT front_id, CAST(CASE WHEN db_group_last IS NULL THEN -2 ELSE COALESCE(code, -1) END AS INTEGER) AS db_group_code
-FROM apps LEFT JOIN d ON apps.db_group_last = d.v""")
+@query("c24_ordinal_encode", W("apps") + """, d1 AS (SELECT db_group_last AS v, DENSE_RANK() OVER (ORDER BY db_group_last) - 1 AS code
+  FROM (SELECT DISTINCT db_group_last FROM apps WHERE db_group_last IS NOT NULL)),
+d2 AS (SELECT fl_adminarea AS v, DENSE_RANK() OVER (ORDER BY fl_adminarea) - 1 AS code
+  FROM (SELECT DISTINCT fl_adminarea FROM apps WHERE is_test = 0 AND fl_adminarea < 'M'))
+SELECT front_id, CAST(CASE WHEN db_group_last IS NULL THEN -2 ELSE COALESCE(d1.code, -1) END AS INTEGER) AS db_group_code,
+  CAST(CASE WHEN fl_adminarea IS NULL THEN -1 ELSE COALESCE(d2.code, -1) END AS INTEGER) AS area_code
+FROM apps LEFT JOIN d1 ON apps.db_group_last = d1.v LEFT JOIN d2 ON apps.fl_adminarea = d2.v""")
 def c24_ordinal_encode(spark, sf):
-    a = _apps(spark, sf)
-    fit = a.filter((F.col("is_test") == 0) & (F.col("front_id") % 4 != 0))
-    return cat.ordinal_encode(a, [fit], "db_group_last", "db_group_code").select("front_id", "db_group_code")
+    # db_group_last: dictionary over train + test, missing -> -2.
+    # fl_adminarea: dictionary over the train rows of the first half of the
+    # alphabet, so the other areas are unseen (-1) and missing is unseen too.
+    a = fx.apps(spark, sf)
+    tr, te = a.filter("is_test = 0"), a.filter("is_test = 1")
+    out = cat.ordinal_encode(a, [tr, te], "db_group_last", "db_group_code")
+    fit = tr.filter(F.col("fl_adminarea") < "M")
+    out = cat.ordinal_encode(out, [fit], "fl_adminarea", "area_code", missing=None)
+    return out.select("front_id", "db_group_code", "area_code")
 
 
 @query("c25_train_codes", W("apps") + """, d AS (SELECT v, DENSE_RANK() OVER (ORDER BY v) AS code
