@@ -86,13 +86,19 @@ def model_factory(cfg: dict, seed: int, weight_col: str | None = None) -> Estima
     return m
 
 
+def fit_model(train: DataFrame, num_cols: Sequence[str], categorical: Sequence[str], cfg: dict, seed: int,
+              label: str = "target_value", weight_col: str | None = None):
+    """Fit the assembler + estimator pipeline on ``train`` (a PipelineModel)."""
+    est = model_factory(cfg, seed, weight_col)
+    pipe = Pipeline(stages=[*assembler_stages(num_cols, categorical), est])
+    return pipe.fit(train.withColumn("label", F.col(label).cast("double")))
+
+
 def fit_score(train: DataFrame, score: DataFrame, num_cols: Sequence[str], categorical: Sequence[str], cfg: dict,
               seed: int, label: str = "target_value", weight_col: str | None = None, id_cols: Sequence[str] = ("front_id",),
               carry: Sequence[str] = ()) -> tuple[DataFrame, object]:
     """Fit on ``train`` and score ``score`` (K02): (ids..., carry..., prediction)."""
-    est = model_factory(cfg, seed, weight_col)
-    pipe = Pipeline(stages=[*assembler_stages(num_cols, categorical), est])
-    model = pipe.fit(train.withColumn("label", F.col(label).cast("double")))
+    model = fit_model(train, num_cols, categorical, cfg, seed, label, weight_col)
     clip_eps = float(cfg.get("clip", 0.0))
     pred = model.transform(score).select(*id_cols, *carry, positive_class_score("probability", clip_eps).alias("prediction"))
     return pred, model

@@ -116,7 +116,7 @@ def e36_substitution_attribution(spark, sf):
     from ..operators import splits
     tr = fx.train_apps(spark, sf)
     feats, ncols = md.tree_features(tr, NUM, CAT)
-    _, model = md.fit_score(feats, feats.limit(1), ncols, CAT, {"model_type": "logreg", "iterations": 20}, 42)
+    model = md.fit_model(feats, ncols, CAT, {"model_type": "logreg", "iterations": 20}, 42)
     sample = splits.seeded_sample(feats, "front_id", 400, 7)
     med = feats.agg(*[F.median(c).alias(c) for c in ncols]).first()
     return md.substitution_attribution(model, sample, ncols, {c: med[c] for c in ncols}, "front_id")

@@ -276,7 +276,7 @@ def k17_attribution_sample(spark, sf):
     feats, ncols = _features(tr)
     cut = F.lit("2000-01-01").cast("date")
     fit, hold = feats.filter(F.col("decision_day") < cut), feats.filter(F.col("decision_day") >= cut)
-    _, model = md.fit_score(fit, hold.limit(1), ncols, CAT, GBT, SEED)
+    model = md.fit_model(fit, ncols, CAT, GBT, SEED)
     sample = splits.seeded_sample(hold, "front_id", 300, SEED)
     med_row = fit.agg(*[F.median(c).alias(c) for c in ncols]).first()
     return md.substitution_attribution(model, sample, ncols, {c: med_row[c] for c in ncols}, "front_id")
@@ -331,7 +331,7 @@ def i07_seeded_sample(spark, sf):
 def e35_feature_importance(spark, sf):
     tr, _ = _train_test(spark, sf)
     feats, ncols = _features(tr)
-    _, model = md.fit_score(feats, feats.limit(1), ncols, CAT, GBT, SEED)
+    model = md.fit_model(feats, ncols, CAT, GBT, SEED)
     imp = model.stages[-1].featureImportances.toArray().tolist()
     names = [*ncols, *[f"i_{c}" for c in CAT]]
     return spark.createDataFrame([(n, float(v)) for n, v in zip(names, imp)], "feature string, importance double").orderBy(
