@@ -19,17 +19,18 @@ from pyspark.sql.types import DateType, NumericType
 from ..functions.categorical import normalize
 from .metrics import auc_table
 from ..session import cut_lineage
-from .ranks import join_back, prefix_sums
+from .ranks import prefix_sums
 
 
 def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float],
                     max_group_rows: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles (same rule as ``percentile`` and
-    ``quantile_cont``) per ``keys`` group, from distinct-value counts and
-    prefix sums: one row per (keys..., q) with ``quantile``.
+    ``quantile_cont``) per ``keys`` group: one row per (keys..., q).
 
-    The positions to read are a tiny (groups x quantiles) table joined to the
-    distinct values by group; nothing is collected into one task.
+    Distinct-value counts get their position range and the group total from
+    one prefix pass; each row checks which interpolation positions
+    (floor / ceil of ``(n - 1) q``) it covers, and a final ``groupBy(keys, q)``
+    combines the (at most two) hits.  No join, nothing collected per group.
     """
     keys = list(keys)
     src = long if keys else long.withColumn("__g", F.lit(0))
@@ -37,19 +38,18 @@ def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str, qs: Sequen
     dist = src.filter(F.col(value).isNotNull()).groupBy(*gk, value).agg(F.count(F.lit(1)).alias("__c"))
     pref = prefix_sums(dist, gk, [value], ["__c"], unique=True, max_group_rows=max_group_rows)
     qarr = F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")
-    pos = dist.groupBy(*gk).agg(F.sum("__c").alias("__n")).select(*gk, qarr, "__n")
-    h = (F.col("__n") - 1) * F.col("q")
-    pos = pos.select(*gk, "q", h.alias("__h"), F.floor(h).cast("long").alias("__lo"), F.ceil(h).cast("long").alias("__hi"))
-    j = join_back(pos, pref, gk, how="inner")
-
-    def at(idx: str, name: str) -> DataFrame:
-        cond = (F.col(idx) >= F.col("__c_before")) & (F.col(idx) < F.col("__c_before") + F.col("__c"))
-        return j.filter(cond).select(*gk, "q", F.col(value).alias(name))
-
-    out = join_back(pos.select(*gk, "q", "__h", "__lo"), at("__lo", "__xlo"), [*gk, "q"], "inner")
-    out = join_back(out, at("__hi", "__xhi"), [*gk, "q"], "inner")
+    x = pref.select(*gk, value, "__c", "__c_before", "__c_total", qarr)
+    h = (F.col("__c_total") - 1) * F.col("q")
+    lo, hi = F.floor(h).cast("long"), F.ceil(h).cast("long")
+    start, end = F.col("__c_before"), F.col("__c_before") + F.col("__c")
+    x = x.select(*gk, "q", value, h.alias("__h"), lo.alias("__lo"),
+                 ((lo >= start) & (lo < end)).alias("__is_lo"), ((hi >= start) & (hi < end)).alias("__is_hi"))
+    hits = x.filter(F.col("__is_lo") | F.col("__is_hi")).groupBy(*gk, "q").agg(
+        F.max(F.when(F.col("__is_lo"), F.col(value))).alias("__xlo"),
+        F.max(F.when(F.col("__is_hi"), F.col(value))).alias("__xhi"),
+        F.first("__h").alias("__h"), F.first("__lo").alias("__lo"))
     val = F.col("__xlo") + (F.col("__h") - F.col("__lo")) * (F.col("__xhi") - F.col("__xlo"))
-    return out.select(*keys, "q", val.alias("quantile"))
+    return hits.select(*keys, "q", val.alias("quantile"))
 
 
 def _as_number(df: DataFrame, c: str, share_of: DataFrame | None = None):

@@ -123,15 +123,22 @@ def _unique_prefix(df: DataFrame, keys: list[str], x: str, sums: list[str], buck
     dfb = df.withColumn(BUCKET, _bucket_expr(F.col(x), bounds) if bounds else F.lit(0))
     w_local = Window.partitionBy(*keys, BUCKET).orderBy(F.col(x).asc_nulls_last()).rowsBetween(
         Window.unboundedPreceding, -1)
-    local = dfb.select("*", *[F.coalesce(F.sum(c).over(w_local), F.lit(0)).alias(f"__loc_{c}") for c in sums])
     if not bounds:
-        return local.select(*df.columns, *[F.col(f"__loc_{c}").alias(f"{c}_before") for c in sums])
+        # One bucket: the group total comes from the same window partition.
+        w_all = Window.partitionBy(*keys, BUCKET)
+        return dfb.select(*df.columns,
+                          *[F.coalesce(F.sum(c).over(w_local), F.lit(0)).alias(f"{c}_before") for c in sums],
+                          *[F.sum(c).over(w_all).alias(f"{c}_total") for c in sums])
+    local = dfb.select("*", *[F.coalesce(F.sum(c).over(w_local), F.lit(0)).alias(f"__loc_{c}") for c in sums])
     totals = dfb.groupBy(*keys, BUCKET).agg(*[F.sum(c).alias(f"__tot_{c}") for c in sums])
     w_off = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    w_grp = Window.partitionBy(*keys)
     offsets = totals.select(
-        *keys, BUCKET, *[F.coalesce(F.sum(f"__tot_{c}").over(w_off), F.lit(0)).alias(f"__off_{c}") for c in sums])
+        *keys, BUCKET, *[F.coalesce(F.sum(f"__tot_{c}").over(w_off), F.lit(0)).alias(f"__off_{c}") for c in sums],
+        *[F.sum(f"__tot_{c}").over(w_grp).alias(f"__all_{c}") for c in sums])
     joined = join_back(local, offsets, keys + [BUCKET], how="inner") if keys else local.join(offsets, BUCKET)
-    return joined.select(*df.columns, *[(F.col(f"__loc_{c}") + F.col(f"__off_{c}")).alias(f"{c}_before") for c in sums])
+    return joined.select(*df.columns, *[(F.col(f"__loc_{c}") + F.col(f"__off_{c}")).alias(f"{c}_before") for c in sums],
+                         *[F.col(f"__all_{c}").alias(f"{c}_total") for c in sums])
 
 
 def prefix_sums(
@@ -145,7 +152,8 @@ def prefix_sums(
     max_group_rows: int | None = None,
 ) -> DataFrame:
     """Add ``<c>_before`` = sum of ``c`` over rows of the same ``keys`` group
-    whose ``order`` tuple is strictly smaller, for every ``c`` in ``sums``.
+    whose ``order`` tuple is strictly smaller, for every ``c`` in ``sums``
+    (and, with ``unique=True``, ``<c>_total`` = the group's sum).
 
     ``unique=True`` promises the (single) order column is unique inside each
     group, which skips the tie handling.  ``keys`` may contain nulls; they
@@ -159,7 +167,7 @@ def prefix_sums(
     # Rows strictly below on the first column: prefix over its distinct values.
     dist = df.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(*[F.sum(c).alias(c) for c in sums])
     tag = f"__b{_depth}_"
-    below = _unique_prefix(dist, keys, x, sums, buckets, max_group_rows).select(
+    below = _unique_prefix(dist, keys, x, sums, buckets, max_group_rows).drop(*[f"{c}_total" for c in sums]).select(
         *keys, x, *[F.col(f"{c}_before").alias(f"{tag}{c}") for c in sums])
     out = join_back(df, below, keys + [x], how="left")
     if rest:
@@ -192,11 +200,7 @@ def average_rank_pct(
         .agg(F.count(F.lit(1)).alias("__cnt"))
     )
     pref = prefix_sums(dist, keys, [value], ["__cnt"], num_partitions, unique=True, max_group_rows=max_group_rows)
-    if keys:
-        tot = dist.groupBy(*keys).agg(F.sum("__cnt").alias("__n"))
-        pref = join_back(pref, tot, keys, how="inner")
-    else:
-        pref = pref.withColumn("__n", F.lit(dist.select(F.sum("__cnt")).scalar()))
+    pref = pref.withColumnRenamed("__cnt_total", "__n")
     ranks = pref.select(
         *keys, value,
         ((F.col("__cnt_before") + (F.col("__cnt") + 1) / 2.0) / F.col("__n")).alias(out),
@@ -221,8 +225,7 @@ def average_rank_pct_multi(
     long = df.select(*keys, pairs).select(*keys, "__p.__name", "__p.__v").filter(F.col("__v").isNotNull())
     dist = long.groupBy(*keys, "__name", "__v").agg(F.count(F.lit(1)).alias("__cnt"))
     pref = prefix_sums(dist, keys + ["__name"], ["__v"], ["__cnt"], unique=True, max_group_rows=max_group_rows)
-    tot = dist.groupBy(*keys, "__name").agg(F.sum("__cnt").alias("__n"))
-    pref = join_back(pref, tot, keys + ["__name"], how="inner")
+    pref = pref.withColumnRenamed("__cnt_total", "__n")
     ranks = pref.select(*keys, "__name", "__v",
                         ((F.col("__cnt_before") + (F.col("__cnt") + 1) / 2.0) / F.col("__n")).alias("__r"))
     out = df
