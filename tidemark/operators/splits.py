@@ -116,9 +116,10 @@ def stratified_split(df: DataFrame, label: str, id_col: str, seed: int, train_sh
 
 def stratified_kfold(df: DataFrame, label: str, order_cols: Sequence[str], k: int, out: str = "inner_fold") -> DataFrame:
     """Stratified inner folds (I05): ``(position within class) % k`` where the
-    position follows ``order_cols`` (a hash key and the id)."""
+    position follows ``order_cols`` (a hash key and the id, or the id alone);
+    the order columns must identify a row."""
     h = df.withColumn("__one", F.lit(1))
-    pref = prefix_sums(h, [label], list(order_cols), ["__one"])
+    pref = prefix_sums(h, [label], list(order_cols), ["__one"], unique=len(order_cols) == 1)
     return pref.select(*df.columns, (F.col("__one_before") % k).cast("int").alias(out))
 
 
