@@ -32,9 +32,18 @@ def class_counts(df: DataFrame, target: str) -> DataFrame:
     return df.groupBy(target).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("share", F.col("n_rows") / n)
 
 
-def distinct_counts(both: DataFrame, cols: Sequence[str], side: str = "side") -> DataFrame:
+def distinct_counts(both: DataFrame, cols: Sequence[str], side: str = "side", approx_rsd: float | None = None) -> DataFrame:
     """Per column and side, distinct values counting missing as one value.
-    One unpivot + one two-phase distinct aggregate for all columns."""
+    One unpivot + one two-phase distinct aggregate for all columns; with
+    ``approx_rsd`` a HyperLogLog++ sketch per column (one wide aggregate, no
+    unpivot shuffle) replaces the exact count at scale."""
+    if approx_rsd is not None:
+        aggs = []
+        for c in cols:
+            aggs.append((F.approx_count_distinct(c, approx_rsd) + F.max(F.col(c).isNull().cast("int"))).alias(c))
+        wide = both.groupBy(side).agg(*aggs).unpivot([side], list(cols), "column_name", "nunique")
+        return wide.groupBy("column_name").pivot(side, [0, 1]).agg(F.first("nunique")).select(
+            "column_name", F.col("0").alias("train_nunique"), F.col("1").alias("test_nunique"))
     long = _long(both, cols, side, "string")
     g = long.groupBy("column_name", side).agg(
         (F.countDistinct("v") + F.max(F.col("v").isNull().cast("int"))).alias("nunique"))

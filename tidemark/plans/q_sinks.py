@@ -69,6 +69,26 @@ def a05_latest_run_lookup(spark, sf):
     return sk.latest_runs(sk.run_registry(spark, path))
 
 
+@query("a08_run_artifacts")
+def a08_run_artifacts(spark, sf):
+    from ..operators.metrics import fold_auc
+    s = fx.scores(spark, sf)
+    root = _scratch(spark, "runs")
+    a = fx.apps(spark, sf)
+    tr, te = a.filter("is_test = 0"), a.filter("is_test = 1").drop("target_value")
+    _x, _tx, _names, manifest = cf.build_features(tr, te, CFG, APPS_SPECS)
+    out = None
+    for run, col in (("s1_20240101T000000Z_seed42", "s1"), ("s2_20240101T000000Z_seed42", "s2")):
+        preds = s.select(F.col("front_id").alias("row_index"), "fold", "target_value", F.col(col).alias("prediction"))
+        paths = sk.write_run_artifacts(root, run, {
+            "valid_predictions": preds, "fold_metrics": fold_auc(preds, "target_value", "prediction", "fold"),
+            "feature_manifest": sk.feature_manifest(spark, manifest)}, config=CFG)
+    for name, path in paths.items():
+        t = spark.read.parquet(path).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("artifact", F.lit(name))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
 @query("a06_fixed_decimal_csv_sink", W("scores") + "SELECT front_id, printf('%.10f', s1) AS s1 FROM scores")
 def a06_fixed_decimal_csv_sink(spark, sf):
     path = _scratch(spark, "submission_csv")

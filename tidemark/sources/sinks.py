@@ -55,6 +55,33 @@ def append_predictions(df: DataFrame, path: str, run_id: str, scope: str, grp: s
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
 
 
+def write_run_artifacts(root: str, run_id: str, tables: dict[str, DataFrame], config: dict | None = None) -> dict[str, str]:
+    """Every artifact of a run (predictions, fold metrics, feature
+    manifest, ...) appended to its own table under ``root``, partitioned by
+    ``run_id`` with dynamic partition overwrite (a re-run replaces only its
+    own partition); the config is stored as one JSON row.  Returns the paths."""
+    import json
+
+    paths = {}
+    items = dict(tables)
+    if config is not None:
+        spark = next(iter(tables.values())).sparkSession if tables else None
+        if spark is not None:
+            items["config"] = spark.createDataFrame([(json.dumps(config, sort_keys=True, default=str),)], "config_json string")
+    for name, df in items.items():
+        out = sanitize_doubles(df).withColumn("run_id", F.lit(run_id))
+        path = f"{root.rstrip('/')}/{name}"
+        spark = out.sparkSession
+        prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        try:
+            out.write.mode("overwrite").partitionBy("run_id").parquet(path)
+        finally:
+            spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+        paths[name] = path
+    return paths
+
+
 def load_runs(spark: SparkSession, path: str, labels: dict[str, str], scope: str,
               keys: Sequence[str] = ("grp", "row_index", "target_value")) -> DataFrame:
     """The named runs of one scope side by side, ``prediction`` renamed
