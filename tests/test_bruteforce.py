@@ -25,15 +25,16 @@ def brute_auc(ys, ss):
 rows = st.lists(st.tuples(st.integers(0, 2), st.integers(0, 1), st.integers(0, 6)), min_size=1, max_size=40)
 
 
-@pytest.mark.parametrize("bucketed", [False, True])
+@pytest.mark.parametrize("bucketed", [False, True, "rows"])
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(data=rows)
 def test_auc_matches_brute_force(spark, monkeypatch, bucketed, data):
-    if bucketed:
+    if bucketed is True:
         monkeypatch.setattr(ranks, "SINGLE_TASK_ROWS", 2)
         monkeypatch.setattr(ranks, "SINGLE_TASK_BYTES", 0)
     df = spark.createDataFrame([(g, y, s / 3.0) for g, y, s in data], "g int, y int, s double")
-    got = {r.g: r.roc_auc for r in auc_table(df, "y", "s", ["g"], num_partitions=3).collect()}
+    bound = len(data) if bucketed == "rows" else None  # "rows": the single-window path
+    got = {r.g: r.roc_auc for r in auc_table(df, "y", "s", ["g"], num_partitions=3, max_group_rows=bound).collect()}
     for g in {d[0] for d in data}:
         sub = [(y, s / 3.0) for gg, y, s in data if gg == g]
         want = brute_auc([y for y, _ in sub], [s for _, s in sub])

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranks import prefix_sums
@@ -50,6 +50,23 @@ def auc_table(
         w = F.col(weight).cast("double")
         pos_v, neg_v = y * w, (1 - y) * w
     base = df.filter(F.col(score).isNotNull() & y.isNotNull())
+    from . import ranks
+
+    if keys and max_group_rows is not None and max_group_rows <= ranks.SINGLE_TASK_ROWS:
+        # Proven small groups: one window over the rows themselves (RANGE
+        # frames give the negatives below and tied), and the final aggregate
+        # reuses the window's partitioning - a single exchange in total.
+        w = Window.partitionBy(*keys).orderBy(F.col(score))
+        neg_le = F.sum(neg_v).over(w.rangeBetween(Window.unboundedPreceding, 0))
+        neg_eq = F.sum(neg_v).over(w.rangeBetween(0, 0))
+        rows = base.select(*keys, pos_v.alias("__pos"), neg_v.alias("__neg"), neg_le.alias("__le"), neg_eq.alias("__eq"))
+        if weight is None:
+            term = F.col("__pos").cast(DEC) * (2 * (F.col("__le") - F.col("__eq")).cast(DEC) + F.col("__eq").cast(DEC))
+        else:
+            term = F.col("__pos") * (2 * (F.col("__le") - F.col("__eq")) + F.col("__eq"))
+        agg = rows.groupBy(*keys).agg(F.sum(term).alias("__num"), F.sum("__pos").alias("n_pos"),
+                                      F.sum("__neg").alias("n_neg"), F.count(F.lit(1)).alias("n_rows"))
+        return _finish(agg, keys, weight, out)
     dist = base.groupBy(*keys, score).agg(
         F.sum(pos_v).alias("__pos"), F.sum(neg_v).alias("__neg"), F.count(F.lit(1)).alias("__rows")
     )
@@ -64,6 +81,10 @@ def auc_table(
         F.sum("__neg").alias("n_neg"),
         F.sum("__rows").alias("n_rows"),
     )
+    return _finish(agg, keys, weight, out)
+
+
+def _finish(agg: DataFrame, keys: list, weight: str | None, out: str) -> DataFrame:
     den = 2 * F.col("n_pos").cast("double") * F.col("n_neg").cast("double")
     auc = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("__num").cast("double") / den)
     cols = [*keys, auc.alias(out), F.col("n_rows").cast("long").alias("n_rows")]
