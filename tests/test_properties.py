@@ -131,3 +131,21 @@ def test_pooled_auc_is_not_fold_mean(spark):
 def test_one_class_auc_is_null(spark):
     s = fx.scores(spark, SF_SMALL).filter("target_value = 1")
     assert auc_table(s, "target_value", "s1").first().roc_auc is None
+
+
+def test_hot_context_key_aggregate_path(spark, monkeypatch):
+    """One context holding a third of all rows: the skew-safe path (with the
+    bucketed prefix forced) equals the plain window path."""
+    o = fx.offers(spark, SF_SMALL)
+    o = o.withColumn("l_orderkey", F.when(F.col("l_partkey") % 3 == 0, F.lit(-1)).otherwise(F.col("l_orderkey")))
+    cols = ["l_orderkey", "l_linenumber", "l_partkey", "overdraft_limit_max"]
+    w = ctx.context_features(o, ["l_orderkey"], fx.OFFER_COLS, strategy="window")
+    monkeypatch.setattr(ranks, "SINGLE_TASK_ROWS", 50)
+    monkeypatch.setattr(ranks, "SINGLE_TASK_BYTES", 0)
+    a = ctx.context_features(o, ["l_orderkey"], fx.OFFER_COLS, strategy="aggregate")
+    feats = [c for c in w.columns if c not in o.columns]
+
+    def rows(df):
+        return sorted(tuple(None if v is None else round(v, 9) if isinstance(v, float) else v for v in r)
+                      for r in df.select(*cols, *feats).collect())
+    assert rows(w) == rows(a)
