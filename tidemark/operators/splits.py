@@ -109,9 +109,11 @@ def stratified_split(df: DataFrame, label: str, id_col: str, seed: int, train_sh
     pref = prefix_sums(h, [label], ["__h", id_col], ["__one"])
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     pref = pref.join(n, label)
-    return pref.select(
-        *df.columns, ((F.col("__one_before") + 1) <= F.ceil(F.col("__n") * train_share)).cast("int").alias(out)
-    )
+    # ceil(n * share) in decimal arithmetic: 0.7 * 10 is exactly 7, not 7.000...1.
+    from decimal import Decimal
+
+    n_train = F.ceil(F.col("__n").cast("decimal(20,0)") * F.lit(Decimal(str(train_share))))
+    return pref.select(*df.columns, ((F.col("__one_before") + 1) <= n_train).cast("int").alias(out))
 
 
 def stratified_kfold(df: DataFrame, label: str, order_cols: Sequence[str], k: int, out: str = "inner_fold") -> DataFrame:

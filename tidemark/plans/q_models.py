@@ -305,14 +305,17 @@ def k18_foldsafe_feature_model(spark, sf):
     return metrics.fold_auc(out, "target_value", "prediction", "fold")
 
 
-@query("i04_stratified_split")
+@query("i04_stratified_split", fx.with_views("apps") + """, c AS (SELECT target_value, COUNT(*) AS n FROM apps WHERE is_test = 0 GROUP BY target_value)
+SELECT target_value, 1 AS is_train, CAST(CEIL(0.7 * n) AS BIGINT) AS n_rows FROM c
+UNION ALL SELECT target_value, 0, CAST(n - CEIL(0.7 * n) AS BIGINT) FROM c WHERE n - CEIL(0.7 * n) > 0""")
 def i04_stratified_split(spark, sf):
     tr, _ = _train_test(spark, sf)
     s = splits.stratified_split(tr, "target_value", "front_id", SEED, 0.7)
     return s.groupBy("target_value", "is_train").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("i06_out_of_fold_predictions")
+@query("i06_out_of_fold_predictions", fx.with_views("apps") + """SELECT is_test AS label_domain, COUNT(*) AS n_rows, COUNT(DISTINCT front_id) AS n_ids
+FROM apps GROUP BY is_test""")
 def i06_out_of_fold_predictions(spark, sf):
     tr, te = _train_test(spark, sf)
     cols = ["front_id", *NUM, *CAT]
