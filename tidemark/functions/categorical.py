@@ -1,7 +1,7 @@
 """Category normalisation, crosses and dictionary encoders.
 
 Dictionaries are DataFrames of (value, code) built from distinct values with
-range-partitioned dense ranks (no single-task window), then joined back.
+dense ranks from bucketed prefix sums (no single-task window), then joined back.
 The join is an ordinary equi-join: AQE turns it into a broadcast at runtime
 when the dictionary is small, and it stays a sort-merge join when not.
 """

@@ -24,7 +24,7 @@ def wide_to_long(df: DataFrame, ids: Sequence[str], values: Sequence[str], name:
 def duplicate_members(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Rows whose ``keys`` occur more than once, with the copy count and
     an after-first flag (first by ``order``).  Counts come from a partial
-    aggregate and positions from range-partitioned prefix sums, so one key
+    aggregate and positions from bucketed prefix sums, so one key
     holding many copies is not sent to a single task."""
     keys, order = list(keys), list(order)
     cnt = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_copies")).filter(F.col("n_copies") > 1)

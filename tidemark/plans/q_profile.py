@@ -187,7 +187,6 @@ b AS (SELECT front_id, ROW_NUMBER() OVER (ORDER BY front_id) AS pos FROM sample
 SELECT (SELECT COUNT(*) FROM a JOIN b USING (pos, front_id)) AS matched, (SELECT COUNT(*) FROM a) AS n_a, (SELECT COUNT(*) FROM b) AS n_b,
   (SELECT COUNT(*) FROM a JOIN b USING (pos, front_id)) = (SELECT COUNT(*) FROM a) AND (SELECT COUNT(*) FROM a) = (SELECT COUNT(*) FROM b) AS same_order""")
 def h05_ordered_id_equality(spark, sf):
-    from ..operators.ranks import ordinal_rank_pct  # noqa: F401
     from ..operators.ranks import prefix_sums
     _, te = _pair(spark, sf)
     s = _sample(spark, sf).join(te.select("front_id"), "front_id", "left_semi")
