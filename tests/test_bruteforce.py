@@ -69,3 +69,33 @@ def test_ordinal_rank_matches_pandas(spark, data):
     want = pdf["v"].rank(method="first", pct=True)
     for i, w in zip(pdf["id"], want):
         assert math.isclose(got[i], w, rel_tol=1e-12)
+
+
+@settings(max_examples=10, deadline=None)
+@given(data=st.lists(st.integers(-5, 5), min_size=2, max_size=60))
+def test_equal_count_bins_match_qcut(spark, data):
+    rows_ = [(i, float(v)) for i, v in enumerate(data)]
+    df = spark.createDataFrame(rows_, "id int, v double")
+    got = {r.id: r.b for r in ranks.equal_count_bins(df, "v", "id", "b", 16).collect()}
+    pdf = pd.DataFrame(rows_, columns=["id", "v"])
+    r = pdf["v"].rank(method="first")
+    want = pd.qcut(r, q=min(16, len(pdf)), labels=False, duplicates="drop") if len(pdf) >= 16 else None
+    if want is not None:
+        for i, w in zip(pdf["id"], want):
+            assert got[i] == int(w)
+    assert all(0 <= b <= 15 for b in got.values())
+
+
+@settings(max_examples=10, deadline=None)
+@given(data=st.lists(st.tuples(st.integers(0, 2), st.integers(-20, 20)), min_size=1, max_size=50))
+def test_exact_quantiles_match_numpy(spark, data):
+    import numpy as np
+
+    from tidemark.operators.drift import exact_quantiles
+
+    df = spark.createDataFrame([(g, float(v)) for g, v in data], "g int, v double")
+    got = {(r.g, r.q): r.quantile for r in exact_quantiles(df, ["g"], "v", [0.01, 0.5, 0.99]).collect()}
+    for g in {d[0] for d in data}:
+        vals = [float(v) for gg, v in data if gg == g]
+        for q in (0.01, 0.5, 0.99):
+            assert math.isclose(got[(g, q)], float(np.percentile(vals, q * 100)), rel_tol=1e-9, abs_tol=1e-9)
