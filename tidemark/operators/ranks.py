@@ -42,7 +42,12 @@ def estimated_bytes(df: DataFrame) -> int | None:
     Without column statistics the estimate of filters and aggregates is the
     size of their input, so it bounds the real size from above."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        plan = df._jdf.queryExecution().optimizedPlan()
+        # Size-only estimates do not multiply by the fan-out of a Generate
+        # (explode), so a plan with one is treated as unknown.
+        if "Generate" in plan.toString():
+            return None
+        return int(str(plan.stats().sizeInBytes()))
     except Exception:  # noqa: BLE001 - estimate unavailable (e.g. Spark Connect)
         return None
 
@@ -109,9 +114,11 @@ def _unique_prefix(df: DataFrame, keys: list[str], x: str, sums: list[str], buck
     ``max_group_rows`` is a caller-proven bound on the largest group (e.g.
     the row count of the input the groups were derived from); with it no
     checking job is run."""
-    est = estimated_bytes(df)
-    small = buckets <= 1 or (est is not None and est <= SINGLE_TASK_BYTES) or (
-        max_group_rows is not None and max_group_rows <= SINGLE_TASK_ROWS)
+    if max_group_rows is not None:
+        small = buckets <= 1 or max_group_rows <= SINGLE_TASK_ROWS
+    else:
+        est = estimated_bytes(df)
+        small = buckets <= 1 or (est is not None and est <= SINGLE_TASK_BYTES)
     bounds = []
     if not small:
         # One partial-aggregate job: the largest group decides whether a plain
