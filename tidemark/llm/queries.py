@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import piece_codec, url_filter
+from . import language_id, piece_codec, quality_rules, rule_ensemble, url_filter
+from .labelled import fold_of
 from .registry import query, read
 
 #: Rules of the URL query (host, path, verdict): fixed values.
@@ -44,7 +46,36 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def _held_out(folds: int, fold: int):
+    return (F.coalesce(fold_of(F.col("doc_id"), folds), F.lit(-1)) == fold).alias("held_out")
+
+
+@query("op3_language_id")
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learned from the four of five ids that are not held out."""
+    documents = read(spark, sf_dir, "documents")
+    model = language_id.fit_languages(documents, fold_of(F.col("key"), 5) != 0)
+    return language_id.identify(documents, model).select("doc_id", _held_out(5, 0), "lang_pred", "score")
+
+
 @query("op4_piece_codec")
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the SentencePiece round trip of every document."""
     return piece_codec.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op6_quality_classifier")
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by the rule ensemble."""
+    documents = read(spark, sf_dir, "documents")
+    model = rule_ensemble.fit_rules(documents, read(spark, sf_dir, "labels"), "quality", fold_of(F.col("key"), 5) != 0)
+    scored = rule_ensemble.score(documents, model)
+    return scored.select("doc_id", _held_out(5, 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op7_quality_rules")
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and verdict of every document; the model learns from four of five labelled ids."""
+    documents = read(spark, sf_dir, "documents")
+    model = quality_rules.fit_quality(documents, read(spark, sf_dir, "labels"), fold_of(F.col("key"), 5) != 0)
+    return quality_rules.apply_rules(documents, model)

@@ -162,9 +162,3 @@ def grams(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np
     at = np.flatnonzero(np.arange(n) + k <= last[:n])
     return mix(h[at]), at
 
-
-def code_points(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Code points of each text of a slice."""
-    lead = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum((raw & 0xC0) != 0x80, out=lead[1:])
-    return lead[offsets[1:]] - lead[offsets[:-1]]
