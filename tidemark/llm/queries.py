@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, piece_codec, quality_rules, rule_ensemble, url_filter
+from tidemark.session import cut_lineage
+
+from . import language_id, license_scan, mixing, piece_codec, quality_rules, rule_ensemble, toxicity, url_filter
 from .labelled import fold_of
 from .registry import query, read
 
@@ -39,6 +41,18 @@ SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, 'allow') AS verdic
 FROM parts p LEFT JOIN best b USING (host, path)
 """
 
+#: Source weights of the mixing query, repeating: fixed values.
+MIX_WEIGHTS = (5.0, 2.0, 1.0)
+
+
+@query("op1_source_mixing")
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every document; the word counts are stored once, texts are read once."""
+    documents = read(spark, sf_dir, "documents")
+    sized = cut_lineage(documents.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")))
+    mixed = mixing.mix(sized, mixing.cycled_weights(MIX_WEIGHTS), size=F.col("size"))
+    return mixed.select("doc_id", "source", *(F.col(f"{mixing.MIX}.{c}").alias(c) for c in ("size", "source_size", "target", "taken")))
+
 
 @query("op2_url_filter", URL_SQL)
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +78,12 @@ def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query("op5_license_scan")
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
 @query("op6_quality_classifier")
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document by the rule ensemble."""
@@ -79,3 +99,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     model = quality_rules.fit_quality(documents, read(spark, sf_dir, "labels"), fold_of(F.col("key"), 5) != 0)
     return quality_rules.apply_rules(documents, model)
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; labels are learned from three of four ids."""
+    documents = read(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(documents, read(spark, sf_dir, "labels"), fold_of(F.col("key"), 4) != 2)
+    scored = toxicity.score(documents, model)
+    return scored.select("doc_id", _held_out(4, 2), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
