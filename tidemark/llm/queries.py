@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut_lineage
 
-from . import language_id, license_scan, mixing, piece_codec, quality_rules, rule_ensemble, toxicity, url_filter
+from . import knn, language_id, license_scan, mixing, piece_codec, quality_rules, rule_ensemble, toxicity, url_filter
 from .labelled import fold_of
 from .registry import query, read
 
@@ -101,6 +101,27 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(documents, model)
 
 
+KNN_SQL = """
+WITH v AS (
+  SELECT vec_id, min(CAST(embedding AS DOUBLE[])) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+  GROUP BY vec_id),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 20
+"""
+
+
+@query("op9_nearest_neighbours", KNN_SQL)
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    return knn.nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 @query("op10_toxicity")
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; labels are learned from three of four ids."""
