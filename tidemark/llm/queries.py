@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut_lineage
 
-from . import knn, language_id, license_scan, mixing, piece_codec, quality_rules, rule_ensemble, toxicity, url_filter
+from . import knn, language_id, license_scan, mixing, ngram_join, piece_codec, quality_rules, rule_ensemble, toxicity, url_filter
 from .labelled import fold_of
 from .registry import query, read
 
@@ -101,6 +101,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(documents, model)
 
 
+@query("op8_ngram_join")
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links of every document (five words, similarity 0.8)."""
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 KNN_SQL = """
 WITH v AS (
   SELECT vec_id, min(CAST(embedding AS DOUBLE[])) AS e FROM embeddings
