@@ -87,7 +87,13 @@ def sainte_lague(votes: Sequence[float], seats: int, caps: Sequence[int]) -> np.
     return got
 
 
-def mix(
+def mix(df: DataFrame, weights: Callable[[int], Sequence[float]] | dict[str | None, float], **options) -> DataFrame:
+    """``df`` plus a struct column ``MIX`` (in place of one it has): size, source_size, target, taken (words, repeats counted)."""
+    df = df.drop(MIX)
+    return _mixed(df, weights, **options).select("row.*", F.col("mix").alias(MIX))
+
+
+def _mixed(
     df: DataFrame,
     weights: Callable[[int], Sequence[float]] | dict[str | None, float],
     size: Column | None = None,
@@ -98,7 +104,7 @@ def mix(
     source_col: str = "source",
     text_col: str = "text",
 ) -> DataFrame:
-    """``df`` plus a struct column ``MIX``: size, source_size, target, taken (words, repeats counted).
+    """(row, mix): the whole input row and its part in the mix.
 
     ``weights`` gives a weight per source: a mapping, or a function from the
     number of sources to weights in source order (code points, null last).
@@ -140,7 +146,7 @@ def mix(
     joined = placed.join(per_shard, ["s", "shard"])
     rounds, part = F.expr("words div greatest(n, 1)"), F.expr("words % greatest(n, 1)")
     taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least("end", part) - (F.col("end") - F.col("size")))
-    return joined.select("row.*", F.struct("size", "source_size", "target", taken.cast("long").alias("taken")).alias(MIX))
+    return joined.select("row", F.struct("size", "source_size", "target", taken.cast("long").alias("taken")).alias("mix"))
 
 
 def _order(id_col: str, seed: int) -> Column:
@@ -150,6 +156,6 @@ def _order(id_col: str, seed: int) -> Column:
 
 def mixed_rows(df: DataFrame, weights, **options) -> DataFrame:
     """The mixed corpus: whole rows of ``df``, each as often as the mix takes it (to the nearest copy)."""
-    mixed = mix(df, weights, **options)
-    copies = F.when(F.col(f"{MIX}.size") > 0, F.floor(F.col(f"{MIX}.taken") / F.col(f"{MIX}.size") + 0.5)).otherwise(0).cast("int")
-    return mixed.where(copies > 0).select(*(F.col(f"`{c}`") for c in df.columns), F.explode(F.sequence(F.lit(1), copies)).alias(MIX)).drop(MIX)
+    mixed = _mixed(df, weights, **options)
+    copies = F.when(F.col("mix.size") > 0, F.floor(F.col("mix.taken") / F.col("mix.size") + 0.5)).otherwise(0).cast("int")
+    return mixed.where(copies > 0).select("row", F.explode(F.sequence(F.lit(1), copies))).select("row.*")
