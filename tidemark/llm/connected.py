@@ -2,8 +2,8 @@
 
 Each round hangs every node's larger (then smaller) neighbours below the
 smallest one it knows; the rounds end when every edge leads to a root.  Only
-edges are moved, minima are pre-aggregated, and a hub's neighbours meet it in
-joins that adaptive execution can split.  Lineage is cut after every round.
+edges are moved, minima are pre-aggregated, and the neighbours of a hub meet
+its minimum in ``SALTS`` tasks.  Lineage is cut after every round.
 """
 
 from __future__ import annotations
@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut_lineage
 
+#: Tasks that share the neighbours of one node.
+SALTS = 16
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of its component, for all but the roots of ``edges`` (a, b).
@@ -26,7 +29,9 @@ def components(edges: DataFrame) -> DataFrame:
         both = tree.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(tree.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         # Large star: larger neighbours go below the smallest of the neighbourhood.
-        large = both.join(least, "u").where("v > u").select(F.least("m", "u").alias("lo"), F.col("v").alias("hi")).distinct()
+        salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = both.where("v > u").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+        large = dealt.join(salted, ["u", "salt"]).select(F.least("m", "u").alias("lo"), F.col("v").alias("hi")).distinct()
         # Small star: the node and its smaller neighbours go below the smallest of them.
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.explode(F.array(F.struct(F.col("m").alias("lo"), F.col("lo").alias("hi")), F.struct(F.col("m").alias("lo"), "hi"))).alias("e"))
