@@ -93,7 +93,7 @@ def test_neighbours_on_awkward_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows += [(200, None), (220, [0.0] * 8), (240, [nan] + [1.0] * 7), (260, [inf] + [1.0] * 7), (280, [None] + [1.0] * 7), (300, []), (None, [1.0] * 8), (320, [1.0, 2.0]), (321, [3.0, 1.0])]
     rows += [rows[20], (20, [9.0] * 8)]  # repeated id: the smallest vector counts
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as id", "2 as v", "3 as dim", "4 as side")
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as id", "2 as v", "3 as dim", "4 as side", "5 as block")
     got = defaultdict(list)
     for r in knn.nearest(df, F.col("id") % 20 == 0, k=5).collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
@@ -122,21 +122,18 @@ def test_tiles_keep_every_neighbour_and_bound_the_error(spark, monkeypatch):
     q = c[::17]
     codes, scale, norm, decoded, err = knn.quantise(c)
     assert codes.dtype == np.int8 and np.allclose(np.linalg.norm(c - codes * scale[:, None], axis=1), err)
-    got = knn.cell_nearest(np.arange(500)[::17], q, np.arange(500), c, 7)
     exact = {}
     for i in range(0, 500, 17):
         s = knn.inner(np.repeat(c[i][None], 500, 0), c)
         exact[i] = sorted((-v, j) for j, v in enumerate(s.tolist()) if j != i)[:7]
-    found = defaultdict(list)
-    for i, j, s in got:
-        found[i].append((-s, j))
-    assert {i: sorted(v) for i, v in found.items()} == exact
-    # Many small blocks give the same result.
-    monkeypatch.setattr(knn, "QUERY_ROWS", (8, 8))
-    monkeypatch.setattr(knn, "CANDIDATE_ROWS", (16, 16))
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "vec_id long, embedding array<double>")
-    rows = knn.nearest(df, F.col("id") % 17 == 0, k=7).collect()
-    assert {i: sorted((-r.score, r.vec_id) for r in rows if r.query_id == i) for i in exact} == exact
+    # Many small blocks, strips and tiles give the same result as few large ones.
+    for rows, strips, tile in (((512, 4096), 8, (512, 2048)), ((8, 8), 3, (5, 16))):
+        monkeypatch.setattr(knn, "QUERY_ROWS", rows)
+        monkeypatch.setattr(knn, "STRIPS", strips)
+        monkeypatch.setattr(knn, "TILE", tile)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "vec_id long, embedding array<double>")
+        rows_ = knn.nearest(df, F.col("id") % 17 == 0, k=7).collect()
+        assert {i: sorted((-r.score, r.vec_id) for r in rows_ if r.query_id == i) for i in exact} == exact
 
 
 def test_groups_come_whole(spark):

@@ -56,6 +56,43 @@ def map_groups(df: DataFrame, keys: Sequence[str], fn: GroupsFn, schema: str, or
     return arranged.mapInArrow(run, schema)
 
 
+class Reader:
+    """State of one group that is read batch by batch."""
+
+    def add(self, part: pa.Table) -> None:
+        raise NotImplementedError
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        raise NotImplementedError
+
+
+def read_groups(df: DataFrame, keys: Sequence[str], make: Callable[[], Reader], schema: str, order: Sequence[str] = ()) -> DataFrame:
+    """A new ``Reader`` for each group, given the group's rows in ``order``.
+
+    Like :func:`map_groups`, but a group may be of any size: only the reader's
+    state and one Arrow batch are held.
+    """
+    arranged = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, last = None, None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            at = bounds(table, keys)
+            for a, b in zip(at.tolist(), at[1:].tolist()):
+                part = table.slice(a, b - a)
+                key = [part[k][0] for k in keys]
+                if key != last:
+                    if reader:
+                        yield from reader.close()
+                    reader, last = make(), key
+                reader.add(part)
+        if reader:
+            yield from reader.close()
+
+    return arranged.mapInArrow(run, schema)
+
+
 def _one_group(batch: pa.RecordBatch, keys: Sequence[str]) -> bool:
     columns = [batch.column(batch.schema.get_field_index(k)) for k in keys]
     return all(c[0] == c[len(c) - 1] for c in columns)
