@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranks import prefix_sums
@@ -32,11 +32,11 @@ def auc_table(
     score: str,
     keys: Sequence[str] = (),
     weight: str | None = None,
-    num_partitions: int | None = None,
     out: str = "roc_auc",
-    max_group_rows: int | None = None,
+    count: str | None = None,
 ) -> DataFrame:
     """One row per ``keys`` group: ``roc_auc``, ``n_rows``, ``n_pos``, ``n_neg``.
+    ``count`` names a column of row multiplicities (rows already grouped).
 
     Rows with a missing score or label are ignored.  With ``weight`` the
     counts become weight sums (test-weighted AUC, E37) and the arithmetic is
@@ -44,33 +44,17 @@ def auc_table(
     """
     keys = list(keys)
     y = F.col(label)
+    n = F.col(count).cast("long") if count else F.lit(1).cast("long")
     if weight is None:
-        pos_v, neg_v = y.cast("long"), (1 - y).cast("long")
+        pos_v, neg_v = y.cast("long") * n, (1 - y).cast("long") * n
     else:
         w = F.col(weight).cast("double")
         pos_v, neg_v = y * w, (1 - y) * w
     base = df.filter(F.col(score).isNotNull() & y.isNotNull())
-    from . import ranks
-
-    if keys and max_group_rows is not None and max_group_rows <= ranks.SINGLE_TASK_ROWS:
-        # Proven small groups: one window over the rows themselves (RANGE
-        # frames give the negatives below and tied), and the final aggregate
-        # reuses the window's partitioning - a single exchange in total.
-        w = Window.partitionBy(*keys).orderBy(F.col(score))
-        neg_le = F.sum(neg_v).over(w.rangeBetween(Window.unboundedPreceding, 0))
-        neg_eq = F.sum(neg_v).over(w.rangeBetween(0, 0))
-        rows = base.select(*keys, pos_v.alias("__pos"), neg_v.alias("__neg"), neg_le.alias("__le"), neg_eq.alias("__eq"))
-        if weight is None:
-            term = F.col("__pos").cast(DEC) * (2 * (F.col("__le") - F.col("__eq")).cast(DEC) + F.col("__eq").cast(DEC))
-        else:
-            term = F.col("__pos") * (2 * (F.col("__le") - F.col("__eq")) + F.col("__eq"))
-        agg = rows.groupBy(*keys).agg(F.sum(term).alias("__num"), F.sum("__pos").alias("n_pos"),
-                                      F.sum("__neg").alias("n_neg"), F.count(F.lit(1)).alias("n_rows"))
-        return _finish(agg, keys, weight, out)
     dist = base.groupBy(*keys, score).agg(
-        F.sum(pos_v).alias("__pos"), F.sum(neg_v).alias("__neg"), F.count(F.lit(1)).alias("__rows")
+        F.sum(pos_v).alias("__pos"), F.sum(neg_v).alias("__neg"), F.sum(n).alias("__rows")
     )
-    pref = prefix_sums(dist, keys, [score], ["__neg"], num_partitions, unique=True, max_group_rows=max_group_rows)
+    pref = prefix_sums(dist, keys, [score], ["__neg"], unique=True)
     if weight is None:
         term = F.col("__pos").cast(DEC) * (2 * F.col("__neg_before").cast(DEC) + F.col("__neg").cast(DEC))
     else:
@@ -137,17 +121,19 @@ def score_profile(df: DataFrame, col: str, keys: Sequence[str] = ()) -> DataFram
 
 def weight_profile(df: DataFrame, w: str) -> DataFrame:
     """Weight profile (E31): effective sample size and its share, min, max,
-    p99 (exact percentile), rows below 0.01."""
+    p99 (exact, no value list in one buffer), rows below 0.01."""
+    from .drift import exact_quantiles
+
     x = F.col(w)
+    p99 = exact_quantiles(df, [], w, [0.99]).select(F.max("quantile")).scalar()
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         (F.pow(F.sum(x), 2) / F.sum(x * x)).alias("ess"),
         (F.pow(F.sum(x), 2) / F.sum(x * x) / F.count(F.lit(1))).alias("ess_share"),
         F.min(x).alias("w_min"),
         F.max(x).alias("w_max"),
-        F.percentile(x, 0.99).alias("w_p99"),
         F.count_if(x < 0.01).alias("n_below_001"),
-    )
+    ).select("n_rows", "ess", "ess_share", "w_min", "w_max", p99.alias("w_p99"), "n_below_001")
 
 
 def correlations(df: DataFrame, a: str, b: str, keys: Sequence[str] = (), ra: str | None = None, rb: str | None = None) -> DataFrame:

@@ -4,20 +4,20 @@ A window with no (or a low-cardinality) ``partitionBy`` moves every row of a
 group to one task.  :func:`prefix_sums` computes "sum of a column over all
 rows of my group whose order key is strictly smaller" in bounded pieces:
 
-1. a deterministic bucket id ``b`` - the number of sampled boundary values
-   of the order column at or below the row's value (monotone in the order,
-   a pure function of the row, so every re-evaluation and every retried task
-   agrees);
+1. a bucket id ``b`` - the number of boundary values of the order column at
+   or below the row's value.  The boundaries are the ``BUCKETS - 1`` distinct
+   values with the smallest hash, one scalar subquery of the same plan, so
+   they spread like the values, every evaluation finds the same ones and no
+   job runs on the driver; a binary search over them gives ``b``;
 2. a window over ``(keys, b)`` gives the sum inside the bucket;
-3. per-bucket totals (``buckets x groups`` rows) give each bucket its offset
-   with a small window, joined back on ``(keys, b)``.
+3. per-bucket totals (``BUCKETS x groups`` rows at most) give each bucket its
+   offset with a small window, joined back on ``(keys, b)``.
 
 A multi-column order is handled lexicographically: the prefix over the
 distinct values of the first column, plus the prefix inside each tie on the
 remaining columns, so a value holding a third of all rows is still split.
-Inputs whose plan size estimate is at most ``SINGLE_TASK_BYTES``, or whose
-largest group holds at most ``SINGLE_TASK_ROWS`` rows, use one bucket (a plain
-window per group).
+A missing order value sorts after all others.  The plan is the same for
+every input size; ``BUCKETS`` is no function of the shuffle partitions.
 
 Used by exact AUC (E21), average / ordinal rank percentiles (D03, D06-D08),
 equal-count bins (D09), positions (G05, H05, I04, I05) and dense ids (C26).
@@ -30,32 +30,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET = "__bkt"
-SINGLE_TASK_ROWS = 2_000_000
-SINGLE_TASK_BYTES = 64 * 1024 * 1024
-SAMPLES_PER_BUCKET = 40
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of the optimized plan (no job is run).
-
-    Without column statistics the estimate of filters and aggregates is the
-    size of their input, so it bounds the real size from above."""
-    try:
-        plan = df._jdf.queryExecution().optimizedPlan()
-        # Size-only estimates do not multiply by the fan-out of a Generate
-        # (explode), so a plan with one is treated as unknown.
-        if "Generate" in plan.toString():
-            return None
-        return int(str(plan.stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - estimate unavailable (e.g. Spark Connect)
-        return None
+from ..session import cut_lineage
 
+BUCKET = "__bkt"
 
-def _n_parts(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return int(num_partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+#: Buckets of the order column, a power of two.
+BUCKETS = 2048
 
 
 def null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -81,61 +61,25 @@ def join_back(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return out.drop(*[f"__r_{k}" for k in keys])
 
 
-def _boundaries(df: DataFrame, x: str, buckets: int, n: int) -> list:
-    """Sorted distinct boundary values of ``x`` from a seeded sample of about
-    ``buckets * SAMPLES_PER_BUCKET`` rows (bounded; collected to the driver)."""
-    frac = min(1.0, buckets * SAMPLES_PER_BUCKET / max(n, 1))
-    vals = [r[0] for r in df.select(x).filter(F.col(x).isNotNull()).sample(False, frac, seed=20240601).collect()]
-    vals.sort()
-    if not vals:
-        return []
-    picks = [vals[(i * len(vals)) // buckets] for i in range(1, buckets)]
-    return sorted(set(picks))
-
-
-def _bucket_expr(x: Column, bounds: list) -> Column:
-    """Number of boundaries <= x, as a balanced tree of comparisons; missing
-    x goes after every bucket (nulls last)."""
-
-    def tree(lo: int, hi: int) -> Column:
-        # Returns the count of bounds[lo:hi] <= x, given all bounds[:lo] <= x.
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(x >= F.lit(bounds[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
-
-    return F.when(x.isNull(), F.lit(len(bounds) + 1)).otherwise(tree(0, len(bounds)))
-
-
-def _unique_prefix(df: DataFrame, keys: list[str], x: str, sums: list[str], buckets: int,
-                   max_group_rows: int | None = None) -> DataFrame:
-    """Prefix sums when ``x`` is unique inside each ``keys`` group.
-
-    ``max_group_rows`` is a caller-proven bound on the largest group (e.g.
-    the row count of the input the groups were derived from); with it no
-    checking job is run."""
-    if max_group_rows is not None:
-        small = buckets <= 1 or max_group_rows <= SINGLE_TASK_ROWS
-    else:
-        est = estimated_bytes(df)
-        small = buckets <= 1 or (est is not None and est <= SINGLE_TASK_BYTES)
-    bounds = []
-    if not small:
-        # One partial-aggregate job: the largest group decides whether a plain
-        # window per group fits one task; only then are buckets needed.
-        sizes = df.groupBy(*keys).count() if keys else df.select(F.count(F.lit(1)).alias("count"))
-        largest, total = sizes.agg(F.max("count"), F.sum("count")).first()
-        if (largest or 0) > SINGLE_TASK_ROWS:
-            bounds = _boundaries(df, x, buckets, int(total))
-    dfb = df.withColumn(BUCKET, _bucket_expr(F.col(x), bounds) if bounds else F.lit(0))
+def _boundaries(df: DataFrame, keys: Sequence[str], x: str) -> Column:
+    """Sorted distinct boundary values: ``BUCKETS - 1`` rows in hash order (at
+    most that many per task and in the result), as a scalar subquery."""
+    few = df.filter(F.col(x).isNotNull()).orderBy(F.xxhash64(x, *keys), x).limit(BUCKETS - 1)
+    return few.agg(F.sort_array(F.collect_set(x))).scalar()
+
+
+def _position(x: Column, bounds: Column) -> Column:
+    """Number of ``bounds`` <= x by binary search; a missing x goes last."""
+    steps = F.array(*[F.lit(1 << i) for i in range(BUCKETS.bit_length() - 2, -1, -1)])
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= x, at + step).otherwise(at))
+    return F.when(x.isNull(), F.lit(BUCKETS)).otherwise(below)
+
+
+def _unique_prefix(df: DataFrame, keys: list[str], x: str, sums: list[str]) -> DataFrame:
+    """Prefix sums when ``x`` is unique inside each ``keys`` group."""
+    dfb = df.withColumn("__bounds", _boundaries(df, keys, x)).withColumn(BUCKET, _position(F.col(x), F.col("__bounds"))).drop("__bounds")
     w_local = Window.partitionBy(*keys, BUCKET).orderBy(F.col(x).asc_nulls_last()).rowsBetween(
         Window.unboundedPreceding, -1)
-    if not bounds:
-        # One bucket: the group total comes from the same window partition.
-        w_all = Window.partitionBy(*keys, BUCKET)
-        return dfb.select(*df.columns,
-                          *[F.coalesce(F.sum(c).over(w_local), F.lit(0)).alias(f"{c}_before") for c in sums],
-                          *[F.sum(c).over(w_all).alias(f"{c}_total") for c in sums])
     local = dfb.select("*", *[F.coalesce(F.sum(c).over(w_local), F.lit(0)).alias(f"__loc_{c}") for c in sums])
     totals = dfb.groupBy(*keys, BUCKET).agg(*[F.sum(c).alias(f"__tot_{c}") for c in sums])
     w_off = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
@@ -153,10 +97,8 @@ def prefix_sums(
     keys: Sequence[str],
     order: Sequence[str],
     sums: Sequence[str],
-    num_partitions: int | None = None,
     unique: bool = False,
     _depth: int = 0,
-    max_group_rows: int | None = None,
 ) -> DataFrame:
     """Add ``<c>_before`` = sum of ``c`` over rows of the same ``keys`` group
     whose ``order`` tuple is strictly smaller, for every ``c`` in ``sums``
@@ -164,26 +106,22 @@ def prefix_sums(
 
     ``unique=True`` promises the (single) order column is unique inside each
     group, which skips the tie handling.  ``keys`` may contain nulls; they
-    form their own group.
+    form their own group.  A missing order value counts as the largest.
     """
     keys, order, sums = list(keys), list(order), list(sums)
-    buckets = _n_parts(df, num_partitions)
     x, rest = order[0], order[1:]
     if unique and not rest:
-        return _unique_prefix(df, keys, x, sums, buckets, max_group_rows)
+        return _unique_prefix(df, keys, x, sums)
     # Rows strictly below on the first column: prefix over its distinct values.
-    dist = df.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(*[F.sum(c).alias(c) for c in sums])
+    dist = df.groupBy(*keys, x).agg(*[F.sum(c).alias(c) for c in sums])
     tag = f"__b{_depth}_"
-    below = _unique_prefix(dist, keys, x, sums, buckets, max_group_rows).drop(*[f"{c}_total" for c in sums]).select(
-        *keys, x, *[F.col(f"{c}_before").alias(f"{tag}{c}") for c in sums])
+    below = _unique_prefix(dist, keys, x, sums).select(*keys, x, *[F.col(f"{c}_before").alias(f"{tag}{c}") for c in sums])
     out = join_back(df, below, keys + [x], how="left")
     if rest:
         # Rows tied on the first column and below on the remaining ones.
-        out = prefix_sums(out, keys + [x], rest, sums, num_partitions, _depth=_depth + 1,
-                          max_group_rows=max_group_rows)
-        return out.select(*df.columns, *[
-            (F.coalesce(F.col(f"{tag}{c}"), F.lit(0)) + F.col(f"{c}_before")).alias(f"{c}_before") for c in sums])
-    return out.select(*df.columns, *[F.coalesce(F.col(f"{tag}{c}"), F.lit(0)).alias(f"{c}_before") for c in sums])
+        out = prefix_sums(out, keys + [x], rest, sums, _depth=_depth + 1)
+        return out.select(*df.columns, *[(F.col(f"{tag}{c}") + F.col(f"{c}_before")).alias(f"{c}_before") for c in sums])
+    return out.select(*df.columns, *[F.col(f"{tag}{c}").alias(f"{c}_before") for c in sums])
 
 
 def average_rank_pct(
@@ -191,8 +129,6 @@ def average_rank_pct(
     value: str,
     out: str,
     keys: Sequence[str] = (),
-    num_partitions: int | None = None,
-    max_group_rows: int | None = None,
 ) -> DataFrame:
     """Percent rank with average ties inside ``keys`` groups.
 
@@ -206,7 +142,7 @@ def average_rank_pct(
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("__cnt"))
     )
-    pref = prefix_sums(dist, keys, [value], ["__cnt"], num_partitions, unique=True, max_group_rows=max_group_rows)
+    pref = prefix_sums(dist, keys, [value], ["__cnt"], unique=True)
     pref = pref.withColumnRenamed("__cnt_total", "__n")
     ranks = pref.select(
         *keys, value,
@@ -220,21 +156,20 @@ def average_rank_pct_multi(
     values: Sequence[str],
     outs: Sequence[str],
     keys: Sequence[str] = (),
-    max_group_rows: int | None = None,
 ) -> DataFrame:
     """:func:`average_rank_pct` for several columns with one prefix pass:
     the columns are unpivoted to (keys, name, value) so all distinct-value
-    counts share one shuffle and one window; each rank is then joined back on
-    (keys, value)."""
+    counts share one shuffle and one window.  The ranks are stored once
+    (reliable checkpoint), then joined back per column on (keys, value)."""
     keys = list(keys)
     pairs = F.explode(F.array(*[F.struct(F.lit(v).alias("__name"), F.col(v).cast("double").alias("__v"))
                                 for v in values])).alias("__p")
     long = df.select(*keys, pairs).select(*keys, "__p.__name", "__p.__v").filter(F.col("__v").isNotNull())
     dist = long.groupBy(*keys, "__name", "__v").agg(F.count(F.lit(1)).alias("__cnt"))
-    pref = prefix_sums(dist, keys + ["__name"], ["__v"], ["__cnt"], unique=True, max_group_rows=max_group_rows)
+    pref = prefix_sums(dist, keys + ["__name"], ["__v"], ["__cnt"], unique=True)
     pref = pref.withColumnRenamed("__cnt_total", "__n")
-    ranks = pref.select(*keys, "__name", "__v",
-                        ((F.col("__cnt_before") + (F.col("__cnt") + 1) / 2.0) / F.col("__n")).alias("__r"))
+    ranks = cut_lineage(pref.select(*keys, "__name", "__v",
+                                    ((F.col("__cnt_before") + (F.col("__cnt") + 1) / 2.0) / F.col("__n")).alias("__r")))
     out = df
     for v, o in zip(values, outs):
         r = ranks.filter(F.col("__name") == v).select(
@@ -252,55 +187,50 @@ def ordinal_rank_pct(
     row_id: str,
     out: str,
     keys: Sequence[str] = (),
-    num_partitions: int | None = None,
 ) -> DataFrame:
     """Percent rank with ordinal ties, first ``row_id`` wins (D07):
-    ``row_number() over (order by value, row_id) / count(*)``.
+    position by (value, row_id) / non-missing rows; a missing value keeps a
+    missing rank and does not count.  Equal to pandas ``rank(method='first', pct=True)``.
 
     Ties are positioned by a second prefix keyed by the value, so one heavily
-    tied value is split over many tasks.
+    tied value is split over many tasks; the group's total comes with the
+    first one.
     """
     keys = list(keys)
-    base = df.withColumn("__one", F.lit(1))
-    pref = prefix_sums(base, keys, [value, row_id], ["__one"], num_partitions)
-    if keys:
-        tot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-        pref = join_back(pref, tot, keys, how="inner")
-    else:
-        pref = pref.withColumn("__n", F.lit(df.select(F.count(F.lit(1))).scalar()))
-    return pref.select(
-        *df.columns, ((F.col("__one_before") + 1) / F.col("__n")).alias(out)
-    )
+    one = df.withColumn("__one", F.col(value).isNotNull().cast("int"))
+    dist = one.groupBy(*keys, value).agg(F.sum("__one").alias("__one"))
+    below = _unique_prefix(dist, keys, value, ["__one"]).select(
+        *keys, value, F.col("__one_before").alias("__low"), F.col("__one_total").alias("__n"))
+    tied = prefix_sums(join_back(one, below, keys + [value], how="left"), keys + [value], [row_id], ["__one"])
+    rank = (F.col("__low") + F.col("__one_before") + 1) / F.col("__n")
+    return tied.select(*df.columns, F.when(F.col(value).isNotNull(), rank).alias(out))
 
 
-def equal_count_bins(
-    df: DataFrame,
-    value: str,
-    row_id: str,
-    out: str,
-    bins: int = 16,
-    num_partitions: int | None = None,
-) -> DataFrame:
+def equal_count_bins(df: DataFrame, value: str, row_id: str, out: str, bins: int = 16) -> DataFrame:
     """Equal-count bins by first-occurrence rank (D09), equal to ``qcut`` of
-    the ordinal rank: ``greatest(((rn-1)*q + n-2) div (n-1) - 1, 0)``."""
+    the ordinal rank: ``greatest(((rn-1)*q + n-2) div (n-1) - 1, 0)`` with n
+    the non-missing rows.  A missing value has no bin; callers that skip
+    incomplete columns ask :func:`is_complete` first."""
     base = df.withColumn("__one", F.lit(1))
-    pref = prefix_sums(base, [], [value, row_id], ["__one"], num_partitions)
-    n = df.select(F.count(F.lit(1))).first()[0]
-    rn = F.col("__one_before") + 1
-    if n is None or n < 2:
-        binv = F.lit(0).cast("long")
-    else:
-        num = ((rn - 1) * bins + (n - 2)).cast("long")
-        # Exact integer division: (num - num mod d) / d is an integer.
-        quotient = ((num - F.pmod(num, F.lit(n - 1))) / F.lit(n - 1)).cast("long")
-        binv = F.greatest(quotient - 1, F.lit(0).cast("long"))
-    return pref.select(*df.columns, binv.alias(out))
-
-
-def dense_index(df: DataFrame, value: str, out: str, num_partitions: int | None = None) -> DataFrame:
+    pref = prefix_sums(base, [], [value, row_id], ["__one"])
+    n = df.select(F.count(value)).scalar()
+    num = (F.col("__one_before") * bins + (n - 2)).cast("long")
+    # Exact integer division: (num - num mod d) / d is an integer.
+    d = F.greatest(n - 1, F.lit(1).cast("long"))
+    quotient = ((num - F.pmod(num, d)) / d).cast("long")
+    binv = F.when(n < 2, F.lit(0).cast("long")).otherwise(F.greatest(quotient - 1, F.lit(0).cast("long")))
+    return pref.select(*df.columns, F.when(F.col(value).isNotNull(), binv).alias(out))
+
+
+def is_complete(df: DataFrame, c: str) -> bool:
+    """No missing value in the column (one 1-row aggregate, model control)."""
+    return not df.agg(F.max(F.col(c).isNull().cast("int"))).first()[0]
+
+
+def dense_index(df: DataFrame, value: str, out: str) -> DataFrame:
     """``dense_rank() - 1`` over the distinct values of ``value`` (C26),
     joined back to every row."""
     dist = df.select(value).filter(F.col(value).isNotNull()).distinct().withColumn("__one", F.lit(1))
-    pref = prefix_sums(dist, [], [value], ["__one"], num_partitions, unique=True)
+    pref = prefix_sums(dist, [], [value], ["__one"], unique=True)
     codes = pref.select(value, F.col("__one_before").cast("int").alias(out))
     return join_back(df, codes, [value], how="left")
