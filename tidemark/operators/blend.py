@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .metrics import auc_table
 from .ranks import average_rank_pct, join_back, ordinal_rank_pct
 
@@ -23,21 +24,12 @@ FOLD3_TOLERANCE = -0.0002
 LATE_MEAN_TOLERANCE = -0.001
 LATE_MIN_TOLERANCE = -0.002
 VERDICT_MIN_DELTA = -0.001
+REFERENCE_TOLERANCE = 1e-6
 
 
-def rank_normalize(df: DataFrame, col: str, out: str, keys: Sequence[str] = (),
-                   max_group_rows: int | None = None) -> DataFrame:
+def rank_normalize(df: DataFrame, col: str, out: str, keys: Sequence[str] = ()) -> DataFrame:
     """D06 (global) / D08 (inside ``keys``): average-tie rank / n."""
-    return average_rank_pct(df, col, out, keys, max_group_rows=max_group_rows)
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows in the largest ``keys`` group (one partial aggregate).  Passed as
-    ``max_group_rows`` it bounds every table derived per group from ``df``
-    (ranks, exploded weight grids), so those skip their own checks."""
-    if keys:
-        return int(df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0)
-    return int(df.count())
+    return average_rank_pct(df, col, out, keys)
 
 
 def rank_ordinal(df: DataFrame, col: str, row_id: str, out: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -96,47 +88,57 @@ def simplex_grid(parts: int = 20) -> list[tuple[int, int, int]]:
     return [(i, j, parts - i - j) for i in range(parts + 1) for j in range(parts + 1 - i)]
 
 
+def _score_counts(df: DataFrame, cols: Sequence[str], label: str, keys: Sequence[str]) -> DataFrame:
+    """Rows per (group, label, score tuple), stored once: a scan explodes the
+    weights over these instead of over the rows and their rank plans."""
+    return cut_lineage(df.groupBy(*keys, label, *cols).agg(F.count(F.lit(1)).alias("__n")))
+
+
 def scan_1d(df: DataFrame, a: str, b: str, label: str, keys: Sequence[str], weights: Sequence[float],
-            pooled: bool = True, max_group_rows: int | None = None) -> DataFrame:
+            pooled: bool = True) -> DataFrame:
     """AUC of ``(1 - w) * a + w * b`` for every weight and group in
-    one job.  The weight list is a literal array exploded per row (a bounded
-    Generate, not a join); output (w, group..., roc_auc)."""
+    one job.  The weight list is a literal array exploded per score tuple (a
+    bounded Generate, not a join), and so is the pooled group; output
+    (w, group..., roc_auc)."""
     grid = F.array(*[F.lit(float(w)) for w in weights])
-    x = df.select(*keys, label, a, b, F.explode(grid).alias("w"))
-    x = x.withColumn("__blend", (F.lit(1.0) - F.col("w")) * F.col(a) + F.col("w") * F.col(b))
-    # Each (weight, group) holds exactly the rows of one group of ``df``.
-    bound = max_group_rows if max_group_rows is not None else largest_group(df, keys)
-    per = auc_table(x, label, "__blend", ["w", *keys], max_group_rows=bound).select(
-        "w", *[F.col(k).cast("string").alias(k) for k in keys], "roc_auc")
-    if not pooled or not keys:
-        return per
-    total = largest_group(df, [])
-    pool = auc_table(x, label, "__blend", ["w"], max_group_rows=total).select(
-        "w", *[F.lit("OOF").alias(k) for k in keys], "roc_auc")
-    return per.unionByName(pool)
-
-
-def scan_simplex(df: DataFrame, cols: Sequence[str], label: str, keys: Sequence[str], parts: int = 20,
-                 max_group_rows: int | None = None) -> DataFrame:
+    names = [F.col(k).cast("string").alias(k) for k in keys]
+    scopes = [F.struct(*names)] + ([F.struct(*[F.lit("OOF").alias(k) for k in keys])] if pooled and keys else []) if keys else []
+    x = _score_counts(df, [a, b], label, keys).select(*keys, label, a, b, "__n", F.explode(grid).alias("w"))
+    x = x.withColumn("__blend", (F.lit(1.0) - F.col("w")) * F.col(a) + F.col("w") * F.col(b)).select(
+        "w", label, "__blend", "__n", *([F.explode(F.array(*scopes)).alias("__scope")] if scopes else []))
+    if scopes:
+        x = x.select("w", label, "__blend", "__n", "__scope.*")
+    return auc_table(x, label, "__blend", ["w", *keys], count="__n").select("w", *keys, "roc_auc")
+
+
+def scan_simplex(df: DataFrame, cols: Sequence[str], label: str, keys: Sequence[str], parts: int = 20) -> DataFrame:
     """AUC on every point of the 3-way simplex (weights in 1/parts) in one
     job; output (i, j, k, group..., roc_auc) with integer weights."""
     a, b, c = cols
     grid = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i, j, k in simplex_grid(parts)])
-    x = df.select(*keys, label, a, b, c, F.explode(grid).alias("g"))
+    x = _score_counts(df, cols, label, keys).select(*keys, label, a, b, c, "__n", F.explode(grid).alias("g"))
     d = float(parts)
     blend = (F.col("g.i").cast("double") / d) * F.col(a) + (F.col("g.j").cast("double") / d) * F.col(b) + \
         (F.col("g.k").cast("double") / d) * F.col(c)
-    x = x.select(*keys, label, F.col("g.i").alias("i"), F.col("g.j").alias("j"), F.col("g.k").alias("k"), blend.alias("__blend"))
-    bound = max_group_rows if max_group_rows is not None else largest_group(df, keys)
-    return auc_table(x, label, "__blend", ["i", "j", "k", *keys], max_group_rows=bound).select("i", "j", "k", *keys, "roc_auc")
-
-
-def gate(df: DataFrame, champ_fold3: float, champ_lh_mean: float, champ_lh_min: float) -> DataFrame:
-    """Gate columns; a missing late-holdout metric passes."""
-    f3 = F.col("fold3_auc") >= F.lit(champ_fold3 + FOLD3_TOLERANCE)
-    lm = F.col("lh_mean").isNull() | (F.col("lh_mean") >= F.lit(champ_lh_mean + LATE_MEAN_TOLERANCE))
-    ln = F.col("lh_min").isNull() | (F.col("lh_min") >= F.lit(champ_lh_min + LATE_MIN_TOLERANCE))
-    return df.withColumn("fold3_gate", f3).withColumn("lh_gate", lm & ln).withColumn("pass_all_gates", f3 & lm & ln)
+    x = x.select(*keys, label, "__n", F.col("g.i").alias("i"), F.col("g.j").alias("j"), F.col("g.k").alias("k"), blend.alias("__blend"))
+    return auc_table(x, label, "__blend", ["i", "j", "k", *keys], count="__n").select("i", "j", "k", *keys, "roc_auc")
+
+
+def gate(df: DataFrame, champ_fold3, champ_lh_mean, champ_lh_min, reference_lh_min=None) -> DataFrame:
+    """Gate columns; a missing late-holdout metric passes.  The
+    champion's values are numbers or columns (scalar subqueries).  With
+    ``reference_lh_min`` the smallest late-holdout AUC must also reach that
+    reference (up to 1e-6)."""
+    value = lambda v: v if isinstance(v, Column) else F.lit(float(v))
+    f3 = F.col("fold3_auc") >= value(champ_fold3) + F.lit(FOLD3_TOLERANCE)
+    lm = F.col("lh_mean").isNull() | (F.col("lh_mean") >= value(champ_lh_mean) + F.lit(LATE_MEAN_TOLERANCE))
+    ln = F.col("lh_min").isNull() | (F.col("lh_min") >= value(champ_lh_min) + F.lit(LATE_MIN_TOLERANCE))
+    passed = f3 & lm & ln
+    out = df.withColumn("fold3_gate", f3).withColumn("lh_gate", lm & ln)
+    if reference_lh_min is not None:
+        reached = F.coalesce(F.col("lh_min") >= value(reference_lh_min) - F.lit(REFERENCE_TOLERANCE), F.lit(True))
+        out, passed = out.withColumn("reference_gate", reached), passed & reached
+    return out.withColumn("pass_all_gates", passed)
 
 
 def selection_score(lh_mean: str = "lh_mean", fold3: str = "fold3_auc", weight: float = 0.25) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import blend as bl
 from ..operators import metrics
 from ..operators.ranks import equal_count_bins, prefix_sums
+from ..session import cut_lineage
 from ..sources import fixtures as fx
 from .catalog import query
 from .q_folds import HOLDOUTS_SQL, auc_sql
@@ -36,10 +37,9 @@ SC3 = "sc AS (SELECT *, " + S3_SQL + " AS s3 FROM scores)"
 
 def _ranked(spark, sf, cols=("s1", "s2"), keys=("fold",)):
     df = _scores(spark, sf)
-    bound = bl.largest_group(df, list(keys))  # one job bounds every per-fold table below
     for c in cols:
-        df = bl.rank_normalize(df, c, f"r_{c}", list(keys), max_group_rows=bound)
-    return df, bound
+        df = bl.rank_normalize(df, c, f"r_{c}", list(keys))
+    return df
 
 
 @query("d06_rank_normalize_global", W("scores") + f"SELECT front_id, {rank_sql('s2')} AS r FROM scores")
@@ -47,9 +47,11 @@ def d06_rank_normalize_global(spark, sf):
     return bl.rank_normalize(fx.scores(spark, sf), "s2", "r").select("front_id", "r")
 
 
-@query("d07_rank_ordinal_ties", W("scores") + """SELECT front_id, ROW_NUMBER() OVER (ORDER BY s2, front_id) / COUNT(*) OVER () AS r FROM scores""")
+@query("d07_rank_ordinal_ties", W("scores") + """, x AS (SELECT front_id, CASE WHEN front_id % 6 = 0 THEN NULL ELSE s2 END AS v FROM scores)
+SELECT front_id, CASE WHEN v IS NOT NULL THEN ROW_NUMBER() OVER (PARTITION BY v IS NULL ORDER BY v, front_id) / COUNT(v) OVER () END AS r FROM x""")
 def d07_rank_ordinal_ties(spark, sf):
-    return bl.rank_ordinal(fx.scores(spark, sf), "s2", "front_id", "r").select("front_id", "r")
+    s = fx.scores(spark, sf).withColumn("v", F.when(F.col("front_id") % 6 != 0, F.col("s2")))
+    return bl.rank_ordinal(s, "v", "front_id", "r").select("front_id", "r")
 
 
 @query("d08_rank_per_fold", W("scores") + f"SELECT front_id, fold, {rank_sql('s2', 'fold')} AS r FROM scores")
@@ -57,11 +59,13 @@ def d08_rank_per_fold(spark, sf):
     return bl.rank_normalize(fx.scores(spark, sf), "s2", "r", ["fold"]).select("front_id", "fold", "r")
 
 
-@query("d09_equal_count_bins", W("apps") + """, r AS (SELECT front_id, ROW_NUMBER() OVER (ORDER BY loan_amount_last, front_id) AS rn, COUNT(*) OVER () AS n FROM apps)
-SELECT front_id, CAST(GREATEST(((rn - 1) * 16 + n - 2) // (n - 1) - 1, 0) AS BIGINT) AS loan_amount_last_q16 FROM r""")
+@query("d09_equal_count_bins", W("apps") + """, r AS (SELECT front_id, ROW_NUMBER() OVER (ORDER BY loan_amount_last, front_id) AS rn, COUNT(*) OVER () AS n,
+  balance_amt, ROW_NUMBER() OVER (PARTITION BY balance_amt IS NULL ORDER BY balance_amt, front_id) AS rb, COUNT(balance_amt) OVER () AS nb FROM apps)
+SELECT front_id, CAST(GREATEST(((rn - 1) * 16 + n - 2) // (n - 1) - 1, 0) AS BIGINT) AS loan_amount_last_q16,
+  CASE WHEN balance_amt IS NOT NULL THEN CAST(GREATEST(((rb - 1) * 16 + nb - 2) // (nb - 1) - 1, 0) AS BIGINT) END AS balance_amt_q16 FROM r""")
 def d09_equal_count_bins(spark, sf):
-    a = fx.apps(spark, sf)
-    return equal_count_bins(a, "loan_amount_last", "front_id", "loan_amount_last_q16", 16).select("front_id", "loan_amount_last_q16")
+    a = equal_count_bins(fx.apps(spark, sf), "loan_amount_last", "front_id", "loan_amount_last_q16", 16)
+    return equal_count_bins(a, "balance_amt", "front_id", "balance_amt_q16", 16).select("front_id", "loan_amount_last_q16", "balance_amt_q16")
 
 
 @query("d10_segment_rank_mix", W("scores") + f""", x AS (SELECT *, CAST(FLOOR(s2 * 4) AS INTEGER) AS seg FROM scores)
@@ -123,8 +127,7 @@ xp AS (SELECT w, 'OOF' AS fold, target_value, b FROM x), """ + auc_sql("x", ["w"
 """ + auc_sql("xp", ["w", "fold"], "b").replace("d AS (", "d2 AS (").replace("FROM d", "FROM d2").replace("c AS (", "c2 AS (").replace(
     "FROM c", "FROM c2").replace("auc AS (", "auc2 AS (") + " SELECT * FROM per UNION ALL SELECT w, fold, roc_auc FROM auc2")
 def l03_f11_weight_scan_1d(spark, sf):
-    r, bound = _ranked(spark, sf)
-    return bl.scan_1d(r, "r_s1", "r_s2", "target_value", ["fold"], SCAN_W, max_group_rows=bound)
+    return bl.scan_1d(_ranked(spark, sf), "r_s1", "r_s2", "target_value", ["fold"], SCAN_W)
 
 
 @query("l04_simplex_scan", W("scores") + ", " + SC3 + ", " + RANKED_SQL + """, g AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(20 - i - j AS INTEGER) AS k
@@ -132,8 +135,8 @@ def l03_f11_weight_scan_1d(spark, sf):
 x AS (SELECT i, j, k, fold, target_value, (CAST(i AS DOUBLE) / 20e0) * r_s1 + (CAST(j AS DOUBLE) / 20e0) * r_s2 + (CAST(k AS DOUBLE) / 20e0) * r_s3 AS b
   FROM rk CROSS JOIN g), """ + auc_sql("x", ["i", "j", "k", "fold"], "b") + " SELECT i, j, k, fold, roc_auc FROM auc")
 def l04_simplex_scan(spark, sf):
-    r, bound = _ranked(spark, sf, ("s1", "s2", "s3"))
-    return bl.scan_simplex(r, ["r_s1", "r_s2", "r_s3"], "target_value", ["fold"], 20, max_group_rows=bound)
+    r = _ranked(spark, sf, ("s1", "s2", "s3"))
+    return bl.scan_simplex(r, ["r_s1", "r_s2", "r_s3"], "target_value", ["fold"], 20)
 
 
 LATE_SQL = HOLDOUTS_SQL + """, late AS (SELECT fold AS holdout, front_id, target_value,
@@ -164,24 +167,24 @@ t AS (SELECT f3.w, fold3_auc, lh_mean, lh_min FROM f3 JOIN lh ON f3.w = lh.w),
 ch AS (SELECT fold3_auc AS c3, lh_mean AS cm, lh_min AS cn FROM t WHERE w = 0)
 SELECT w, ROUND(fold3_auc, 9) AS fold3_auc, ROUND(lh_mean, 9) AS lh_mean, ROUND(lh_min, 9) AS lh_min,
   fold3_auc >= c3 + -0.0002 AS fold3_gate, (lh_mean IS NULL OR lh_mean >= cm + -0.001) AND (lh_min IS NULL OR lh_min >= cn + -0.002) AS lh_gate,
+  COALESCE(lh_min >= cn - 1e-6, TRUE) AS reference_gate, fold3_auc >= c3 + -0.0002 AND (lh_mean IS NULL OR lh_mean >= cm + -0.001)
+    AND (lh_min IS NULL OR lh_min >= cn + -0.002) AND COALESCE(lh_min >= cn - 1e-6, TRUE) AS pass_all_gates,
   ROUND(lh_mean + 0.25 * fold3_auc, 9) AS selection_score,
   CASE WHEN lh_min - cn >= -0.001 AND lh_mean - cm >= 0 THEN 'PASS_WITH_RISKS' ELSE 'RETEST' END AS verdict FROM t, ch""")
 def l05_l07_gated_selection(spark, sf):
-    r = _ranked(spark, sf)[0].filter(F.col("fold") == 3)
+    r = _ranked(spark, sf).filter(F.col("fold") == 3)
     f3 = bl.scan_1d(r, "r_s1", "r_s2", "target_value", [], SCAN_W).withColumnRenamed("roc_auc", "fold3_auc")
     late = _late(spark, sf)
     late = bl.rank_normalize(late, "s1", "r1", ["holdout"])
     late = bl.rank_normalize(late, "s2", "r2", ["holdout"])
     lh = bl.scan_1d(late, "r1", "r2", "target_value", ["holdout"], SCAN_W, pooled=False).groupBy("w").agg(
         F.avg("roc_auc").alias("lh_mean"), F.min("roc_auc").alias("lh_min"))
-    t = f3.join(lh, "w")
+    t = cut_lineage(f3.join(lh, "w"))
     ch = t.filter(F.col("w") == 0)
     c3, cm, cn = (ch.select(F.col(c)).scalar() for c in ("fold3_auc", "lh_mean", "lh_min"))
-    f3g = F.col("fold3_auc") >= c3 + F.lit(bl.FOLD3_TOLERANCE)
-    lhg = (F.col("lh_mean").isNull() | (F.col("lh_mean") >= cm + F.lit(bl.LATE_MEAN_TOLERANCE))) & (
-        F.col("lh_min").isNull() | (F.col("lh_min") >= cn + F.lit(bl.LATE_MIN_TOLERANCE)))
+    t = bl.gate(t, c3, cm, cn, reference_lh_min=cn)
     return t.select("w", F.round("fold3_auc", 9).alias("fold3_auc"), F.round("lh_mean", 9).alias("lh_mean"),
-                    F.round("lh_min", 9).alias("lh_min"), f3g.alias("fold3_gate"), lhg.alias("lh_gate"),
+                    F.round("lh_min", 9).alias("lh_min"), "fold3_gate", "lh_gate", "reference_gate", "pass_all_gates",
                     F.round(bl.selection_score(), 9).alias("selection_score"),
                     bl.verdict(F.col("lh_mean") - cm, F.col("lh_min") - cn).alias("verdict"))
 
