@@ -16,39 +16,23 @@ from tidemark.plans import config as cf
 from tidemark.sources import fixtures as fx
 
 
-@pytest.fixture()
-def tiny_thresholds(monkeypatch):
-    """Force the bucketed (multi-task) prefix path on small data."""
-    monkeypatch.setattr(ranks, "SINGLE_TASK_ROWS", 5)
-    monkeypatch.setattr(ranks, "SINGLE_TASK_BYTES", 0)
-
-
 def _skewed(spark):
     # One score value holds a third of the rows (the hot-key case).
     s = fx.scores(spark, SF_SMALL)
     return s.withColumn("s_hot", F.when(F.col("front_id") % 3 == 0, F.lit(0.5)).otherwise(F.col("s1")))
 
 
-def test_bucketed_prefix_equals_single_task(spark, monkeypatch):
+def test_few_and_many_buckets_agree(spark, monkeypatch):
     s = _skewed(spark)
     a1 = sorted(auc_table(s, "target_value", "s_hot", ["fold"]).collect())
     o1 = sorted(ranks.ordinal_rank_pct(s, "s_hot", "front_id", "r").select("front_id", "r").collect())
     r1 = sorted(ranks.average_rank_pct(s, "s_hot", "r").select("front_id", "r").collect())
-    monkeypatch.setattr(ranks, "SINGLE_TASK_ROWS", 5)
-    monkeypatch.setattr(ranks, "SINGLE_TASK_BYTES", 0)
+    monkeypatch.setattr(ranks, "BUCKETS", 2)
     assert sorted(auc_table(s, "target_value", "s_hot", ["fold"]).collect()) == a1
     assert sorted(ranks.ordinal_rank_pct(s, "s_hot", "front_id", "r").select("front_id", "r").collect()) == o1
     assert sorted(ranks.average_rank_pct(s, "s_hot", "r").select("front_id", "r").collect()) == r1
 
 
-def test_bucket_expression_is_monotone(spark):
-    bounds = [0.1, 0.2, 0.2000001, 0.5, 0.9]
-    df = spark.createDataFrame([(x / 100.0,) for x in range(-10, 120)], "x double")
-    b = df.select("x", ranks._bucket_expr(F.col("x"), bounds).alias("b")).orderBy("x").collect()
-    vals = [r.b for r in b]
-    assert vals == sorted(vals) and vals[0] == 0 and vals[-1] == len(bounds)
-
-
 def test_context_strategies_agree(spark):
     o = fx.offers(spark, SF_SMALL)
     cols = ["l_orderkey", "l_linenumber", "l_partkey", "overdraft_limit_max"]
@@ -71,7 +55,7 @@ def test_features_are_label_free(spark):
 
     def build(df):
         return cf.build_features(df, te, cfg, [("r", "cnt_30", "cnt_90", "ratio")])[0]
-    assert ct.label_free(build, tr, "target_value")
+    assert ct.label_free(build, tr, "target_value", "front_id")
     x, _, names, _ = cf.build_features(tr, te, cfg)
     assert not {"front_id", "target_value", "decision_day"} & set(names)
 
@@ -140,9 +124,8 @@ def test_hot_context_key_aggregate_path(spark, monkeypatch):
     o = o.withColumn("l_orderkey", F.when(F.col("l_partkey") % 3 == 0, F.lit(-1)).otherwise(F.col("l_orderkey")))
     cols = ["l_orderkey", "l_linenumber", "l_partkey", "overdraft_limit_max"]
     w = ctx.context_features(o, ["l_orderkey"], fx.OFFER_COLS, strategy="window")
-    monkeypatch.setattr(ranks, "SINGLE_TASK_ROWS", 50)
-    monkeypatch.setattr(ranks, "SINGLE_TASK_BYTES", 0)
-    a = ctx.context_features(o, ["l_orderkey"], fx.OFFER_COLS, strategy="aggregate")
+    monkeypatch.setattr(ranks, "BUCKETS", 16)
+    a = ctx.context_features(o, ["l_orderkey"], fx.OFFER_COLS, hot_rows=50)
     feats = [c for c in w.columns if c not in o.columns]
 
     def rows(df):

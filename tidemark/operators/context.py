@@ -26,9 +26,13 @@ from ..functions.scalar import finite
 from .ranks import average_rank_pct_multi, join_back
 
 
-def max_group_size(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows in the largest ``keys`` group (partial aggregation + 1 row)."""
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+#: Rows a window task may hold for one context.
+HOT_CONTEXT_ROWS = 100_000
+
+
+def hot_contexts(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """Key tuples of contexts with more than ``rows`` rows (partial aggregation)."""
+    return df.groupBy(*keys).count().filter(F.col("count") > rows).select(*keys)
 
 
 def _names(col: str, tag: str, flags: bool) -> dict[str, str]:
@@ -62,8 +66,8 @@ def context_features(
     offer_cols: Sequence[str],
     tag: str = "context",
     flags: bool = False,
-    strategy: str = "auto",
-    max_window_group: int = 100_000,
+    strategy: str = "split",
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """``<tag>_offer_count`` plus, per offer column, spread, value
     minus min, value minus mean, average-tie percent rank (missing stays
@@ -71,10 +75,13 @@ def context_features(
     flags (missing -> 0).  Use ``keys + [day]`` for the same-day variant."""
     keys = list(keys)
     count_name = f"{tag}_offer_count"
-    largest = None
-    if strategy == "auto":
-        largest = max_group_size(df, keys)
-        strategy = "window" if largest <= max_window_group else "aggregate"
+    if strategy == "split":
+        hot = hot_contexts(df, keys, HOT_CONTEXT_ROWS if hot_rows is None else hot_rows)
+        if hot.isEmpty():
+            return context_features(df, keys, offer_cols, tag, flags, "window")
+        small = context_features(join_back(df, hot, keys, how="left_anti"), keys, offer_cols, tag, flags, "window")
+        large = context_features(join_back(df, hot, keys, how="left_semi"), keys, offer_cols, tag, flags, "aggregate")
+        return small.unionByName(large)
 
     if strategy == "window":
         w = Window.partitionBy(*keys)
@@ -97,10 +104,8 @@ def context_features(
         aggs += [F.min(c).alias(f"__min_{c}"), F.max(c).alias(f"__max_{c}"), F.avg(c).alias(f"__avg_{c}")]
     stats = df.groupBy(*keys).agg(*aggs)
     out = join_back(df, stats, keys, how="left")
-    # All offer columns ranked in one prefix pass (bounded by the largest context).
-    largest = largest if largest is not None else max_group_size(df, keys)
-    out = average_rank_pct_multi(out, list(offer_cols), [_names(c, tag, flags)["rank"] for c in offer_cols], keys,
-                                 max_group_rows=largest)
+    # All offer columns ranked in one prefix pass.
+    out = average_rank_pct_multi(out, list(offer_cols), [_names(c, tag, flags)["rank"] for c in offer_cols], keys)
     cols = [F.col(count_name)]
     for c in offer_cols:
         names = _names(c, tag, flags)
@@ -141,6 +146,22 @@ def context_report(df: DataFrame, keys: Sequence[str], offer_cols: Sequence[str]
     )
 
 
+def offer_prevalence(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+    """Rows and prevalence of contexts with one offer and with several."""
+    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.sum(label).alias("__pos"))
+    return g.groupBy((F.col("size") > 1).alias("multi_offer")).agg(
+        F.sum("size").alias("n_rows"), (F.sum("__pos") / F.sum("size")).alias("pos_rate"))
+
+
+def context_overlap(train: DataFrame, test: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Contexts present on both sides and the rows in them (one grouping of the tagged union)."""
+    both = train.select(*keys, F.lit(0).alias("__side")).unionByName(test.select(*keys, F.lit(1).alias("__side")))
+    g = both.groupBy(*keys).agg(F.count_if(F.col("__side") == 0).alias("t"), F.count_if(F.col("__side") == 1).alias("e"))
+    shared = (F.col("t") > 0) & (F.col("e") > 0)
+    total = lambda c: F.coalesce(F.sum(F.when(shared, F.col(c))), F.lit(0))
+    return g.agg(F.count_if(shared).alias("shared_contexts"), total("t").alias("train_rows_shared"), total("e").alias("test_rows_shared"))
+
+
 def repeated_by_month(df: DataFrame, keys: Sequence[str], day: str, label: str) -> DataFrame:
     """E11 + E12: per month, repeated contexts (groups, rows, max size) and
     conflicting-target contexts (groups, rows, positives)."""

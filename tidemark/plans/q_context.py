@@ -51,7 +51,7 @@ def _ctx_query(spark, sf, keys, tag, flags, strategy):
 
 @query("d01_d03_context_offer_features", _ctx_sql("l_orderkey", "context", False))
 def d01_d03_context_offer_features(spark, sf):
-    return _ctx_query(spark, sf, KEY, "context", False, "auto")
+    return _ctx_query(spark, sf, KEY, "context", False, "split")
 
 
 @query("d01_d03_context_features_skew_safe", _ctx_sql("l_orderkey", "context", False))
@@ -61,7 +61,7 @@ def d01_d03_context_features_skew_safe(spark, sf):
 
 @query("d04_d05_same_day_context_features", _ctx_sql(", ".join(SAME_DAY), "same_day_context", True))
 def d04_d05_same_day_context_features(spark, sf):
-    return _ctx_query(spark, sf, SAME_DAY, "same_day_context", True, "auto")
+    return _ctx_query(spark, sf, SAME_DAY, "same_day_context", True, "split")
 
 
 @query("d04_d05_same_day_skew_safe", _ctx_sql(", ".join(SAME_DAY), "same_day_context", True))
@@ -76,7 +76,7 @@ FROM offers""")
 def b10_feature_space_split(spark, sf):
     o = fx.offers(spark, sf)
     feats = ctx.context_features(o.select("l_orderkey", "l_linenumber", "l_partkey", "offered_rate", "overdraft_limit_min",
-                                          "overdraft_limit_max"), KEY, ["offered_rate"], strategy="auto")
+                                          "overdraft_limit_max"), KEY, ["offered_rate"], strategy="split")
     cols = ["offered_rate", "overdraft_limit_min", "overdraft_limit_max", "context_offer_count", "offered_rate_context_spread"]
     _absolute, relative = split_feature_space(cols, OFFER)
     return feats.select("l_orderkey", "l_linenumber", "l_partkey", *relative)
@@ -88,6 +88,22 @@ def e08_context_size_histogram(spark, sf):
     return ctx.context_size_histogram(fx.offers(spark, sf), KEY, "target_value")
 
 
+@query("e08_offer_prevalence", W("offers") + """, g AS (SELECT l_orderkey, COUNT(*) AS size, SUM(target_value) AS pos FROM offers GROUP BY l_orderkey)
+SELECT size > 1 AS multi_offer, CAST(SUM(size) AS BIGINT) AS n_rows, CAST(SUM(pos) AS DOUBLE) / SUM(size) AS pos_rate FROM g GROUP BY 1""")
+def e08_offer_prevalence(spark, sf):
+    return ctx.offer_prevalence(fx.offers(spark, sf), KEY, "target_value")
+
+
+@query("e10_train_test_context_overlap", W("offers") + """, tr AS (SELECT * FROM offers WHERE decision_day < DATE '1997-01-01'), te AS (SELECT * FROM offers WHERE decision_day >= DATE '1997-01-01')
+SELECT (SELECT COUNT(*) FROM (SELECT l_partkey FROM tr INTERSECT SELECT l_partkey FROM te)) AS shared_contexts,
+  (SELECT COUNT(*) FROM tr WHERE l_partkey IN (SELECT l_partkey FROM te)) AS train_rows_shared,
+  (SELECT COUNT(*) FROM te WHERE l_partkey IN (SELECT l_partkey FROM tr)) AS test_rows_shared""")
+def e10_train_test_context_overlap(spark, sf):
+    o = fx.offers(spark, sf)
+    late = F.col("decision_day") >= F.lit("1997-01-01").cast("date")
+    return ctx.context_overlap(o.filter(~late), o.filter(late), ["l_partkey"])
+
+
 @query("e10_context_report", W("offers") + """, g AS (SELECT l_orderkey, COUNT(*) AS size, COUNT(DISTINCT target_value) AS k,
   COUNT(DISTINCT offered_rate) AS d1, COUNT(DISTINCT overdraft_limit_min) AS d2, COUNT(DISTINCT overdraft_limit_max) AS d3
   FROM offers GROUP BY l_orderkey)
