@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import clip
 from ..operators.ranks import join_back
 
 
@@ -22,15 +23,17 @@ def linear_recency(df: DataFrame, day: str, min_weight: float = 0.5, max_weight:
 
 
 def exponential_recency(df: DataFrame, day: str, half_life_days: float = 120.0, floor: float = 0.25) -> Column:
-    """``max(0.5 ** (age / half_life), floor)``, age in days from the last day."""
+    """``max(0.5 ** (age / half_life), floor)``, age in days from the last
+    day; a missing day has a missing weight, which :func:`validate` rejects."""
     hi = df.select(F.max(day)).scalar()
     age = F.datediff(hi, F.col(day)).cast("double")
-    return F.greatest(F.pow(F.lit(0.5), age / F.lit(half_life_days)), F.lit(floor))
+    return F.when(F.col(day).isNotNull(), F.greatest(F.pow(F.lit(0.5), age / F.lit(half_life_days)), F.lit(floor)))
 
 
 def recent_boost(day: str, cutoff: str, recent_weight: float = 2.0, older_weight: float = 1.0) -> Column:
-    """Two levels around a cutoff."""
-    return F.when(F.col(day) >= F.lit(cutoff).cast("date"), F.lit(recent_weight)).otherwise(F.lit(older_weight))
+    """Two levels around a cutoff; a missing day has a missing weight."""
+    recent = F.col(day) >= F.lit(cutoff).cast("date")
+    return F.when(recent, F.lit(recent_weight)).when(~recent, F.lit(older_weight))
 
 
 def class_balance(df: DataFrame, label: str, mode: str = "balanced") -> Column:
@@ -106,17 +109,19 @@ def weights_from_table(df: DataFrame, weights: DataFrame, id_col: str, out: str
 
 
 def density_ratio(p: Column, clip_eps: float = 0.01) -> Column:
-    """J06 step 1: clipped odds ``p / (1 - p)``."""
-    pc = F.greatest(F.lit(clip_eps), F.least(F.lit(1 - clip_eps), p))
+    """J06 step 1: clipped odds ``p / (1 - p)``; missing stays missing."""
+    pc = clip(p, clip_eps, 1 - clip_eps)
     return pc / (1 - pc)
 
 
 def density_ratio_weights(df: DataFrame, p: str, clip_eps: float = 0.01, max_weight: float = 10.0,
                           out: str = "sample_weight") -> DataFrame:
-    """Odds, mean-normalised, capped, re-normalised (two 1-row passes)."""
-    r = df.withColumn("__r", density_ratio(F.col(p), clip_eps))
+    """Odds, mean-normalised, capped, re-normalised (two 1-row passes);
+    a missing probability fails the job when its row is evaluated."""
+    given = F.when(F.col(p).isNull() | F.isnan(p), F.raise_error(F.lit("a probability is missing")).cast("double")).otherwise(F.col(p))
+    r = df.withColumn("__r", density_ratio(given, clip_eps))
     m1 = r.select(F.avg("__r")).scalar()
-    c = r.withColumn("__c", F.least(F.col("__r") / m1, F.lit(max_weight)))
+    c = r.withColumn("__c", F.least(F.col("__r") / m1, F.lit(max_weight)))  # no missing odds here
     m2 = c.select(F.avg("__c")).scalar()
     return c.withColumn(out, F.col("__c") / m2).drop("__r", "__c")
 

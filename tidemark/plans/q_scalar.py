@@ -49,7 +49,7 @@ def c01_safe_ratio(spark, sf):
         "front_id",
         sc.safe_divide("cnt_30", "cnt_90").alias("cnt_30_to_90"),
         sc.safe_divide("balance_amt", "loan_amount_last", sc.EPS_FOLDSAFE).alias("balance_to_loan_amount"),
-        sc.safe_divide(F.col("cnt_30"), sc.as_number("cnt_90_text")).alias("text_ratio"),
+        sc.safe_divide("cnt_30", "cnt_90_text").alias("text_ratio"),
     )
 
 
@@ -63,6 +63,23 @@ def c02_paired_features(spark, sf):
     return a.select("front_id", *sc.paired_features(a.columns, APPS_PAIRED))
 
 
+# Every column of the two fixed spec lists, made from the id with missing
+# values and zeros (column i: missing when id % (i + 3) = 0, else id % (i + 7) - 2).
+SPEC_COLUMNS = sorted({c for spec in sc.RATE_LIMIT_SPECS + sc.ACTIVITY_SPECS for c in spec[1:3]})
+SPEC_SQL = ", ".join(f"CASE WHEN front_id % {i + 3} = 0 THEN NULL ELSE CAST(front_id % {i + 7} - 2 AS DOUBLE) END AS {c}"
+                     for i, c in enumerate(SPEC_COLUMNS))
+
+
+@query("c02_fixed_pair_specs", W("apps") + f", w AS (SELECT front_id, {SPEC_SQL} FROM apps)\nSELECT front_id, " + ", ".join(
+    f"{a} - {b} AS {n}" if op == "diff" else f"CASE WHEN ABS({b}) > 1e-9 THEN {a} / {b} END AS {n}"
+    for n, a, b, op in sc.RATE_LIMIT_SPECS + sc.ACTIVITY_SPECS) + " FROM w")
+def c02_fixed_pair_specs(spark, sf):
+    fid = F.col("front_id")
+    w = _apps(spark, sf).select("front_id", *[
+        F.when(fid % (i + 3) != 0, (fid % (i + 7) - 2).cast("double")).alias(c) for i, c in enumerate(SPEC_COLUMNS)])
+    return w.select("front_id", *sc.paired_features(w.columns, sc.RATE_LIMIT_SPECS + sc.ACTIVITY_SPECS))
+
+
 @query("c03_limit_midpoint", W("offers") + """SELECT l_orderkey, l_linenumber, l_partkey,
   (overdraft_limit_min + overdraft_limit_max) / 2.0 AS overdraft_limit_mid,
   CASE WHEN ABS((overdraft_limit_min + overdraft_limit_max) / 2.0) > 1e-9
@@ -119,10 +136,11 @@ def c08_missing_flags(spark, sf):
     return a.select("front_id", *[sc.missing_flag(c) for c in cols])
 
 
-@query("c09_clip", W("scores") + """SELECT front_id, GREATEST(0.0, LEAST(1.0, s1 * 1.5 - 0.2)) AS s1_clipped,
-  GREATEST(0.05, LEAST(0.95, s2)) AS s2_clipped FROM scores""")
+@query("c09_clip", W("scores") + """, x AS (SELECT front_id, CASE WHEN front_id % 6 = 0 THEN NULL ELSE s1 END AS s1, s2 FROM scores)
+SELECT front_id, CASE WHEN s1 IS NOT NULL THEN GREATEST(0.0, LEAST(1.0, s1 * 1.5 - 0.2)) END AS s1_clipped,
+  GREATEST(0.05, LEAST(0.95, s2)) AS s2_clipped FROM x""")
 def c09_clip(spark, sf):
-    s = fx.scores(spark, sf)
+    s = fx.scores(spark, sf).withColumn("s1", F.when(F.col("front_id") % 6 != 0, F.col("s1")))
     return s.select("front_id", sc.clip(F.col("s1") * 1.5 - 0.2, 0.0, 1.0).alias("s1_clipped"),
                     sc.clip("s2", 0.05, 0.95).alias("s2_clipped"))
 
@@ -131,7 +149,7 @@ def c09_clip(spark, sf):
 st AS (SELECT AVG(loan_amount_last) AS m1, STDDEV_SAMP(loan_amount_last) AS s1, AVG(balance_amt) AS m2, STDDEV_SAMP(balance_amt) AS s2 FROM tr)
 SELECT front_id,
   ROUND(GREATEST(-10.0, LEAST(10.0, (loan_amount_last - m1) / CASE WHEN s1 IS NULL OR s1 = 0 THEN 1.0 ELSE s1 END)), 6) AS loan_amount_last_z,
-  ROUND(GREATEST(-10.0, LEAST(10.0, (balance_amt - m2) / CASE WHEN s2 IS NULL OR s2 = 0 THEN 1.0 ELSE s2 END)), 6) AS balance_amt_z
+  CASE WHEN balance_amt IS NOT NULL THEN ROUND(GREATEST(-10.0, LEAST(10.0, (balance_amt - m2) / CASE WHEN s2 IS NULL OR s2 = 0 THEN 1.0 ELSE s2 END)), 6) END AS balance_amt_z
 FROM apps, st""")
 def c10_standardize(spark, sf):
     a, tr = _apps(spark, sf), _train(spark, sf)
@@ -150,12 +168,12 @@ def c11_median_fill(spark, sf):
 
 @query("c12_date_parse", W("apps") + """, t AS (SELECT front_id, CASE WHEN front_id % 3 = 0 THEN 'day ' || CAST(decision_day AS VARCHAR)
   ELSE CAST(decision_day AS VARCHAR) END AS day_text FROM apps)
-SELECT front_id, TRY_CAST(day_text AS DATE) AS day_lenient FROM t""")
+SELECT t.front_id, TRY_CAST(day_text AS DATE) AS day_lenient, decision_day AS day_strict FROM t JOIN apps USING (front_id)""")
 def c12_date_parse(spark, sf):
     a = _apps(spark, sf)
     t = a.select("front_id", F.when(F.col("front_id") % 3 == 0, F.concat(F.lit("day "), F.col("decision_day").cast("string")))
-                 .otherwise(F.col("decision_day").cast("string")).alias("day_text"))
-    return t.select("front_id", cal.parse_day("day_text", strict=False).alias("day_lenient"))
+                 .otherwise(F.col("decision_day").cast("string")).alias("day_text"), F.col("decision_day").cast("string").alias("clean"))
+    return t.select("front_id", cal.parse_day("day_text", strict=False).alias("day_lenient"), cal.parse_day("clean").alias("day_strict"))
 
 
 @query("c13_day_number", W("apps") + ", " + TR + """
@@ -267,9 +285,15 @@ def c28_sorted_value_list(spark, sf):
 @query("c29_quantile_bounds", W("apps") + """SELECT is_test, ROUND(QUANTILE_CONT(loan_amount_last, 0.01), 6) AS p_lo,
   ROUND(QUANTILE_CONT(loan_amount_last, 0.99), 6) AS p_hi FROM apps GROUP BY is_test""")
 def c29_quantile_bounds(spark, sf):
-    a = _apps(spark, sf)
-    return a.groupBy("is_test").agg(F.round(F.percentile("loan_amount_last", 0.01), 6).alias("p_lo"),
-                                    F.round(F.percentile("loan_amount_last", 0.99), 6).alias("p_hi"))
+    from ..operators.drift import exact_quantiles
+    q = exact_quantiles(_apps(spark, sf), ["is_test"], "loan_amount_last", [0.01, 0.99])
+    pick = lambda p: F.round(F.max(F.when(F.col("q") == p, F.col("quantile"))), 6)
+    return q.groupBy("is_test").agg(pick(0.01).alias("p_lo"), pick(0.99).alias("p_hi"))
+
+
+@query("c29_whole_column_bounds", W("apps") + """SELECT ROUND(QUANTILE_CONT(balance_amt, 0.01), 6) AS p_lo, ROUND(QUANTILE_CONT(balance_amt, 0.99), 6) AS p_hi FROM apps""")
+def c29_whole_column_bounds(spark, sf):
+    return sc.quantile_bounds(_apps(spark, sf), "balance_amt").select(F.round("p_lo", 6).alias("p_lo"), F.round("p_hi", 6).alias("p_hi"))
 
 
 # Schema rules ----------------------------------------------------------------
@@ -306,12 +330,19 @@ def b09_usable_columns(spark, sf):
     return usable_columns(_train(spark, sf), ["balance_amt", "cnt_90", "cnt_30", "loan_amount_last"], "target_value", 100)
 
 
-@query("b12_calendar_variant", W("apps") + ", " + TR + """
-SELECT front_id, CAST(date_diff('day', (SELECT MIN(decision_day) FROM tr), decision_day) AS INTEGER) AS day_num,
-  CAST(weekofyear(decision_day) AS INTEGER) AS week FROM apps""")
+@query("b12_calendar_variant", W("apps") + ", " + TR + """, v(variant, d, m, w) AS (VALUES ('time_all', TRUE, TRUE, TRUE),
+  ('day_num_only', TRUE, FALSE, FALSE), ('month_only', FALSE, TRUE, FALSE), ('week_only', FALSE, FALSE, TRUE),
+  ('no_day_num', FALSE, TRUE, TRUE), ('no_month', TRUE, FALSE, TRUE), ('no_week', TRUE, TRUE, FALSE))
+SELECT variant, front_id, CASE WHEN d THEN CAST(date_diff('day', (SELECT MIN(decision_day) FROM tr), decision_day) AS INTEGER) END AS day_num,
+  CASE WHEN m THEN strftime(decision_day, '%Y-%m') END AS month, CASE WHEN w THEN CAST(weekofyear(decision_day) AS INTEGER) END AS week
+FROM apps CROSS JOIN v""")
 def b12_calendar_variant(spark, sf):
     a, tr = _apps(spark, sf), _train(spark, sf)
-    return a.select("front_id", *cal.calendar_columns("decision_day", tr, "no_month"))
+    out = None
+    for variant in cal.CALENDAR_VARIANTS:
+        part = a.select(F.lit(variant).alias("variant"), "front_id", *cal.calendar_columns("decision_day", tr, variant))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 # Sample weights --------------------------------------------------------------
