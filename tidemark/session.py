@@ -6,7 +6,7 @@ the session it is handed.  ``local_session`` exists for tests and ``bench.py``.
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,15 +39,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
-    as is.  Only when it is unset (local tests) a scratch folder is created.
+    as is.  When it is unset, a scratch folder is made in local mode, where
+    driver and executors share one disk; elsewhere the job fails instead of
+    writing to one machine.
     """
     path = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="tidemark-ckpt-")
-        try:
-            spark.conf.set(CHECKPOINT_CONF, path)
-        except Exception:  # noqa: BLE001 - a core conf may be read-only at runtime
-            pass
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -65,4 +65,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
-    return os.path.join(ensure_checkpoint_dir(spark).replace("file:", ""), name)
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+
+
+def remove_scratch(spark: SparkSession, path: str) -> bool:
+    """Delete a table written below the checkpoint folder, on whatever file system it is."""
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    if not path.startswith(root + "/"):
+        raise ValueError(f"{path} is not below {root}")
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -46,13 +46,12 @@ def append_predictions(df: DataFrame, path: str, run_id: str, scope: str, grp: s
     out = df.select(F.lit(run_id).alias("run_id"), F.lit(scope).alias("scope"), F.col(grp).cast("string").alias("grp"),
                     F.col(row_index).cast("long").alias("row_index"), F.col(target).cast("int").alias("target_value"),
                     F.col(prediction).cast("double").alias("prediction"))
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        out.write.mode("overwrite").partitionBy("run_id").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    _replace_partitions(out, path)
+
+
+def _replace_partitions(df: DataFrame, path: str) -> None:
+    """Overwrite only the ``run_id`` partitions that ``df`` holds (a writer option, no session setting)."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
 def write_run_artifacts(root: str, run_id: str, tables: dict[str, DataFrame], config: dict | None = None) -> dict[str, str]:
@@ -71,13 +70,7 @@ def write_run_artifacts(root: str, run_id: str, tables: dict[str, DataFrame], co
     for name, df in items.items():
         out = sanitize_doubles(df).withColumn("run_id", F.lit(run_id))
         path = f"{root.rstrip('/')}/{name}"
-        spark = out.sparkSession
-        prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        try:
-            out.write.mode("overwrite").partitionBy("run_id").parquet(path)
-        finally:
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+        _replace_partitions(out, path)
         paths[name] = path
     return paths
 
@@ -126,10 +119,17 @@ def json_summary(df: DataFrame, name: str = "summary") -> DataFrame:
     return s.select(F.to_json(F.struct(*s.columns)).alias(name))
 
 
-def file_fingerprints(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """A10: SHA-256 of each file's bytes (binaryFile source; one task per file)."""
-    return spark.read.format("binaryFile").load(list(paths)).select(
+def file_fingerprints(spark: SparkSession, paths: Sequence[str], root: str | None = None) -> DataFrame:
+    """A10: size and SHA-256 of each file's bytes (binaryFile source, one row
+    per file, so a file may hold up to 2 GB; larger tables are compared by
+    :func:`table_fingerprint`).  With ``root``, files are summed up per folder
+    below it (``name``), in the order of their digests."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(list(paths)).select(
         "path", "length", F.sha2(F.col("content"), 256).alias("sha256"))
+    if root is None:
+        return files
+    name = F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("name")
+    return files.groupBy(name).agg(F.sum("length").alias("length"), F.sha2(F.array_join(F.array_sort(F.collect_list("sha256")), ","), 256).alias("sha256"))
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
@@ -140,8 +140,8 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
                   F.sum(h.cast("decimal(38,0)")).cast("string").alias("sum_hash"))
 
 
-def check_fingerprint(current: DataFrame, card: DataFrame, on: str = "path") -> DataFrame:
-    """Stored fingerprint equals the current one (per file)."""
+def check_fingerprint(current: DataFrame, card: DataFrame, on: str = "name") -> DataFrame:
+    """Stored fingerprint equals the current one (per ``on``)."""
     c = card.select(on, F.col("sha256").alias("card_sha256"))
     return current.join(c, on, "full_outer").select(
         on, (F.col("sha256") == F.col("card_sha256")).alias("matches"))

@@ -34,29 +34,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: Iterable[st
 def read_csv_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV scan with a header row and a declared schema.
 
-    An empty cell is missing; nothing is inferred, so a 100 TB read does not
-    need a sampling pass and types never drift between files.
+    Columns are found by their header name, whatever their order in the file;
+    a file whose header differs from the first one's fails instead of being
+    read by position.  An empty cell is missing; no type is inferred (only
+    the first line is read ahead), and text that doesn't fit its type fails.
     """
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("mode", "FAILFAST")
-        .option("emptyValue", None)
-        .csv(path)
+    text = (
+        spark.read.option("header", True).option("enforceSchema", False)
+        .option("mode", "FAILFAST").option("emptyValue", None).csv(path)
     )
+    return text.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def scan_for_keys(big: DataFrame, keys: DataFrame, key: str, key_bound: int | None = None) -> DataFrame:
-    """Rows of ``big`` whose ``key`` is in ``keys``.
-
-    A left-semi join: the key set is broadcast only when the caller proves a
-    bound on its size (``key_bound`` distinct keys); otherwise Catalyst/AQE
-    choose and the semi join still gets a runtime bloom filter on the scan.
-    """
-    ids = keys.select(key).distinct()
-    if key_bound is not None and key_bound <= 5_000_000:
-        ids = F.broadcast(ids)
-    return big.join(ids, on=key, how="left_semi")
+def scan_for_keys(big: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``big`` whose ``key`` is in ``keys`` (A03): a left-semi join
+    that adaptive execution broadcasts when the measured key set is small."""
+    return big.join(keys.select(key).distinct(), on=key, how="left_semi")
 
 
 def as_date(col) -> "F.Column":

@@ -1,8 +1,8 @@
 """Streaming monitor over the event history (optional extension, section 7.6).
 
 Per-day event volume, mean value and non-finite count per event type from a
-file stream: event time is the ``ts`` column read as UTC, a watermark bounds
-the window state, windows are emitted in ``update`` mode and every
+file stream: event time is the ``ts`` column read as UTC, windows are emitted
+in ``update`` mode and every
 micro-batch is appended (with its batch id) to a Parquet table in shared
 storage by ``foreachBatch``; the latest batch per window is the current
 value.  The query checkpoints to shared storage, so a restarted or
@@ -32,10 +32,16 @@ def utc_instant(ts_ntz: str):
 
 
 def daily_volume(stream: DataFrame, ts: str = "ts", key: str = "event_type", value: str = "value",
-                 watermark: str = "2 days") -> DataFrame:
-    """Windowed aggregate: (day, key) -> events, mean value, non-finite values."""
+                 watermark: str | None = None) -> DataFrame:
+    """Windowed aggregate: (day, key) -> events, mean value, non-finite values.
+
+    Without a watermark no event is dropped, however late its file comes; the
+    state is one row per (day, key).  An endless stream may give one, and then
+    drops events that are later than it."""
     x = F.col(value)
-    s = stream.withColumn("__t", utc_instant(ts)).withWatermark("__t", watermark)
+    s = stream.withColumn("__t", utc_instant(ts))
+    if watermark:
+        s = s.withWatermark("__t", watermark)
     g = s.groupBy(F.window("__t", "1 day").alias("w"), key).agg(
         F.count(F.lit(1)).alias("n_events"), F.avg(value).alias("mean_value"),
         F.count_if(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))).alias("n_bad"))
