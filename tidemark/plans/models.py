@@ -1,12 +1,11 @@
 """Model jobs on Spark ML.
 
-The feature table is one lazy plan; fold membership comes from
-:func:`operators.splits.assign_folds`, so each fold's train / valid rows are a
-filter of the same table.  Only the model fits loop on the driver (one Spark
-ML job per fit, distributed over the data); every metric is a grouped
+The feature table is one lazy plan, stored once (reliable checkpoint) before
+a loop of fits; a fold's train and valid rows are date filters on it, so no
+row is held twice.  Only the model fits loop on the driver (one Spark ML job
+per fit, distributed over the data); every metric is a grouped
 :func:`metrics.auc_table` over one long predictions table keyed by
-(scope, fold).  Between iterations of long loops the predictions are cut from
-their lineage with a reliable checkpoint in the shared checkpoint folder.
+(scope, fold), whose parts are cut from their lineage fold by fold.
 
 Tree learners here are Spark ML's, so scores differ from the reference's
 libraries; checks are invariants (AUC in [0, 1], every row scored once, no
@@ -33,7 +32,9 @@ from pyspark.sql import functions as F
 from ..functions.categorical import normalize
 from ..functions.scalar import clip, positive_class_score
 from ..operators import splits
+from ..operators.drift import exact_quantiles
 from ..operators.metrics import auc_table
+from ..operators.weights import class_balance
 from ..session import cut_lineage
 
 SENTINEL = -1e12  # below every real value: trees reject NaN, a sentinel keeps "missing" separable
@@ -50,6 +51,10 @@ def tree_features(df: DataFrame, numeric: Sequence[str], categorical: Sequence[s
     return df.select(*keep, *cols, *cats), [f"f_{c}" for c in numeric]
 
 
+#: Categories a column may have as a dictionary; a longer one is coded by frequency.
+MAX_ARITY = 200
+
+
 def assembler_stages(num_cols: Sequence[str], categorical: Sequence[str]) -> list:
     """C23 + assembly: shared category dictionary (unseen -> extra code) and
     one feature vector."""
@@ -60,45 +65,98 @@ def assembler_stages(num_cols: Sequence[str], categorical: Sequence[str]) -> lis
     return [*idx, vec]
 
 
-def model_factory(cfg: dict, seed: int, weight_col: str | None = None) -> Estimator:
-    """Model factory (K01-K04): ``cfg['model_type']`` picks the estimator."""
+def model_factory(cfg: dict, seed: int, weight_col: str | None = None, arity: int = 0) -> Estimator:
+    """Model factory (K01-K04): ``cfg['model_type']`` picks the estimator.
+    Trees get at least ``arity`` bins, the longest category dictionary."""
     kind = cfg.get("model_type", "gbt")
     common = {"featuresCol": "features", "labelCol": "label", "seed": seed}
+    bins = max(int(cfg.get("max_bins", 64)), arity)
     if kind == "gbt":
         m = GBTClassifier(maxIter=int(cfg.get("iterations", 20)), maxDepth=int(cfg.get("depth", 4)),
                           stepSize=float(cfg.get("learning_rate", 0.1)), subsamplingRate=float(cfg.get("subsample", 1.0)),
-                          minInstancesPerNode=int(cfg.get("min_data_in_leaf", 1)), maxBins=int(cfg.get("max_bins", 64)), **common)
-    elif kind in ("rf", "extra_trees"):
+                          minInstancesPerNode=int(cfg.get("min_data_in_leaf", 1)), maxBins=bins, **common)
+    elif kind == "rf":
         m = RandomForestClassifier(numTrees=int(cfg.get("n_estimators", 40)), maxDepth=int(cfg.get("depth", 7)),
                                    minInstancesPerNode=int(cfg.get("min_samples_leaf", 1)),
-                                   featureSubsetStrategy=cfg.get("max_features", "sqrt"), maxBins=int(cfg.get("max_bins", 64)),
-                                   **common)
+                                   featureSubsetStrategy=cfg.get("max_features", "sqrt"), maxBins=bins, **common)
     elif kind == "mlp":
+        if weight_col:
+            raise ValueError("the network has no weight parameter; resample the rows by weight first")
         m = MultilayerPerceptronClassifier(layers=list(cfg["layers"]), maxIter=int(cfg.get("iterations", 50)),
                                            stepSize=float(cfg.get("learning_rate", 0.03)), **common)
     elif kind == "logreg":
         m = LogisticRegression(maxIter=int(cfg.get("iterations", 50)), regParam=float(cfg.get("l2", 0.0)),
                                featuresCol="features", labelCol="label")
+    elif kind == "extra_trees":
+        raise ValueError("extra_trees is not built; use rf (random split points have no Spark ML counterpart)")
     else:
         raise ValueError(f"unknown model_type {kind}")
-    if weight_col and kind != "mlp":
+    if weight_col:
         m.setWeightCol(weight_col)
     return m
 
 
+class FittedModel:
+    """A fitted pipeline with the frequency codes of its long category columns."""
+
+    def __init__(self, pipeline, codes: dict[str, DataFrame]):
+        self.pipeline, self.codes = pipeline, codes
+
+    @property
+    def stages(self) -> list:
+        return self.pipeline.stages
+
+    @property
+    def best_iteration(self) -> int | None:
+        """Trees kept by a boosted model (after early stopping, if asked for)."""
+        last = self.stages[-1]
+        return last.getNumTrees if hasattr(last, "getNumTrees") else None
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.pipeline.transform(self.code(df))
+
+    def code(self, df: DataFrame) -> DataFrame:
+        for c, freq in self.codes.items():
+            df = df.join(freq, f"k_{c}", "left").withColumn(f"q_{c}", F.coalesce(f"q_{c}", F.lit(0.0)))
+        return df
+
+
 def fit_model(train: DataFrame, num_cols: Sequence[str], categorical: Sequence[str], cfg: dict, seed: int,
-              label: str = "target_value", weight_col: str | None = None):
-    """Fit the assembler + estimator pipeline on ``train`` (a PipelineModel)."""
-    est = model_factory(cfg, seed, weight_col)
-    pipe = Pipeline(stages=[*assembler_stages(num_cols, categorical), est])
-    return pipe.fit(train.withColumn("label", F.col(label).cast("double")))
+              label: str = "target_value", weight_col: str | None = None, valid: DataFrame | None = None) -> FittedModel:
+    """Fit the assembler + estimator pipeline on ``train``.
+
+    Category columns of up to ``MAX_ARITY`` values get a dictionary, and the
+    trees as many bins; longer ones are coded by their frequency in
+    ``train``.  ``cfg['class_weight']`` (balanced, sqrt) multiplies the
+    sample weights; ``cfg['early_stopping']`` stops boosting when the loss on
+    ``valid`` no longer falls."""
+    sizes = train.agg(*[F.countDistinct(f"k_{c}").alias(c) for c in categorical]).first().asDict() if categorical else {}
+    short = [c for c in categorical if sizes[c] <= MAX_ARITY]
+    codes = {c: train.groupBy(f"k_{c}").agg(F.count(F.lit(1)).cast("double").alias(f"q_{c}")) for c in categorical if c not in short}
+    rows = train
+    if cfg.get("class_weight", "none") != "none":
+        balance = class_balance(train, label, cfg["class_weight"])
+        rows = rows.withColumn("__cw", balance * F.col(weight_col) if weight_col else balance)
+        weight_col = "__cw"
+    est = model_factory(cfg, seed, weight_col, max((sizes[c] + 1 for c in short), default=0))
+    if cfg.get("early_stopping"):
+        if valid is None or not isinstance(est, GBTClassifier):
+            raise ValueError("early_stopping needs a boosted model and valid rows")
+        est.setValidationIndicatorCol("__valid")
+        rows = rows.withColumn("__valid", F.lit(False)).unionByName(valid.withColumn("__valid", F.lit(True)), allowMissingColumns=True)
+        if weight_col:
+            rows = rows.fillna(1.0, subset=[weight_col])
+    fitted = FittedModel(None, codes)
+    stages = assembler_stages([*num_cols, *[f"q_{c}" for c in codes]], short)
+    fitted.pipeline = Pipeline(stages=[*stages, est]).fit(fitted.code(rows).withColumn("label", F.col(label).cast("double")))
+    return fitted
 
 
 def fit_score(train: DataFrame, score: DataFrame, num_cols: Sequence[str], categorical: Sequence[str], cfg: dict,
               seed: int, label: str = "target_value", weight_col: str | None = None, id_cols: Sequence[str] = ("front_id",),
-              carry: Sequence[str] = ()) -> tuple[DataFrame, object]:
+              carry: Sequence[str] = ()) -> tuple[DataFrame, FittedModel]:
     """Fit on ``train`` and score ``score`` (K02): (ids..., carry..., prediction)."""
-    model = fit_model(train, num_cols, categorical, cfg, seed, label, weight_col)
+    model = fit_model(train, num_cols, categorical, cfg, seed, label, weight_col, score if label in score.columns else None)
     clip_eps = float(cfg.get("clip", 0.0))
     pred = model.transform(score).select(*id_cols, *carry, positive_class_score("probability", clip_eps).alias("prediction"))
     return pred, model
@@ -116,45 +174,34 @@ def check_scores(pred: DataFrame, col: str = "prediction") -> None:
 
 def evaluate_folds(df: DataFrame, day: str, spec: list[dict], num_cols: Sequence[str], categorical: Sequence[str],
                    cfg: dict, seed: int, label: str = "target_value", weight_col: str | None = None,
-                   scope: str = "fold", checkpoint: bool = False,
-                   id_cols: Sequence[str] = ("front_id",)) -> tuple[DataFrame, DataFrame]:
+                   scope: str = "fold", id_cols: Sequence[str] = ("front_id",)) -> tuple[DataFrame, DataFrame]:
     """Fit per fold (or holdout), score its valid rows; returns the
-    long predictions table and the metric table (per fold + pooled)."""
-    from pyspark import StorageLevel
-
-    # The fold table feeds one fit per fold: keep it (memory, spilling to
-    # disk) for the loop, count every (fold, role) in one job, and cut the
-    # predictions from the lineage before releasing it.
-    member = splits.assign_folds(df, day, spec).persist(StorageLevel.MEMORY_AND_DISK)
-    folds = [s["fold"] for s in spec]
-    got_all = {(r["fold"], r["role"]): (r["n"], r["k"]) for r in member.groupBy("fold", "role").agg(
+    long predictions table and the metric table (per fold with its best
+    iteration + pooled)."""
+    feats = cut_lineage(df)
+    got = {(r["fold"], r["role"]): (r["n"], r["k"]) for r in splits.assign_folds(feats, day, spec).groupBy("fold", "role").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct(label).alias("k")).collect()}
-    parts = None
-    try:
-        for f in folds:
-            got = {role: v for (ff, role), v in got_all.items() if ff == f}
-            if "train" not in got or "valid" not in got:
-                if scope == "holdout":
-                    raise ValueError(f"empty split for holdout {f}")
-                continue  # rolling folds skip empty folds (M08)
-            if got["valid"][1] < 2 and scope == "holdout":
-                raise ValueError(f"holdout {f} has one class")
-            tr = member.filter((F.col("fold") == f) & (F.col("role") == "train"))
-            va = member.filter((F.col("fold") == f) & (F.col("role") == "valid"))
-            pred, _ = fit_score(tr, va, num_cols, categorical, cfg, seed, label, weight_col, id_cols=id_cols, carry=[label])
-            pred = pred.withColumn(scope, F.lit(str(f)))
-            parts = pred if parts is None else parts.unionByName(pred)
-            if checkpoint:
-                parts = cut_lineage(parts)
-        if parts is None:
-            raise ValueError("no usable fold")
-        parts = cut_lineage(parts)
-    finally:
-        member.unpersist()
+    parts, best = None, []
+    for s in spec:
+        f = s["fold"]
+        if (f, "train") not in got or (f, "valid") not in got:
+            if scope == "holdout":
+                raise ValueError(f"empty split for holdout {f}")
+            continue  # rolling folds skip empty folds (M08)
+        if got[(f, "valid")][1] < 2 and scope == "holdout":
+            raise ValueError(f"holdout {f} has one class")
+        tr, va = (feats.filter(splits.side_condition(day, s, role)) for role in ("train", "valid"))
+        pred, model = fit_score(tr, va, num_cols, categorical, cfg, seed, label, weight_col, id_cols=id_cols, carry=[label])
+        best.append((str(f), model.best_iteration))
+        pred = cut_lineage(pred.withColumn(scope, F.lit(str(f))))
+        parts = pred if parts is None else parts.unionByName(pred)
+    if parts is None:
+        raise ValueError("no usable fold")
     per = auc_table(parts, label, "prediction", [scope]).select(scope, "roc_auc", "n_rows", "n_pos")
     pooled_name = "OOF_TIME_HOLDOUT" if scope == "fold" else "POOLED"
     pooled = auc_table(parts, label, "prediction").select(F.lit(pooled_name).alias(scope), "roc_auc", "n_rows", "n_pos")
-    return parts, per.unionByName(pooled)
+    kept = df.sparkSession.createDataFrame(best, f"{scope} string, best_iteration int")
+    return parts, per.unionByName(pooled).join(kept, scope, "left")
 
 
 def holdout_summary(metrics: DataFrame, scope: str = "holdout") -> DataFrame:
@@ -165,14 +212,23 @@ def holdout_summary(metrics: DataFrame, scope: str = "holdout") -> DataFrame:
 
 
 def refit_and_score(train: DataFrame, test: DataFrame, num_cols, categorical, cfg, seed, label="target_value",
-                    weight_col=None) -> DataFrame:
-    """Refit on all train rows, score test, clip to [0, 1], finite check."""
-    pred, _ = fit_score(train, test, num_cols, categorical, cfg, seed, label, weight_col)
-    pred = pred.withColumn("prediction", clip("prediction", 0.0, 1.0))
+                    weight_col=None, id_cols: Sequence[str] = ("front_id",)) -> DataFrame:
+    """Refit on all train rows (all iterations), score test, clip to
+    [0, 1], finite check; a missing score stays missing in the clip and fails
+    the check."""
+    cfg = {k: v for k, v in cfg.items() if k != "early_stopping"}
+    pred, _ = fit_score(train, test.drop(label), num_cols, categorical, cfg, seed, label, weight_col, id_cols=id_cols)
+    pred = cut_lineage(pred.withColumn("prediction", clip("prediction", 0.0, 1.0)))
     check_scores(pred)
     return pred
 
 
+def importances(model: FittedModel) -> list[tuple[str, float]]:
+    """(feature, importance) of a tree model, in vector order."""
+    names = next(st for st in model.stages if isinstance(st, VectorAssembler)).getInputCols()
+    return [(n, float(v)) for n, v in zip(names, model.stages[-1].featureImportances.toArray())]
+
+
 # Drift models ------------------------------------------------------------------
 
 def drift_forest(train: DataFrame, test: DataFrame, cols: Sequence[str], numeric: Sequence[str],
@@ -186,16 +242,16 @@ def drift_forest(train: DataFrame, test: DataFrame, cols: Sequence[str], numeric
     both = both.withColumn("__key", F.concat_ws(":", F.col("label_domain").cast("string"), F.col(id_col).cast("string")))
     split = splits.stratified_split(both, "label_domain", "__key", seed, 0.7, "is_fit")
     feats, ncols = tree_features(split, list(numeric), list(categorical))
+    feats = cut_lineage(feats)
     cfg = cfg or {"model_type": "rf", "n_estimators": 30, "depth": 7, "min_samples_leaf": 20}
     fit = feats.filter("is_fit = 1")
     val = feats.filter("is_fit = 0")
     pred, model = fit_score(fit, val, ncols, categorical, cfg, seed, "label_domain", id_cols=[id_col], carry=["label_domain"])
+    pred = cut_lineage(pred)
     auc = auc_table(pred, "label_domain", "prediction").select("roc_auc", "n_rows")
     summ = score_summary(pred, "label_domain", "prediction")
-    names = [*ncols, *[f"i_{c}" for c in categorical]]
-    imp = model.stages[-1].featureImportances.toArray().tolist()
     spark = train.sparkSession
-    imps = spark.createDataFrame([(n, float(v)) for n, v in zip(names, imp)], "feature string, importance double")
+    imps = spark.createDataFrame(importances(model), "feature string, importance double")
     metrics = summ.withColumn("holdout_auc", auc.select("roc_auc").scalar())
     return metrics, imps.orderBy(F.desc("importance"), "feature")
 
@@ -209,11 +265,13 @@ def oof_domain_scores(train: DataFrame, test: DataFrame, id_col: str, numeric, c
     both = both.withColumn("__key", F.xxhash64(F.col("label_domain"), F.col(id_col), F.lit(seed)))
     folded = splits.stratified_kfold(both, "label_domain", ["__key", id_col], k, out="__k")
     feats, ncols = tree_features(folded, list(numeric), list(categorical))
+    feats = cut_lineage(feats)
     cfg = cfg or {"model_type": "gbt", "iterations": 15, "depth": 4, "learning_rate": 0.1}
     parts = None
     for i in range(k):
         pred, _ = fit_score(feats.filter(F.col("__k") != i), feats.filter(F.col("__k") == i), ncols, categorical, cfg, seed,
                             "label_domain", id_cols=[id_col], carry=["label_domain"])
+        pred = cut_lineage(pred)
         parts = pred if parts is None else parts.unionByName(pred)
     return parts
 
@@ -222,7 +280,8 @@ def oof_domain_scores(train: DataFrame, test: DataFrame, id_col: str, numeric, c
 
 def draw_trials(space: dict, n: int, seed: int) -> list[dict]:
     """Seeded random draws from a search space of
-    {name: {type: int|float|categorical, low, high, step, log, choices}}."""
+    {name: {type: int|float|categorical, low, high, step, log, choices, when}}.
+    ``when`` = {earlier name: allowed values} makes a parameter conditional."""
     import math
 
     rng = random.Random(seed)
@@ -230,6 +289,8 @@ def draw_trials(space: dict, n: int, seed: int) -> list[dict]:
     for t in range(n):
         p = {}
         for name, s in space.items():
+            if any(p.get(k) not in allowed for k, allowed in s.get("when", {}).items()):
+                continue
             kind = s["type"]
             if kind == "categorical":
                 p[name] = rng.choice(s["choices"])
@@ -286,4 +347,10 @@ def substitution_attribution(model, rows: DataFrame, feature_cols: Sequence[str]
         F.avg(F.abs("__d")).alias("mean_abs"), F.avg("__d").alias("mean"), F.max(F.abs("__d")).alias("max_abs"))
 
 
+def medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
+    """Exact median per column: one prefix pass over all columns, one row each on the driver."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "column_name", "x")
+    return {r["column_name"]: r["quantile"] for r in exact_quantiles(long, ["column_name"], "x", [0.5]).collect()}
+
+
 ModelFactory = Callable[[dict, int], Estimator]

@@ -6,6 +6,9 @@ small so the checks stay quick, the code paths are the full ones.
 
 from __future__ import annotations
 
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
@@ -16,7 +19,8 @@ from ..operators import encoders as enc
 from ..operators import history as hs
 from ..operators import metrics, splits
 from ..operators import weights as wt
-from ..operators.schema import DRIFT_EXCLUSIONS, confident_rows, feature_variants
+from ..operators.schema import DRIFT_EXCLUSIONS, confident_rows, feature_variants, split_feature_space
+from ..session import cut_lineage, scratch_path
 from ..sources import fixtures as fx
 from ..sources.tables import read_table
 from . import models as md
@@ -25,6 +29,7 @@ from .catalog import query
 NUM = ["loan_amount_last", "balance_amt", "cnt_30", "cnt_90"]
 CAT = ["db_group_last", "fl_adminarea"]
 GBT = {"model_type": "gbt", "iterations": 8, "depth": 3, "learning_rate": 0.2}
+QUICK = {"model_type": "gbt", "iterations": 4, "depth": 3, "learning_rate": 0.2}
 SEED = 42
 
 
@@ -61,7 +66,7 @@ def k02_refit_score_test(spark, sf):
 def k03_forest_time_folds(spark, sf):
     tr, _ = _train_test(spark, sf)
     feats, ncols = _features(tr)
-    cfg = {"model_type": "extra_trees", "n_estimators": 20, "depth": 6, "min_samples_leaf": 20}
+    cfg = {"model_type": "rf", "n_estimators": 20, "depth": 6, "min_samples_leaf": 20}
     _, m = md.evaluate_folds(feats, "decision_day", _fold_spec(tr), ncols, CAT, cfg, SEED)
     return m
 
@@ -93,7 +98,7 @@ def k06_recent_window_scan(spark, sf):
     tr, _ = _train_test(spark, sf)
     feats, ncols = _features(tr)
     rows = None
-    for win in (None, 365, 180):
+    for win in (None, 90, 120, 180, 240, 365):
         spec = splits.fold_spec(tr, "decision_day", fx.FOLD_CUTOFFS, window_days=win)
         _, m = md.evaluate_folds(feats, "decision_day", spec, ncols, CAT, GBT, SEED)
         m = m.withColumn("window", F.lit("expanding" if win is None else f"{win}d"))
@@ -104,16 +109,16 @@ def k06_recent_window_scan(spark, sf):
 
 @query("k07_feature_family_probe")
 def k07_feature_family_probe(spark, sf):
-    tr, _ = _train_test(spark, sf)
-    fit = tr.filter(F.col("decision_day") < F.lit("2000-01-01").cast("date"))
-    variants = feature_variants(NUM, CAT, "decision_day", fit)
+    tr, te = _train_test(spark, sf)
+    both = fx.apps(spark, sf)
+    variants = feature_variants(NUM, CAT, "decision_day", tr, "front_id")
     rows = None
-    for name in ("base", "log", "zero_flags", "time_regime"):
-        extra = variants[name](tr)
-        df = tr.select("*", *extra)
-        extra_num = [c for c in df.columns if c not in tr.columns and dict(df.dtypes)[c] != "string"]
-        feats, ncols = _features(df, extra_num)
-        _, m = md.evaluate_folds(feats, "decision_day", _fold_spec(tr), ncols, CAT, GBT, SEED)
+    for name, family in variants.items():
+        df = family(both).filter("is_test = 0")
+        kinds = {c: t for c, t in df.dtypes if c not in both.columns}
+        cats = [*CAT, *[c for c, t in kinds.items() if t == "string"]]
+        feats, ncols = md.tree_features(df, [*NUM, *[c for c, t in kinds.items() if t != "string"]], cats)
+        _, m = md.evaluate_folds(feats, "decision_day", _fold_spec(tr), ncols, cats, QUICK, SEED)
         m = m.withColumn("variant", F.lit(name))
         rows = m if rows is None else rows.unionByName(m)
     return rows.groupBy("variant").pivot("fold", ["1", "2", "3", "OOF_TIME_HOLDOUT"]).agg(F.first("roc_auc"))
@@ -141,15 +146,18 @@ def k09_drift_forest(spark, sf):
     tr, te = _train_test(spark, sf)
     out = None
     base_cols = ["decision_day", *NUM, *CAT]
-    for name in ("all_except_id", "no_decision_day"):
-        cols = [c for c in base_cols if c not in DRIFT_EXCLUSIONS[name]]
+    # The four sets differ in the offer terms, which the apps view lacks; each distinct column list is fitted once.
+    lists = {name: [c for c in base_cols if c not in gone] for name, gone in DRIFT_EXCLUSIONS.items()}
+    first = {tuple(cols): name for name, cols in reversed(lists.items())}
+    for name in first.values():
+        cols = lists[name]
         trx = tr.withColumn("decision_day", cal.ordinal("decision_day").cast("double"))
         tex = te.withColumn("decision_day", cal.ordinal("decision_day").cast("double"))
         numeric = [c for c in cols if c not in CAT]
         m, imp = md.drift_forest(trx, tex, cols, numeric, CAT, SEED, "front_id",
                                  {"model_type": "rf", "n_estimators": 20, "depth": 6, "min_samples_leaf": 20})
-        top = imp.limit(3).agg(F.array_join(F.collect_list("feature"), ",").alias("top_features"))
-        m = m.withColumn("exclusion_set", F.lit(name)).withColumn("top_features", top.select("top_features").scalar())
+        m = m.withColumn("exclusion_set", F.lit(name)).unionByName(
+            imp.select(F.lit(name).alias("exclusion_set"), "feature", "importance"), allowMissingColumns=True)
         out = m if out is None else out.unionByName(m)
     return out
 
@@ -172,9 +180,10 @@ def k11_pseudo_label_probe(spark, sf):
     cut = F.lit("2000-04-01").cast("date")
     fit, hold = feats.filter(F.col("decision_day") < cut), feats.filter(F.col("decision_day") >= cut)
     base, _ = md.fit_score(fit, hold, ncols, CAT, GBT, SEED, carry=["target_value"])
+    base = cut_lineage(base)
     base_auc = metrics.auc_table(base, "target_value", "prediction").select("roc_auc").scalar()
     out = None
-    for hi, lo, pw in ((0.9, 0.05, 0.3), (0.85, 0.1, 0.5)):
+    for hi, lo, pw in ((0.9, 0.05, 0.3), (0.85, 0.1, 0.3), (0.9, 0.05, 0.5)):
         scored = hold.join(base.select("front_id", "prediction"), "front_id")
         pseudo = confident_rows(scored, "prediction", hi, lo).drop("target_value", "prediction").withColumnRenamed(
             "pseudo_target", "target_value").withColumn("w", wt.constant_weight(pw))
@@ -190,39 +199,118 @@ def k11_pseudo_label_probe(spark, sf):
 
 @query("k12_multiseed_calendar_ablation")
 def k12_multiseed_calendar_ablation(spark, sf):
+    """Seven calendar variants on all folds and late holdouts."""
     tr, _ = _train_test(spark, sf)
-    spec = [s for s in _fold_spec(tr) if s["fold"] == 3]
     out = None
-    for variant in ("no_month", "day_num_only"):
-        df = tr.select("*", *cal.calendar_columns("decision_day", tr, variant))
-        extra = [c for c in ("day_num", "week") if c in df.columns]
-        feats, ncols = _features(df, extra)
-        for seed in (1, 2):
-            _, m = md.evaluate_folds(feats, "decision_day", spec, ncols, CAT, GBT, seed)
-            m = m.filter(F.col("fold") == "3").withColumn("variant", F.lit(variant)).withColumn("seed", F.lit(seed))
-            out = m if out is None else out.unionByName(m)
-    return out.groupBy("variant").agg(F.avg("roc_auc").alias("mean_auc"), F.min("roc_auc").alias("min_auc"),
-                                      F.count(F.lit(1)).alias("n_seeds"))
+    for variant in cal.CALENDAR_VARIANTS:
+        feats, ncols, cats = _calendar_features(tr, tr, variant)
+        _, m = md.evaluate_folds(feats, "decision_day", _fold_spec(tr), ncols, cats, QUICK, SEED)
+        _, h = md.evaluate_folds(feats, "decision_day", splits.holdout_spec(fx.HOLDOUT_CUTOFFS), ncols, cats, QUICK, SEED, scope="holdout")
+        late = h.filter("holdout <> 'POOLED'").agg(F.avg("roc_auc").alias("lh_mean"), F.min("roc_auc").alias("lh_min"))
+        row = m.groupBy().pivot("fold", ["1", "2", "3", "OOF_TIME_HOLDOUT"]).agg(F.first("roc_auc")).select(
+            F.lit(variant).alias("variant"), "*", late.select("lh_mean").scalar().alias("lh_mean"), late.select("lh_min").scalar().alias("lh_min"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _calendar_features(df, fit, variant):
+    x = df.select("*", *cal.calendar_columns("decision_day", fit, variant))
+    cats = [*CAT, *[c for c in ("month",) if c in x.columns]]
+    feats, ncols = md.tree_features(x, [*NUM, *[c for c in ("day_num", "week") if c in x.columns]], cats)
+    return feats, ncols, cats
+
+
+@query("k12_multiseed_scores", fx.with_views("apps") + """, s(seed) AS (VALUES (43), (44), (45)),
+v AS (SELECT 'fold ' || CASE WHEN decision_day < DATE '1999-07-01' THEN '1' WHEN decision_day < DATE '2000-01-01' THEN '2' ELSE '3' END AS part, target_value
+      FROM apps WHERE is_test = 0 AND decision_day >= DATE '1999-01-01'
+  UNION ALL SELECT 'holdout ' || h, target_value FROM apps JOIN (VALUES ('H1', DATE '1999-07-01'), ('H2', DATE '2000-01-01'), ('H3', DATE '2000-04-01')) t(h, cutoff)
+      ON decision_day >= cutoff WHERE is_test = 0
+  UNION ALL SELECT 'test', NULL FROM apps WHERE is_test = 1)
+SELECT seed, part, COUNT(*) AS n_rows, CAST(SUM(target_value) AS BIGINT) AS n_pos, TRUE AS once, TRUE AS in_unit FROM v CROSS JOIN s GROUP BY seed, part""")
+def k12_multiseed_scores(spark, sf):
+    """Every fold, late holdout and the test side scored per seed; facts of the score sets."""
+    tr, te = _train_test(spark, sf)
+    feats, ncols, cats = _calendar_features(tr, tr, "time_all")
+    fte, _, _ = _calendar_features(te, tr, "time_all")
+    out = None
+    for seed in (43, 44, 45):
+        valid, _ = md.evaluate_folds(feats, "decision_day", _fold_spec(tr), ncols, cats, QUICK, seed)
+        late, _ = md.evaluate_folds(feats, "decision_day", splits.holdout_spec(fx.HOLDOUT_CUTOFFS), ncols, cats, QUICK, seed, scope="holdout")
+        test = md.refit_and_score(feats, fte, ncols, cats, QUICK, seed)
+        parts = valid.select(F.concat(F.lit("fold "), "fold").alias("part"), "front_id", "target_value", "prediction").unionByName(
+            late.select(F.concat(F.lit("holdout "), "holdout").alias("part"), "front_id", "target_value", "prediction")).unionByName(
+            test.select(F.lit("test").alias("part"), "front_id", F.lit(None).cast("int").alias("target_value"), "prediction"))
+        facts = score_facts(parts, ["part"]).select(F.lit(seed).alias("seed"), "*")
+        out = facts if out is None else out.unionByName(facts)
+    return out
+
+
+def score_facts(preds, keys):
+    """Rows, positives, whether each id is scored once and every score lies in [0, 1]."""
+    p = F.col("prediction")
+    return preds.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("target_value").cast("long").alias("n_pos"),
+        (F.countDistinct("front_id") == F.count(F.lit(1))).alias("once"), (F.count_if((p >= 0) & (p <= 1)) == F.count(F.lit(1))).alias("in_unit"))
+
+
+FOLD_FACTS_SQL = fx.with_views("apps") + """, v AS (SELECT target_value, CASE WHEN decision_day < DATE '1999-07-01' THEN '1' WHEN decision_day < DATE '2000-01-01' THEN '2' ELSE '3' END AS fold
+  FROM apps WHERE is_test = 0 AND decision_day >= DATE '1999-01-01')
+SELECT fold, COUNT(*) AS n_rows, CAST(SUM(target_value) AS BIGINT) AS n_pos, TRUE AS once, TRUE AS in_unit FROM v GROUP BY fold"""
+
+
+@query("k01_fold_score_facts", FOLD_FACTS_SQL)
+def k01_fold_score_facts(spark, sf):
+    """Boosted trees with early stopping and class weights: facts of the written fold scores."""
+    tr, _ = _train_test(spark, sf)
+    feats, ncols = _features(tr)
+    cfg = {**QUICK, "early_stopping": True, "class_weight": "balanced"}
+    preds, _ = md.evaluate_folds(feats, "decision_day", _fold_spec(tr), ncols, CAT, cfg, SEED)
+    return score_facts(preds, ["fold"])
+
+
+@query("k03_fold_score_facts", FOLD_FACTS_SQL)
+def k03_fold_score_facts(spark, sf):
+    """A forest with sample weights: facts of the written fold scores."""
+    tr, _ = _train_test(spark, sf)
+    weighted = tr.withColumn("w", wt.recent_boost("decision_day", "1999-01-01"))
+    feats, ncols = _features(weighted)
+    cfg = {"model_type": "rf", "n_estimators": 8, "depth": 4}
+    preds, _ = md.evaluate_folds(feats, "decision_day", _fold_spec(tr), ncols, CAT, cfg, SEED, weight_col="w")
+    return score_facts(preds, ["fold"])
+
+
+@query("k02_test_score_facts", fx.with_views("apps") + "SELECT COUNT(*) AS n_rows, CAST(NULL AS BIGINT) AS n_pos, TRUE AS once, TRUE AS in_unit FROM apps WHERE is_test = 1")
+def k02_test_score_facts(spark, sf):
+    tr, te = _train_test(spark, sf)
+    ftr, ncols = _features(tr)
+    fte, _ = _features(te)
+    scored = md.refit_and_score(ftr, fte, ncols, CAT, QUICK, SEED)
+    return score_facts(scored.withColumn("target_value", F.lit(None).cast("int")), [])
 
 
 SPACE = {
     "iterations": {"type": "int", "low": 4, "high": 10, "step": 2},
     "depth": {"type": "int", "low": 2, "high": 4},
     "learning_rate": {"type": "float", "low": 0.05, "high": 0.3, "log": True},
-    "model_type": {"type": "categorical", "choices": ["gbt"]},
+    "subsample_kind": {"type": "categorical", "choices": ["none", "rows"]},
+    "subsample": {"type": "float", "low": 0.6, "high": 1.0, "when": {"subsample_kind": ["rows"]}},
 }
 
 
-def _search(spark, sf, n=3):
+def _search(spark, sf, n=6):
     tr, _ = _train_test(spark, sf)
     feats, ncols = _features(tr)
+    feats = cut_lineage(feats)
     spec = [s for s in _fold_spec(tr) if s["fold"] == 3]
     trials = md.draw_trials(SPACE, n, SEED)
-    values = []
-    for t in trials:
-        _, m = md.evaluate_folds(feats, "decision_day", spec, ncols, CAT, t, SEED)
-        values.append(m.filter(F.col("fold") == "3").select("roc_auc").first()[0])
-    return md.trial_table(spark, trials, values)
+
+    def value(t):
+        _, m = md.evaluate_folds(feats, "decision_day", spec, ncols, CAT, {"model_type": "gbt", **t}, SEED)
+        return m.filter(F.col("fold") == "3").select("roc_auc").first()[0]
+
+    # Two trials at a time: their jobs share the cluster.
+    with ThreadPoolExecutor(2) as pool:
+        return md.trial_table(spark, trials, list(pool.map(value, trials)))
 
 
 @query("k13_parameter_search")
@@ -230,27 +318,38 @@ def k13_parameter_search(spark, sf):
     return _search(spark, sf)
 
 
-@query("k14_export_top_trials")
+# Stored trials, one of them failed: fixed values.
+TRIALS = [({"number": 0, "depth": 3, "learning_rate": 0.1}, 0.71), ({"number": 1, "depth": 2, "learning_rate": 0.2}, None),
+          ({"number": 2, "depth": 4, "learning_rate": 0.3}, 0.74), ({"number": 3, "depth": 4, "learning_rate": 0.2}, 0.74)]
+
+
+@query("k14_export_top_trials", """SELECT * FROM (VALUES
+  (2, 0.74::DOUBLE, '{"source":"k13_parameter_search","trial":2,"value":0.74,"params":{"depth":"4","learning_rate":"0.3"}}'),
+  (3, 0.74::DOUBLE, '{"source":"k13_parameter_search","trial":3,"value":0.74,"params":{"depth":"4","learning_rate":"0.2"}}')) t(number, value, config)""")
 def k14_export_top_trials(spark, sf):
-    return md.export_top_trials(_search(spark, sf), 2, "k13_parameter_search")
+    """The best complete trials of a stored trial table (beside the orders' folder, written and read)."""
+    path = scratch_path(spark, f"trials-{uuid.uuid4().hex[:12]}")
+    md.trial_table(spark, [t for t, _ in TRIALS], [v for _, v in TRIALS]).write.parquet(path)
+    return md.export_top_trials(spark.read.parquet(path), 2, "k13_parameter_search")
 
 
 @query("k15_two_view_experiment")
 def k15_two_view_experiment(spark, sf):
     key = ["l_orderkey", "l_linenumber", "l_partkey", "overdraft_limit_max"]
-    o = ctx.context_features(fx.offers(spark, sf), ["l_orderkey"], fx.OFFER_COLS, strategy="auto")
-    relative = [c for c in o.columns if "context" in c]
+    o = fx.offers(spark, sf).withColumn("row_key", F.concat_ws(":", *[F.col(c).cast("string") for c in key]))
+    o = ctx.context_features(o, ["l_orderkey"], fx.OFFER_COLS)
+    numeric = [c for c in o.columns if c in fx.OFFER_COLS or "context" in c]
+    absolute, relative = split_feature_space(numeric, fx.OFFER_COLS)
     spec = splits.fold_spec(o, "decision_day", ("1995-01-01", "1996-01-01", "1997-01-01"))
     preds = {}
-    for name, cols in (("absolute", ["offered_rate", "overdraft_limit_min"]), ("context", relative)):
+    for name, cols in (("absolute", absolute), ("context", relative)):
         feats, ncols = md.tree_features(o, cols, ["l_linestatus"])
-        feats = feats.withColumn("overdraft_limit_max", o["overdraft_limit_max"]) if "overdraft_limit_max" not in feats.columns else feats
-        p, _ = md.evaluate_folds(feats, "decision_day", spec, ncols, ["l_linestatus"], GBT, SEED, id_cols=key)
+        p, _ = md.evaluate_folds(feats, "decision_day", spec, ncols, ["l_linestatus"], GBT, SEED, id_cols=["row_key"])
         preds[name] = p
     # Score sets joined on their keys (F01/F12), then a rank blend scan per fold.
-    a = preds["absolute"].select(*key, "fold", "target_value", F.col("prediction").alias("p_abs"))
-    b = preds["context"].select(*key, "fold", F.col("prediction").alias("p_ctx"))
-    j = bl.join_predictions(a, b, [*key, "fold"], one_to_one=True)
+    a = preds["absolute"].select("row_key", "fold", "target_value", F.col("prediction").alias("p_abs"))
+    b = preds["context"].select("row_key", "fold", F.col("prediction").alias("p_ctx"))
+    j = bl.join_predictions(a, b, ["row_key", "fold"], one_to_one=True)
     corr = metrics.correlations(j, "p_abs", "p_ctx", ["fold"]).select(F.col("fold").alias("__f"), "pearson")
     j = bl.rank_normalize(j, "p_abs", "r_abs", ["fold"])
     j = bl.rank_normalize(j, "p_ctx", "r_ctx", ["fold"])
@@ -265,8 +364,7 @@ def k16_within_day_ranking(spark, sf):
                        *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in NUM])
     dc = md.day_centered(filled, "decision_day", NUM)
     feats, ncols = md.tree_features(dc, [f"dc_{c}" for c in NUM], CAT)
-    spec = [s for s in _fold_spec(tr) if s["fold"] == 3]
-    _, m = md.evaluate_folds(feats, "decision_day", spec, ncols, CAT, {"model_type": "logreg", "iterations": 30}, SEED)
+    _, m = md.evaluate_folds(feats, "decision_day", _fold_spec(tr), ncols, CAT, {"model_type": "logreg", "iterations": 30}, SEED)
     return m
 
 
@@ -277,30 +375,26 @@ def k17_attribution_sample(spark, sf):
     cut = F.lit("2000-01-01").cast("date")
     fit, hold = feats.filter(F.col("decision_day") < cut), feats.filter(F.col("decision_day") >= cut)
     model = md.fit_model(fit, ncols, CAT, GBT, SEED)
-    sample = splits.seeded_sample(hold, "front_id", 300, SEED)
-    med_row = fit.agg(*[F.median(c).alias(c) for c in ncols]).first()
-    return md.substitution_attribution(model, sample, ncols, {c: med_row[c] for c in ncols}, "front_id")
+    return md.substitution_attribution(model, hold, ncols, md.medians(fit, ncols), "front_id")
 
 
 @query("k18_foldsafe_feature_model")
 def k18_foldsafe_feature_model(spark, sf):
     tr, _ = _train_test(spark, sf)
     spec = _fold_spec(tr)
-    member = splits.assign_folds(tr, "decision_day", spec)
+    tr = cut_lineage(tr)
     out = None
     for s in spec:
         f = s["fold"]
-        fit = member.filter((F.col("fold") == f) & (F.col("role") == "train")).drop("fold", "role")
-        val = member.filter((F.col("fold") == f) & (F.col("role") == "valid")).drop("fold", "role")
+        fit, val = (tr.filter(splits.side_condition("decision_day", s, role)) for role in ("train", "valid"))
         fit_s = enc.segment_stats(fit, fit, ["db_group_last"], ["loan_amount_last"], min_count=20)
         val_s = enc.segment_stats(fit, val, ["db_group_last"], ["loan_amount_last"], min_count=20)
-        fit_e, val_e = enc.foldsafe_target_encoding(fit_s, val_s, ["fl_adminarea"], "target_value", 50.0, 5,
-                                                    order_cols=["front_id"])
+        fit_e, val_e = enc.foldsafe_target_encoding(fit_s, val_s, ["fl_adminarea"], "target_value", 50.0, 5)
         extra = [c for c in fit_e.columns if "__" in c]
         ftr, ncols = _features(fit_e, extra)
         fva, _ = _features(val_e, extra)
         pred, _ = md.fit_score(ftr, fva, ncols, CAT, GBT, SEED, carry=["target_value"])
-        pred = pred.withColumn("fold", F.lit(str(f)))
+        pred = cut_lineage(pred.withColumn("fold", F.lit(str(f))))
         out = pred if out is None else out.unionByName(pred)
     return metrics.fold_auc(out, "target_value", "prediction", "fold")
 
@@ -324,10 +418,14 @@ def i06_out_of_fold_predictions(spark, sf):
     return oof.groupBy("label_domain").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("front_id").alias("n_ids"))
 
 
-@query("i07_seeded_sample")
+@query("i07_seeded_sample", fx.with_views("apps") + """SELECT LEAST(500, COUNT(*)) AS n_rows, LEAST(500, COUNT(*)) AS n_ids, TRUE AS same_again FROM apps WHERE is_test = 0""")
 def i07_seeded_sample(spark, sf):
+    """Size and distinct ids of the sample, and whether another partitioning draws the same one."""
     tr, _ = _train_test(spark, sf)
-    return splits.seeded_sample(tr, "front_id", 500, SEED).select("front_id")
+    one, two = (splits.seeded_sample(df, "front_id", 500, SEED).select("front_id") for df in (tr, tr.repartition(3)))
+    h = F.sum(F.xxhash64("front_id").cast("decimal(38,0)"))
+    return one.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("front_id").alias("n_ids"),
+                   (h == two.select(h).scalar()).alias("same_again"))
 
 
 @query("e35_feature_importance")
@@ -335,7 +433,5 @@ def e35_feature_importance(spark, sf):
     tr, _ = _train_test(spark, sf)
     feats, ncols = _features(tr)
     model = md.fit_model(feats, ncols, CAT, GBT, SEED)
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    names = [*ncols, *[f"i_{c}" for c in CAT]]
-    return spark.createDataFrame([(n, float(v)) for n, v in zip(names, imp)], "feature string, importance double").orderBy(
+    return spark.createDataFrame(md.importances(model), "feature string, importance double").orderBy(
         F.desc("importance"), "feature")
