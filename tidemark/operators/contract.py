@@ -72,11 +72,22 @@ def assert_passed(checks: DataFrame) -> None:
         raise ValueError(f"contract checks failed: {bad}")
 
 
-def label_free(build, df: DataFrame, target: str, seed: int = 7) -> bool:
+def permute(df: DataFrame, col: str, id_col: str, seed: int = 7) -> DataFrame:
+    """``df`` with the values of ``col`` dealt to other rows: the value at each
+    place of one seeded order goes to the row at that place of another."""
+    def placed(cols, s):
+        h = df.select(*cols).withColumn("__h", F.xxhash64(F.col(id_col), F.lit(s))).withColumn("__one", F.lit(1))
+        return prefix_sums(h, [], ["__h", id_col], ["__one"])
+
+    values = placed([id_col, col], seed).select(F.col("__one_before").alias("__place"), col)
+    rows = placed([id_col], seed + 1).select(id_col, F.col("__one_before").alias("__place"))
+    return df.drop(col).join(rows.join(values, "__place").drop("__place"), id_col).select(*df.columns)
+
+
+def label_free(build, df: DataFrame, target: str, id_col: str, seed: int = 7) -> bool:
     """Features built from ``df`` and from ``df`` with a permuted target
     must be identical (``exceptAll`` both ways empty)."""
-    perm = df.withColumn(target, F.when(F.xxhash64(F.col(target), F.lit(seed)) % 2 == 0, F.lit(1) - F.col(target))
-                         .otherwise(F.col(target)))
+    perm = permute(df, target, id_col, seed)
     a = build(df).drop(target)
     b = build(perm).drop(target)
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

@@ -22,8 +22,7 @@ from ..session import cut_lineage
 from .ranks import prefix_sums
 
 
-def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float],
-                    max_group_rows: int | None = None) -> DataFrame:
+def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
     """Exact linear-interpolation quantiles (same rule as ``percentile`` and
     ``quantile_cont``) per ``keys`` group: one row per (keys..., q).
 
@@ -36,7 +35,7 @@ def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str, qs: Sequen
     src = long if keys else long.withColumn("__g", F.lit(0))
     gk = keys or ["__g"]
     dist = src.filter(F.col(value).isNotNull()).groupBy(*gk, value).agg(F.count(F.lit(1)).alias("__c"))
-    pref = prefix_sums(dist, gk, [value], ["__c"], unique=True, max_group_rows=max_group_rows)
+    pref = prefix_sums(dist, gk, [value], ["__c"], unique=True)
     qarr = F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")
     x = pref.select(*gk, value, "__c", "__c_before", "__c_total", qarr)
     h = (F.col("__c_total") - 1) * F.col("q")
@@ -86,16 +85,17 @@ def univariate_drift(train: DataFrame, test: DataFrame, cols: Sequence[str]) ->
         long = long.unionByName(p)
     # The long table feeds five grouped passes (median, two AUCs, stats):
     # materialise it once in the shared checkpoint folder instead of
-    # re-reading and re-joining the sources for each.  Every per-column group
-    # holds at most all rows of both sides, which bounds the prefix passes.
+    # re-reading and re-joining the sources for each.
     long = cut_lineage(long)
-    bound = both.count()
-    med = exact_quantiles(long, ["column_name"], "x", [0.5], bound).select("column_name", F.col("quantile").alias("__med"))
-    filled = long.join(med, "column_name", "left").withColumn(
-        "xf", F.coalesce("x", "__med", F.lit(0.0))).withColumn("miss", F.col("x").isNull().cast("int"))
-    vauc = auc_table(filled, "domain", "xf", ["column_name"], max_group_rows=bound).select(
+    # One median per column: a map in a scalar subquery, so rows aren't dealt by column name.
+    med = exact_quantiles(long, ["column_name"], "x", [0.5])
+    med = med.agg(F.map_from_entries(F.collect_list(F.struct("column_name", "quantile")))).scalar()
+    filled = long.withColumn("__med", med).withColumn(
+        "xf", F.coalesce("x", F.try_element_at("__med", F.col("column_name")), F.lit(0.0))).withColumn(
+        "miss", F.col("x").isNull().cast("int")).drop("__med")
+    vauc = auc_table(filled, "domain", "xf", ["column_name"]).select(
         "column_name", F.greatest("roc_auc", 1 - F.col("roc_auc")).alias("adv_auc_value"))
-    mauc = auc_table(filled, "domain", "miss", ["column_name"], max_group_rows=bound)
+    mauc = auc_table(filled, "domain", "miss", ["column_name"])
     two = filled.groupBy("column_name").agg((F.min("miss") != F.max("miss")).alias("__two"))
     mauc = mauc.join(two, "column_name").select(
         "column_name", F.when(F.col("__two"), F.greatest("roc_auc", 1 - F.col("roc_auc"))).alias("adv_auc_missing"))
@@ -112,7 +112,7 @@ def univariate_target_auc(df: DataFrame, cols: Sequence[str], target: str, min_r
     non-missing rows (at least ``min_rows`` and both classes), folded."""
     long = df.select(target, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
         [target], list(cols), "column_name", "x").filter(F.col("x").isNotNull())
-    a = auc_table(long, target, "x", ["column_name"], max_group_rows=df.count())
+    a = auc_table(long, target, "x", ["column_name"])
     return a.filter(F.col("n_rows") >= min_rows).filter(F.col("roc_auc").isNotNull()).select(
         "column_name", F.greatest("roc_auc", 1 - F.col("roc_auc")).alias("auc"), "n_rows")
 
@@ -139,11 +139,12 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return long.select(F.split("pair", r"\|")[0].alias("a"), F.split("pair", r"\|")[1].alias("b"), "corr")
 
 
-def present_columns(df: DataFrame, cols: Sequence[str], min_share: float = 0.5, limit: int = 20) -> list[str]:
-    """E28 column choice: columns present in more than ``min_share`` of rows
-    (one aggregate row read on the driver), at most ``limit``."""
+def present_columns(df: DataFrame, cols: Sequence[str], min_share: float = 0.5, target: str | None = None) -> list[str]:
+    """E28 column choice: every column present in more than ``min_share`` of
+    rows (one aggregate row read on the driver), and always the target."""
     row = df.agg(*[F.avg(F.col(c).isNotNull().cast("double")).alias(c) for c in cols]).first()
-    return [c for c in cols if row[c] is not None and row[c] > min_share][:limit]
+    kept = [c for c in cols if c != target and row[c] is not None and row[c] > min_share]
+    return kept + ([target] if target else [])
 
 
 def density_histogram(both: DataFrame, col: str, side: str, bins: int = 50, lo_q: float = 0.01, hi_q: float = 0.99) -> DataFrame:
@@ -154,7 +155,8 @@ def density_histogram(both: DataFrame, col: str, side: str, bins: int = 50, lo_q
     lo = q.filter(F.col("q") == lo_q).select(F.min("quantile")).scalar()
     hi = q.filter(F.col("q") == hi_q).select(F.max("quantile")).scalar()
     x = F.col(col)
-    b = F.least(F.floor((x - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
+    # A constant column has one bin.
+    b = F.least(F.floor(F.coalesce(F.try_divide(x - lo, hi - lo), F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
     inside = both.filter(x.isNotNull() & (x >= lo) & (x <= hi))
     return inside.groupBy(side, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 

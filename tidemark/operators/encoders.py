@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import EPS_FOLDSAFE, finite, safe_divide
-from .splits import stratified_kfold
+from .splits import hash_order, stratified_kfold
 
 
 def segment_stats(fit: DataFrame, transform: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[str],
@@ -53,16 +53,18 @@ def smoothed_target_map(fit: DataFrame, cat: str, target: str, smoothing: float,
     m = F.lit(float(smoothing))
     pr = prior if not isinstance(prior, (int, float)) else F.lit(float(prior))
     return fit.filter(F.col(cat).isNotNull()).groupBy(cat).agg(
-        ((F.sum(target) + pr * m) / (F.count(F.lit(1)) + m)).alias("te"))
+        F.coalesce(F.try_divide(F.sum(target) + pr * m, F.count(F.lit(1)) + m), pr).alias("te"))
 
 
 def foldsafe_target_encoding(fit: DataFrame, transform: DataFrame | None, cat_cols: Sequence[str], target: str,
                              smoothing: float = 20.0, inner_splits: int = 5, order_cols: Sequence[str] = (),
-                             label_counts: dict | None = None) -> tuple[DataFrame, DataFrame | None]:
+                             label_counts: dict | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame | None]:
     """Fit rows get out-of-fold encodings from stratified inner folds
     (totals minus the row's own inner fold: one ``groupBy``, no loop over
     folds); transform rows get the full fit map.  Unseen or missing -> prior,
-    the mean target of all fit rows.  Returns (fit_encoded, transform_encoded).
+    the mean target of all fit rows.  Inner folds follow ``order_cols``, by
+    default a seeded hash of the whole row without its target (equal rows
+    share a fold).  Returns (fit_encoded, transform_encoded).
     """
     prior = fit.select(F.avg(target)).scalar()
     if label_counts is None:
@@ -70,7 +72,11 @@ def foldsafe_target_encoding(fit: DataFrame, transform: DataFrame | None, cat_co
     else:
         rare = min(label_counts.values())
     k = max(2, min(inner_splits, int(rare or 0)))
-    folded = stratified_kfold(fit, target, list(order_cols), k, out="__inner")
+    if order_cols:
+        folded = stratified_kfold(fit, target, list(order_cols), k, out="__inner")
+    else:
+        shuffled = fit.withColumn("__order", hash_order([c for c in fit.columns if c != target], seed))
+        folded = stratified_kfold(shuffled, target, ["__order"], k, out="__inner", unique=False).drop("__order")
     m = F.lit(float(smoothing))
     fit_out, tr_out = folded, transform
     for cat in cat_cols:
@@ -81,7 +87,7 @@ def foldsafe_target_encoding(fit: DataFrame, transform: DataFrame | None, cat_co
             F.sum(target).alias("__s_f"), F.count(F.lit(1)).alias("__n_f"))
         oof = per.join(tot, cat).select(
             F.col(cat).alias("__c"), F.col("__inner").alias("__i"),
-            ((F.col("__s_all") - F.col("__s_f") + prior * m) / (F.col("__n_all") - F.col("__n_f") + m)).alias("__te"))
+            F.try_divide(F.col("__s_all") - F.col("__s_f") + prior * m, F.col("__n_all") - F.col("__n_f") + m).alias("__te"))
         j = fit_out.join(oof, (fit_out[cat] == oof["__c"]) & (fit_out["__inner"] == oof["__i"]), "left")
         fit_out = j.withColumn(name, F.coalesce("__te", prior)).drop("__c", "__i", "__te")
         if tr_out is not None:

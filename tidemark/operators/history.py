@@ -21,11 +21,13 @@ def matched_history(history: DataFrame, apps: DataFrame, hist_key: str, app_key:
 
 
 def rollup(history: DataFrame, key: str, value_cols: Sequence[str], flag: Column | None = None,
-           prefix: str = "scoring") -> DataFrame:
+           prefix: str = "scoring", row_number: str | None = None) -> DataFrame:
     """Per key the row count, mean / max / min of every value
-    column (``<prefix>_<col>_<stat>``) and, with ``flag``, the mean and max of
-    the per-row flag."""
+    column (``<prefix>_<col>_<stat>``), with ``row_number`` its largest value,
+    and, with ``flag``, the mean and max of the per-row flag."""
     aggs = [F.count(F.lit(1)).alias(f"{prefix}_rn_count")]
+    if row_number:
+        aggs.append(F.max(row_number).alias(f"{prefix}_rn_max"))
     for c in value_cols:
         aggs += [F.avg(c).alias(f"{prefix}_{c}_mean"), F.max(c).alias(f"{prefix}_{c}_max"), F.min(c).alias(f"{prefix}_{c}_min")]
     if flag is not None:

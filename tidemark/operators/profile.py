@@ -111,31 +111,24 @@ def category_prevalence(df: DataFrame, cat: str, target: str, top: int = 15) ->
 
 def duplicate_summary(train: DataFrame, test: DataFrame, feature_cols: Sequence[str], target: str) -> DataFrame:
     """E09 + F07: duplicates by grouping on the feature columns themselves
-    (null-safe, no hash collisions); train/test shared signatures via a
-    null-safe join of the two group tables."""
+    (null-safe, no hash collisions).  One grouping of the tagged union per
+    signature (whole row; feature columns) gives both sides' counts, and two
+    1-row aggregates sum them up."""
     fc = list(feature_cols)
-    tr_full = train.groupBy(*train.columns).count()
-    te_full = test.groupBy(*test.columns).count()
-    gtr = train.groupBy(*fc).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(target).alias("k"))
-    gte = test.groupBy(*fc).agg(F.count(F.lit(1)).alias("n"))
-    shared = join_back(gtr.select(*fc, F.col("n").alias("ntr")), gte.select(*fc, F.col("n").alias("nte")), fc, "inner")
-    parts = [
-        tr_full.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("train_full_duplicate_rows")),
-        te_full.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("test_full_duplicate_rows")),
-        gtr.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("train_duplicate_feature_rows"),
-                F.count_if((F.col("n") > 1) & (F.col("k") > 1)).alias("train_conflicting_groups"),
-                F.coalesce(F.sum(F.when((F.col("n") > 1) & (F.col("k") > 1), F.col("n"))), F.lit(0)).alias("train_conflicting_rows")),
-        gte.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("test_duplicate_feature_rows")),
-        shared.agg(F.count(F.lit(1)).alias("shared_signatures"),
-                   F.coalesce(F.sum("ntr"), F.lit(0)).alias("train_rows_shared"),
-                   F.coalesce(F.sum("nte"), F.lit(0)).alias("test_rows_shared")),
-    ]
-    # Five 1-row aggregates side by side: scalar subqueries, no cross join.
-    cols = []
-    for p in parts:
-        for c in p.columns:
-            cols.append(p.select(F.col(c).cast("long")).scalar().alias(c))
-    return train.sparkSession.range(1).select(*cols)
+    extra = [c for c in train.columns if c not in test.columns]  # the target
+    both = tagged_union(train, test, "__side")
+    rows = lambda side: F.count_if(F.col("__side") == side)
+    whole = both.groupBy(*test.columns, *extra, "__side").agg(F.count(F.lit(1)).alias("n")).agg(
+        *[F.coalesce(F.sum(F.when(F.col("__side") == k, F.col("n") - 1)), F.lit(0)).alias(f"{s}_full_duplicate_rows") for k, s in enumerate(("train", "test"))])
+    g = both.groupBy(*fc).agg(rows(0).alias("t"), rows(1).alias("e"), F.min(target).alias("lo"), F.max(target).alias("hi"))
+    total = lambda c, cond: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0))
+    conflict = (F.col("t") > 1) & (F.col("lo") < F.col("hi"))
+    shared = (F.col("t") > 0) & (F.col("e") > 0)
+    sums = g.agg(
+        total("t", F.col("t") > 1).alias("train_duplicate_feature_rows"), F.count_if(conflict).alias("train_conflicting_groups"),
+        total("t", conflict).alias("train_conflicting_rows"), total("e", F.col("e") > 1).alias("test_duplicate_feature_rows"),
+        F.count_if(shared).alias("shared_signatures"), total("t", shared).alias("train_rows_shared"), total("e", shared).alias("test_rows_shared"))
+    return sums.select(*[whole.select(F.col(c).cast("long")).scalar().alias(c) for c in whole.columns], *[F.col(c).cast("long").alias(c) for c in sums.columns])
 
 
 def categorical_overlap(train: DataFrame, test: DataFrame, cols: Sequence[str]) -> DataFrame:

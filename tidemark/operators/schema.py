@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
@@ -81,34 +81,53 @@ def split_feature_space(columns: Sequence[str], offer_cols: Sequence[str], conte
     return absolute, relative
 
 
-def feature_variants(numeric: Sequence[str], categorical: Sequence[str], day: str,
-                     fit: DataFrame) -> dict[str, Callable[[DataFrame], list[Column]]]:
-    """Named feature families, each a function frame -> extra columns."""
+def feature_variants(numeric: Sequence[str], categorical: Sequence[str], day: str, fit: DataFrame,
+                     row_id: str) -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """Named feature families, each a function frame -> frame with extra
+    columns.  The frame holds the rows of both sides (train and test), over
+    which frequencies and bins are counted; ``fit`` gives the first day.
+
+    ``quantile_bins`` leaves out columns with missing values, and
+    ``all_label_free`` is every family but the calendar."""
     from ..functions import calendar as cal
     from ..functions import categorical as catf
+    from .encoders import frequency_encoding
+    from .ranks import equal_count_bins, is_complete
 
     def base(df):
-        return []
+        return df
 
     def log(df):
-        return [sc.signed_log1p(c).alias(f"{c}_slog") for c in numeric]
+        return df.select("*", *[sc.signed_log1p(c).alias(f"{c}_slog") for c in numeric])
 
     def zero_flags(df):
-        return [sc.zero_flag(c).alias(f"{c}_is_zero") for c in numeric] + [
-            sc.missing_count(list(numeric)).alias("n_missing_numeric")]
+        return df.select("*", *[sc.zero_flag(c).alias(f"{c}_is_zero") for c in numeric],
+                         sc.missing_count(list(numeric)).alias("n_missing_numeric"))
+
+    def frequency(df):
+        for c in categorical:
+            df = frequency_encoding([df], df, c, f"{c}_combined_freq")
+        return df
+
+    def quantile_bins(df):
+        for c in numeric:
+            if is_complete(df, c):
+                df = equal_count_bins(df, c, row_id, f"{c}_qbin16", 16)
+        return df
 
     def cat_interactions(df):
         pairs = [(a, b) for i, a in enumerate(categorical) for b in categorical[i + 1:]]
-        return [catf.cross(a, b).alias(f"{a}__x__{b}") for a, b in pairs]
+        return df.select("*", *[catf.cross(a, b).alias(f"{a}__x__{b}") for a, b in pairs])
 
     def time_regime(df):
-        return cal.calendar_columns(day, fit, "no_month")
+        return df.select("*", *cal.calendar_columns(day, fit, "time_all"))
 
     def all_label_free(df):
-        return log(df) + zero_flags(df) + cat_interactions(df) + time_regime(df)
+        for family in (log, zero_flags, frequency, quantile_bins, cat_interactions):
+            df = family(df)
+        return df
 
-    return {"base": base, "log": log, "zero_flags": zero_flags, "cat_interactions": cat_interactions,
-            "time_regime": time_regime, "all_label_free": all_label_free}
+    return {f.__name__: f for f in (base, log, zero_flags, frequency, quantile_bins, cat_interactions, time_regime, all_label_free)}
 
 
 def check_target(train: DataFrame, test: DataFrame, target: str) -> DataFrame:
@@ -116,13 +135,16 @@ def check_target(train: DataFrame, test: DataFrame, target: str) -> DataFrame:
     Returns a (check, passed, detail) table."""
     in_train = target in train.columns
     in_test = target in test.columns
-    vals = train.agg(F.array_sort(F.collect_set(F.col(target).cast("string"))).alias("v")) if in_train else None
+    is0, is1 = F.col(target) == 0, F.col(target) == 1
+    vals = train.agg(F.count_if(is0).alias("n0"), F.count_if(is1).alias("n1"),
+                     F.count_if(F.col(target).isNotNull() & ~is0 & ~is1).alias("other")) if in_train else None
     s = train.sparkSession
     rows = [("target_in_train", in_train, ""), ("target_not_in_test", not in_test, "")]
     base = s.createDataFrame(rows, "check string, passed boolean, detail string")
     if vals is None:
         return base
+    seen = F.concat_ws(",", F.when(F.col("n0") > 0, "0"), F.when(F.col("n1") > 0, "1"), F.when(F.col("other") > 0, "other"))
     v = vals.select(F.lit("target_values_binary").alias("check"),
-                    (F.col("v") == F.array(F.lit("0"), F.lit("1"))).alias("passed"),
-                    F.array_join("v", ",").alias("detail"))
+                    ((F.col("n0") > 0) & (F.col("n1") > 0) & (F.col("other") == 0)).alias("passed"),
+                    seen.alias("detail"))
     return base.unionByName(v)

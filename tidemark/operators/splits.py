@@ -47,21 +47,28 @@ def holdout_spec(holdouts: Sequence[tuple[str, str]], end: str | None = None) ->
     ]
 
 
+def side_condition(day: str, s: dict, role: str) -> Column:
+    """Whether a row is on the ``train`` or ``valid`` side of one fold of a spec."""
+    d = F.col(day)
+    if role == "train":
+        before = d < s["cutoff"]
+        return F.when(s["train_start"].isNull(), before).otherwise(before & (d >= s["train_start"]))
+    if role != "valid":
+        raise ValueError(f"unknown role {role}")
+    hi = (d <= s["valid_end"]) if s["end_inclusive"] else (d < s["valid_end"])
+    return (d >= s["cutoff"]) & F.coalesce(hi, F.lit(bool(s["end_inclusive"])))
+
+
 def assign_folds(df: DataFrame, day: str, spec: list[dict], fold_col: str = "fold", role_col: str = "role") -> DataFrame:
     """Row -> (fold, role) membership (F10); a row may land in many folds.
 
     Roles are ``train`` (day < cutoff, and >= train_start when set) and
     ``valid`` (cutoff <= day < valid_end, or <= valid_end for holdouts).
     """
-    d = F.col(day)
-    entries = []
-    for s in spec:
-        tr = d < s["cutoff"]
-        tr = F.when(s["train_start"].isNull(), tr).otherwise(tr & (d >= s["train_start"]))
-        hi = (d <= s["valid_end"]) if s["end_inclusive"] else (d < s["valid_end"])
-        va = (d >= s["cutoff"]) & F.coalesce(hi, F.lit(True) if s["end_inclusive"] else F.lit(False))
-        for role, cond in (("train", tr), ("valid", va)):
-            entries.append(F.when(cond, F.struct(F.lit(s["fold"]).alias("f"), F.lit(role).alias("r"))))
+    entries = [
+        F.when(side_condition(day, s, role), F.struct(F.lit(s["fold"]).alias("f"), F.lit(role).alias("r")))
+        for s in spec for role in ("train", "valid")
+    ]
     return (
         df.select("*", F.explode(F.array(*entries)).alias("__fr"))
         .filter(F.col("__fr").isNotNull())
@@ -81,14 +88,13 @@ def fold_table(df: DataFrame, day: str, label: str, fold_col: str = "fold", role
 
 
 def drop_empty_folds(member: DataFrame, fold_col: str = "fold", role_col: str = "role") -> DataFrame:
-    """Rolling folds with an empty side are dropped, fold numbers kept."""
-    ok = (
-        member.groupBy(fold_col)
-        .agg(F.countDistinct(role_col).alias("__nr"))
-        .filter(F.col("__nr") == 2)
-        .select(fold_col)
-    )
-    return member.join(ok, fold_col, "left_semi")
+    """Rolling folds with an empty side are dropped, fold numbers kept.
+
+    The folds with both sides (as many as there are cutoffs) are one scalar
+    subquery, so rows are filtered where they are."""
+    sides = member.groupBy(fold_col).agg(F.min(role_col).alias("__a"), F.max(role_col).alias("__z"))
+    full = sides.filter(F.col("__a") != F.col("__z")).agg(F.collect_set(fold_col)).scalar()
+    return member.filter(F.array_contains(full, F.col(fold_col)))
 
 
 def hash_order(cols: Sequence[str], seed: int) -> Column:
@@ -107,8 +113,10 @@ def stratified_split(df: DataFrame, label: str, id_col: str, seed: int, train_sh
     """
     h = df.withColumn("__h", hash_order([id_col], seed)).withColumn("__one", F.lit(1))
     pref = prefix_sums(h, [label], ["__h", id_col], ["__one"])
-    n = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    pref = pref.join(n, label)
+    # One entry per class, as a map in a scalar subquery: rows stay where they are.
+    counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = counts.agg(F.map_from_entries(F.collect_list(F.struct(F.col(label), F.col("__n"))))).scalar()
+    pref = pref.filter(F.col(label).isNotNull()).withColumn("__n", F.element_at(sizes, F.col(label)))
     # ceil(n * share) in decimal arithmetic: 0.7 * 10 is exactly 7, not 7.000...1.
     from decimal import Decimal
 
@@ -116,12 +124,14 @@ def stratified_split(df: DataFrame, label: str, id_col: str, seed: int, train_sh
     return pref.select(*df.columns, ((F.col("__one_before") + 1) <= n_train).cast("int").alias(out))
 
 
-def stratified_kfold(df: DataFrame, label: str, order_cols: Sequence[str], k: int, out: str = "inner_fold") -> DataFrame:
+def stratified_kfold(df: DataFrame, label: str, order_cols: Sequence[str], k: int, out: str = "inner_fold",
+                     unique: bool = True) -> DataFrame:
     """Stratified inner folds (I05): ``(position within class) % k`` where the
-    position follows ``order_cols`` (a hash key and the id, or the id alone);
-    the order columns must identify a row."""
+    position follows ``order_cols`` (a hash key and the id, or the id alone).
+    ``unique`` promises that a single order column identifies a row; without
+    it rows that tie share a position."""
     h = df.withColumn("__one", F.lit(1))
-    pref = prefix_sums(h, [label], list(order_cols), ["__one"], unique=len(order_cols) == 1)
+    pref = prefix_sums(h, [label], list(order_cols), ["__one"], unique=unique and len(order_cols) == 1)
     return pref.select(*df.columns, (F.col("__one_before") % k).cast("int").alias(out))
 
 

@@ -94,7 +94,7 @@ CORR_COLS = ["loan_amount_last", "balance_amt", "cnt_30", "cnt_90", "target_valu
     for i, a in enumerate(CORR_COLS) for b in CORR_COLS[i + 1:]))
 def e28_correlation_matrix(spark, sf):
     tr, _ = _pair(spark, sf)
-    cols = dr.present_columns(tr, CORR_COLS, 0.5, 20)
+    cols = dr.present_columns(tr, CORR_COLS, 0.5, "target_value")
     m = dr.correlation_matrix(tr, cols)
     return m.select("a", "b", (F.round("corr", 6) + 0.0).alias("corr"))
 
@@ -111,10 +111,23 @@ def e32_density_histogram(spark, sf):
     return dr.density_histogram(fx.apps(spark, sf), "loan_amount_last", "is_test", 50)
 
 
-@query("e33_class_histogram", W("apps") + ", tr AS (SELECT * FROM apps WHERE is_test = 0), " + _hist_sql("tr", "balance_amt", "target_value", 20))
+def _class_hist_sql() -> str:
+    """One histogram per numeric column and one of a constant column (a single bin)."""
+    parts = [f"(WITH {_hist_sql('tr', c, 'target_value', 20)})".replace(
+        "SELECT target_value, CAST(LEAST", f"SELECT '{c}' AS column_name, target_value, CAST(LEAST") for c in NUM]
+    parts.append("(SELECT 'constant' AS column_name, target_value, 0 AS bin, COUNT(*) AS n FROM tr GROUP BY target_value)")
+    return W("apps") + ", tr AS (SELECT * FROM apps WHERE is_test = 0)\n" + "\nUNION ALL ".join(f"SELECT column_name, target_value, bin, n FROM {p}" for p in parts)
+
+
+@query("e33_class_histogram", _class_hist_sql())
 def e33_class_histogram(spark, sf):
     tr, _ = _pair(spark, sf)
-    return dr.density_histogram(tr, "balance_amt", "target_value", 20)
+    tr = tr.withColumn("constant", F.lit(3.0))
+    out = None
+    for c in [*NUM, "constant"]:
+        part = dr.density_histogram(tr, c, "target_value", 20).withColumn("column_name", F.lit(c))
+        out = part if out is None else out.unionByName(part)
+    return out.select("column_name", "target_value", "bin", "n")
 
 
 @query("e38_drift_by_month", W("apps") + """SELECT strftime(decision_day, '%Y-%m') AS month, COUNT(*) AS n_rows, ROUND(AVG(target_value), 9) AS prevalence,

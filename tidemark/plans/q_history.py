@@ -45,6 +45,22 @@ def e18_e19_history_rollup(spark, sf):
     return r
 
 
+@query("e18_e19_loan_history", W("apps") + """, m AS (SELECT user_id, event_id % 50 AS rn, CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(event_id % 3 AS DOUBLE) END AS pre_loans5,
+  CAST(event_id % 7 - 6 AS DOUBLE) AS pre_loans30 FROM events WHERE user_id IN (SELECT cust_id FROM apps))
+SELECT user_id, COUNT(*) AS scoring_rn_count, MAX(rn) AS scoring_rn_max, ROUND(AVG(pre_loans5), 9) AS scoring_pre_loans5_mean, MAX(pre_loans5) AS scoring_pre_loans5_max,
+  MIN(pre_loans5) AS scoring_pre_loans5_min, ROUND(AVG(CASE WHEN pre_loans5 > 0 OR pre_loans30 > 0 THEN 1e0 ELSE 0e0 END), 9) AS scoring_any_overdue_row_mean,
+  CAST(MAX(CASE WHEN pre_loans5 > 0 OR pre_loans30 > 0 THEN 1 ELSE 0 END) AS INTEGER) AS scoring_any_overdue_row_max FROM m GROUP BY user_id""")
+def e18_e19_loan_history(spark, sf):
+    """The overdue flag over loan columns, missing values among them, and the largest row number."""
+    eid = F.col("event_id")
+    m = _matched(spark, sf).select("user_id", (eid % 50).alias("rn"), F.when(eid % 4 != 0, (eid % 3).cast("double")).alias("pre_loans5"),
+                                   (eid % 7 - 6).cast("double").alias("pre_loans30"))
+    r = hs.rollup(m, "user_id", ["pre_loans5"], flag=hs.any_positive(["pre_loans5", "pre_loans30"]), row_number="rn")
+    for c in ("scoring_pre_loans5_mean", "scoring_any_overdue_row_mean"):
+        r = r.withColumn(c, F.round(c, 9))
+    return r
+
+
 @query("f04_history_left_join", W("apps") + ", " + HIST_SQL + """ SELECT front_id, CAST(scoring_rn_count AS DOUBLE) AS scoring_rn_count,
   ROUND(scoring_value_mean, 9) AS scoring_value_mean, scoring_value_max, scoring_value_min,
   ROUND(scoring_any_overdue_row_mean, 9) AS scoring_any_overdue_row_mean, CAST(scoring_any_overdue_row_max AS DOUBLE) AS scoring_any_overdue_row_max,

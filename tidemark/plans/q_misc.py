@@ -42,29 +42,40 @@ def b07_id_membership_semi_anti(spark, sf):
   ROUND(SIGN(balance_amt) * LN(1 + ABS(balance_amt)), 6) + 0e0 AS balance_amt_slog,
   COALESCE(CAST(cnt_30 = 0 AS INTEGER), 0) AS cnt_30_is_zero, COALESCE(CAST(cnt_90 = 0 AS INTEGER), 0) AS cnt_90_is_zero,
   CAST(balance_amt IS NULL AS INTEGER) + CAST(cnt_90 IS NULL AS INTEGER) AS n_missing_numeric,
-  COALESCE(db_group_last, '__MISSING__') || '__' || COALESCE(fl_adminarea, '__MISSING__') AS db_group_last__x__fl_adminarea
+  COUNT(*) OVER (PARTITION BY db_group_last) AS db_group_last_combined_freq, COUNT(*) OVER (PARTITION BY fl_adminarea) AS fl_adminarea_combined_freq,
+  CAST(GREATEST(((ROW_NUMBER() OVER (ORDER BY loan_amount_last, front_id) - 1) * 16 + COUNT(*) OVER () - 2) // (COUNT(*) OVER () - 1) - 1, 0) AS BIGINT) AS loan_amount_last_qbin16,
+  CAST(GREATEST(((ROW_NUMBER() OVER (ORDER BY cnt_30, front_id) - 1) * 16 + COUNT(*) OVER () - 2) // (COUNT(*) OVER () - 1) - 1, 0) AS BIGINT) AS cnt_30_qbin16,
+  COALESCE(db_group_last, '__MISSING__') || '__' || COALESCE(fl_adminarea, '__MISSING__') AS db_group_last__x__fl_adminarea,
+  CAST(date_diff('day', (SELECT MIN(decision_day) FROM apps WHERE is_test = 0), decision_day) AS INTEGER) AS day_num,
+  strftime(decision_day, '%Y-%m') AS month, CAST(weekofyear(decision_day) AS INTEGER) AS week
 FROM apps""")
 def b11_feature_family_variants(spark, sf):
     a = fx.apps(spark, sf)
     fit = a.filter("is_test = 0")
-    v = feature_variants(["loan_amount_last", "balance_amt"], CAT, "decision_day", fit)
-    zero = feature_variants(["cnt_30", "cnt_90"], CAT, "decision_day", fit)["zero_flags"](a)
-    cols = [(F.round(sc.signed_log1p(c), 6) + 0.0).alias(f"{c}_slog") for c in ("loan_amount_last", "balance_amt")]
-    return a.select("front_id", *cols, *zero[:2],
-                    sc.missing_count(["balance_amt", "cnt_90"]).alias("n_missing_numeric"),
-                    *v["cat_interactions"](a))
-
-
-@query("b13_drift_exclusion_sets", W("apps") + """SELECT * FROM (VALUES ('all_except_id', 7), ('no_decision_day', 6)) t(exclusion_set, n_columns)
-CROSS JOIN (SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (WHERE is_test = 1) AS n_test FROM apps)""")
+    v = feature_variants(NUM, CAT, "decision_day", fit, "front_id")
+    # Columns with missing values (balance_amt, cnt_90) have no bins.
+    full = v["time_regime"](v["all_label_free"](v["base"](a)))
+    assert not {"balance_amt_qbin16", "cnt_90_qbin16"} & set(full.columns)
+    return full.select("front_id", *[(F.round(f"{c}_slog", 6) + 0.0).alias(f"{c}_slog") for c in ("loan_amount_last", "balance_amt")],
+                       "cnt_30_is_zero", "cnt_90_is_zero", "n_missing_numeric", *[f"{c}_combined_freq" for c in CAT],
+                       "loan_amount_last_qbin16", "cnt_30_qbin16", "db_group_last__x__fl_adminarea", "day_num", "month", "week")
+
+
+@query("b13_drift_exclusion_sets", W("offers") + """SELECT exclusion_set, column_name, n_present FROM (VALUES
+  ('all_except_id', 'decision_day'), ('all_except_id', 'offered_rate'), ('all_except_id', 'overdraft_limit_min'), ('all_except_id', 'overdraft_limit_max'),
+  ('no_decision_day', 'offered_rate'), ('no_decision_day', 'overdraft_limit_min'), ('no_decision_day', 'overdraft_limit_max'),
+  ('no_day_cb_offered', 'overdraft_limit_min'), ('no_day_cb_offered', 'overdraft_limit_max'),
+  ('no_day_rate_limits', 'l_linestatus'), ('all_except_id', 'l_linestatus'), ('no_decision_day', 'l_linestatus'), ('no_day_cb_offered', 'l_linestatus')) t(exclusion_set, column_name)
+JOIN (SELECT 'decision_day' AS column_name, COUNT(decision_day) AS n_present FROM offers UNION ALL SELECT 'offered_rate', COUNT(offered_rate) FROM offers
+  UNION ALL SELECT 'overdraft_limit_min', COUNT(overdraft_limit_min) FROM offers UNION ALL SELECT 'overdraft_limit_max', COUNT(overdraft_limit_max) FROM offers
+  UNION ALL SELECT 'l_linestatus', COUNT(l_linestatus) FROM offers) USING (column_name)""")
 def b13_drift_exclusion_sets(spark, sf):
-    a = fx.apps(spark, sf)
-    base = ["decision_day", *NUM, *CAT]
+    o = fx.offers(spark, sf)
+    base = ["decision_day", *fx.OFFER_COLS, "l_linestatus"]
+    present = o.agg(*[F.count(c).alias(c) for c in base]).unpivot([], base, "column_name", "n_present")
     out = None
-    for name in ("all_except_id", "no_decision_day"):
-        cols = [c for c in base if c not in DRIFT_EXCLUSIONS[name]]
-        part = a.select("is_test", *cols).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("is_test") == 1).alias("n_test")).select(
-            F.lit(name).alias("exclusion_set"), F.lit(len(cols)).alias("n_columns"), "n_rows", "n_test")
+    for name, gone in DRIFT_EXCLUSIONS.items():
+        part = present.filter(~F.col("column_name").isin(gone) if gone else F.lit(True)).select(F.lit(name).alias("exclusion_set"), "column_name", "n_present")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -98,7 +109,7 @@ def c27_trial_param_typing(spark, sf):
                     F.aggregate("p.int_list", F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias("list_sum"))
 
 
-@query("c30_positive_class_score")
+@query("c30_positive_class_score", W("apps") + "SELECT COUNT(*) AS n_rows, COUNT(*) AS n_in_range, CAST(0 AS BIGINT) AS n_missing FROM apps WHERE is_test = 1")
 def c30_positive_class_score(spark, sf):
     from . import models as md
     a = fx.apps(spark, sf)
@@ -107,19 +118,18 @@ def c30_positive_class_score(spark, sf):
     fte, _ = md.tree_features(te, NUM, CAT)
     pred, _ = md.fit_score(ftr, fte, ncols, CAT, {"model_type": "logreg", "iterations": 20, "clip": 1e-6}, 42)
     md.check_scores(pred)
-    return pred.agg(F.count(F.lit(1)).alias("n_rows"), F.min("prediction").alias("min"), F.max("prediction").alias("max"))
+    p = F.col("prediction")
+    return pred.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if((p >= 1e-6) & (p <= 1 - 1e-6)).alias("n_in_range"),
+                    F.count_if(p.isNull()).alias("n_missing"))
 
 
 @query("e36_substitution_attribution")
 def e36_substitution_attribution(spark, sf):
     from . import models as md
-    from ..operators import splits
     tr = fx.train_apps(spark, sf)
     feats, ncols = md.tree_features(tr, NUM, CAT)
     model = md.fit_model(feats, ncols, CAT, {"model_type": "logreg", "iterations": 20}, 42)
-    sample = splits.seeded_sample(feats, "front_id", 400, 7)
-    med = feats.agg(*[F.median(c).alias(c) for c in ncols]).first()
-    return md.substitution_attribution(model, sample, ncols, {c: med[c] for c in ncols}, "front_id")
+    return md.substitution_attribution(model, feats, ncols, md.medians(feats, ncols), "front_id")
 
 
 @query("f02_one_to_one_join_check", W("scores") + """SELECT COUNT(*) AS n_joined, (SELECT COUNT(*) - COUNT(DISTINCT (fold, front_id)) FROM scores) AS left_dups,

@@ -105,12 +105,13 @@ def e07_h03_category_prevalence_top15(spark, sf):
 DUP_FEATS = ["db_group_last", "fl_adminarea", "cnt_30", "cnt_90"]
 
 
-@query("e09_f07_duplicate_summary", W("apps") + """, tr AS (SELECT * EXCLUDE (is_test) FROM apps WHERE is_test = 0),
+def _dup_sql(feats: list[str]) -> str:
+    cols, same = ", ".join(feats), " AND ".join(f"gtr.{c} IS NOT DISTINCT FROM gte.{c}" for c in feats)
+    return W("apps") + f""", tr AS (SELECT * EXCLUDE (is_test) FROM apps WHERE is_test = 0),
 te AS (SELECT * EXCLUDE (is_test, target_value) FROM apps WHERE is_test = 1),
-gtr AS (SELECT db_group_last, fl_adminarea, cnt_30, cnt_90, COUNT(*) AS n, COUNT(DISTINCT target_value) AS k FROM tr GROUP BY ALL),
-gte AS (SELECT db_group_last, fl_adminarea, cnt_30, cnt_90, COUNT(*) AS n FROM te GROUP BY ALL),
-sh AS (SELECT gtr.n AS ntr, gte.n AS nte FROM gtr JOIN gte ON gtr.db_group_last IS NOT DISTINCT FROM gte.db_group_last
-  AND gtr.fl_adminarea IS NOT DISTINCT FROM gte.fl_adminarea AND gtr.cnt_30 IS NOT DISTINCT FROM gte.cnt_30 AND gtr.cnt_90 IS NOT DISTINCT FROM gte.cnt_90)
+gtr AS (SELECT {cols}, COUNT(*) AS n, COUNT(DISTINCT target_value) AS k FROM tr GROUP BY {cols}),
+gte AS (SELECT {cols}, COUNT(*) AS n FROM te GROUP BY {cols}),
+sh AS (SELECT gtr.n AS ntr, gte.n AS nte FROM gtr JOIN gte ON {same})
 SELECT (SELECT COUNT(*) - COUNT(DISTINCT tr) FROM tr) AS train_full_duplicate_rows,
   (SELECT COUNT(*) - COUNT(DISTINCT te) FROM te) AS test_full_duplicate_rows,
   (SELECT CAST(COALESCE(SUM(n) FILTER (WHERE n > 1), 0) AS BIGINT) FROM gtr) AS train_duplicate_feature_rows,
@@ -118,12 +119,21 @@ SELECT (SELECT COUNT(*) - COUNT(DISTINCT tr) FROM tr) AS train_full_duplicate_ro
   (SELECT CAST(COALESCE(SUM(n) FILTER (WHERE n > 1 AND k > 1), 0) AS BIGINT) FROM gtr) AS train_conflicting_rows,
   (SELECT CAST(COALESCE(SUM(n) FILTER (WHERE n > 1), 0) AS BIGINT) FROM gte) AS test_duplicate_feature_rows,
   (SELECT COUNT(*) FROM sh) AS shared_signatures, (SELECT CAST(COALESCE(SUM(ntr), 0) AS BIGINT) FROM sh) AS train_rows_shared,
-  (SELECT CAST(COALESCE(SUM(nte), 0) AS BIGINT) FROM sh) AS test_rows_shared""")
+  (SELECT CAST(COALESCE(SUM(nte), 0) AS BIGINT) FROM sh) AS test_rows_shared"""
+
+
+@query("e09_f07_duplicate_summary", _dup_sql(DUP_FEATS))
 def e09_f07_duplicate_summary(spark, sf):
     tr, te = _pair(spark, sf)
     return pf.duplicate_summary(tr, te, DUP_FEATS, "target_value")
 
 
+@query("e09_duplicates_on_all_features", _dup_sql(FEATS))
+def e09_duplicates_on_all_features(spark, sf):
+    tr, te = _pair(spark, sf)
+    return pf.duplicate_summary(tr, te, FEATS, "target_value")
+
+
 @query("f07_shared_signature_rows", W("apps") + """, te AS (SELECT DISTINCT db_group_last, fl_adminarea, cnt_30, cnt_90 FROM apps WHERE is_test = 1)
 SELECT front_id FROM apps a WHERE is_test = 0 AND EXISTS (SELECT 1 FROM te WHERE te.db_group_last IS NOT DISTINCT FROM a.db_group_last
   AND te.fl_adminarea IS NOT DISTINCT FROM a.fl_adminarea AND te.cnt_30 IS NOT DISTINCT FROM a.cnt_30 AND te.cnt_90 IS NOT DISTINCT FROM a.cnt_90)""")
@@ -211,13 +221,20 @@ def m03_target_contract(spark, sf):
     "AVG(CAST({c} IS NULL AS DOUBLE)) FILTER (WHERE is_test = 1) AS test_missing_rate, "
     "COUNT(DISTINCT {c}) FILTER (WHERE is_test = 0) + MAX(CASE WHEN is_test = 0 AND {c} IS NULL THEN 1 ELSE 0 END) AS train_nunique, "
     "COUNT(DISTINCT {c}) FILTER (WHERE is_test = 1) + MAX(CASE WHEN is_test = 1 AND {c} IS NULL THEN 1 ELSE 0 END) AS test_nunique FROM apps",
-    FEATS))
+    FEATS).join(["SELECT column_name, role_initial, in_train, in_test, train_dtype, test_dtype, train_missing_rate, test_missing_rate, train_nunique, test_nunique FROM (",
+    """) JOIN (VALUES ('decision_day', 'date_grouping_feature_candidate', TRUE, TRUE, 'date', 'date'),
+  ('loan_amount_last', 'numeric_feature_candidate', TRUE, TRUE, 'double', 'double'), ('balance_amt', 'numeric_feature_candidate', TRUE, TRUE, 'double', 'double'),
+  ('db_group_last', 'categorical_feature', TRUE, TRUE, 'string', 'string'), ('fl_adminarea', 'categorical_feature', TRUE, TRUE, 'string', 'string'),
+  ('cnt_30', 'numeric_feature_candidate', TRUE, TRUE, 'double', 'double'), ('cnt_90', 'numeric_feature_candidate', TRUE, TRUE, 'double', 'double'))
+  t(column_name, role_initial, in_train, in_test, train_dtype, test_dtype) USING (column_name)
+UNION ALL SELECT 'front_id', 'id_excluded', TRUE, TRUE, 'bigint', 'bigint', 0e0, 0e0, COUNT(DISTINCT front_id) FILTER (WHERE is_test = 0), COUNT(DISTINCT front_id) FILTER (WHERE is_test = 1) FROM apps
+UNION ALL SELECT 'cust_id', 'numeric_feature_candidate', TRUE, TRUE, 'bigint', 'bigint', 0e0, 0e0, COUNT(DISTINCT cust_id) FILTER (WHERE is_test = 0), COUNT(DISTINCT cust_id) FILTER (WHERE is_test = 1) FROM apps
+UNION ALL SELECT 'target_value', 'target', TRUE, FALSE, 'int', '', 0e0, 1e0, COUNT(DISTINCT target_value) FILTER (WHERE is_test = 0), 1 FROM apps"""]))
 def b03_schema_report(spark, sf):
     tr, te = _pair(spark, sf)
     roles = {"front_id": "id_excluded", "target_value": "target", "decision_day": "date_grouping_feature_candidate",
              "db_group_last": "categorical_feature", "fl_adminarea": "categorical_feature"}
-    rep = pf.schema_report(tr.drop("front_id", "target_value"), te.drop("front_id"), roles, "front_id", "target_value")
-    return rep.select("column_name", "train_missing_rate", "test_missing_rate", "train_nunique", "test_nunique")
+    return pf.schema_report(tr, te, roles, "front_id", "target_value")
 
 
 @query("g01_tagged_union", W("apps") + """SELECT side, COUNT(*) AS n_rows, COUNT(target_value) AS n_target FROM (
@@ -246,10 +263,10 @@ def g06_wide_to_long(spark, sf):
     return wide_to_long(fx.apps(spark, sf), ["front_id"], NUM, "column_name", "value")
 
 
-@query("h02_multi_key_sort_nulls_last", W("apps") + """SELECT front_id, balance_amt, cnt_90 FROM apps WHERE is_test = 1
+@query("h02_multi_key_sort_nulls_last", W("apps") + """SELECT front_id, balance_amt, cnt_90 FROM apps
 ORDER BY balance_amt DESC NULLS LAST, cnt_90 ASC NULLS LAST, front_id""")
 def h02_multi_key_sort_nulls_last(spark, sf):
-    a = fx.apps(spark, sf).filter("is_test = 1")
+    a = fx.apps(spark, sf)
     return a.select("front_id", "balance_amt", "cnt_90").orderBy(F.desc_nulls_last("balance_amt"), F.asc_nulls_last("cnt_90"), "front_id")
 
 
@@ -259,9 +276,5 @@ ORDER BY rate DESC, n_rows DESC, fl_adminarea LIMIT 1""")
 def h04_best_row_by_tuple(spark, sf):
     tr, _ = _pair(spark, sf)
     g = tr.groupBy("fl_adminarea").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("target_value").alias("rate"))
-    best = g.agg(F.max_by(F.struct("fl_adminarea", "n_rows", "rate"),
-                          F.struct("rate", "n_rows", F.lit(0) - F.lit(0))).alias("b"))
-    # max_by on a (rate, n_rows) tuple; ties broken by the smallest name below.
-    top = g.join(best.select(F.col("b.rate").alias("r"), F.col("b.n_rows").alias("n")),
-                 (F.col("rate") == F.col("r")) & (F.col("n_rows") == F.col("n")))
-    return top.orderBy("fl_adminarea").limit(1).select("fl_adminarea", "n_rows", F.round("rate", 9).alias("rate"))
+    # Best (rate, rows), ties by the smallest name: each task keeps one row.
+    return g.orderBy(F.desc("rate"), F.desc("n_rows"), "fl_adminarea").limit(1).select("fl_adminarea", "n_rows", F.round("rate", 9).alias("rate"))
