@@ -48,7 +48,7 @@ from .grouped import map_groups
 from .text import NON_BLANK, Words, grams, mix, slices, spans, strings
 
 #: Rows of a block; two blocks meet in a cell.
-BLOCK_ROWS = 512
+BLOCK_ROWS = 256
 
 #: Grams of a block, about; long texts make smaller blocks.
 BLOCK_GRAMS = 1 << 20
