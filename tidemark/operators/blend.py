@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .metrics import auc_table
-from .ranks import average_rank_pct, join_back, ordinal_rank_pct
+from .ranks import average_rank_pct, average_rank_pct_multi, join_back, ordinal_rank_pct
 
 # Gate tolerances against the champion and the verdict rule.
 FOLD3_TOLERANCE = -0.0002
@@ -48,8 +48,7 @@ def weighted_sum(weights: dict[str, float]) -> Column:
 
 def rank_blend(df: DataFrame, a: str, b: str, w: float, out: str, keys: Sequence[str] = ()) -> DataFrame:
     """``(1 - w) * rank(a) + w * rank(b)`` with ranks inside ``keys``."""
-    r = rank_normalize(df, a, "__ra", keys)
-    r = rank_normalize(r, b, "__rb", keys)
+    r = average_rank_pct_multi(df, [a, b], ["__ra", "__rb"], keys)
     return r.withColumn(out, F.lit(round(1.0 - w, 10)) * F.col("__ra") + F.lit(w) * F.col("__rb")).drop("__ra", "__rb")
 
 
@@ -90,8 +89,10 @@ def simplex_grid(parts: int = 20) -> list[tuple[int, int, int]]:
 
 def _score_counts(df: DataFrame, cols: Sequence[str], label: str, keys: Sequence[str]) -> DataFrame:
     """Rows per (group, label, score tuple), stored once: a scan explodes the
-    weights over these instead of over the rows and their rank plans."""
-    return cut_lineage(df.groupBy(*keys, label, *cols).agg(F.count(F.lit(1)).alias("__n")))
+    weights over these instead of over the rows and their rank plans.  They
+    are spread over all shuffle partitions, as the explode makes many of each."""
+    counts = cut_lineage(df.groupBy(*keys, label, *cols).agg(F.count(F.lit(1)).alias("__n")))
+    return counts.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
 
 
 def scan_1d(df: DataFrame, a: str, b: str, label: str, keys: Sequence[str], weights: Sequence[float],

@@ -6,9 +6,11 @@ in one plan:
 * ``groupBy(keys, score)`` with integer positive / negative counts - partial
   aggregation on the map side, so the shuffle carries distinct scores, not
   rows;
-* negatives strictly below each score by :func:`ranks.prefix_sums`
-  (deterministic value buckets, no single-task window even for one group);
-* ``sum(pos * (2 * neg_below + neg)) / (2 * P * N)`` per key.  The numerator
+* negatives strictly below each score: inside a deterministic value bucket
+  (:func:`ranks.with_buckets`) by a window, across the buckets of a key from
+  their totals, so one group is never one task's;
+* ``sum(pos * (2 * neg_below + neg)) / (2 * P * N)`` per key, summed up per
+  bucket first.  The numerator
   is summed as ``decimal(38,0)`` so it cannot overflow at any scale; the only
   floating-point step is the final division, so results are bit-equal across
   engines.  A key with one class gives null.
@@ -18,10 +20,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import prefix_sums
+from .ranks import BUCKET, with_buckets
 
 DEC = "decimal(38,0)"
 
@@ -54,17 +56,21 @@ def auc_table(
     dist = base.groupBy(*keys, score).agg(
         F.sum(pos_v).alias("__pos"), F.sum(neg_v).alias("__neg"), F.sum(n).alias("__rows")
     )
-    pref = prefix_sums(dist, keys, [score], ["__neg"], unique=True)
-    if weight is None:
-        term = F.col("__pos").cast(DEC) * (2 * F.col("__neg_before").cast(DEC) + F.col("__neg").cast(DEC))
-    else:
-        term = F.col("__pos") * (2 * F.col("__neg_before") + F.col("__neg"))
-    agg = pref.groupBy(*keys).agg(
-        F.sum(term).alias("__num"),
-        F.sum("__pos").alias("n_pos"),
-        F.sum("__neg").alias("n_neg"),
-        F.sum("__rows").alias("n_rows"),
-    )
+    exact = (lambda c: F.col(c).cast(DEC)) if weight is None else F.col
+    # Inside a value bucket: negatives below by a window, then one row per
+    # (group, bucket) without another exchange.
+    in_bucket = Window.partitionBy(*keys, BUCKET).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    local = with_buckets(dist, score).withColumn("__below", F.coalesce(F.sum("__neg").over(in_bucket), F.lit(0)))
+    parts = local.groupBy(*keys, BUCKET).agg(
+        F.sum(exact("__pos") * (2 * exact("__below") + exact("__neg"))).alias("__num"),
+        F.sum("__pos").alias("__pos"), F.sum("__neg").alias("__neg"), F.sum("__rows").alias("__rows"))
+    # Across the buckets of a group (at most ``BUCKETS`` rows): every positive
+    # also beats the negatives of all buckets below.
+    across = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("__below", F.coalesce(F.sum("__neg").over(across), F.lit(0)))
+    agg = parts.groupBy(*keys).agg(
+        F.sum(F.col("__num") + 2 * exact("__pos") * exact("__below")).alias("__num"),
+        F.sum("__pos").alias("n_pos"), F.sum("__neg").alias("n_neg"), F.sum("__rows").alias("n_rows"))
     return _finish(agg, keys, weight, out)
 
 

@@ -61,10 +61,12 @@ def join_back(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return out.drop(*[f"__r_{k}" for k in keys])
 
 
-def _boundaries(df: DataFrame, keys: Sequence[str], x: str) -> Column:
+def _boundaries(df: DataFrame, x: str) -> Column:
     """Sorted distinct boundary values: ``BUCKETS - 1`` rows in hash order (at
-    most that many per task and in the result), as a scalar subquery."""
-    few = df.filter(F.col(x).isNotNull()).orderBy(F.xxhash64(x, *keys), x).limit(BUCKETS - 1)
+    most that many per task and in the result), as a scalar subquery.  The
+    hash reads every column, so the subquery needs the same shuffle of ``df``
+    as the query around it and reuses it."""
+    few = df.orderBy(F.xxhash64(*df.columns), x).limit(BUCKETS - 1)
     return few.agg(F.sort_array(F.collect_set(x))).scalar()
 
 
@@ -75,9 +77,14 @@ def _position(x: Column, bounds: Column) -> Column:
     return F.when(x.isNull(), F.lit(BUCKETS)).otherwise(below)
 
 
+def with_buckets(df: DataFrame, x: str) -> DataFrame:
+    """``df`` plus the bucket of ``x``, a column named ``BUCKET``."""
+    return df.withColumn("__bounds", _boundaries(df, x)).withColumn(BUCKET, _position(F.col(x), F.col("__bounds"))).drop("__bounds")
+
+
 def _unique_prefix(df: DataFrame, keys: list[str], x: str, sums: list[str]) -> DataFrame:
     """Prefix sums when ``x`` is unique inside each ``keys`` group."""
-    dfb = df.withColumn("__bounds", _boundaries(df, keys, x)).withColumn(BUCKET, _position(F.col(x), F.col("__bounds"))).drop("__bounds")
+    dfb = with_buckets(df, x)
     w_local = Window.partitionBy(*keys, BUCKET).orderBy(F.col(x).asc_nulls_last()).rowsBetween(
         Window.unboundedPreceding, -1)
     local = dfb.select("*", *[F.coalesce(F.sum(c).over(w_local), F.lit(0)).alias(f"__loc_{c}") for c in sums])

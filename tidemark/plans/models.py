@@ -17,6 +17,8 @@ from __future__ import annotations
 import json
 import random
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import (
@@ -37,6 +39,8 @@ from ..operators.metrics import auc_table
 from ..operators.weights import class_balance
 from ..session import cut_lineage
 
+#: Fits whose jobs run side by side.
+PARALLEL_FITS = 3
 SENTINEL = -1e12  # below every real value: trees reject NaN, a sentinel keeps "missing" separable
 
 
@@ -181,7 +185,7 @@ def evaluate_folds(df: DataFrame, day: str, spec: list[dict], num_cols: Sequence
     feats = cut_lineage(df)
     got = {(r["fold"], r["role"]): (r["n"], r["k"]) for r in splits.assign_folds(feats, day, spec).groupBy("fold", "role").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct(label).alias("k")).collect()}
-    parts, best = None, []
+    usable = []
     for s in spec:
         f = s["fold"]
         if (f, "train") not in got or (f, "valid") not in got:
@@ -190,13 +194,21 @@ def evaluate_folds(df: DataFrame, day: str, spec: list[dict], num_cols: Sequence
             continue  # rolling folds skip empty folds (M08)
         if got[(f, "valid")][1] < 2 and scope == "holdout":
             raise ValueError(f"holdout {f} has one class")
+        usable.append(s)
+    if not usable:
+        raise ValueError("no usable fold")
+
+    def run_fold(s):
+        f = str(s["fold"])
         tr, va = (feats.filter(splits.side_condition(day, s, role)) for role in ("train", "valid"))
         pred, model = fit_score(tr, va, num_cols, categorical, cfg, seed, label, weight_col, id_cols=id_cols, carry=[label])
-        best.append((str(f), model.best_iteration))
-        pred = cut_lineage(pred.withColumn(scope, F.lit(str(f))))
-        parts = pred if parts is None else parts.unionByName(pred)
-    if parts is None:
-        raise ValueError("no usable fold")
+        return cut_lineage(pred.withColumn(scope, F.lit(f))), (f, model.best_iteration)
+
+    # Folds are independent: their jobs share the cluster.
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        done = list(pool.map(run_fold, usable))
+    best = [b for _, b in done]
+    parts = reduce(DataFrame.unionByName, [p for p, _ in done])
     per = auc_table(parts, label, "prediction", [scope]).select(scope, "roc_auc", "n_rows", "n_pos")
     pooled_name = "OOF_TIME_HOLDOUT" if scope == "fold" else "POOLED"
     pooled = auc_table(parts, label, "prediction").select(F.lit(pooled_name).alias(scope), "roc_auc", "n_rows", "n_pos")

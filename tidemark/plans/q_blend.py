@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import blend as bl
 from ..operators import metrics
-from ..operators.ranks import equal_count_bins, prefix_sums
+from ..operators.ranks import average_rank_pct_multi, equal_count_bins, prefix_sums
 from ..session import cut_lineage
 from ..sources import fixtures as fx
 from .catalog import query
@@ -36,10 +36,7 @@ SC3 = "sc AS (SELECT *, " + S3_SQL + " AS s3 FROM scores)"
 
 
 def _ranked(spark, sf, cols=("s1", "s2"), keys=("fold",)):
-    df = _scores(spark, sf)
-    for c in cols:
-        df = bl.rank_normalize(df, c, f"r_{c}", list(keys))
-    return df
+    return average_rank_pct_multi(_scores(spark, sf), list(cols), [f"r_{c}" for c in cols], list(keys))
 
 
 @query("d06_rank_normalize_global", W("scores") + f"SELECT front_id, {rank_sql('s2')} AS r FROM scores")
