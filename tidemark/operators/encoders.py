@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import EPS_FOLDSAFE, finite, safe_divide
+from ..session import cut_lineage
 from .splits import hash_order, stratified_kfold
 
 
@@ -77,6 +78,8 @@ def foldsafe_target_encoding(fit: DataFrame, transform: DataFrame | None, cat_co
     else:
         shuffled = fit.withColumn("__order", hash_order([c for c in fit.columns if c != target], seed))
         folded = stratified_kfold(shuffled, target, ["__order"], k, out="__inner", unique=False).drop("__order")
+    # Every category column reads the folded rows three times: place them once.
+    folded = cut_lineage(folded)
     m = F.lit(float(smoothing))
     fit_out, tr_out = folded, transform
     for cat in cat_cols:

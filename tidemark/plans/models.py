@@ -182,7 +182,8 @@ def evaluate_folds(df: DataFrame, day: str, spec: list[dict], num_cols: Sequence
     """Fit per fold (or holdout), score its valid rows; returns the
     long predictions table and the metric table (per fold with its best
     iteration + pooled)."""
-    feats = cut_lineage(df)
+    # Spread the rows over all shuffle partitions: each fit reads them many times.
+    feats = cut_lineage(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *id_cols))
     got = {(r["fold"], r["role"]): (r["n"], r["k"]) for r in splits.assign_folds(feats, day, spec).groupBy("fold", "role").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct(label).alias("k")).collect()}
     usable = []
