@@ -3,9 +3,10 @@ scores) and a planted signal that must beat chance."""
 
 from pyspark.sql import functions as F
 
-from tests.conftest import SF_SMALL
+from tests.conftest import SF_MID, SF_SMALL
 from tidemark.operators import splits
 from tidemark.plans import models as md
+from tidemark.plans import q_models as qm
 from tidemark.sources import fixtures as fx
 
 
@@ -29,3 +30,18 @@ def test_search_draws_are_seeded():
              "kind": {"type": "categorical", "choices": ["a", "b"]}}
     assert md.draw_trials(space, 5, 1) == md.draw_trials(space, 5, 1)
     assert all(2 <= t["depth"] <= 6 and 0.01 <= t["lr"] <= 0.3 for t in md.draw_trials(space, 20, 3))
+
+
+def test_export_orders_stored_trials_and_skips_failed_ones(spark):
+    table = md.trial_table(spark, [t for t, _ in qm.TRIALS], [v for _, v in qm.TRIALS])
+    assert [(r.number, r.value) for r in md.export_top_trials(table, 3, "s").collect()] == [(2, 0.74), (3, 0.74), (0, 0.71)]
+
+
+def test_exported_trials_follow_the_tables(spark):
+    small, mid = (qm.k14_export_scanned_trials(spark, sf).collect() for sf in (SF_SMALL, SF_MID))
+    assert len(small) == len(mid) == 5 and small != mid
+
+
+def test_search_export_is_the_best_of_the_search(spark):
+    best = sorted(qm.k13_parameter_search(spark, SF_SMALL).collect(), key=lambda r: (-r.value, r.number))[:2]
+    assert [(r.number, r.value) for r in qm.k14_export_search_trials(spark, SF_SMALL).collect()] == [(r.number, r.value) for r in best]

@@ -25,6 +25,7 @@ from ..sources import fixtures as fx
 from ..sources.tables import read_table
 from . import models as md
 from .catalog import query
+from .q_folds import auc_sql
 
 NUM = ["loan_amount_last", "balance_amt", "cnt_30", "cnt_90"]
 CAT = ["db_group_last", "fl_adminarea"]
@@ -327,12 +328,45 @@ TRIALS = [({"number": 0, "depth": 3, "learning_rate": 0.1}, 0.71), ({"number": 1
   (2, 0.74::DOUBLE, '{"source":"k13_parameter_search","trial":2,"value":0.74,"params":{"depth":"4","learning_rate":"0.3"}}'),
   (3, 0.74::DOUBLE, '{"source":"k13_parameter_search","trial":3,"value":0.74,"params":{"depth":"4","learning_rate":"0.2"}}')) t(number, value, config)""")
 def k14_export_top_trials(spark, sf):
-    """The best complete trials of a stored trial table (beside the orders' folder, written and read)."""
+    """The form of the exported rows, on four fixed trials; the next two queries export trials computed from the tables."""
     path = scratch_path(spark, f"trials-{uuid.uuid4().hex[:12]}")
     md.trial_table(spark, [t for t, _ in TRIALS], [v for _, v in TRIALS]).write.parquet(path)
     return md.export_top_trials(spark.read.parquet(path), 2, "k13_parameter_search")
 
 
+def _stored(spark, trials):
+    """A trial table written to the scratch folder and read again."""
+    path = scratch_path(spark, f"trials-{uuid.uuid4().hex[:12]}")
+    trials.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("k14_export_search_trials")
+def k14_export_search_trials(spark, sf):
+    """The best complete trials of the search's stored trial table."""
+    return md.export_top_trials(_stored(spark, _search(spark, sf)), 2, "k13_parameter_search")
+
+
+SCAN_W = bl.weight_grid_1d(0.1, 1.0)
+# Fold 4 has no rows, so its trials fail.
+SCAN_TRIALS = [(i, str(fold), w) for i, (fold, w) in enumerate((f, w) for f in (1, 2, 3, 4) for w in SCAN_W)]
+
+
+@query("k14_export_scanned_trials", fx.with_views("scores") + f""", t AS (SELECT * FROM (VALUES {", ".join(f"({n}, '{f}', {w!r}e0)" for n, f, w in SCAN_TRIALS)}) t(number, fold, w)),
+x AS (SELECT number, target_value, (1e0 - w) * s1 + w * s2 AS b FROM t JOIN scores ON CAST(scores.fold AS VARCHAR) = t.fold), """ + auc_sql("x", ["number"], "b") + """,
+r AS (SELECT t.number, ROUND(roc_auc, 6) AS value, fold, w FROM t JOIN auc USING (number) WHERE roc_auc IS NOT NULL)
+SELECT number, value, '{"source":"weight_scan","trial":' || number || ',"value":' || value || ',"params":{"fold":"' || fold || '","weight":"' || w || '"}}' AS config
+FROM r ORDER BY value DESC, r.number LIMIT 5""")
+def k14_export_scanned_trials(spark, sf):
+    """The best complete trials of a stored weight scan, a trial per fold and weight; trials without rows fail."""
+    scan = bl.scan_1d(fx.scores(spark, sf), "s1", "s2", "target_value", ["fold"], SCAN_W, pooled=False)
+    drawn = spark.createDataFrame(SCAN_TRIALS, "number int, fold string, w double")
+    done = drawn.join(scan.select(F.col("fold").cast("string").alias("fold"), "w", F.round("roc_auc", 6).alias("value")), ["fold", "w"], "left")
+    state = F.when(F.col("value").isNotNull(), "COMPLETE").otherwise("FAIL").alias("state")
+    params = F.to_json(F.struct("fold", F.col("w").alias("weight"))).alias("params")
+    return md.export_top_trials(_stored(spark, done.select("number", "value", state, params)), 5, "weight_scan")
+
+
 @query("k15_two_view_experiment")
 def k15_two_view_experiment(spark, sf):
     key = ["l_orderkey", "l_linenumber", "l_partkey", "overdraft_limit_max"]
