@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF_MID, SF_SMALL
 from tidemark.operators import splits
+from tidemark.operators.schema import DRIFT_EXCLUSIONS
 from tidemark.plans import models as md
 from tidemark.plans import q_models as qm
 from tidemark.sources import fixtures as fx
@@ -45,3 +46,27 @@ def test_exported_trials_follow_the_tables(spark):
 def test_search_export_is_the_best_of_the_search(spark):
     best = sorted(qm.k13_parameter_search(spark, SF_SMALL).collect(), key=lambda r: (-r.value, r.number))[:2]
     assert [(r.number, r.value) for r in qm.k14_export_search_trials(spark, SF_SMALL).collect()] == [(r.number, r.value) for r in best]
+
+
+def test_drift_forest_gives_all_exclusion_sets(spark):
+    rows = qm.k09_drift_forest(spark, SF_SMALL).collect()
+    features = {name: {r.feature for r in rows if r.exclusion_set == name and r.feature} for name in DRIFT_EXCLUSIONS}
+    assert {r.exclusion_set for r in rows} == set(DRIFT_EXCLUSIONS)
+    assert len({frozenset(f) for f in features.values()}) == 4
+    assert all(sum(r.exclusion_set == name and r.holdout_auc is not None for r in rows) == 2 for name in DRIFT_EXCLUSIONS)
+
+
+def test_drift_forest_rows_hold_every_application_and_offer(spark):
+    rows, a, o = qm._application_offers(spark, SF_SMALL), fx.apps(spark, SF_SMALL), fx.offers(spark, SF_SMALL)
+    alone = a.join(o, a["front_id"] == o["l_orderkey"], "left_anti").count()
+    assert rows.count() == rows.select("row_key").distinct().count() == o.count() + alone
+    sides = splits.stratified_split(rows, "is_test", "front_id", 42).groupBy("front_id").agg(F.count_distinct("is_train").alias("n"))
+    assert sides.filter("n > 1").isEmpty()
+
+
+def test_equal_column_lists_give_rows_under_each_name(spark):
+    a = fx.apps(spark, SF_SMALL)
+    out = md.drift_forest_sets(a.filter("is_test = 0"), a.filter("is_test = 1"), {"x": ["cnt_30"], "y": ["cnt_30"]}, [], 42, "front_id",
+                               {"model_type": "rf", "n_estimators": 2, "depth": 2})
+    x, y = ([r for r in out.drop("exclusion_set").filter(out["exclusion_set"] == n).collect()] for n in "xy")
+    assert x and x == y

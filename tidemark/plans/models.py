@@ -269,6 +269,23 @@ def drift_forest(train: DataFrame, test: DataFrame, cols: Sequence[str], numeric
     return metrics, imps.orderBy(F.desc("importance"), "feature")
 
 
+def drift_forest_sets(train: DataFrame, test: DataFrame, sets: dict[str, list[str]], categorical: Sequence[str], seed: int,
+                      id_col: str, cfg: dict | None = None) -> DataFrame:
+    """K09 for every named column list: metrics and importances by ``exclusion_set``.
+    Equal lists share one fit; each name gets its rows."""
+    fits: dict[tuple[str, ...], tuple[DataFrame, DataFrame]] = {}
+    out = None
+    for name, cols in sets.items():
+        if tuple(cols) not in fits:
+            numeric, cats = [c for c in cols if c not in categorical], [c for c in cols if c in categorical]
+            fits[tuple(cols)] = drift_forest(train, test, cols, numeric, cats, seed, id_col, cfg)
+        m, imp = fits[tuple(cols)]
+        rows = m.withColumn("exclusion_set", F.lit(name)).unionByName(
+            imp.select(F.lit(name).alias("exclusion_set"), "feature", "importance"), allowMissingColumns=True)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def oof_domain_scores(train: DataFrame, test: DataFrame, id_col: str, numeric, categorical, seed: int, k: int = 3,
                       cfg: dict | None = None) -> DataFrame:
     """K-fold out-of-fold domain probabilities for every row."""

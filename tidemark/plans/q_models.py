@@ -142,25 +142,25 @@ def k08_history_feature_ab(spark, sf):
     return out
 
 
+def _application_offers(spark, sf):
+    """Every application with its offers: a row per offer, and one with missing terms where there is none."""
+    o = fx.offers(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", "l_linestatus", *fx.OFFER_COLS)
+    a = fx.apps(spark, sf)
+    key = F.concat_ws(":", *[F.col(c).cast("string") for c in ("front_id", "l_linenumber", "l_partkey", "overdraft_limit_max")])
+    return a.join(o, a["front_id"] == o["l_orderkey"], "left").withColumn("row_key", key)
+
+
 @query("k09_drift_forest")
 def k09_drift_forest(spark, sf):
-    tr, te = _train_test(spark, sf)
-    out = None
-    base_cols = ["decision_day", *NUM, *CAT]
-    # The four sets differ in the offer terms, which the apps view lacks; each distinct column list is fitted once.
-    lists = {name: [c for c in base_cols if c not in gone] for name, gone in DRIFT_EXCLUSIONS.items()}
-    first = {tuple(cols): name for name, cols in reversed(lists.items())}
-    for name in first.values():
-        cols = lists[name]
-        trx = tr.withColumn("decision_day", cal.ordinal("decision_day").cast("double"))
-        tex = te.withColumn("decision_day", cal.ordinal("decision_day").cast("double"))
-        numeric = [c for c in cols if c not in CAT]
-        m, imp = md.drift_forest(trx, tex, cols, numeric, CAT, SEED, "front_id",
-                                 {"model_type": "rf", "n_estimators": 20, "depth": 6, "min_samples_leaf": 20})
-        m = m.withColumn("exclusion_set", F.lit(name)).unionByName(
-            imp.select(F.lit(name).alias("exclusion_set"), "feature", "importance"), allowMissingColumns=True)
-        out = m if out is None else out.unionByName(m)
-    return out
+    """Metrics and importances of all four exclusion sets on applications with their offer terms."""
+    cats = [*CAT, "l_linestatus"]
+    base_cols = ["decision_day", *NUM, *fx.OFFER_COLS, *cats]
+    both = cut_lineage(_application_offers(spark, sf).select(
+        "front_id", "is_test", cal.ordinal("decision_day").cast("double").alias("decision_day"), *base_cols[1:]))
+    sets = {name: [c for c in base_cols if c not in gone] for name, gone in DRIFT_EXCLUSIONS.items()}
+    # Split by application: its offers tie, so they stand on one side of the holdout.
+    return md.drift_forest_sets(both.filter("is_test = 0"), both.filter("is_test = 1"), sets, cats, SEED, "front_id",
+                                {"model_type": "rf", "n_estimators": 20, "depth": 6, "min_samples_leaf": 20})
 
 
 @query("k10_density_ratio_weights")
