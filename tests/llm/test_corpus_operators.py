@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 from fractions import Fraction
+from math import comb
 
 import numpy as np
 import pytest
@@ -310,3 +311,16 @@ def test_pipeline_on_edge_rows(spark):
         out.collect()
         assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
     assert toxicity.SEEDS
+
+
+def test_pruning_loses_fewer_links_than_the_bands():
+    spec = ngram_join.JoinSpec()
+    alive, lost, done, t = {0: 1.0}, 0.0, 0, spec.threshold
+    for n, least in spec.least_matches():
+        after: dict[int, float] = defaultdict(float)
+        for m, p in alive.items():
+            for more in range(n - done + 1):
+                after[m + more] += p * comb(n - done, more) * t**more * (1 - t) ** (n - done - more)
+        lost += sum(p for m, p in after.items() if m < least)
+        alive, done = {m: p for m, p in after.items() if m >= least}, n
+    assert lost < (1 - t**spec.rows) ** spec.bands

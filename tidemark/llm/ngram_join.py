@@ -16,9 +16,9 @@ member (its number of links and the root of its links in the cell), so
 nothing grows with the square of a group but the comparisons, which run in
 numpy over many tasks.  Copies are counted by class size.
 
-Every link is found unless its two texts share none of the bands (3e-6 at
-similarity 0.8 with 24 bands of 4) or are dropped by the posterior, and no
-chain of survivors connects them otherwise.
+Every link is found unless its two texts share none of the bands (3.2e-6 at
+similarity 0.8 with 24 bands of 4) or are dropped by the posterior (7.6e-8
+over its six steps), and no chain of survivors connects them otherwise.
 
 Cases: null, empty and blank texts have no gram and no link, each is its own
 class; texts are read whole; repeated rows are copies of each other; a null
@@ -67,7 +67,7 @@ class JoinSpec:
     bands: int = 24
     rows: int = 4
     step: int = 16
-    tolerance: float = 1e-5
+    tolerance: float = 1e-8
 
     @property
     def hashes(self) -> int:
