@@ -324,3 +324,13 @@ def test_pruning_loses_fewer_links_than_the_bands():
         lost += sum(p for m, p in after.items() if m < least)
         alive, done = {m: p for m, p in after.items() if m >= least}, n
     assert lost < (1 - t**spec.rows) ** spec.bands
+
+
+def test_rounding_to_whole_documents_cancels_across_shards(spark):
+    # Two sources of 400 documents of 500 words: 15 shards each, targets of 40,000 and 360,000 words.
+    docs = spark.range(800).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 400, "a").otherwise("b").alias("source"), F.repeat(F.lit("w "), 500).alias("text"))
+    weights = {"a": 1.0, "b": 9.0}
+    words = {r.source: r["count"] * 500 for r in mixing.mixed_rows(docs, weights).groupBy("source").count().collect()}
+    taken = {r.source: r.t for r in mixing.mix(docs, weights).groupBy("source").agg(F.sum(f"{mixing.MIX}.taken").alias("t")).collect()}
+    assert set(words) == {"a", "b"}
+    assert all(abs(words[s] - taken[s]) <= 250 for s in words), (words, taken)

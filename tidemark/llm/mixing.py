@@ -104,7 +104,7 @@ def _mixed(
     source_col: str = "source",
     text_col: str = "text",
 ) -> DataFrame:
-    """(row, mix): the whole input row and its part in the mix.
+    """(row, mix, s, shard, begun): the whole input row, its part in the mix, its shard, and its words in the last round.
 
     ``weights`` gives a weight per source: a mapping, or a function from the
     number of sources to weights in source order (code points, null last).
@@ -139,14 +139,14 @@ def _mixed(
         .groupBy("s", "shard", "blocks").agg(F.sum("size").alias("n"))
         .groupBy("s").applyInPandas(quotas, "s int, shard int, n long, words long")
     )
-    row = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(source_col).cast("string").alias("source"), size.alias("size"), _order(id_col, seed).alias("o"))
-    placed = row.join(plan, row["source"].eqNullSafe(plan["source"])).select("row", "size", "o", "s", "source_size", "target", shard)
-    line = Window.partitionBy("s", "shard").orderBy("o", F.col(f"row.`{id_col}`"), "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.withColumn("end", F.sum("size").over(line))
-    joined = placed.join(per_shard, ["s", "shard"])
+    row = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(source_col).cast("string").alias("source"), size.alias("size"), _order(id_col, seed).alias("o"), F.col(id_col).alias("at"))
+    placed = row.join(plan, row["source"].eqNullSafe(plan["source"])).select("row", "size", "o", "at", "s", "source_size", "target", shard)
+    line = Window.partitionBy("s", "shard").orderBy("o", "at", "size").rowsBetween(Window.unboundedPreceding, 0)
+    joined = placed.withColumn("end", F.sum("size").over(line)).join(per_shard, ["s", "shard"])
     rounds, part = F.expr("words div greatest(n, 1)"), F.expr("words % greatest(n, 1)")
-    taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least("end", part) - (F.col("end") - F.col("size")))
-    return joined.select("row", F.struct("size", "source_size", "target", taken.cast("long").alias("taken")).alias("mix"))
+    begun = F.greatest(F.lit(0), F.least("end", part) - (F.col("end") - F.col("size")))
+    taken = rounds * F.col("size") + begun
+    return joined.select("row", F.struct("size", "source_size", "target", taken.cast("long").alias("taken")).alias("mix"), "s", "shard", begun.cast("long").alias("begun"))
 
 
 def _order(id_col: str, seed: int) -> Column:
@@ -154,8 +154,29 @@ def _order(id_col: str, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col(id_col))
 
 
+def _cut_ends(rows: pd.DataFrame) -> pd.DataFrame:
+    """Which of a source's cut documents stay: the rest of each rounding goes on to the next shard."""
+    rows, rest, keep = rows.sort_values("shard", kind="stable"), 0, []
+    for size, begun in zip(rows["size"].tolist(), rows["begun"].tolist()):
+        rest += begun
+        keep.append(2 * rest >= size)
+        rest -= size * keep[-1]
+    return pd.DataFrame({"s": rows["s"], "shard": rows["shard"], "keep": keep})
+
+
 def mixed_rows(df: DataFrame, weights, **options) -> DataFrame:
-    """The mixed corpus: whole rows of ``df``, each as often as the mix takes it (to the nearest copy)."""
+    """The mixed corpus: whole rows of ``df``, each as often as the mix takes it.
+
+    At most one document of a shard is cut by its quota; it is taken whole or
+    not, so that a source ends within half of its longest cut document of its
+    taken words.
+    """
     mixed = _mixed(df, weights, **options)
-    copies = F.when(F.col("mix.size") > 0, F.floor(F.col("mix.taken") / F.col("mix.size") + 0.5)).otherwise(0).cast("int")
-    return mixed.where(copies > 0).select("row", F.explode(F.sequence(F.lit(1), copies))).select("row.*")
+    size, is_cut = F.col("mix.size"), (F.col("begun") > 0) & (F.col("begun") < F.col("mix.size"))
+    # One short row per shard, without the texts' columns.
+    cut = mixed.where(is_cut).select("s", "shard", size.alias("size"), "begun")
+    keep = cut.groupBy("s").applyInPandas(_cut_ends, "s int, shard int, keep boolean")
+    whole = F.expr("mix.taken div greatest(mix.size, 1)")
+    copies = (whole + F.when(is_cut & F.col("keep"), 1).otherwise(0)).cast("int")
+    counted = mixed.join(keep, ["s", "shard"], "left").select("row", copies.alias("copies"))
+    return counted.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
