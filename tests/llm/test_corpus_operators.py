@@ -334,3 +334,10 @@ def test_rounding_to_whole_documents_cancels_across_shards(spark):
     taken = {r.source: r.t for r in mixing.mix(docs, weights).groupBy("source").agg(F.sum(f"{mixing.MIX}.taken").alias("t")).collect()}
     assert set(words) == {"a", "b"}
     assert all(abs(words[s] - taken[s]) <= 250 for s in words), (words, taken)
+
+
+def test_sources_below_one_block_are_taken(spark):
+    docs = spark.createDataFrame([(1, "w " * 5, "small"), (2, "w " * 400, "large"), (3, "w w w", "tiny")], "doc_id long, text string, source string")
+    mixed = mixing.mix(docs, {"small": 1.0, "large": 1.0, "tiny": 1.0})
+    taken = {r.source: r.t for r in mixed.select("source", F.col(f"{mixing.MIX}.taken").alias("t")).collect()}
+    assert (taken["small"], taken["tiny"]) == (15, 9) and abs(taken["large"] - 384) <= 16

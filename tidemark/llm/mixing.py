@@ -4,7 +4,8 @@ Targets: a source's weight times all words, at most ``max_repeat`` times its
 own words; what a full source can't take is shared again by weight.  Blocks of
 ``block_words`` words go to sources by highest quotients (target / 1, / 3,
 / 5 ...), and a source's blocks to its shards the same way by shard size, so
-each shard has an integer quota.  Within a shard the documents stand in a
+each shard has an integer quota; a target that the blocks don't reach is filled
+by a partial last block, so small sources are taken too.  Within a shard the documents stand in a
 seeded order as one stream of words, cut into equal blocks; the quota takes
 blocks from its start, going round again for repeats.
 
@@ -119,7 +120,9 @@ def _mixed(
     sizes = [int(r.n) for r in found]
     given = [float(weights.get(r.source, 0.0)) for r in found] if isinstance(weights, dict) else list(weights(len(found)))
     targets = fill_targets(sizes, given, max_repeat)
-    blocks = sainte_lague(targets, int(round(targets.sum() / block_words)), [max_repeat * s // block_words for s in sizes]) if found else []
+    # No source gets the seats that another is too small to hold: its cap is its target in blocks, rounded up.
+    caps = [min(max_repeat * s // block_words, int(np.ceil(t / block_words))) for s, t in zip(sizes, targets)]
+    blocks = sainte_lague(targets, int(round(targets.sum() / block_words)), caps) if found else []
     plan = spark.createDataFrame(
         [(r.source, i, sizes[i], float(targets[i]), int(blocks[i]), max(1, int(np.ceil(np.sqrt(sizes[i] / 1000))))) for i, r in enumerate(found)],
         "source string, s int, source_size long, target double, blocks long, shards int",
@@ -131,12 +134,16 @@ def _mixed(
     def quotas(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("shard", kind="stable")
         n = rows["n"].to_numpy(np.int64)
-        got = sainte_lague(n, int(rows["blocks"].iloc[0]), max_repeat * n // block_words)
-        return pd.DataFrame({"s": rows["s"], "shard": rows["shard"], "n": n, "words": got * block_words})
+        words = sainte_lague(n, int(rows["blocks"].iloc[0]), max_repeat * n // block_words) * block_words
+        # What the blocks leave of the target is a partial last block, in the shards with most room.
+        rest, room = int(round(rows["target"].iloc[0])) - int(words.sum()), max_repeat * n - words
+        by = np.argsort(-room, kind="stable")
+        words[by] += np.clip(rest - (np.cumsum(room[by]) - room[by]), 0, room[by])
+        return pd.DataFrame({"s": rows["s"], "shard": rows["shard"], "n": n, "words": words})
 
     per_shard = (
-        narrow.join(plan, narrow["source"].eqNullSafe(plan["source"])).select("s", shard, "size", "blocks")
-        .groupBy("s", "shard", "blocks").agg(F.sum("size").alias("n"))
+        narrow.join(plan, narrow["source"].eqNullSafe(plan["source"])).select("s", shard, "size", "blocks", "target")
+        .groupBy("s", "shard", "blocks", "target").agg(F.sum("size").alias("n"))
         .groupBy("s").applyInPandas(quotas, "s int, shard int, n long, words long")
     )
     row = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(source_col).cast("string").alias("source"), size.alias("size"), _order(id_col, seed).alias("o"), F.col(id_col).alias("at"))
