@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut_lineage
 
-from . import knn, language_id, license_scan, mixing, ngram_join, piece_codec, quality_rules, rule_ensemble, toxicity, url_filter
+from . import filter_audit, knn, language_id, license_scan, mixing, ngram_join, piece_codec, quality_rules, rule_ensemble, toxicity, url_filter
 from .labelled import fold_of
 from .registry import query, read
 
@@ -135,3 +135,54 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit_toxicity(documents, read(spark, sf_dir, "labels"), fold_of(F.col("key"), 4) != 2)
     scored = toxicity.score(documents, model)
     return scored.select("doc_id", _held_out(4, 2), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+AUDIT_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+firsts AS (SELECT text, min(doc_id) AS least_id FROM t GROUP BY text),
+lab AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+marked AS (
+  SELECT t.part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+         concat(CASE WHEN len(words) < 50 THEN 'A' ELSE '' END,
+                CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END,
+                CASE WHEN 100 * length(regexp_replace(t.text, '[^A-Z]', '', 'g')) > 5 * length(t.text) THEN 'C' ELSE '' END,
+                CASE WHEN regexp_matches(t.text, '[#$%&*|]') THEN 'D' ELSE '' END,
+                CASE WHEN t.doc_id > f.least_id THEN 'E' ELSE '' END) AS fails
+  FROM t JOIN firsts f ON f.text = t.text LEFT JOIN lab l ON l.doc_id = t.doc_id),
+counted AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM marked GROUP BY part, fails),
+letters(f) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT concat(a.f, b.f, c.f, d.f, e.f) AS filter_order
+  FROM letters a JOIN letters b ON b.f <> a.f JOIN letters c ON c.f NOT IN (a.f, b.f)
+  JOIN letters d ON d.f NOT IN (a.f, b.f, c.f) JOIN letters e ON e.f NOT IN (a.f, b.f, c.f, d.f)),
+places AS (SELECT filter_order, CAST(s.step AS INTEGER) AS step FROM orders, (SELECT unnest(range(1, 6)) AS step) s),
+judged AS (
+  SELECT p.filter_order, p.step, c.part, c.n, c.good, c.toxic, c.fails,
+         substr(p.filter_order, p.step, 1) AS f,
+         length(translate(substr(p.filter_order, 1, p.step - 1), c.fails, '')) < p.step - 1 AS gone
+  FROM places p, counted c),
+summed AS (
+  SELECT part, filter_order, step, f,
+         sum(CASE WHEN NOT gone AND NOT contains(fails, f) THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN NOT gone AND contains(fails, f) THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN gone AND contains(fails, f) THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN fails = f THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN NOT gone AND contains(fails, f) THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN NOT gone AND contains(fails, f) THEN toxic ELSE 0 END) AS toxic_lost
+  FROM judged GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM summed
+"""
+
+
+@query("op13_filter_audit", AUDIT_SQL)
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in every order, by source."""
+    return filter_audit.audit_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
