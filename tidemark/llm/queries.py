@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut_lineage
 
-from . import filter_audit, knn, language_id, license_scan, mixing, ngram_join, piece_codec, quality_rules, rule_ensemble, toxicity, url_filter
+from . import collocations, filter_audit, knn, language_id, license_scan, mixing, ngram_join, piece_codec, quality_rules, rule_ensemble, toxicity, url_filter
 from .labelled import fold_of
 from .registry import query, read
 
@@ -137,6 +137,47 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(4, 2), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+COLLOCATION_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL),
+worded AS (SELECT lang, row_number() OVER () AS p, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+places AS (SELECT lang, p, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM worded),
+followed AS (SELECT lang, x, lead(x) OVER (PARTITION BY p ORDER BY i) AS y, lead(x, 2) OVER (PARTITION BY p ORDER BY i) AS z FROM places),
+grams AS (
+  SELECT lang, 1 AS k, x AS g, count(*) AS f FROM followed GROUP BY lang, x
+  UNION ALL SELECT lang, 2, x || ' ' || y, count(*) FROM followed WHERE y IS NOT NULL GROUP BY lang, x, y
+  UNION ALL SELECT lang, 3, x || ' ' || y || ' ' || z, count(*) FROM followed WHERE z IS NOT NULL GROUP BY lang, x, y, z),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, g, f AS a, string_split(g, ' ') AS w FROM grams WHERE k > 1 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.g, c.a, c.k, j.cut, x.f AS l, y.f AS r,
+         (CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM candidates c JOIN (SELECT unnest([1, 2]) AS cut) j ON j.cut < c.k
+  JOIN grams x ON x.lang = c.lang AND x.g = array_to_string(c.w[1 : j.cut], ' ')
+  JOIN grams y ON y.lang = c.lang AND y.g = array_to_string(c.w[j.cut + 1 : c.k], ' ')),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+longer AS (
+  SELECT lang, g, max(a) AS a
+  FROM (SELECT lang, array_to_string(w[1:2], ' ') AS g, a FROM candidates WHERE k = 3
+        UNION ALL SELECT lang, array_to_string(w[2:3], ' ') AS g, a FROM candidates WHERE k = 3)
+  GROUP BY lang, g),
+kept AS (
+  SELECT b.* FROM lowest b LEFT JOIN longer m ON m.lang = b.lang AND m.g = b.g
+  WHERE m.a IS NULL OR 100 * m.a < 50 * b.a)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS INTEGER) AS rank,
+       g AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+
+@query("op11_collocations", COLLOCATION_SQL)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of two and three words of every language."""
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 AUDIT_SQL = r"""
 WITH t AS (
   SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
