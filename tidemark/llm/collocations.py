@@ -10,8 +10,10 @@
    n-gram is counted in the chunk that owns its first word, so the overlap is
    counted once, and every n-gram lies whole in that chunk.
 3. Counts.  N-grams are counted inside distinct chunks only, times the parse
-   frequency.  Every part of a phrase is at least as frequent as the phrase,
-   so grams below the least count are left out at once.
+   frequency, one length after the other.  Every part of a phrase is at least
+   as frequent as the phrase, so grams below the least count are left out at
+   once, and longer grams are counted only where both their parts may be
+   frequent.
 4. Scores.  For every cut of a phrase into two parts the share of its squared
    count in the product of theirs; the lowest cut counts.  Phrases that mostly
    occur inside a longer one are dropped.
@@ -19,6 +21,9 @@
 Scale: chunks and grams are spread by their content, partly summed before the
 shuffle.  A frequent word meets the phrases that it begins or ends in
 ``SALTS`` tasks.  Lists are cut to their first rows before languages meet.
+Frequent grams reach the tasks as a bitmap of ``FILTER_BITS`` bits whatever
+their number: a bit set by another gram lets some grams be counted in vain,
+none is lost.
 
 Cases: a null text is empty; a null language is ``und``; punctuation and line
 ends part pieces, words are everything else between blanks and tabs, so signs
@@ -30,6 +35,7 @@ so other columns can't clash.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, remove_scratch, scratch_path
 
 from .text import Words, hash_strings, lower_ascii, mix, slices, spans, strings
 
@@ -52,6 +58,9 @@ WORD_BYTES[[0x20, 0x09]] = False
 #: Bytes of chunks whose n-grams are counted together inside a task.
 COUNT_BYTES = 4 << 20
 
+#: Bits of the filter of frequent grams; bounds what tasks are sent (8 MB).
+FILTER_BITS = 1 << 26
+
 #: Tasks that share the phrases of one part.
 SALTS = 8
 
@@ -121,50 +130,106 @@ def _sums(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], np.add.reduceat(weight[order], new)
 
 
-def count_grams(lang: pa.Array, chunks: pa.Array, own: np.ndarray, often: np.ndarray, max_words: int) -> Iterator[pa.RecordBatch]:
-    """(lang, gram, f) of the n-grams that the chunks own; the empty gram counts all words."""
+class GramFilter:
+    """A bitmap of frequent grams; it may take others for frequent, never the reverse."""
+
+    def __init__(self, slots: np.ndarray, bits: np.ndarray, size: int):
+        self.bits = np.zeros(size >> 6, np.uint64)
+        self.bits[slots] = bits.view(np.uint64)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        at = h % np.uint64(len(self.bits) << 6)
+        return self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) == 1
+
+
+def gram_hashes(lang: np.ndarray, words: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the grams of ``k`` words at the places ``at``, from hashes of their languages and of all words."""
+    h = lang.copy()
+    for i in range(k):
+        h = (h + words[at + i]) * np.uint64(0x9E3779B97F4A7C15)
+    return mix(h)
+
+
+def gram_filter(counts: DataFrame, k: int, size: int = FILTER_BITS) -> GramFilter:
+    """The filter of the grams of ``k`` words in ``counts``; at most ``size`` / 64 short rows reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = Words(*spans(strings(batch.column(1))), WORD_BYTES)
+            at = (hash_strings(strings(batch.column(0)).cast(pa.binary())), words.hashes(), words.first[:-1])
+            bit = gram_hashes(*at, k) % np.uint64(size)
+            mask = np.uint64(1) << (bit & np.uint64(63))
+            yield pa.RecordBatch.from_arrays([pa.array((bit >> np.uint64(6)).astype(np.int32)), pa.array(mask.view(np.int64))], names=["slot", "bits"])
+
+    own = counts.where((F.col("gram") != "") & (F.size(F.split("gram", " ", -1)) == k)).select("lang", "gram")
+    slots = own.mapInArrow(run, "slot int, bits bigint").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    return GramFilter(slots["slot"].to_numpy(), slots["bits"].to_numpy(), size)
+
+
+def count_grams(lang: pa.Array, chunks: pa.Array, own: np.ndarray, often: np.ndarray, k: int, known: GramFilter | None = None) -> Iterator[pa.RecordBatch]:
+    """(lang, gram, f) of the grams of ``k`` words that the chunks own, both of whose parts are ``known``.
+
+    With ``k`` = 1 the empty gram counts all words.
+    """
     raw, offsets = spans(chunks)
     words = Words(raw, offsets, WORD_BYTES)
     ids, distinct = words.ids()
     coded = lang.dictionary_encode()
     langs, lang_of = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    at, total = _sums(lang_of, own * often)
-    yield _grams(langs.take(pa.array(lang_of[at])), pa.array([""] * len(at), pa.string()), total)
-    owned = np.arange(len(words)) - words.first[words.doc] < own[words.doc]
-    blank = np.zeros(len(words), dtype=bool)
-    inner = np.flatnonzero(words.doc[1:] == words.doc[:-1])
-    blank[inner] = raw[words.end[inner]] == 0x20
-    # ``key`` names the gram of k words at each place ``at``: its rank among such grams, language included.
-    at, key = np.arange(len(words)), lang_of[words.doc]
-    for k in range(1, max_words + 1):
-        if k > 1:
-            on = blank[at + k - 2]
-            at, key = at[on], key[on]
-        key = np.unique(key * len(distinct) + ids[at + k - 1], return_inverse=True)[1]
-        mine = np.flatnonzero(owned[at])
-        first, f = _sums(key[mine], often[words.doc[at[mine]]])
-        where = at[mine[first]]
-        parts = [distinct.take(pa.array(ids[where + i])) for i in range(k)]
-        gram = pc.binary_join_element_wise(*parts, b" ") if k > 1 else parts[0]
-        yield _grams(langs.take(pa.array(lang_of[words.doc[where]])), gram.cast(pa.string()), f)
+    if k == 1:
+        at, total = _sums(lang_of, own * often)
+        yield _grams(langs.take(pa.array(lang_of[at])), pa.array([""] * len(at), pa.string()), total)
+    at = np.flatnonzero(np.arange(len(words)) - words.first[words.doc] < own[words.doc])
+    if k > 1:
+        # goes_on[i]: word i + 1 follows word i in its piece.
+        goes_on = np.zeros(len(words), dtype=bool)
+        inner = np.flatnonzero(words.doc[1:] == words.doc[:-1])
+        goes_on[inner] = raw[words.end[inner]] == 0x20
+        for i in range(k - 1):
+            at = at[goes_on[at + i]]
+    if known is not None and len(at):
+        h, h_lang = hash_strings(distinct)[ids], hash_strings(langs.cast(pa.binary()))[lang_of][words.doc]
+        for i in (0, 1):
+            at = at[known.has(gram_hashes(h_lang[at], h, at + i, k - 1))]
+    # ``key`` names a gram: its rank among those of its length, language included.
+    key = lang_of[words.doc[at]]
+    for i in range(k):
+        key = key * max(len(distinct), 1) + ids[at + i]
+        if i < k - 1:
+            key = np.unique(key, return_inverse=True)[1]
+    first, f = _sums(key, often[words.doc[at]])
+    where = at[first]
+    parts = [distinct.take(pa.array(ids[where + i])) for i in range(k)]
+    gram = pc.binary_join_element_wise(*parts, b" ") if k > 1 else parts[0]
+    yield _grams(langs.take(pa.array(lang_of[words.doc[where]])), gram.cast(pa.string()), f)
 
 
 def _grams(lang: pa.Array, gram: pa.Array, f: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([lang, gram, pa.array(f.astype(np.int64))], names=["lang", "gram", "f"])
 
 
-def gram_counts(chunks: DataFrame, max_words: int, least: int) -> DataFrame:
-    """(lang, gram, f) of all grams of 1 to ``max_words`` words with f >= ``least``, and of the empty gram."""
+def gram_counts(chunks: DataFrame, k: int, least: int, known: GramFilter | None = None) -> DataFrame:
+    """(lang, gram, f) of the grams of ``k`` words with f >= ``least``; with ``k`` = 1 also of the empty gram."""
+    shared = chunks.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _gathered(batches):
             lang, chunk, own, n = (table.column(c).combine_chunks() for c in range(4))
-            yield from count_grams(lang, chunk, own.to_numpy().astype(np.int64), n.to_numpy(), max_words)
+            yield from count_grams(lang, chunk, own.to_numpy().astype(np.int64), n.to_numpy(), k, shared.value)
 
     found = chunks.select("lang", "chunk", "own", "n").mapInArrow(run, "lang string, gram string, f bigint")
     return found.groupBy("lang", "gram").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("gram") == ""))
 
 
+def all_counts(chunks: DataFrame, max_words: int, least: int, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """(lang, gram, f) of the grams of 1 to ``max_words`` words with f >= ``least``, and of the empty gram."""
+    out = level = cut_lineage(gram_counts(chunks, 1, least))
+    for k in range(2, max_words + 1):
+        level = cut_lineage(gram_counts(chunks, k, least, gram_filter(level, k - 1, filter_bits)))
+        out = out.unionByName(level)
+    return out
+
+
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Batches joined up to ``COUNT_BYTES``."""
     held: list[pa.RecordBatch] = []
@@ -222,15 +287,19 @@ def collocations(
     inside: int = 50,
     top: int = 2000,
     modulus: int = 24,
+    filter_bits: int = FILTER_BITS,
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the ``top`` collocations of 2 to ``max_words`` words of each language."""
     if max_words < 2:
         raise ValueError("a phrase has two words or more")
-    chunks = dictionary(df, max_words - 1, modulus, text_col, lang_col)
-    # Read four times below; texts are parsed and chunks counted once.
-    counts = cut_lineage(gram_counts(chunks, max_words, least))
+    spark = df.sparkSession
+    # Texts are parsed once; the stored dictionary is read once for each length, and the few counts four times below.
+    place = scratch_path(spark, f"chunks-{uuid.uuid4().hex}")
+    dictionary(df, max_words - 1, modulus, text_col, lang_col).write.option("compression", "zstd").parquet(place)
+    counts = all_counts(spark.read.parquet(place), max_words, least, filter_bits)
+    remove_scratch(spark, place)
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = score_phrases(counts, max_words, inside).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
     words = counts.where("gram = ''").select("lang", F.col("f").alias("n"))
