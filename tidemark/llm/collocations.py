@@ -300,7 +300,11 @@ def collocations(
     dictionary(df, max_words - 1, modulus, text_col, lang_col).write.option("compression", "zstd").parquet(place)
     counts = all_counts(spark.read.parquet(place), max_words, least, filter_bits)
     remove_scratch(spark, place)
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = score_phrases(counts, max_words, inside).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    best = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    salt = F.pmod(F.xxhash64("phrase"), F.lit(SALTS))
+    # First rows of each salt, then of the language: the last task of a language reads SALTS * top rows at most.
+    ranked = score_phrases(counts, max_words, inside).withColumn("salt", salt)
+    for keys in (["lang", "salt"], ["lang"]):
+        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*best))).where(F.col("rank") <= top)
     words = counts.where("gram = ''").select("lang", F.col("f").alias("n"))
     return ranked.join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

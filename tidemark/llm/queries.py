@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut_lineage
 
-from . import collocations, filter_audit, knn, language_id, license_scan, mixing, ngram_join, piece_codec, quality_rules, rule_ensemble, toxicity, url_filter
+from . import collocations, filter_audit, knn, language_id, license_scan, mixing, ngram_join, piece_codec, quality_rules, rule_ensemble, secret_scan, toxicity, url_filter
 from .labelled import fold_of
 from .registry import query, read
 
@@ -178,6 +178,13 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents"))
 
 
+@query("op12_secret_scan")
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document; the field learns from windows of all documents."""
+    documents = read(spark, sf_dir, "documents")
+    return secret_scan.digests(documents, secret_scan.fit_secrets(documents))
+
+
 AUDIT_SQL = r"""
 WITH t AS (
   SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
