@@ -50,6 +50,9 @@ OUT, BEGIN, INSIDE = 0, 1, 2
 #: Places of a feature table; every feature is hashed into one of them.
 DIMS = 1 << 14
 
+#: Tasks that choose the training windows of one kind.
+SALTS = 16
+
 _RUN = np.zeros(256, dtype=bool)
 _RUN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100), *b"+/_-"]] = True
 _BLANK = np.zeros(256, dtype=bool)
@@ -346,7 +349,10 @@ def training_windows(df: DataFrame, train: Column | None, rows: int, window: int
     found = texts.select(F.col(id_col).cast("string").alias("key"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "chance bigint, secret boolean, places binary, tags binary")
     # Equal windows of copies count once, and the smallest hashes of either kind stay.
     found = found.groupBy("chance", "secret").agg(F.min("places").alias("places"), F.min("tags").alias("tags"))
-    few = found.withColumn("rank", F.row_number().over(Window.partitionBy("secret").orderBy("chance"))).where(F.col("rank") <= rows)
+    few = found.withColumn("salt", F.col("chance") % SALTS)
+    # First windows of each salt, then of the kind: the last task of a kind reads SALTS * rows at most.
+    for keys in (["secret", "salt"], ["secret"]):
+        few = few.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("chance"))).where(F.col("rank") <= rows)
     got = sorted(few.select("secret", "chance", "places", "tags").collect())
     if not any(r.secret for r in got):
         got = []
