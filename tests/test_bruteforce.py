@@ -99,7 +99,7 @@ def test_position_is_a_monotone_count(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame([(float("nan"),), (None,), (-1.0,), (float("inf"),), *[(x * x / 7.0,) for x in range(5000)]], "x double")
-    got = df.withColumn("b", ranks._boundaries(df, "x")).select("x", ranks._position(F.col("x"), F.col("b")).alias("p")).collect()
+    got = ranks.with_buckets(df, "x").select("x", F.col(ranks.BUCKET).alias("p")).collect()
     real = sorted((r.x, r.p) for r in got if r.x is not None and r.x == r.x)
     assert [p for _, p in real] == sorted(p for _, p in real) and len({p for _, p in real}) > 1500
     assert all(r.p == ranks.BUCKETS for r in got if r.x is None)

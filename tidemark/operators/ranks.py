@@ -70,16 +70,19 @@ def _boundaries(df: DataFrame, x: str) -> Column:
     return few.agg(F.sort_array(F.collect_set(x))).scalar()
 
 
-def _position(x: Column, bounds: Column) -> Column:
-    """Number of ``bounds`` <= x by binary search; a missing x goes last."""
-    steps = F.array(*[F.lit(1 << i) for i in range(BUCKETS.bit_length() - 2, -1, -1)])
-    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= x, at + step).otherwise(at))
-    return F.when(x.isNull(), F.lit(BUCKETS)).otherwise(below)
-
-
 def with_buckets(df: DataFrame, x: str) -> DataFrame:
-    """``df`` plus the bucket of ``x``, a column named ``BUCKET``."""
-    return df.withColumn("__bounds", _boundaries(df, x)).withColumn(BUCKET, _position(F.col(x), F.col("__bounds"))).drop("__bounds")
+    """``df`` plus the bucket of ``x``, a column named ``BUCKET``: the number
+    of boundaries <= x by binary search; a missing x goes last.
+
+    Each halving is a projection of its own, so the search is compiled with
+    the rest of the stage; a higher-order function would be interpreted, and
+    one expression written out would double with every step.
+    """
+    out = df.withColumn("__bounds", _boundaries(df, x)).withColumn(BUCKET, F.lit(0))
+    for i in range(BUCKETS.bit_length() - 2, -1, -1):
+        beyond = F.get(F.col("__bounds"), F.col(BUCKET) + ((1 << i) - 1)) <= F.col(x)
+        out = out.withColumn(BUCKET, F.col(BUCKET) + F.when(beyond, 1 << i).otherwise(0))
+    return out.withColumn(BUCKET, F.when(F.col(x).isNull(), F.lit(BUCKETS)).otherwise(F.col(BUCKET))).drop("__bounds")
 
 
 def _unique_prefix(df: DataFrame, keys: list[str], x: str, sums: list[str]) -> DataFrame:
