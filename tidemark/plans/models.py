@@ -35,6 +35,7 @@ from ..functions.categorical import normalize
 from ..functions.scalar import clip, positive_class_score
 from ..operators import splits
 from ..operators.drift import exact_quantiles
+from ..operators.extra_trees import ExtraTreesClassifier
 from ..operators.metrics import auc_table
 from ..operators.weights import class_balance
 from ..session import cut_lineage
@@ -92,7 +93,9 @@ def model_factory(cfg: dict, seed: int, weight_col: str | None = None, arity: in
         m = LogisticRegression(maxIter=int(cfg.get("iterations", 50)), regParam=float(cfg.get("l2", 0.0)),
                                featuresCol="features", labelCol="label")
     elif kind == "extra_trees":
-        raise ValueError("extra_trees is not built; use rf (random split points have no Spark ML counterpart)")
+        m = ExtraTreesClassifier(n_estimators=int(cfg.get("n_estimators", 40)), max_depth=int(cfg.get("depth", 7)),
+                                 min_samples_leaf=int(cfg.get("min_samples_leaf", 1)), min_samples_split=int(cfg.get("min_samples_split", 2)),
+                                 max_features=cfg.get("max_features", "sqrt"), seed=seed)
     else:
         raise ValueError(f"unknown model_type {kind}")
     if weight_col:

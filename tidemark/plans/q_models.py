@@ -72,6 +72,18 @@ def k03_forest_time_folds(spark, sf):
     return m
 
 
+ET = {"model_type": "extra_trees", "n_estimators": 20, "depth": 6, "min_samples_leaf": 20, "class_weight": "balanced"}
+
+
+@query("k03_extra_trees_time_folds")
+def k03_extra_trees_time_folds(spark, sf):
+    """Extremely randomised trees with class weights, per time fold and pooled."""
+    tr, _ = _train_test(spark, sf)
+    feats, ncols = _features(tr)
+    _, m = md.evaluate_folds(feats, "decision_day", _fold_spec(tr), ncols, CAT, ET, SEED)
+    return m
+
+
 @query("k04_dense_network_time_folds")
 def k04_dense_network_time_folds(spark, sf):
     tr, _ = _train_test(spark, sf)
@@ -280,6 +292,16 @@ def k03_fold_score_facts(spark, sf):
     return score_facts(preds, ["fold"])
 
 
+@query("k03_extra_trees_score_facts", FOLD_FACTS_SQL)
+def k03_extra_trees_score_facts(spark, sf):
+    """Extremely randomised trees with sample weights: facts of the written fold scores."""
+    tr, _ = _train_test(spark, sf)
+    weighted = tr.withColumn("w", wt.recent_boost("decision_day", "1999-01-01"))
+    feats, ncols = _features(weighted)
+    preds, _ = md.evaluate_folds(feats, "decision_day", _fold_spec(tr), ncols, CAT, {**ET, "n_estimators": 8, "depth": 4}, SEED, weight_col="w")
+    return score_facts(preds, ["fold"])
+
+
 @query("k02_test_score_facts", fx.with_views("apps") + "SELECT COUNT(*) AS n_rows, CAST(NULL AS BIGINT) AS n_pos, TRUE AS once, TRUE AS in_unit FROM apps WHERE is_test = 1")
 def k02_test_score_facts(spark, sf):
     tr, te = _train_test(spark, sf)
