@@ -32,11 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.categorical import normalize
-from ..functions.scalar import clip, positive_class_score
+from ..functions.scalar import clip, median_fill, positive_class_score, standardize
 from ..operators import splits
 from ..operators.drift import exact_quantiles
 from ..operators.extra_trees import ExtraTreesClassifier
 from ..operators.metrics import auc_table
+from ..operators.pairwise import by_model, fit_pairwise, within_group_auc
 from ..operators.weights import class_balance
 from ..session import cut_lineage
 
@@ -354,6 +355,44 @@ def export_top_trials(trials: DataFrame, k: int, source: str) -> DataFrame:
         F.from_json("params", "map<string,string>").alias("params"))).alias("config"))
 
 
+# Ranking -----------------------------------------------------------------------
+
+def rank_features(fit: DataFrame, df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> tuple[DataFrame, int]:
+    """``df`` plus the array ``x``: numerics standardised on ``fit`` (missing
+    at the median), categories of up to ``MAX_ARITY`` values one-hot, longer ones by their
+    standardised frequency; and its length."""
+    sizes = fit.agg(*[F.countDistinct(c).alias(c) for c in categorical]).first().asDict() if categorical else {}
+    filled = df.select(*[c for c in df.columns if c not in numeric], *[median_fill(fit, c).alias(c) for c in numeric])
+    base = fit.select(*[median_fill(fit, c).alias(c) for c in numeric])
+    parts = [standardize(base, c) for c in numeric]
+    for c in categorical:
+        if sizes[c] <= MAX_ARITY:
+            values = sorted(r[0] for r in fit.select(c).filter(F.col(c).isNotNull()).distinct().collect())
+            parts += [F.when(F.col(c) == v, 1.0).otherwise(0.0) for v in values]
+        else:
+            freq = fit.groupBy(F.col(c).alias("__c")).agg(F.count(F.lit(1)).cast("double").alias(f"__n_{c}"))
+            filled = filled.join(freq, F.col(c) == F.col("__c"), "left").drop("__c").fillna(0.0, subset=[f"__n_{c}"])
+            parts.append(F.col(f"__n_{c}") / F.lit(float(fit.count())))
+    return filled.withColumn("x", F.array(*parts)), len(parts)
+
+
+def rank_folds(df: DataFrame, day: str, spec: list[dict], numeric: Sequence[str], categorical: Sequence[str], label: str = "target_value",
+               id_col: str = "front_id", iterations: int = 8) -> tuple[DataFrame, DataFrame]:
+    """A pairwise ranker per time fold, pairs within a day; returns the
+    predictions (score through a logistic curve, so in [0, 1]) and, per fold
+    and pooled, the AUC and the within-day AUC.  Statistics are those of the
+    rows before the first cutoff, which every fold trains on."""
+    fit = df.filter(F.col(day) < spec[0]["cutoff"])
+    feats, n = rank_features(fit, df, numeric, categorical)
+    member = cut_lineage(splits.drop_empty_folds(splits.assign_folds(feats.select(id_col, day, label, "x"), day, spec)))
+    weights, _ = fit_pairwise(member.filter("role = 'train'"), "fold", day, "x", label, n, iterations)
+    score = 1.0 / (1.0 + F.exp(-by_model(F.col("fold"), F.col("x"), weights)))
+    preds = cut_lineage(member.filter("role = 'valid'").select(id_col, day, label, F.col("fold").cast("string").alias("fold"), score.alias("prediction")))
+    per = auc_table(preds, label, "prediction", ["fold"]).select("fold", "roc_auc", "n_rows", "n_pos")
+    within = within_group_auc(preds, ["fold"], day, label, "prediction")
+    return preds, per.join(within, "fold", "left")
+
+
 # Misc probes ---------------------------------------------------------------------
 
 def day_centered(df: DataFrame, day: str, cols: Sequence[str]) -> DataFrame:

@@ -18,6 +18,7 @@ from ..operators import context as ctx
 from ..operators import encoders as enc
 from ..operators import history as hs
 from ..operators import metrics, splits
+from ..operators import pairwise as pw
 from ..operators import weights as wt
 from ..operators.schema import DRIFT_EXCLUSIONS, confident_rows, feature_variants, split_feature_space
 from ..session import cut_lineage, scratch_path
@@ -424,6 +425,39 @@ def k16_within_day_ranking(spark, sf):
     return m
 
 
+PAIR_SQL = fx.with_views("apps") + """, r AS (SELECT front_id, decision_day, target_value AS y, (front_id * 7919 % 1000 + 150 * target_value) / 400e0 AS s FROM apps WHERE is_test = 0),
+p AS (SELECT a.decision_day, a.front_id AS i, b.front_id AS j, GREATEST(0e0, 1e0 - (a.s - b.s)) AS m FROM r a JOIN r b ON a.decision_day = b.decision_day AND a.y = 1 AND b.y = 0),
+g AS (SELECT i AS front_id, -2e0 * SUM(m) AS slope FROM p GROUP BY i UNION ALL SELECT j, 2e0 * SUM(m) FROM p GROUP BY j),
+l AS (SELECT i AS front_id, SUM(m * m) AS loss, COUNT(*) AS n FROM p GROUP BY i)
+SELECT r.front_id, ROUND(COALESCE(g.slope, 0e0), 6) + 0e0 AS pair_slope, ROUND(COALESCE(l.loss, 0e0), 6) + 0e0 AS pair_loss, CAST(COALESCE(l.n, 0) AS BIGINT) AS pairs
+FROM r LEFT JOIN g USING (front_id) LEFT JOIN l USING (front_id)"""
+
+
+@query("k16_pair_slopes", PAIR_SQL)
+def k16_pair_slopes(spark, sf):
+    """Loss and gradient of all same-day pairs at a given score, from prefix sums; the SQL makes the pairs."""
+    tr, _ = _train_test(spark, sf)
+    s = (F.col("front_id") * 7919 % 1000 + 150 * F.col("target_value")).cast("double") / F.lit(400.0)
+    got = pw.pair_slopes(tr.select("front_id", "decision_day", "target_value", s.alias("s")), ["decision_day"], "target_value", "s")
+    return got.select("front_id", (F.round("pair_slope", 6) + 0.0).alias("pair_slope"), (F.round("pair_loss", 6) + 0.0).alias("pair_loss"), F.col("pairs").cast("long").alias("pairs"))
+
+
+@query("k16_pairwise_time_folds")
+def k16_pairwise_time_folds(spark, sf):
+    """A pairwise ranker per time fold: AUC and within-day AUC of the valid rows."""
+    tr, _ = _train_test(spark, sf)
+    _, m = md.rank_folds(tr, "decision_day", _fold_spec(tr), NUM, CAT)
+    return m
+
+
+@query("k16_pairwise_score_facts", FOLD_FACTS_SQL)
+def k16_pairwise_score_facts(spark, sf):
+    """Facts of the fold scores of the pairwise ranker."""
+    tr, _ = _train_test(spark, sf)
+    preds, _ = md.rank_folds(tr, "decision_day", _fold_spec(tr), NUM, CAT, iterations=3)
+    return score_facts(preds, ["fold"])
+
+
 @query("k17_attribution_sample")
 def k17_attribution_sample(spark, sf):
     tr, _ = _train_test(spark, sf)
