@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
@@ -12,10 +13,13 @@ from tidemark.plans import models as md
 from tidemark.sources import fixtures as fx
 
 
-def test_slopes_equal_all_pairs(spark):
+@pytest.mark.parametrize("split", [False, True])
+def test_slopes_equal_all_pairs(spark, split):
     rng = random.Random(4)
     rows = [(i, rng.choice(["a", "b", "hot", "hot", "hot", None]), rng.choice([0, 1, None, 0, 1]), rng.choice([None, 0.0, 1.0, rng.gauss(0, 1), float(rng.randint(-2, 2)), rng.gauss(0, 30)])) for i in range(500)]
-    got = {r.i: r for r in pw.pair_slopes(spark.createDataFrame(rows, "i int, g string, y int, s double"), ["g"], "y", "s").collect()}
+    df = spark.createDataFrame(rows, "i int, g string, y int, s double")
+    hot = pw.hot_groups(df, ["g"], 100) if split else None
+    got = {r.i: r for r in pw.pair_slopes(df, ["g"], "y", "s", hot).collect()}
     good = [r for r in rows if None not in r]
     assert got.keys() == {r[0] for r in good}
     slope, loss, pairs = defaultdict(float), defaultdict(float), defaultdict(int)

@@ -15,37 +15,71 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .ranks import join_back, prefix_sums
 
 
-def pair_slopes(df: DataFrame, groups: Sequence[str], label: str, score: str) -> DataFrame:
+#: Rows above which a group's line is split over many tasks.
+HOT_ROWS = 100_000
+
+_SUMS = ["__n", "__ns", "__nss", "__p", "__ps"]
+
+
+def hot_groups(df: DataFrame, groups: Sequence[str], above: int = HOT_ROWS) -> DataFrame | None:
+    """The groups with more than ``above`` rows (at most rows / ``above`` of them), or None."""
+    big = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > above).select(*groups).collect()
+    return df.sparkSession.createDataFrame(big, df.select(*groups).schema) if big else None
+
+
+def pair_slopes(df: DataFrame, groups: Sequence[str], label: str, score: str, hot: DataFrame | None = None) -> DataFrame:
     """``df`` plus, per row, ``pair_slope`` (derivative of the summed loss by
     its score), ``pair_loss`` (of a positive with all its negatives, 0 for a
-    negative) and ``pairs`` (likewise, their number)."""
+    negative) and ``pairs`` (likewise, their number).
+
+    ``hot`` names the groups that one task should not hold; the others take a
+    window each, in one shuffle, with the same results."""
     groups = list(groups)
     s, y = F.col(score).cast("double"), F.col(label).cast("int")
     usable = s.isNotNull() & ~F.isnan(s) & y.isin(0, 1)
     for g in groups:
         usable = usable & F.col(g).isNotNull()
-    rows = df.filter(usable).withColumn("__at", s - y)
-    neg, pos = 1 - y, y
-    sums = {"__n": neg, "__ns": neg * s, "__nss": neg * s * s, "__p": pos, "__ps": pos * s}
-    line = rows.groupBy(*groups, "__at").agg(*[F.sum(v.cast("double")).alias(c) for c, v in sums.items()])
-    beyond = prefix_sums(line, groups, ["__at"], list(sums), unique=True)
-    # Negatives at or above a positive's place, positives below a negative's.
-    beyond = beyond.select(*groups, "__at", *[(F.col(f"{c}_total") - F.col(f"{c}_before")).alias(c) for c in ("__n", "__ns", "__nss")],
-                           F.col("__p_before").alias("__p"), F.col("__ps_before").alias("__ps"), F.col("__n_total").alias("__all"))
-    j = join_back(rows, beyond, [*groups, "__at"], how="inner")
+    neg, pos = (1 - y).cast("double"), y.cast("double")
+    values = [neg, neg * s, neg * s * s, pos, pos * s]
+    rows = df.filter(usable).select(*df.columns, (s - y).alias("__at"), *[v.alias(c) for c, v in zip(_SUMS, values)])
+    if hot is None:
+        return _slopes(_one_task_lines(rows, groups), df.columns, s, y)
+    few = F.broadcast(hot)
+    calm, busy = rows.join(few, groups, "left_anti"), rows.join(few, groups, "left_semi")
+    return _slopes(_one_task_lines(calm, groups), df.columns, s, y).unionByName(_slopes(_split_lines(busy, groups), df.columns, s, y))
+
+
+def _one_task_lines(rows: DataFrame, groups: list[str]) -> DataFrame:
+    """``<c>_in``: the sum up to a row's place, ties included, and ``<c>_total``: that of the group."""
+    whole = Window.partitionBy(*groups)
+    so_far = whole.orderBy("__at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.select("*", *[F.sum(c).over(so_far).alias(f"{c}_in") for c in _SUMS], *[F.sum(c).over(whole).alias(f"{c}_total") for c in _SUMS])
+
+
+def _split_lines(rows: DataFrame, groups: list[str]) -> DataFrame:
+    """The same sums from value buckets, no group in one task."""
+    line = rows.groupBy(*groups, "__at").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    line = prefix_sums(line, groups, ["__at"], _SUMS, unique=True)
+    line = line.select(*groups, "__at", *[(F.col(f"{c}_before") + F.col(c)).alias(f"{c}_in") for c in _SUMS], *[f"{c}_total" for c in _SUMS])
+    return join_back(rows, line, [*groups, "__at"], how="inner")
+
+
+def _slopes(line: DataFrame, columns: list[str], s: Column, y: Column) -> DataFrame:
+    """Slopes from the sums along the line.  A pair at the very margin adds nothing, so ties may stand on either side."""
+    n, ns, nss = (F.col(f"{c}_total") - F.col(f"{c}_in") for c in _SUMS[:3])
     margin = 1.0 - s
-    up = -2.0 * (F.col("__n") * margin + F.col("__ns"))
-    down = 2.0 * (F.col("__p") * (1.0 + s) - F.col("__ps"))
-    loss = F.col("__n") * margin * margin + 2.0 * margin * F.col("__ns") + F.col("__nss")
-    return j.select(*df.columns, F.when(y == 1, up).otherwise(down).alias("pair_slope"), F.when(y == 1, loss).otherwise(0.0).alias("pair_loss"),
-                    F.when(y == 1, F.col("__all")).otherwise(0.0).alias("pairs"))
+    up = -2.0 * (n * margin + ns)
+    down = 2.0 * (F.col("__p_in") * (1.0 + s) - F.col("__ps_in"))
+    loss = n * margin * margin + 2.0 * margin * ns + nss
+    return line.select(*columns, F.when(y == 1, up).otherwise(down).alias("pair_slope"), F.when(y == 1, loss).otherwise(0.0).alias("pair_loss"),
+                       F.when(y == 1, F.col("__n_total")).otherwise(0.0).alias("pairs"))
 
 
 def linear_score(x: Column, weights: Sequence[float]) -> Column:
@@ -71,11 +105,12 @@ def fit_pairwise(rows: DataFrame, model: str, group: str, x: str, label: str, n_
     """
     rows = cut_lineage(rows.select(model, group, x, label))
     names = [r[0] for r in rows.select(model).distinct().collect()]
+    hot = hot_groups(rows, [model, group])
     w = {m: [0.0] * n_features for m in names}
     best, history, last = dict(w), {m: [] for m in names}, {}
     for _ in range(iterations):
         scored = rows.withColumn("__s", by_model(F.col(model), F.col(x), w))
-        slopes = pair_slopes(scored, [model, group], label, "__s")
+        slopes = pair_slopes(scored, [model, group], label, "__s", hot)
         sums = slopes.groupBy(model).agg(
             F.sum("pair_loss").alias("loss"), F.sum("pairs").alias("pairs"),
             *[F.sum(F.col("pair_slope") * F.get(x, F.lit(i))).alias(f"g{i}") for i in range(n_features)])

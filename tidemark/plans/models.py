@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.categorical import normalize
-from ..functions.scalar import clip, median_fill, positive_class_score, standardize
+from ..functions.scalar import clip, positive_class_score
 from ..operators import splits
 from ..operators.drift import exact_quantiles
 from ..operators.extra_trees import ExtraTreesClassifier
@@ -359,12 +359,16 @@ def export_top_trials(trials: DataFrame, k: int, source: str) -> DataFrame:
 
 def rank_features(fit: DataFrame, df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> tuple[DataFrame, int]:
     """``df`` plus the array ``x``: numerics standardised on ``fit`` (missing
-    at the median), categories of up to ``MAX_ARITY`` values one-hot, longer ones by their
+    at the approximate median), categories of up to ``MAX_ARITY`` values one-hot, longer ones by their
     standardised frequency; and its length."""
-    sizes = fit.agg(*[F.countDistinct(c).alias(c) for c in categorical]).first().asDict() if categorical else {}
-    filled = df.select(*[c for c in df.columns if c not in numeric], *[median_fill(fit, c).alias(c) for c in numeric])
-    base = fit.select(*[median_fill(fit, c).alias(c) for c in numeric])
-    parts = [standardize(base, c) for c in numeric]
+    # Two one-row reads; the numbers stand in the plan as literals.
+    first = fit.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5).alias(f"m_{c}") for c in numeric],
+                    *[F.countDistinct(c).alias(f"n_{c}") for c in categorical]).first()
+    sizes = {c: first[f"n_{c}"] for c in categorical}
+    whole = {c: F.coalesce(F.col(c).cast("double"), F.lit(first[f"m_{c}"] or 0.0)) for c in numeric}
+    scale = fit.agg(*[f(v).alias(f"{k}_{c}") for c, v in whole.items() for k, f in (("avg", F.avg), ("std", F.stddev_pop))]).first()
+    parts = [(v - F.lit(scale[f"avg_{c}"] or 0.0)) / F.lit(scale[f"std_{c}"] or 1.0) for c, v in whole.items()]
+    filled = df
     for c in categorical:
         if sizes[c] <= MAX_ARITY:
             values = sorted(r[0] for r in fit.select(c).filter(F.col(c).isNotNull()).distinct().collect())

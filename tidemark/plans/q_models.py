@@ -425,11 +425,11 @@ def k16_within_day_ranking(spark, sf):
     return m
 
 
-PAIR_SQL = fx.with_views("apps") + """, r AS (SELECT front_id, decision_day, target_value AS y, (front_id * 7919 % 1000 + 150 * target_value) / 400e0 AS s FROM apps WHERE is_test = 0),
+PAIR_SQL = fx.with_views("apps") + """, r AS (SELECT front_id, decision_day, target_value AS y, (front_id * 7919 % 1000 + 150 * target_value) / 512e0 AS s FROM apps WHERE is_test = 0),
 p AS (SELECT a.decision_day, a.front_id AS i, b.front_id AS j, GREATEST(0e0, 1e0 - (a.s - b.s)) AS m FROM r a JOIN r b ON a.decision_day = b.decision_day AND a.y = 1 AND b.y = 0),
 g AS (SELECT i AS front_id, -2e0 * SUM(m) AS slope FROM p GROUP BY i UNION ALL SELECT j, 2e0 * SUM(m) FROM p GROUP BY j),
 l AS (SELECT i AS front_id, SUM(m * m) AS loss, COUNT(*) AS n FROM p GROUP BY i)
-SELECT r.front_id, ROUND(COALESCE(g.slope, 0e0), 6) + 0e0 AS pair_slope, ROUND(COALESCE(l.loss, 0e0), 6) + 0e0 AS pair_loss, CAST(COALESCE(l.n, 0) AS BIGINT) AS pairs
+SELECT r.front_id, COALESCE(g.slope, 0e0) + 0e0 AS pair_slope, COALESCE(l.loss, 0e0) AS pair_loss, CAST(COALESCE(l.n, 0) AS BIGINT) AS pairs
 FROM r LEFT JOIN g USING (front_id) LEFT JOIN l USING (front_id)"""
 
 
@@ -437,9 +437,12 @@ FROM r LEFT JOIN g USING (front_id) LEFT JOIN l USING (front_id)"""
 def k16_pair_slopes(spark, sf):
     """Loss and gradient of all same-day pairs at a given score, from prefix sums; the SQL makes the pairs."""
     tr, _ = _train_test(spark, sf)
-    s = (F.col("front_id") * 7919 % 1000 + 150 * F.col("target_value")).cast("double") / F.lit(400.0)
-    got = pw.pair_slopes(tr.select("front_id", "decision_day", "target_value", s.alias("s")), ["decision_day"], "target_value", "s")
-    return got.select("front_id", (F.round("pair_slope", 6) + 0.0).alias("pair_slope"), (F.round("pair_loss", 6) + 0.0).alias("pair_loss"), F.col("pairs").cast("long").alias("pairs"))
+    # Multiples of 2 ** -9: all sums are exact, in any order.
+    s = (F.col("front_id") * 7919 % 1000 + 150 * F.col("target_value")).cast("double") / F.lit(512.0)
+    scored = tr.select("front_id", "decision_day", "target_value", s.alias("s"))
+    # Days of more than 8 rows are split here, so both ways are compared with the SQL.
+    got = pw.pair_slopes(scored, ["decision_day"], "target_value", "s", pw.hot_groups(scored, ["decision_day"], 8))
+    return got.select("front_id", (F.col("pair_slope") + 0.0).alias("pair_slope"), "pair_loss", F.col("pairs").cast("long").alias("pairs"))
 
 
 @query("k16_pairwise_time_folds")
