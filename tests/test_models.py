@@ -33,8 +33,12 @@ def test_search_draws_are_seeded():
     assert all(2 <= t["depth"] <= 6 and 0.01 <= t["lr"] <= 0.3 for t in md.draw_trials(space, 20, 3))
 
 
+# Stored trials, one of them failed.
+TRIALS = [({"number": 0, "depth": 3}, 0.71), ({"number": 1, "depth": 2}, None), ({"number": 2, "depth": 4}, 0.74), ({"number": 3, "depth": 4}, 0.74)]
+
+
 def test_export_orders_stored_trials_and_skips_failed_ones(spark):
-    table = md.trial_table(spark, [t for t, _ in qm.TRIALS], [v for _, v in qm.TRIALS])
+    table = md.trial_table(spark, [t for t, _ in TRIALS], [v for _, v in TRIALS])
     assert [(r.number, r.value) for r in md.export_top_trials(table, 3, "s").collect()] == [(2, 0.74), (3, 0.74), (0, 0.71)]
 
 

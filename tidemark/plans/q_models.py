@@ -15,7 +15,7 @@ from ..functions import calendar as cal
 from ..functions import scalar as sc
 from ..operators import blend as bl
 from ..operators import context as ctx
-from ..operators import encoders as enc
+from ..operators import fold_encoders as fe
 from ..operators import history as hs
 from ..operators import metrics, splits
 from ..operators import pairwise as pw
@@ -342,21 +342,6 @@ def k13_parameter_search(spark, sf):
     return _search(spark, sf)
 
 
-# Stored trials, one of them failed: fixed values.
-TRIALS = [({"number": 0, "depth": 3, "learning_rate": 0.1}, 0.71), ({"number": 1, "depth": 2, "learning_rate": 0.2}, None),
-          ({"number": 2, "depth": 4, "learning_rate": 0.3}, 0.74), ({"number": 3, "depth": 4, "learning_rate": 0.2}, 0.74)]
-
-
-@query("k14_export_top_trials", """SELECT * FROM (VALUES
-  (2, 0.74::DOUBLE, '{"source":"k13_parameter_search","trial":2,"value":0.74,"params":{"depth":"4","learning_rate":"0.3"}}'),
-  (3, 0.74::DOUBLE, '{"source":"k13_parameter_search","trial":3,"value":0.74,"params":{"depth":"4","learning_rate":"0.2"}}')) t(number, value, config)""")
-def k14_export_top_trials(spark, sf):
-    """The form of the exported rows, on four fixed trials; the next two queries export trials computed from the tables."""
-    path = scratch_path(spark, f"trials-{uuid.uuid4().hex[:12]}")
-    md.trial_table(spark, [t for t, _ in TRIALS], [v for _, v in TRIALS]).write.parquet(path)
-    return md.export_top_trials(spark.read.parquet(path), 2, "k13_parameter_search")
-
-
 def _stored(spark, trials):
     """A trial table written to the scratch folder and read again."""
     path = scratch_path(spark, f"trials-{uuid.uuid4().hex[:12]}")
@@ -471,27 +456,67 @@ def k17_attribution_sample(spark, sf):
     return md.substitution_attribution(model, hold, ncols, md.medians(fit, ncols), "front_id")
 
 
+def _fold_features(tr, spec, nums):
+    """All category columns with statistics of ``nums`` and target encodings, for the train and valid rows of all folds."""
+    days, centre = fe.day_stats(tr, CAT, nums, "decision_day", "target_value")
+    stats = fe.fold_stats(days, centre, spec, "decision_day", 20)
+    member = splits.drop_empty_folds(splits.assign_folds(tr, "decision_day", spec))
+    return fe.add_fold_features(member, stats, CAT, nums, CAT, "target_value", "front_id")
+
+
 @query("k18_foldsafe_feature_model")
 def k18_foldsafe_feature_model(spark, sf):
+    """Segment statistics and target encodings of every category column, made for all folds at once; a model per fold."""
     tr, _ = _train_test(spark, sf)
-    spec = _fold_spec(tr)
-    tr = cut_lineage(tr)
+    made = _fold_features(tr, _fold_spec(tr), ["loan_amount_last", "balance_amt"])
+    feats, ncols = _features(made, [c for c in made.columns if "__" in c])
+    feats = cut_lineage(feats)
     out = None
-    for s in spec:
-        f = s["fold"]
-        fit, val = (tr.filter(splits.side_condition("decision_day", s, role)) for role in ("train", "valid"))
-        fit_s = enc.segment_stats(fit, fit, ["db_group_last"], ["loan_amount_last"], min_count=20)
-        val_s = enc.segment_stats(fit, val, ["db_group_last"], ["loan_amount_last"], min_count=20)
-        fit_e, val_e = enc.foldsafe_target_encoding(fit_s, val_s, ["fl_adminarea"], "target_value", 50.0, 5)
-        extra = [c for c in fit_e.columns if "__" in c]
-        ftr, ncols = _features(fit_e, extra)
-        fva, _ = _features(val_e, extra)
-        pred, _ = md.fit_score(ftr, fva, ncols, CAT, GBT, SEED, carry=["target_value"])
+    for f in sorted(r.fold for r in feats.select("fold").distinct().collect()):
+        own = feats.filter(F.col("fold") == f)
+        pred, _ = md.fit_score(own.filter("role = 'train'"), own.filter("role = 'valid'"), ncols, CAT, GBT, SEED, carry=["target_value"])
         pred = cut_lineage(pred.withColumn("fold", F.lit(str(f))))
         out = pred if out is None else out.unionByName(pred)
     return metrics.fold_auc(out, "target_value", "prediction", "fold")
 
 
+def _all_folds_sql(window):
+    start = f"c.cutoff - INTERVAL {window} DAY" if window else "DATE '1900-01-01'"
+    return fx.with_views("apps") + f""", c(fold, cutoff) AS (VALUES (1, DATE '1999-01-01'), (2, DATE '1999-07-01'), (3, DATE '2000-01-01')),
+fit AS (SELECT c.fold, a.* FROM apps a JOIN c ON a.is_test = 0 AND a.decision_day < c.cutoff AND a.decision_day >= {start}),
+long AS (SELECT fold, 'db_group_last' AS column_name, db_group_last AS category, target_value, loan_amount_last, balance_amt FROM fit
+  UNION ALL SELECT fold, 'fl_adminarea', fl_adminarea, target_value, loan_amount_last, balance_amt FROM fit)
+SELECT fold, column_name, category, COUNT(*) AS rows, SUM(target_value) + 0e0 AS y,
+  ROUND(CASE WHEN COUNT(loan_amount_last) >= 20 THEN AVG(loan_amount_last) + 31.4159e-6 END, 4) AS loan_amount_last__mean,
+  ROUND(CASE WHEN COUNT(loan_amount_last) >= 20 THEN STDDEV_SAMP(loan_amount_last) + 31.4159e-6 END, 4) AS loan_amount_last__std,
+  CASE WHEN COUNT(loan_amount_last) >= 20 THEN COUNT(loan_amount_last) END AS loan_amount_last__count,
+  ROUND(CASE WHEN COUNT(balance_amt) >= 20 THEN AVG(balance_amt) + 31.4159e-6 END, 4) AS balance_amt__mean,
+  ROUND(CASE WHEN COUNT(balance_amt) >= 20 THEN STDDEV_SAMP(balance_amt) + 31.4159e-6 END, 4) AS balance_amt__std,
+  CASE WHEN COUNT(balance_amt) >= 20 THEN COUNT(balance_amt) END AS balance_amt__count
+FROM long WHERE category IS NOT NULL GROUP BY fold, column_name, category"""
+
+
+def _all_fold_stats(spark, sf, window):
+    tr, _ = _train_test(spark, sf)
+    spec = splits.fold_spec(tr, "decision_day", fx.FOLD_CUTOFFS, window_days=window)
+    days, centre = fe.day_stats(tr, CAT, ["loan_amount_last", "balance_amt"], "decision_day", "target_value")
+    out = fe.fold_stats(days, centre, spec, "decision_day", 20)
+    # Means of amounts in cents end in ties at many digits: both sides round a shifted value.
+    return out.select(*[F.round(F.col(c) + 31.4159e-6, 4).alias(c) if c.endswith(("__mean", "__std")) else F.col(c) for c in out.columns])
+
+
+@query("e14_e15_statistics_of_all_folds", _all_folds_sql(None))
+def e14_e15_statistics_of_all_folds(spark, sf):
+    """Segment statistics and target sums of every fold, added up from one table per category and day."""
+    return _all_fold_stats(spark, sf, None)
+
+
+@query("e14_i02_statistics_of_all_windows", _all_folds_sql(180))
+def e14_i02_statistics_of_all_windows(spark, sf):
+    """The same over the 180 days before each cutoff."""
+    return _all_fold_stats(spark, sf, 180)
+
+
 @query("i04_stratified_split", fx.with_views("apps") + """, c AS (SELECT target_value, COUNT(*) AS n FROM apps WHERE is_test = 0 GROUP BY target_value)
 SELECT target_value, 1 AS is_train, CAST(CEIL(0.7 * n) AS BIGINT) AS n_rows FROM c
 UNION ALL SELECT target_value, 0, CAST(n - CEIL(0.7 * n) AS BIGINT) FROM c WHERE n - CEIL(0.7 * n) > 0""")
