@@ -43,7 +43,7 @@ from pyspark.sql.window import Window
 
 from tidemark.session import cut_lineage
 
-from .connected import components
+from .connected import SALTS, components
 from .grouped import map_groups
 from .text import NON_BLANK, Words, grams, mix, slices, spans, strings
 
@@ -356,9 +356,15 @@ def join_classes(df: DataFrame, spec: JoinSpec = JoinSpec(), id_col: str = "doc_
     split = split.unionByName(split.select(F.col("root").alias("node"), "root").distinct())
     settled = found.where("whole").select("digest", "root").unionByName(split.select(F.col("node").alias("digest"), "root"))
     links = found.groupBy("digest").agg(F.sum("add").alias("add"))
-    classed = reps.select("digest", "node", "n").join(settled, "digest", "left").join(links, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    smallest = classed.groupBy("root").agg(F.min("node").alias("kept"))
-    known = classed.join(smallest, "root").select("digest", "kept", F.col("node").alias("copy"), (F.coalesce("add", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    classed = reps.select("digest", "node", "n").join(settled, "digest", "left").join(links, "digest", "left")
+    # Most texts are a class of their own; members of a class meet its smallest row in SALTS tasks.
+    alone, members = classed.where("root is null"), classed.where("root is not null")
+    smallest = members.groupBy("root").agg(F.min("node").alias("kept")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    members = members.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int")).join(smallest, ["root", "salt"])
+    n_links = (F.coalesce("add", F.lit(0)) + F.col("n") - 1).alias("n_links")
+    known = alone.select("digest", F.col("node").alias("kept"), F.col("node").alias("copy"), n_links).unionByName(
+        members.select("digest", "kept", F.col("node").alias("copy"), n_links)
+    )
     out = rows.select("k", "h", "digest").join(known, "digest", "left")
     return out.select("k", "h", F.coalesce("kept", node).alias("root"), F.coalesce("copy", node).alias("copy"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("digest").isNotNull().alias("has_words"))
 
