@@ -128,7 +128,8 @@ def test_tiles_keep_every_neighbour_and_bound_the_error(spark, monkeypatch):
         s = knn.inner(np.repeat(c[i][None], 500, 0), c)
         exact[i] = sorted((-v, j) for j, v in enumerate(s.tolist()) if j != i)[:7]
     # Many small blocks, strips and tiles give the same result as few large ones.
-    for rows, strips, tile in (((512, 4096), 8, (512, 2048)), ((8, 8), 3, (5, 16))):
+    for rows, strips, tile, strip_rows in (((512, 4096), 8, (512, 2048), 1 << 17), ((8, 8), 3, (5, 16), 1 << 17), ((8, 8), 3, (5, 16), 40)):
+        monkeypatch.setattr(knn, "STRIP_ROWS", strip_rows)
         monkeypatch.setattr(knn, "QUERY_ROWS", rows)
         monkeypatch.setattr(knn, "STRIPS", strips)
         monkeypatch.setattr(knn, "TILE", tile)

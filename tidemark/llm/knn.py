@@ -1,7 +1,7 @@
 """Exact nearest neighbours by a block matrix join with int8 tiles.
 
-Queries are dealt into blocks and candidates into ``STRIPS`` strips by a hash
-of their id; every query block meets every strip.  A strip is read tile by
+Queries are dealt into blocks and candidates into strips of about
+``STRIP_ROWS`` rows by a hash of their id; every query block meets every strip.  A strip is read tile by
 tile, with the query block held.  In a tile the vectors are quantised to int8
 codes with one scale each.  The product of the codes is exact (32-bit floats
 hold it), and with the norms of the rounding errors it bounds each inner
@@ -43,9 +43,12 @@ from .grouped import Reader, read_groups, vectors
 #: Rows of a query block: an eighth of the queries between these bounds.
 QUERY_ROWS = (512, 4096)
 
-#: Parts of the candidates that are searched side by side for a query block.
+#: Least parts of the candidates that are searched side by side for a query block.
 STRIPS = 8
 
+#: Candidates of a strip, about; more rows make more strips, so a task's share doesn't grow with the table.
+STRIP_ROWS = 1 << 17
+
 #: Queries and candidates of one tile.
 TILE = (512, 2048)
 
@@ -140,13 +143,15 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     ``is_query`` is a condition on the column ``id``.
     """
     good = usable(df, id_col, vec_col)
-    n_queries = df.select(F.col(id_col).cast("long").alias("id")).where(is_query).count()
+    ids = df.select(F.col(id_col).cast("long").alias("id")).where("id is not null")
+    n_queries, n_rows = ids.agg(F.count_if(is_query), F.count("*")).first()
     low, high = QUERY_ROWS
     blocks = max(1, -(-n_queries // min(max(n_queries // 8, low), high)))
+    strips = max(STRIPS, -(-n_rows // STRIP_ROWS))
     part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    queries = good.where(is_query).select("dim", part(blocks).alias("block"), each(STRIPS).alias("strip"), F.lit(0).alias("side"), "id", "v")
-    candidates = good.select("dim", each(blocks).alias("block"), part(STRIPS).alias("strip"), F.lit(1).alias("side"), "id", "v")
+    queries = good.where(is_query).select("dim", part(blocks).alias("block"), each(strips).alias("strip"), F.lit(0).alias("side"), "id", "v")
+    candidates = good.select("dim", each(blocks).alias("block"), part(strips).alias("strip"), F.lit(1).alias("side"), "id", "v")
     found = read_groups(queries.unionByName(candidates), ["dim", "block", "strip"], lambda: Search(k), "query_id bigint, vec_id bigint, score double", order=["side"])
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
