@@ -19,6 +19,7 @@ from ..operators import fold_encoders as fe
 from ..operators import history as hs
 from ..operators import metrics, splits
 from ..operators import pairwise as pw
+from ..operators import tree_paths as tp
 from ..operators import weights as wt
 from ..operators.schema import DRIFT_EXCLUSIONS, confident_rows, feature_variants, split_feature_space
 from ..session import cut_lineage, scratch_path
@@ -456,6 +457,52 @@ def k17_attribution_sample(spark, sf):
     return md.substitution_attribution(model, hold, ncols, md.medians(fit, ncols), "front_id")
 
 
+def _fold3_attributions(spark, sf, cfg, n=None):
+    """Attributions of the third fold's model on (``n`` sampled) rows of its holdout, and the feature names."""
+    tr, _ = _train_test(spark, sf)
+    feats, ncols = _features(tr)
+    cut = F.lit(fx.FOLD_CUTOFFS[2]).cast("date")
+    fit, hold = feats.filter(F.col("decision_day") < cut), feats.filter(F.col("decision_day") >= cut)
+    model = md.fit_model(fit, ncols, CAT, cfg, SEED)
+    return tp.path_attributions(model, hold if n is None else splits.seeded_sample(hold, "front_id", n, SEED))
+
+
+HOLDOUT_ROWS_SQL = fx.with_views("apps") + f"""SELECT COUNT(*) AS n_rows, COUNT(DISTINCT front_id) AS n_ids, COUNT(*) AS n_additive, CAST(0 AS BIGINT) AS n_all_zero
+FROM apps WHERE is_test = 0 AND decision_day >= DATE '{fx.FOLD_CUTOFFS[2]}'"""
+
+
+def _attribution_facts(rows):
+    """Rows, ids, rows whose attributions and base add up to their raw score, and rows without any attribution."""
+    whole = F.aggregate("attribution", F.col("base"), lambda a, v: a + v)
+    size = F.aggregate("attribution", F.lit(0.0), lambda a, v: a + F.abs(v))
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("front_id").alias("n_ids"),
+                    F.count_if(F.abs(whole - F.col("raw_score")) < 1e-9).alias("n_additive"), F.count_if(size == 0).alias("n_all_zero"))
+
+
+@query("e36_path_attribution")
+def e36_path_attribution(spark, sf):
+    """Exact additive attributions of a boosted model on all holdout rows, summed up by feature."""
+    return tp.attribution_summary(*_fold3_attributions(spark, sf, GBT))
+
+
+@query("e36_path_attribution_facts", HOLDOUT_ROWS_SQL)
+def e36_path_attribution_facts(spark, sf):
+    """Every holdout row's attributions add up to its raw score (boosted trees)."""
+    return _attribution_facts(_fold3_attributions(spark, sf, GBT)[0])
+
+
+@query("e36_forest_attribution_facts", HOLDOUT_ROWS_SQL)
+def e36_forest_attribution_facts(spark, sf):
+    """The same for a random forest's probability."""
+    return _attribution_facts(_fold3_attributions(spark, sf, {"model_type": "rf", "n_estimators": 10, "depth": 5, "min_samples_leaf": 20})[0])
+
+
+@query("k17_path_attribution_sample")
+def k17_path_attribution_sample(spark, sf):
+    """Attributions of fold 3's model on 3,000 sampled holdout rows, by feature."""
+    return tp.attribution_summary(*_fold3_attributions(spark, sf, GBT, 3000))
+
+
 def _fold_features(tr, spec, nums):
     """All category columns with statistics of ``nums`` and target encodings, for the train and valid rows of all folds."""
     days, centre = fe.day_stats(tr, CAT, nums, "decision_day", "target_value")
