@@ -18,17 +18,29 @@ from tidemark.plans import q_models as qm
 from tidemark.sources import fixtures as fx
 
 
-def worth(node, row, known):
-    """Expected value of a tree when only the features of ``known`` are seen."""
+def read(node):
+    """(rows, value) of a leaf; (rows, feature, test, left, right) of a split."""
+    rows = node.impurityStats().count()
     if node.getClass().getSimpleName() == "LeafNode":
         stats = list(node.impurityStats().stats())
-        return node.prediction() if len(stats) == 3 else stats[1] / sum(stats)
-    f, split = node.split().featureIndex(), node.split()
+        return rows, node.prediction() if len(stats) == 3 else stats[1] / sum(stats)
+    split = node.split()
+    if split.getClass().getSimpleName() == "CategoricalSplit":
+        names = set(split.leftCategories())
+        test = names.__contains__
+    else:
+        test = float(split.threshold()).__ge__
+    return rows, split.featureIndex(), test, read(node.leftChild()), read(node.rightChild())
+
+
+def worth(node, row, known):
+    """Expected value of a tree when only the features of ``known`` are seen."""
+    if len(node) == 2:
+        return node[1]
+    _, f, test, left, right = node
     if f in known:
-        left = row[f] in list(split.leftCategories()) if split.getClass().getSimpleName() == "CategoricalSplit" else row[f] <= split.threshold()
-        return worth(node.leftChild() if left else node.rightChild(), row, known)
-    n = [c.impurityStats().count() for c in (node.leftChild(), node.rightChild())]
-    return (n[0] * worth(node.leftChild(), row, known) + n[1] * worth(node.rightChild(), row, known)) / sum(n)
+        return worth(left if test(row[f]) else right, row, known)
+    return (left[0] * worth(left, row, known) + right[0] * worth(right, row, known)) / (left[0] + right[0])
 
 
 def shapley(root, row, m):
@@ -71,12 +83,13 @@ def test_attributions_equal_subset_enumeration(data, kind):
     weights = list(model._java_obj.treeWeights()) if hasattr(model, "trees") else [1.0]
     if kind == "forest":
         weights = [w / len(trees) for w in weights]
+    roots = [read(t.rootNode()) for t in trees]
     for r in got:
         want = [0.0] * 4
-        for t, w in zip(trees, weights):
-            want = [a + w * b for a, b in zip(want, shapley(t.rootNode(), r.x, 4))]
+        for t, w in zip(roots, weights):
+            want = [a + w * b for a, b in zip(want, shapley(t, r.x, 4))]
         assert max(abs(a - b) for a, b in zip(r.attribution, want)) < 1e-9
-        assert abs(r.base - sum(w * worth(t.rootNode(), r.x, set()) for t, w in zip(trees, weights))) < 1e-9
+        assert abs(r.base - sum(w * worth(t, r.x, set()) for t, w in zip(roots, weights))) < 1e-9
 
 
 @pytest.mark.parametrize("kind", ["boosted", "forest", "tree"])

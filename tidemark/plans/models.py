@@ -37,6 +37,7 @@ from ..operators import splits
 from ..operators.drift import exact_quantiles
 from ..operators.extra_trees import ExtraTreesClassifier
 from ..operators.metrics import auc_table
+from ..operators.network import fit_networks, network_score
 from ..operators.pairwise import by_model, fit_pairwise, within_group_auc
 from ..operators.weights import class_balance
 from ..session import cut_lineage
@@ -87,7 +88,7 @@ def model_factory(cfg: dict, seed: int, weight_col: str | None = None, arity: in
                                    featureSubsetStrategy=cfg.get("max_features", "sqrt"), maxBins=bins, **common)
     elif kind == "mlp":
         if weight_col:
-            raise ValueError("the network has no weight parameter; resample the rows by weight first")
+            raise ValueError("this network has no weight parameter; network_folds fits weighted ones")
         m = MultilayerPerceptronClassifier(layers=list(cfg["layers"]), maxIter=int(cfg.get("iterations", 50)),
                                            stepSize=float(cfg.get("learning_rate", 0.03)), **common)
     elif kind == "logreg":
@@ -397,6 +398,28 @@ def rank_folds(df: DataFrame, day: str, spec: list[dict], numeric: Sequence[str]
     return preds, per.join(within, "fold", "left")
 
 
+def network_folds(df: DataFrame, day: str, spec: list[dict], numeric: Sequence[str], categorical: Sequence[str], label: str = "target_value",
+                  id_col: str = "front_id", weight_col: str | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """A weighted network per time fold, stopped by the loss on its valid
+    rows; ``options`` as in :func:`network.fit_networks`.  Returns the
+    predictions and, per fold and pooled, the AUC; per fold the best step, the
+    steps run and the class weight.  Statistics are those of the rows before
+    the first cutoff, which every fold trains on."""
+    fit = df.filter(F.col(day) < spec[0]["cutoff"])
+    feats, n = rank_features(fit, df, numeric, categorical)
+    feats = cut_lineage(feats.select(id_col, day, label, "x", *([weight_col] if weight_col else [])))
+    sides = {str(s["fold"]): (splits.side_condition(day, s, "train"), splits.side_condition(day, s, "valid")) for s in spec}
+    nets = fit_networks(feats, sides, "x", label, n, weight_col, **options)
+    member = splits.drop_empty_folds(splits.assign_folds(feats, day, spec)).filter("role = 'valid'")
+    fold = F.col("fold").cast("string")
+    preds = cut_lineage(member.select(id_col, day, label, fold.alias("fold"), network_score(fold, F.col("x"), nets).alias("prediction")))
+    per = auc_table(preds, label, "prediction", ["fold"]).select("fold", "roc_auc", "n_rows", "n_pos")
+    pooled = auc_table(preds, label, "prediction").select(F.lit("OOF_TIME_HOLDOUT").alias("fold"), "roc_auc", "n_rows", "n_pos")
+    facts = df.sparkSession.createDataFrame([(f, v.best_step, v.steps_run, v.pos_weight) for f, v in nets.items()],
+                                            "fold string, best_step int, steps_run int, pos_weight double")
+    return preds, per.unionByName(pooled).join(facts, "fold", "left")
+
+
 # Misc probes ---------------------------------------------------------------------
 
 def day_centered(df: DataFrame, day: str, cols: Sequence[str]) -> DataFrame:

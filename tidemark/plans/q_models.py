@@ -99,6 +99,18 @@ def k04_dense_network_time_folds(spark, sf):
     return m
 
 
+def _weighted_networks(spark, sf, **options):
+    tr, _ = _train_test(spark, sf)
+    weighted = tr.withColumn("sample_weight", wt.linear_recency(tr, "decision_day"))
+    return md.network_folds(weighted, "decision_day", _fold_spec(tr), NUM, CAT, weight_col="sample_weight", hidden=(16, 8), **options)
+
+
+@query("k04_weighted_network_time_folds")
+def k04_weighted_network_time_folds(spark, sf):
+    """Networks of all folds with recency weights, class weight and early stop: AUC, best step, steps run."""
+    return _weighted_networks(spark, sf, steps=25, patience=5)[1]
+
+
 @query("k05_late_holdouts")
 def k05_late_holdouts(spark, sf):
     tr, _ = _train_test(spark, sf)
@@ -294,6 +306,12 @@ def k03_fold_score_facts(spark, sf):
     return score_facts(preds, ["fold"])
 
 
+@query("k04_weighted_network_score_facts", FOLD_FACTS_SQL)
+def k04_weighted_network_score_facts(spark, sf):
+    """Facts of the fold scores of the weighted networks."""
+    return score_facts(_weighted_networks(spark, sf, steps=4)[0], ["fold"])
+
+
 @query("k03_extra_trees_score_facts", FOLD_FACTS_SQL)
 def k03_extra_trees_score_facts(spark, sf):
     """Extremely randomised trees with sample weights: facts of the written fold scores."""
