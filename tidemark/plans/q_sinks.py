@@ -72,6 +72,27 @@ def a05_latest_run_lookup(spark, sf):
     return sk.latest_runs(sk.run_registry(spark, path))
 
 
+@query("a05_committed_runs", W("scores") + """SELECT p.prefix, p.run_id, COUNT(*) AS n_rows, CAST(SUM(s.target_value) AS BIGINT) AS n_pos FROM scores s
+CROSS JOIN (VALUES ('m1', 'm1_20240101T000000Z_seed42', 1), ('m2', 'm2_20240201T000000Z_seed7', 2)) p(prefix, run_id, fold) WHERE s.fold <= p.fold GROUP BY p.prefix, p.run_id""")
+def a05_committed_runs(spark, sf):
+    """Rows of the newest committed run per prefix.  The later run of m1 and a
+    repeat of m2's die between two artifacts: neither is seen."""
+    root = _scratch(spark, "committed")
+    s = fx.scores(spark, sf)
+    broken = s.withColumn("s1", F.raise_error(F.lit("lost")).cast("double"))
+    for run, fold, fails in (("m1_20240101T000000Z_seed42", 1, False), ("m1_20240301T000000Z_seed42", 3, True),
+                             ("m2_20240201T000000Z_seed7", 2, False), ("m2_20240201T000000Z_seed7", 3, True)):
+        tables = {"predictions": s.filter(F.col("fold") <= fold), "metrics": broken if fails else s.groupBy("fold").count()}
+        try:
+            sk.write_committed_run(root, run, tables)
+        except Exception as error:
+            if not fails or "lost" not in str(error):
+                raise
+    newest = sk.latest_runs(sk.run_ids(sk.committed_runs(spark, root))).drop("stamp")
+    rows = sk.read_committed(spark, root, "predictions").groupBy("run_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("target_value").cast("long").alias("n_pos"))
+    return newest.join(rows, "run_id").select("prefix", "run_id", "n_rows", "n_pos")
+
+
 @query("a08_run_artifacts", W("apps", "scores") + """, r(run_id) AS (VALUES ('s1_20240101T000000Z_seed42'), ('s2_20240101T000000Z_seed42')),
 c(artifact, n_rows) AS (SELECT 'valid_predictions', COUNT(*) FROM scores UNION ALL SELECT 'test_predictions', COUNT(*) FROM apps WHERE is_test = 1
   UNION ALL SELECT 'fold_metrics', COUNT(DISTINCT fold) + 1 FROM scores UNION ALL SELECT 'feature_manifest', 19 UNION ALL SELECT 'config', 1)
@@ -140,6 +161,29 @@ def a10_m09_fingerprints(spark, sf):
     return chk.select("name", "matches", tab.select("n_rows").scalar().alias("apps_rows"), same(again).alias("same_table"), same(changed).alias("same_after_change"))
 
 
+@query("a10_chunk_digests", """SELECT t.name, TRUE AS same_length, TRUE AS one_root, t.n_changed FROM (VALUES ('customer', 0), ('orders', 0), ('nation', 1)) t(name, n_changed)""")
+def a10_chunk_digests(spark, sf):
+    """Digest trees of the table files from chunks of 64 KiB, before and after
+    a copy of one is cut: lengths, one root a file, and tables with a change."""
+    place = _scratch(spark, "chunks")
+    names = ["orders", "customer", "nation"]
+    for n in names:
+        read_table(spark, sf, n).coalesce(1).write.parquet(f"{place}/{n}")
+    paths = [f"{place}/{n}" for n in names]
+    name = F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("name")
+    # Files are replaced under a new name, so chunks are compared by folder.
+    read = lambda: sk.chunk_digests(spark, paths, 1 << 16).withColumn("path", name)
+    read().write.parquet(f"{place}-card")
+    read_table(spark, sf, "nation").filter("n_nationkey > 0").coalesce(1).write.mode("overwrite").parquet(f"{place}/nation")
+    read().write.parquet(f"{place}-now")
+    card, now = (spark.read.parquet(f"{place}-{n}") for n in ("card", "now"))
+    changed = sk.changed_chunks(now, card).select(F.col("path").alias("name")).distinct().withColumn("n_changed", F.lit(1))
+    whole = sk.file_fingerprints(spark, paths).select(name, F.col("length").alias("bytes"))
+    trees = sk.tree_digests(now, 16).groupBy(F.col("path").alias("name")).agg(F.sum("length").alias("length"), (F.count(F.lit(1)) == 1).alias("one_root"))
+    return trees.join(whole, "name").join(changed, "name", "left").select(
+        "name", (F.col("length") == F.col("bytes")).alias("same_length"), "one_root", F.coalesce("n_changed", F.lit(0)).alias("n_changed"))
+
+
 APPS_SPECS = [("cnt_30_to_90", "cnt_30", "cnt_90", "ratio"), ("balance_to_loan_amount", "balance_amt", "loan_amount_last", "ratio")]
 CFG = {"id_col": "front_id", "day_col": "decision_day", "target": "target_value", "categorical": ["db_group_last", "fl_adminarea"],
        "time_features": {"include_day_num": True, "include_week": True},
