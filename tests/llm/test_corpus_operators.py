@@ -277,7 +277,7 @@ def walked_mix(docs, weights, block=16, repeat=3):
 
     Ids are unique here; the seeded order is the hash that Spark gives.
     """
-    rows = [(r.source, r.doc_id, len(WORD.findall(r.text or "")), r.o) for r in docs.select("*", F.xxhash64(F.lit(1), "doc_id").alias("o")).collect()]
+    rows = [(r.source, r.doc_id, len(WORD.findall(r.text or "")), r.o) for r in docs.select("*", F.xxhash64(F.lit(1), "doc_id", "text").alias("o")).collect()]
     sources = sorted({r[0] for r in rows}, key=lambda s: (s is None, s or ""))
     size = [sum(r[2] for r in rows if r[0] == s) for s in sources]
     target = [float(t) for t in mixing.fill_targets(size, [weights[i % len(weights)] for i in range(len(size))], repeat)]
@@ -379,3 +379,15 @@ def test_sources_below_one_block_are_taken(spark):
     mixed = mixing.mix(docs, {"small": 1.0, "large": 1.0, "tiny": 1.0})
     taken = {r.source: r.t for r in mixed.select("source", F.col(f"{mixing.MIX}.taken").alias("t")).collect()}
     assert (taken["small"], taken["tiny"]) == (15, 9) and abs(taken["large"] - 384) <= 16
+
+
+def test_rows_without_an_id_or_with_one_id_are_spread_over_shards(spark):
+    rows = [(None if i % 3 else 7, "s", " ".join(f"w{i}x{k}" for k in range(10))) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    placed = mixing._mixed(docs, {"s": 1.0})
+    sizes = {r.shard: r["count"] for r in placed.groupBy("shard").count().collect()}
+    assert len(sizes) == 6 and max(sizes.values()) < 2 * min(sizes.values())
+    run = lambda d: Counter((r.doc_id, r.text) for r in mixing.mixed_rows(d, {"s": 1.0}).collect())
+    taken = run(docs)
+    # The quotas of the shards are in blocks, so a row may be taken twice for another's sake; the source's words are met.
+    assert taken == run(docs.repartition(5)) and taken.keys() <= {(i, t) for i, _, t in rows} and sum(taken.values()) == 3000

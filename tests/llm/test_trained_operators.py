@@ -30,6 +30,15 @@ def test_folds_and_samples_are_bounded_and_repeatable(spark):
     assert one == two and len(one) <= 100 and all(zlib.crc32(str(i).encode()) % 4 != 2 for i in one)
 
 
+def test_a_repeated_id_gives_one_sampled_row(spark):
+    docs = spark.range(20_000).select(F.when(F.col("id") < 19_900, F.lit(5)).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    marks = docs.select("doc_id", F.lit(1).alias("toxic"))
+    got = labelled_texts(docs, marks, "toxic", None, 200).collect()
+    assert len(got) == 101 and [r.text for r in got if r.key == 5] == ["text 0"]
+    assert got == labelled_texts(docs.repartition(9), marks, "toxic", None, 200).collect()
+    assert language_id._sample(docs, None, 200, "doc_id", "text", "lang").count() == 101
+
+
 def test_gathered_scores_equal_dense_products():
     rng = np.random.default_rng(1)
     grams = Grams(pa.array(["", "a", "ab c", "The THE the!! x x x", "é " * 40, " \n "]))

@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .labelled import one_text
 from .linear import Scaler, fit_logistic, fit_platt, fit_svm, sigmoid
 from .ngrams import DIMS, Grams, collect_dense
 from .text import slices, strings
@@ -83,13 +84,13 @@ class LanguageModel:
 
 
 def _sample(documents: DataFrame, train: Column | None, rows: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """At most ``rows`` texts of known language in hash order of the id; ids are chosen before texts are read."""
+    """At most ``rows`` texts of known language in hash order of the id, one per id; ids are chosen before texts are read."""
     named = documents.select(F.col(id_col).alias("key"), F.col(lang_col).cast("string").alias("y")).where("key is not null and y is not null")
     if train is not None:
         named = named.where(train)
     chosen = named.groupBy("key").agg(F.min("y").alias("y")).orderBy(F.xxhash64("key"), "key").limit(rows)
     texts = documents.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "key")
+    return one_text(texts.join(F.broadcast(chosen), "key"))
 
 
 def fit_languages(

@@ -14,9 +14,10 @@ is spread over many tasks and the quota step sees one short row per shard.
 Only one row per source reaches the driver.
 
 Cases: a null source is a source of its own, sorted last; a null or empty
-text has size 0 and is taken 0 times; a null id is ordered by its hash like
-any other; equal rows are told apart by their place only, so the result as a
-set of rows is the same on every run; an empty table gives an empty result;
+text has size 0 and is taken 0 times; order and shard of a row come from a
+hash of id and text, so rows with a null or repeated id are spread by their
+texts; rows equal in both are told apart by their place only, so the result as
+a set of rows is the same on every run; an empty table gives an empty result;
 added columns sit in one struct, so no name can clash.
 """
 
@@ -112,7 +113,7 @@ def _mixed(
     """
     spark = df.sparkSession
     size = word_count(F.col(text_col).cast("string")) if size is None else size
-    narrow = df.select(F.col(source_col).cast("string").alias("source"), size.alias("size"), _order(id_col, seed).alias("o"))
+    narrow = df.select(F.col(source_col).cast("string").alias("source"), size.alias("size"), _order(id_col, text_col, seed).alias("o"))
     found = narrow.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -146,7 +147,7 @@ def _mixed(
         .groupBy("s", "shard", "blocks", "target").agg(F.sum("size").alias("n"))
         .groupBy("s").applyInPandas(quotas, "s int, shard int, n long, words long")
     )
-    row = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(source_col).cast("string").alias("source"), size.alias("size"), _order(id_col, seed).alias("o"), F.col(id_col).alias("at"))
+    row = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(source_col).cast("string").alias("source"), size.alias("size"), _order(id_col, text_col, seed).alias("o"), F.col(id_col).alias("at"))
     placed = row.join(plan, row["source"].eqNullSafe(plan["source"])).select("row", "size", "o", "at", "s", "source_size", "target", shard)
     line = Window.partitionBy("s", "shard").orderBy("o", "at", "size").rowsBetween(Window.unboundedPreceding, 0)
     joined = placed.withColumn("end", F.sum("size").over(line)).join(per_shard, ["s", "shard"])
@@ -156,9 +157,10 @@ def _mixed(
     return joined.select("row", F.struct("size", "source_size", "target", taken.cast("long").alias("taken")).alias("mix"), "s", "shard", begun.cast("long").alias("begun"))
 
 
-def _order(id_col: str, seed: int) -> Column:
-    """Seeded place of a document in its shard's stream."""
-    return F.xxhash64(F.lit(seed), F.col(id_col))
+def _order(id_col: str, text_col: str, seed: int) -> Column:
+    """Seeded place of a document in its source's streams, by id and text: rows
+    without an id, or with one that repeats, are spread by their texts."""
+    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col).cast("string"))
 
 
 def _cut_ends(rows: pd.DataFrame) -> pd.DataFrame:
