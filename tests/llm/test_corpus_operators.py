@@ -391,3 +391,12 @@ def test_rows_without_an_id_or_with_one_id_are_spread_over_shards(spark):
     taken = run(docs)
     # The quotas of the shards are in blocks, so a row may be taken twice for another's sake; the source's words are met.
     assert taken == run(docs.repartition(5)) and taken.keys() <= {(i, t) for i, _, t in rows} and sum(taken.values()) == 3000
+
+
+def test_mixing_query_takes_near_its_targets(spark):
+    sf = "/root/testdata/sf0.001"
+    got = queries.op1_source_mixing(spark, sf).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    for source in {r.source for r in got}:
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 16 and all(r.taken <= 3 * r.size for r in own)

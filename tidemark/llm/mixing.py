@@ -105,15 +105,18 @@ def _mixed(
     id_col: str = "doc_id",
     source_col: str = "source",
     text_col: str = "text",
+    apart: Column | None = None,
 ) -> DataFrame:
     """(row, mix, s, shard, begun): the whole input row, its part in the mix, its shard, and its words in the last round.
 
     ``weights`` gives a weight per source: a mapping, or a function from the
     number of sources to weights in source order (code points, null last).
+    ``apart`` tells rows of one id apart; by default it is the text.
     """
     spark = df.sparkSession
     size = word_count(F.col(text_col).cast("string")) if size is None else size
-    narrow = df.select(F.col(source_col).cast("string").alias("source"), size.alias("size"), _order(id_col, text_col, seed).alias("o"))
+    apart = F.col(text_col).cast("string") if apart is None else apart
+    narrow = df.select(F.col(source_col).cast("string").alias("source"), size.alias("size"), _order(id_col, apart, seed).alias("o"))
     found = narrow.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -147,7 +150,7 @@ def _mixed(
         .groupBy("s", "shard", "blocks", "target").agg(F.sum("size").alias("n"))
         .groupBy("s").applyInPandas(quotas, "s int, shard int, n long, words long")
     )
-    row = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(source_col).cast("string").alias("source"), size.alias("size"), _order(id_col, text_col, seed).alias("o"), F.col(id_col).alias("at"))
+    row = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(source_col).cast("string").alias("source"), size.alias("size"), _order(id_col, apart, seed).alias("o"), F.col(id_col).alias("at"))
     placed = row.join(plan, row["source"].eqNullSafe(plan["source"])).select("row", "size", "o", "at", "s", "source_size", "target", shard)
     line = Window.partitionBy("s", "shard").orderBy("o", "at", "size").rowsBetween(Window.unboundedPreceding, 0)
     joined = placed.withColumn("end", F.sum("size").over(line)).join(per_shard, ["s", "shard"])
@@ -157,10 +160,10 @@ def _mixed(
     return joined.select("row", F.struct("size", "source_size", "target", taken.cast("long").alias("taken")).alias("mix"), "s", "shard", begun.cast("long").alias("begun"))
 
 
-def _order(id_col: str, text_col: str, seed: int) -> Column:
+def _order(id_col: str, apart: Column, seed: int) -> Column:
     """Seeded place of a document in its source's streams, by id and text: rows
     without an id, or with one that repeats, are spread by their texts."""
-    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col).cast("string"))
+    return F.xxhash64(F.lit(seed), F.col(id_col), apart)
 
 
 def _cut_ends(rows: pd.DataFrame) -> pd.DataFrame:

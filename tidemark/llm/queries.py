@@ -49,8 +49,8 @@ MIX_WEIGHTS = (5.0, 2.0, 1.0)
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document; the word counts are stored once, texts are read once."""
     documents = read(spark, sf_dir, "documents")
-    sized = cut_lineage(documents.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")))
-    mixed = mixing.mix(sized, mixing.cycled_weights(MIX_WEIGHTS), size=F.col("size"))
+    sized = cut_lineage(documents.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")))
+    mixed = mixing.mix(sized, mixing.cycled_weights(MIX_WEIGHTS), size=F.col("size"), apart=F.col("text_hash"))
     return mixed.select("doc_id", "source", *(F.col(f"{mixing.MIX}.{c}").alias(c) for c in ("size", "source_size", "target", "taken")))
 
 
