@@ -210,10 +210,11 @@ def near_copies(rng, n, words, changes):
     return out
 
 
-@pytest.mark.parametrize("block", [512, 16])
-def test_join_equals_brute_force(spark, monkeypatch, block):
-    """A large near-copy group in one cell and in many, links at the very threshold, copies, short and blank texts."""
+@pytest.mark.parametrize("block, most", [(512, 16), (16, 16), (16, 2)])
+def test_join_equals_brute_force(spark, monkeypatch, block, most):
+    """A large near-copy group in one cell, in many, and in cells of many tiles; links at the very threshold, copies, short and blank texts."""
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
+    monkeypatch.setattr(ngram_join, "GROUP_BLOCKS", most)
     rng = random.Random(9)
     texts = near_copies(rng, 120, 150, 4) + near_copies(rng, 30, 60, 3)
     texts += [" ".join(f"q{i}" for i in range(13)), " ".join(f"q{i}" for i in range(12)) + " z", " ".join(f"q{i}" for i in range(14)), "a b", "a b", "a  b\n", "b a", "", None, " \t", "solo"]
@@ -248,6 +249,27 @@ def test_join_on_edge_rows(spark):
     assert [r.doc_id for r in ngram_join.keep_one(null_with_id).collect()] == [7]
 
 
+def test_join_keeps_ids_of_any_type(spark):
+    text = "p q r s t u v"
+    top = spark.createDataFrame([((1 << 63) - 5, text), (None, text), ((1 << 63) - 1, text), (3, "a")], "doc_id long, text string")
+    got = {(r.doc_id, r.class_id, r.copy_id, r.n_links) for r in ngram_join.near_duplicates(top).collect()}
+    low = (1 << 63) - 5
+    assert got == {(low, low, low, 2), (None, low, low, 2), ((1 << 63) - 1, low, low, 2), (3, 3, 3, 0)}
+    assert sorted(r.doc_id for r in ngram_join.keep_one(top).collect()) == [3, low]
+    names = spark.createDataFrame([("b", text), ("a", text), (None, text), (None, " "), (None, " ")], "name string, body string")
+    got = [(r.name, r.class_id, r.n_links) for r in ngram_join.near_duplicates(names, id_col="name", text_col="body").collect()]
+    assert sorted(got, key=str) == sorted([("b", "a", 2), ("a", "a", 2), (None, "a", 2), (None, None, 0), (None, None, 0)], key=str)
+    assert sorted((r.name for r in ngram_join.keep_one(names, id_col="name", text_col="body").collect()), key=str) == [None, None, "a"]
+
+
+def test_rows_of_a_group_are_written_a_bounded_number_of_times(spark):
+    def written(n):
+        members = spark.range(n).selectExpr("cast(cast(id as string) as binary) as digest", f"{n}L as n", "1 as band")
+        return ngram_join._cells(members, "band", ngram_join.block_count(F.col("n"), F.col("n") / F.lit(ngram_join.BLOCK_SIGS))).count()
+
+    assert [written(n) / n for n in (256, 2560, 25600)] == [1, 10, 16]
+
+
 def test_posterior_steps_are_binomial_tails():
     spec = ngram_join.JoinSpec()
     rng = np.random.default_rng(10)

@@ -12,19 +12,21 @@
 
 No pair becomes a row.  Large buckets and components are cut into blocks and
 every two blocks meet in a cell of bounded size; a cell returns one row per
-member (its number of links and the root of its links in the cell), so
-nothing grows with the square of a group but the comparisons, which run in
-numpy over many tasks.  Copies are counted by class size.
+member (its number of links and the root of its links in the cell).  A row is
+written once per block of its group: at most ``GROUP_BLOCKS`` times, until the
+group passes ``GROUP_BLOCKS`` blocks of full size (``BLOCK_SIGS`` signatures,
+``BLOCK_GRAMS`` grams).  Comparisons run in numpy, in tiles of a cell, over
+many tasks.  Copies are counted by class size.
 
 Every link is found unless its two texts share none of the bands (3.2e-6 at
 similarity 0.8 with 24 bands of 4) or are dropped by the posterior (7.6e-8
 over its six steps), and no chain of survivors connects them otherwise.
 
 Cases: null, empty and blank texts have no gram and no link, each is its own
-class; texts are read whole; repeated rows are copies of each other; a null
-id stands for itself and sorts last, its class id is null unless the class
-has an id; an empty table gives an empty result; only the id and the text
-are read, so other columns can't clash.
+class; texts are read whole; repeated rows are copies of each other; ids keep
+their type, which must have an order; a null id stands for itself and sorts
+last, its class id is null unless the class has an id; an empty table gives an
+empty result; only the id and the text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -47,18 +49,21 @@ from .connected import SALTS, components
 from .grouped import map_groups
 from .text import NON_BLANK, Words, grams, mix, slices, spans, strings
 
-#: Rows of a block; two blocks meet in a cell.
+#: Rows of a tile, the least that a block holds; two blocks meet in a cell.
 BLOCK_ROWS = 256
 
-#: Grams of a block, about; long texts make smaller blocks.
+#: Blocks of a group whose blocks are not full yet.
+GROUP_BLOCKS = 16
+
+#: Signatures of a full block.
+BLOCK_SIGS = 1 << 14
+
+#: Grams of a full block, about; long texts make smaller blocks.
 BLOCK_GRAMS = 1 << 20
 
 #: Pairs compared at once in a cell.
 PAIRS = 1 << 18
 
-#: Ids below this are real, above it they stand for null ids.
-_TOP = (1 << 63) - 1 - (1 << 40)
-
 
 @dataclass(frozen=True)
 class JoinSpec:
@@ -89,9 +94,9 @@ class JoinSpec:
 
 
 def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
-    """(k, h): the id, or for a null id a number above all ids made from the text, and a hash of the text."""
-    h = F.xxhash64(F.col(text_col).cast("string"))
-    return F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1) - F.pmod(h, F.lit(1 << 40))).alias("k"), h.alias("h")
+    """(k, h): the id behind a flag that puts null ids last, and a hash of the text."""
+    key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"))
+    return key.alias("k"), F.xxhash64(F.col(text_col).cast("string")).alias("h")
 
 
 def gram_sets(texts: pa.Array, n_words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -156,7 +161,13 @@ def signatures(df: DataFrame, spec: JoinSpec, id_col: str, text_col: str) -> Dat
                 )
 
     texts = df.select(*row_key(id_col, text_col), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(run, "k bigint, h bigint, digest binary, size bigint, sig binary, bands array<bigint>")
+    key = texts.schema["k"].dataType.simpleString()
+    return texts.mapInArrow(run, f"k {key}, h bigint, digest binary, size bigint, sig binary, bands array<bigint>")
+
+
+def block_count(rows: Column, full: Column) -> Column:
+    """Blocks of a group of ``rows`` rows that fill ``full`` whole blocks."""
+    return F.greatest(F.least(F.ceil(rows / F.lit(BLOCK_ROWS)), F.lit(GROUP_BLOCKS)), F.ceil(full))
 
 
 def _cells(df: DataFrame, group: str, blocks: Column) -> DataFrame:
@@ -183,10 +194,31 @@ def _cell_pairs(own: np.ndarray, i: int, j: int) -> Iterator[tuple[np.ndarray, n
             yield a, b
 
 
-def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest row of the component of each of ``n`` rows under the links a-b."""
+def _tiles(own: np.ndarray, size: np.ndarray, i: int, j: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """(rows, own, i, j) of the tiles of a cell: smaller cells of up to ``BLOCK_ROWS`` rows or about ``BLOCK_GRAMS`` grams a side."""
+
+    def parts(rows: np.ndarray) -> list[np.ndarray]:
+        full = np.arange(len(rows)) // BLOCK_ROWS + np.cumsum(size[rows]) // BLOCK_GRAMS
+        return np.split(rows, np.flatnonzero(np.diff(full)) + 1)
+
+    left = parts(np.flatnonzero(own == i))
+    right = left if i == j else parts(np.flatnonzero(own == j))
+    for x, a in enumerate(left):
+        if i == j:
+            yield a, np.zeros(len(a), np.int32), 0, 0
+        for b in right[x + 1 :] if i == j else right:
+            yield np.r_[a, b], np.repeat(np.array([0, 1], np.int32), [len(a), len(b)]), 0, 1
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+    """Smallest row of the component of each of ``n`` rows under the links a-b and those to the ``known`` roots."""
+    if not len(a):
+        return np.arange(n) if known is None else known
     label = np.arange(n)
-    while len(a):
+    if known is not None:
+        member = np.flatnonzero(known != label)
+        a, b = np.r_[a, member], np.r_[b, known[member]]
+    while True:
         low = np.minimum(label[a], label[b])
         new = label.copy()
         np.minimum.at(new, a, low)
@@ -217,7 +249,7 @@ def survivors(reps: DataFrame, spec: JoinSpec) -> DataFrame:
     # Bands with the same members need one comparison: keep one of them.
     buckets = buckets.groupBy("n", "sum").agg(F.min("band").alias("band")).drop("sum")
     members = banded.join(buckets, "band").join(reps.select("digest", "sig"), "digest")
-    cells = _cells(members, "band", F.ceil(F.col("n") / BLOCK_ROWS)).select("band", "i", "j", "own", "digest", "sig")
+    cells = _cells(members, "band", block_count(F.col("n"), F.col("n") / F.lit(BLOCK_SIGS))).select("band", "i", "j", "own", "digest", "sig")
     steps = spec.least_matches()
 
     def run(table: pa.Table, at: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -229,18 +261,16 @@ def survivors(reps: DataFrame, spec: JoinSpec) -> DataFrame:
         pend: list[tuple[np.ndarray, np.ndarray]] = []
         n_pend = 0
         for s, e in zip(at.tolist(), at[1:].tolist()):
-            links: list[tuple[np.ndarray, np.ndarray]] = []
+            label = np.arange(e - s)
             for a, b in _cell_pairs(own[s:e], int(i[s]), int(j[s])):
                 if e - s <= 64:
                     pend.append((a + s, b + s))
                     n_pend += len(a)
                 else:
-                    links.append(prune(sig[s:e], a, b, spec, steps))
-            if links:
-                a, b = (np.concatenate(x) for x in zip(*links))
-                label = roots(e - s, a, b)
-                member = np.flatnonzero(label != np.arange(e - s))
-                found.append((member + s, label[member] + s))
+                    # Only the roots of the survivors so far are held.
+                    label = roots(e - s, *prune(sig[s:e], a, b, spec, steps), label)
+            member = np.flatnonzero(label != np.arange(e - s))
+            found.append((member + s, label[member] + s))
             if n_pend > PAIRS:
                 found.append(prune(sig, *(np.concatenate(x) for x in zip(*pend)), spec, steps))
                 pend, n_pend = [], 0
@@ -310,7 +340,7 @@ def verified(df: DataFrame, reps: DataFrame, members: DataFrame, spec: JoinSpec,
                 yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), *rest.columns[1:]], names=["grams_of", *rest.schema.names[1:]])
 
     sets = texts.select("text", "digest", "n", "comp", "m", "grams").mapInArrow(to_sets, "grams_of binary, digest binary, n bigint, comp binary, m bigint, grams bigint")
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS))
+    blocks = block_count(F.col("m"), F.col("grams") / F.lit(BLOCK_GRAMS))
     cells = _cells(sets, "comp", F.least(blocks, F.col("m")))
     threshold = Fraction(str(spec.threshold))
 
@@ -322,11 +352,16 @@ def verified(df: DataFrame, reps: DataFrame, members: DataFrame, spec: JoinSpec,
             if e - s < 2:
                 continue
             sets = [np.frombuffer(x, np.uint64) for x in table["grams_of"].slice(s, e - s).to_pylist()]
-            a, b = jaccard_links(sets, _cell_pairs(own[s:e], int(i[s]), int(j[s])), threshold)
-            if len(a):
-                add = np.bincount(a, n[s:e][b], e - s) + np.bincount(b, n[s:e][a], e - s)
-                member = np.flatnonzero(add)
-                out.append((member + s, roots(e - s, a, b)[member] + s, add[member].astype(np.int64)))
+            size = np.array([len(x) for x in sets], np.int64)
+            add, label = np.zeros(e - s, np.int64), np.arange(e - s)
+            for rows, side, left, right in _tiles(own[s:e], size, int(i[s]), int(j[s])):
+                a, b = (rows[x] for x in jaccard_links([sets[r] for r in rows], _cell_pairs(side, left, right), threshold))
+                np.add.at(add, a, n[s:e][b])
+                np.add.at(add, b, n[s:e][a])
+                label = roots(e - s, a, b, label)
+            member = np.flatnonzero(add)
+            if len(member):
+                out.append((member + s, label[member] + s, add[member]))
         if out:
             member, root, add = (np.concatenate(x) for x in zip(*out))
             yield pa.RecordBatch.from_arrays(
@@ -365,18 +400,16 @@ def join_classes(df: DataFrame, spec: JoinSpec = JoinSpec(), id_col: str = "doc_
     known = alone.select("digest", F.col("node").alias("kept"), F.col("node").alias("copy"), n_links).unionByName(
         members.select("digest", "kept", F.col("node").alias("copy"), n_links)
     )
-    out = rows.select("k", "h", "digest").join(known, "digest", "left")
-    return out.select("k", "h", F.coalesce("kept", node).alias("root"), F.coalesce("copy", node).alias("copy"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("digest").isNotNull().alias("has_words"))
-
-
-def real_id(k: Column) -> Column:
-    return F.when(k <= _TOP, k)
+    # Texts without a word have no digest and don't take part in the join.
+    out = rows.where("digest is not null").select("k", "h", "digest").join(known, "digest")
+    blank = rows.where("digest is null").select("k", "h", node.alias("root"), node.alias("copy"), F.lit(0).cast("bigint").alias("n_links"))
+    return out.select("k", "h", F.col("kept").alias("root"), "copy", "n_links").unionByName(blank)
 
 
 def near_duplicates(df: DataFrame, spec: JoinSpec = JoinSpec(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, class_id (smallest id of its class of linked texts), copy_id (of its equal gram sets), n_links."""
     found = join_classes(df, spec, id_col, text_col)
-    return found.select(real_id(F.col("k")).alias(id_col), real_id(F.col("root.k")).alias("class_id"), real_id(F.col("copy.k")).alias("copy_id"), "n_links")
+    return found.select(F.col("k.id").alias(id_col), F.col("root.k.id").alias("class_id"), F.col("copy.k.id").alias("copy_id"), "n_links")
 
 
 def keep_one(df: DataFrame, spec: JoinSpec = JoinSpec(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -384,7 +417,7 @@ def keep_one(df: DataFrame, spec: JoinSpec = JoinSpec(), id_col: str = "doc_id",
     found = join_classes(df, spec, id_col, text_col)
     gone = found.where((F.col("root.k") != F.col("k")) | (F.col("root.h") != F.col("h"))).select("k", "h").distinct()
     whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *row_key(id_col, text_col), F.coalesce(F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("words"))
-    kept = whole.join(gone, ["k", "h"], "left_anti")
-    # Repeated rows have one key; the first of them stays.
+    # Repeated rows have one key; the first of them stays.  Texts without a word share a key and stay out of that shuffle.
     first = F.row_number().over(Window.partitionBy("k", "h").orderBy(F.lit(0)))
-    return kept.withColumn("copy", first).where("copy = 1 or not words").select("row.*")
+    kept = whole.where("words").join(gone, ["k", "h"], "left_anti").withColumn("copy", first).where("copy = 1")
+    return kept.select("row.*").unionByName(whole.where("not words").select("row.*"))
