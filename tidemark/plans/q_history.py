@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import history as hs
+from ..session import scratch_path
 from ..sources import fixtures as fx
+from ..sources.bucketed import attach_parts, write_bucketed
 from ..sources.tables import read_table
 from .catalog import query
 
@@ -73,6 +77,24 @@ def f04_history_left_join(spark, sf):
                     "scoring_any_overdue_row_max", "has_history")
 
 
+BUCKETED_SQL = W("apps") + ", " + HIST_SQL + """ SELECT front_id, CAST(scoring_rn_count AS DOUBLE) AS scoring_rn_count,
+  ROUND(scoring_value_mean, 9) AS scoring_value_mean, scoring_value_max, scoring_value_min, CAST(r.user_id IS NOT NULL AS INTEGER) AS has_history
+  FROM apps LEFT JOIN r ON apps.cust_id = r.user_id"""
+
+
+@query("a03_e18_f04_bucketed_history", BUCKETED_SQL)
+def a03_e18_f04_bucketed_history(spark, sf):
+    """History stored once in buckets of its key; semi-join, roll-up and left join read it in place."""
+    events = _events(spark, sf).drop("event_type")
+    place = scratch_path(spark, f"history-{uuid.uuid4().hex[:12]}")
+    stored = write_bucketed(events, "user_id", place, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    apps = fx.apps(spark, sf)
+    rolls = stored.matched(apps, "cust_id").rollups(lambda part: hs.rollup(part, "user_id", ["value"]))
+    j = attach_parts(apps, rolls, "cust_id", "user_id")
+    return j.select("front_id", "scoring_rn_count", F.round("scoring_value_mean", 9).alias("scoring_value_mean"),
+                    "scoring_value_max", "scoring_value_min", "has_history")
+
+
 @query("e20_history_coverage", W("apps") + ", " + HIST_SQL + """, j AS (SELECT apps.*, CAST(r.user_id IS NOT NULL AS INTEGER) AS has_history FROM apps LEFT JOIN r ON apps.cust_id = r.user_id)
 SELECT is_test, COUNT(*) AS rows, COUNT(*) FILTER (WHERE has_history = 1) AS covered_rows,
   COUNT(*) FILTER (WHERE has_history = 1) / COUNT(*) AS covered_share,

@@ -411,9 +411,9 @@ def k15_two_view_experiment(spark, sf):
     a = preds["absolute"].select("row_key", "fold", "target_value", F.col("prediction").alias("p_abs"))
     b = preds["context"].select("row_key", "fold", F.col("prediction").alias("p_ctx"))
     j = bl.join_predictions(a, b, ["row_key", "fold"], one_to_one=True)
-    corr = metrics.correlations(j, "p_abs", "p_ctx", ["fold"]).select(F.col("fold").alias("__f"), "pearson")
     j = bl.rank_normalize(j, "p_abs", "r_abs", ["fold"])
     j = bl.rank_normalize(j, "p_ctx", "r_ctx", ["fold"])
+    corr = metrics.correlations(j, "p_abs", "p_ctx", ["fold"], "r_abs", "r_ctx").select(F.col("fold").alias("__f"), "pearson", "spearman")
     scan = bl.scan_1d(j, "r_abs", "r_ctx", "target_value", ["fold"], bl.weight_grid_1d(0.25, 1.0))
     return scan.join(corr, scan["fold"] == corr["__f"], "left").drop("__f")
 
