@@ -349,7 +349,8 @@ def training_windows(df: DataFrame, train: Column | None, rows: int, window: int
     found = texts.select(F.col(id_col).cast("string").alias("key"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "chance bigint, secret boolean, places binary, tags binary")
     # Equal windows of copies count once, and the smallest hashes of either kind stay.
     found = found.groupBy("chance", "secret").agg(F.min("places").alias("places"), F.min("tags").alias("tags"))
-    few = found.withColumn("salt", F.col("chance") % SALTS)
+    # The low bits of the chances of windows without a secret are all zero.
+    few = found.withColumn("salt", F.pmod(F.xxhash64("chance"), F.lit(SALTS)))
     # First windows of each salt, then of the kind: the last task of a kind reads SALTS * rows at most.
     for keys in (["secret", "salt"], ["secret"]):
         few = few.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("chance"))).where(F.col("rank") <= rows)
