@@ -218,7 +218,8 @@ def run_config(train: DataFrame, test: DataFrame, cfg: dict, specs: Sequence[tup
     weight_col = None if weights is None else "__w"
     model = cfg.get("model") or {}
     spec = splits.fold_spec(train, day, cfg["cutoffs"])
-    valid, metrics = md.evaluate_folds(ftr, "__day", spec, ncols, cats, model, seed, y, weight_col, id_cols=(idc,))
+    ftr = md.store_rows(ftr, (idc,))
+    valid, metrics = md.evaluate_folds(ftr, "__day", spec, ncols, cats, model, seed, y, weight_col, id_cols=(idc,), stored=True)
     scored = md.refit_and_score(ftr, fte, ncols, cats, model, seed, y, weight_col, id_cols=(idc,))
     return {"fold_metrics": metrics, "valid_predictions": valid, "test_predictions": scored,
             "feature_manifest": feature_manifest(train.sparkSession, manifest)}
