@@ -11,8 +11,9 @@ missing).  Two physical strategies give the same columns:
                   holding a third of all rows is then spread over many tasks
                   (AQE splits the skewed join partition).
 
-``auto`` measures the largest context with one aggregate and picks
-``window`` only under ``max_window_group`` rows.
+``split`` counts the contexts with one aggregate: those over ``hot_rows`` rows
+take ``aggregate``, all others ``window`` in tasks whose number follows the
+rows, so that the sorts of a task don't grow with the table.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import finite
-from .ranks import average_rank_pct_multi, join_back
+from .ranks import average_rank_pct_multi, deal, join_back
 
 
 #: Rows a window task may hold for one context.
@@ -35,6 +36,12 @@ def hot_contexts(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
     return df.groupBy(*keys).count().filter(F.col("count") > rows).select(*keys)
 
 
+def context_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """Rows, and those of the largest context (one row on the driver)."""
+    r = df.groupBy(*keys).count().agg(F.sum("count"), F.max("count")).first()
+    return r[0] or 0, r[1] or 0
+
+
 def _names(col: str, tag: str, flags: bool) -> dict[str, str]:
     n = {
         "spread": f"{col}_{tag}_spread",
@@ -68,18 +75,24 @@ def context_features(
     flags: bool = False,
     strategy: str = "split",
     hot_rows: int | None = None,
+    dealt: bool = False,
 ) -> DataFrame:
     """``<tag>_offer_count`` plus, per offer column, spread, value
     minus min, value minus mean, average-tie percent rank (missing stays
     missing, divided by the non-missing count) and optional is-min / is-max
-    flags (missing -> 0).  Use ``keys + [day]`` for the same-day variant."""
+    flags (missing -> 0).  Use ``keys + [day]`` for the same-day variant.  ``dealt``
+    says that rows of a context share a task already (a call with some of the
+    keys came before, without hot contexts)."""
     keys = list(keys)
     count_name = f"{tag}_offer_count"
     if strategy == "split":
-        hot = hot_contexts(df, keys, HOT_CONTEXT_ROWS if hot_rows is None else hot_rows)
-        if hot.isEmpty():
-            return context_features(df, keys, offer_cols, tag, flags, "window")
-        small = context_features(join_back(df, hot, keys, how="left_anti"), keys, offer_cols, tag, flags, "window")
+        limit = HOT_CONTEXT_ROWS if hot_rows is None else hot_rows
+        rows, largest = (0, 0) if dealt else context_sizes(df, keys)
+        if largest <= limit:
+            return context_features(df if dealt else deal(df, rows, *keys), keys, offer_cols, tag, flags, "window")
+        hot = hot_contexts(df, keys, limit)
+        calm = deal(join_back(df, hot, keys, how="left_anti"), rows, *keys)
+        small = context_features(calm, keys, offer_cols, tag, flags, "window")
         large = context_features(join_back(df, hot, keys, how="left_semi"), keys, offer_cols, tag, flags, "aggregate")
         return small.unionByName(large)
 

@@ -20,7 +20,7 @@ from ..functions import calendar as cal
 from ..functions import scalar as sc
 from ..operators import splits
 from ..operators import weights as wt
-from ..operators.context import context_features
+from ..operators.context import HOT_CONTEXT_ROWS, context_features, context_sizes
 from ..operators.schema import check_aligned, feature_frame
 
 #: What each level of a config may hold.
@@ -148,12 +148,17 @@ def build_features(train: DataFrame, test: DataFrame, cfg: dict,
         calendar_names = [c for c in made.columns[len(side.columns):][: len(calendar)]]
         # The context is what the row was given, calendar included; derived columns stay out.
         context = list(fe.get("context_columns") or [c for c in [*given, *calendar_names] if c not in offers])
+        dealt = False
         for switch, tag, keys in (("add_context_offer_features", "context", context), ("add_same_day_context_offer_features", "same_day_context", [*context, day])):
             if fe.get(switch):
                 absent = [c for c in (*offers, *keys) if c not in made.columns]
                 if absent:
                     raise ValueError(f"{switch} needs columns {absent}")
-                made = context_features(made, list(dict.fromkeys(keys)), offers, tag, flags=tag == "same_day_context")
+                keys = list(dict.fromkeys(keys))
+                calm = tag == "context" and context_sizes(made, keys)[1] <= HOT_CONTEXT_ROWS
+                made = context_features(made, keys, offers, tag, flags=tag == "same_day_context", dealt=dealt)
+                # Without hot contexts the same-day ones lie within the tasks of the first.
+                dealt = calm
         sides.append(made)
     tr, te = sides
     base = [c for c in tr.columns if c not in (idc, y, day, *cats, *excluded) and not c.endswith("_is_missing")]
