@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import EPS_FOLDSAFE, finite, safe_divide
 from ..session import cut_lineage
-from .ranks import prefix_sums
+from .ranks import deal, prefix_sums
 from .splits import assign_folds
 
 
@@ -66,7 +66,9 @@ def add_fold_features(member: DataFrame, stats: DataFrame, cats: Sequence[str],
     per_fold = priors.join(rare, "fold").agg(F.map_from_entries(F.collect_list(F.struct("fold", F.struct("__prior", "__k"))))).scalar()
     placed = prefix_sums(train.withColumn("__one", F.lit(1)), ["fold", target], [order], ["__one"], unique=True)
     placed = placed.select(*member.columns, (F.col("__one_before") % F.element_at(per_fold, F.col("fold"))["__k"]).cast("int").alias("__inner"))
-    placed = cut_lineage(placed.unionByName(member.filter("role = 'valid'").withColumn("__inner", F.lit(None).cast("int"))))
+    placed = placed.unionByName(member.filter("role = 'valid'").withColumn("__inner", F.lit(None).cast("int")))
+    # The joins below add many columns to a task's rows, so their number follows the rows.
+    placed = cut_lineage(deal(placed, member.count(), order))
     out, m = placed, F.lit(float(smoothing))
     prior = F.element_at(per_fold, F.col("fold"))["__prior"]
     for c in dict.fromkeys([*cats, *te_cats]):
