@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
 
-from tidemark.operators import ranks
+from pyspark.sql import functions as F
+
+from tidemark.operators import context as ctx
+from tidemark.operators import ranks, splits
+from tidemark.plans import models as md
 
 
 def _plan(df):
@@ -28,3 +33,40 @@ def test_bins_move_no_row_and_count_ties(spark):
     for r in out.collect():
         row = (r.v, r.id)
         assert (r.a, r.b) == ((None, None) if r.v is None else (bin_of(row, 16), bin_of(row, 4)))
+
+
+def test_split_moves_no_row_and_keeps_shares(spark):
+    data = [(i % 2 if i % 9 else None, i // 2) for i in range(300)] + [(1, None)] * 3
+    df = spark.createDataFrame(data, "y int, id long")
+    out = splits.stratified_split(df, "y", "id", 4, 0.7, "t")
+    scan = _plan(out).split("Subquery")[0]
+    assert "Window" not in scan and "Exchange" not in scan
+    rows = [(r.y, r.id, r.t, r.h) for r in out.withColumn("h", splits.hash_order(["id"], 4)).collect()]
+    key = lambda r: (r[3], r[1] is None, r[1] or 0)
+    for y in (0, 1):
+        own = [r for r in rows if r[0] == y]
+        assert len(own) == sum(d[0] == y for d in data)
+        need = math.ceil(len(own) * 7 / 10)
+        assert all(r[2] == (sum(key(o) < key(r) for o in own) < need) for r in own)
+
+
+def test_context_tasks_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "TASK_ROWS", 20)
+    df = spark.range(2000).select((F.col("id") % 500).alias("k"), F.col("id").cast("double").alias("v"))
+    out = ctx.context_features(df, ["k"], ["v"])
+    assert out.rdd.getNumPartitions() == 100
+    assert out.filter((F.col("context_offer_count") != 4) | (F.col("v_context_spread") != 1500)).isEmpty()
+
+
+def test_a_train_side_is_fitted_once(spark, monkeypatch):
+    fitted, fit = [], md.fit_model
+    monkeypatch.setattr(md, "fit_model", lambda *a, **k: fitted.append(1) or fit(*a, **k))
+    day = F.date_add(F.lit("2000-01-01").cast("date"), (F.col("id") % 90).cast("int"))
+    rows = md.store_rows(spark.range(180).select(F.col("id").alias("front_id"), day.alias("d"), (F.col("id") % 7).cast("double").alias("f_x"),
+                                                 (F.col("id") % 3 == 0).cast("int").alias("target_value")))
+    cfg, fits = {"model_type": "logreg", "iterations": 3}, {}
+    _, m = md.evaluate_folds(rows, "d", splits.fold_spec(rows, "d", ["2000-02-01", "2000-03-01"]), ["f_x"], [], cfg, 1, stored=True, fits=fits)
+    _, h = md.evaluate_folds(rows, "d", splits.holdout_spec([("A", "2000-03-01")]), ["f_x"], [], cfg, 1, scope="holdout", stored=True, fits=fits)
+    assert len(fitted) == 2
+    auc = {r.fold: r.roc_auc for r in m.collect()}
+    assert {r.holdout: r.roc_auc for r in h.collect()}["A"] == auc["2"]
