@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blend import align_to_ids
@@ -72,22 +72,37 @@ def assert_passed(checks: DataFrame) -> None:
         raise ValueError(f"contract checks failed: {bad}")
 
 
+#: Hash ranges that :func:`permute` orders apart, a power of two.
+PLACE_RANGES = 4096
+
+
 def permute(df: DataFrame, col: str, id_col: str, seed: int = 7) -> DataFrame:
     """``df`` with the values of ``col`` dealt to other rows: the value at each
-    place of one seeded order goes to the row at that place of another."""
-    def placed(cols, s):
-        h = df.select(*cols).withColumn("__h", F.xxhash64(F.col(id_col), F.lit(s))).withColumn("__one", F.lit(1))
-        return prefix_sums(h, [], ["__h", id_col], ["__one"])
+    place of one seeded order goes to the row at that place of another.
 
-    values = placed([id_col, col], seed).select(F.col("__one_before").alias("__place"), col)
-    rows = placed([id_col], seed + 1).select(id_col, F.col("__one_before").alias("__place"))
+    An order is by hash, so its ranges hold like numbers of rows: one window
+    per range, and the rows of all lower ranges (``PLACE_RANGES`` sums) added."""
+    def placed(cols, s):
+        h = df.select(*cols, F.xxhash64(F.col(id_col), F.lit(s)).alias("__h"))
+        h = h.withColumn("__range", F.shiftright("__h", 64 - (PLACE_RANGES.bit_length() - 1)))
+        sizes = h.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+        lower = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+        lower = sizes.select("__range", F.coalesce(F.sum("__n").over(lower), F.lit(0)).alias("__lower"))
+        within = Window.partitionBy("__range").orderBy("__h", F.col(id_col).asc_nulls_last())
+        ranked = h.withColumn("__rank", F.rank().over(within) - 1)
+        return ranked.join(F.broadcast(lower), "__range").withColumn("__place", F.col("__rank") + F.col("__lower"))
+
+    values = placed([id_col, col], seed).select("__place", col)
+    rows = placed([id_col], seed + 1).select(id_col, "__place")
     return df.drop(col).join(rows.join(values, "__place").drop("__place"), id_col).select(*df.columns)
 
 
 def label_free(build, df: DataFrame, target: str, id_col: str, seed: int = 7) -> bool:
     """Features built from ``df`` and from ``df`` with a permuted target
-    must be identical (``exceptAll`` both ways empty)."""
+    must be identical: every row comes as often on both sides, which one
+    grouping of both tells."""
     perm = permute(df, target, id_col, seed)
     a = build(df).drop(target)
-    b = build(perm).drop(target)
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    b = build(perm).drop(target).select(*a.columns)
+    both = a.withColumn("__side", F.lit(1)).unionByName(b.withColumn("__side", F.lit(-1)))
+    return both.groupBy(*a.columns).agg(F.sum("__side").alias("__more")).filter(F.col("__more") != 0).isEmpty()
