@@ -7,7 +7,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import blend as bl
 from tidemark.operators import context as ctx
+from tidemark.operators import contract as ct
 from tidemark.operators import ranks, splits
 from tidemark.plans import models as md
 
@@ -70,3 +72,45 @@ def test_a_train_side_is_fitted_once(spark, monkeypatch):
     assert len(fitted) == 2
     auc = {r.fold: r.roc_auc for r in m.collect()}
     assert {r.holdout: r.roc_auc for r in h.collect()}["A"] == auc["2"]
+
+
+def test_simplex_blends_travel_once_and_stay_exact(spark, monkeypatch):
+    rng = random.Random(5)
+    pick = lambda: rng.choice([0.1, 0.25, 0.3, round(rng.random(), 2)])
+    data = [(rng.choice([1, 2, None]), rng.choice([0, 1, 1, None]), *(rng.choice([None] + [pick() for _ in range(9)]) for _ in range(3))) for _ in range(300)]
+    df = spark.createDataFrame(data * 2, "fold int, y int, a double, b double, c double")
+    monkeypatch.setattr(bl, "BLOCK_TUPLES", 40)
+    monkeypatch.setattr(bl, "SLOT_VALUES", 25)
+    out = bl.scan_simplex(df, ["a", "b", "c"], "y", ["fold"], 4)
+    assert "explode" not in _plan(out)
+    got = {(r.i, r.j, r.k, r.fold): r.roc_auc for r in out.collect()}
+    assert len(got) == 15 * 3
+    for (i, j, k, fold), auc in got.items():
+        score = lambda r: (i / 4.0) * r[2] + (j / 4.0) * r[3] + (k / 4.0) * r[4]
+        own = [(r[1], score(r)) for r in data if r[0] == fold and None not in r[1:]]
+        pos, neg = [s for y, s in own if y], [s for y, s in own if not y]
+        assert auc == sum((p > n) * 2 + (p == n) for p in pos for n in neg) / (2.0 * len(pos) * len(neg))
+
+
+def test_small_contexts_of_the_skew_safe_way_move_once(spark, monkeypatch):
+    df = spark.range(600).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 50).alias("k"), (F.col("id") * 7 % 90).cast("double").alias("v"))
+    ways = {n: ctx.context_features(df, ["k"], ["v"], strategy="aggregate", hot_rows=n) for n in (None, 50, 0)}
+    assert "Join" not in _plan(ways[None]) and "Join" in _plan(ways[50])
+    rows = lambda d: sorted((r.k, r.v, r.context_offer_count, r.v_context_spread, r.v_minus_context_min, round(r.v_minus_context_mean, 9), r.v_rank_pct_in_context) for r in d.collect())
+    plain = rows(ctx.context_features(df, ["k"], ["v"], strategy="window"))
+    assert all(rows(d) == plain for d in ways.values())
+
+
+def test_label_check_groups_once_and_permutes_whole(spark, monkeypatch):
+    df = spark.range(500).select("id", (F.col("id") % 5 == 0).cast("int").alias("y"), (F.col("id") * 3).alias("x"))
+    assert ct.PLACE_RANGES == 4096
+    monkeypatch.setattr(ct, "PLACE_RANGES", 16)
+    perm = ct.permute(df, "y", "id")
+    assert _plan(perm).count("Exchange hashpartitioning") <= 8
+    rows = perm.collect()
+    assert sorted((r.id, r.x) for r in rows) == [(i, 3 * i) for i in range(500)] and sum(r.y for r in rows) == 100
+    assert sum(r.y != (r.id % 5 == 0) for r in rows) > 50
+    assert ct.label_free(lambda d: d.select("id", "y", (F.col("x") + 1).alias("x")), df, "y", "id")
+    assert not ct.label_free(lambda d: d.select("id", "y", (F.col("x") + F.col("y")).alias("x")), df, "y", "id")
+    twice = df.unionByName(df.limit(1))
+    assert not ct.label_free(lambda d: d.select("id", "y", (F.col("x") + F.col("y")).alias("x")), twice, "y", "id")
