@@ -5,12 +5,15 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.operators import blend as bl
 from tidemark.operators import context as ctx
 from tidemark.operators import contract as ct
-from tidemark.operators import ranks, splits
+from tidemark.operators import network as nw
+from tidemark.operators import packed, ranks, splits
+from tidemark.operators import pairwise as pw
 from tidemark.plans import models as md
 
 
@@ -114,3 +117,34 @@ def test_label_check_groups_once_and_permutes_whole(spark, monkeypatch):
     assert not ct.label_free(lambda d: d.select("id", "y", (F.col("x") + F.col("y")).alias("x")), df, "y", "id")
     twice = df.unionByName(df.limit(1))
     assert not ct.label_free(lambda d: d.select("id", "y", (F.col("x") + F.col("y")).alias("x")), twice, "y", "id")
+
+
+def test_ranker_groups_are_moved_once(spark):
+    rng = np.random.default_rng(2)
+    data = [(int(i % 2), int(i % 7), [float(rng.normal()), float(i % 3)], int(rng.random() < 0.4)) for i in range(300)]
+    df = spark.createDataFrame([*data, (0, 1, [None, 1.0], 1), (0, None, [0.5, 1.0], 1), (1, 2, [0.5, 1.0], None)], "m int, d int, x array<double>, y int")
+    blocks = pw._group_blocks(df, "m", "d", "x", "y", 2)
+    assert blocks.count() == 14
+    w = {0: [0.3, -0.2], 1: [-0.5, 0.1]}
+    got = pw._group_pass(blocks, "m", w, 2)
+    # Beside the blocks only sums move: one exchange, after the tasks' own sums.
+    rows = pw.pair_slopes(df.withColumn("s", pw.by_model(F.col("m"), F.col("x"), w)), ["m", "d"], "y", "s").collect()
+    for m in w:
+        own = [r for r in rows if r.m == m]
+        want = [sum(r.pair_loss for r in own), sum(r.pairs for r in own), *(sum(r.pair_slope * r.x[i] for r in own) for i in range(2))]
+        assert np.allclose(got[m], want)
+
+
+def test_packed_rows_come_back_exactly():
+    x = np.random.default_rng(1).normal(size=(9, 5))
+    x[:, 1], x[:, 3] = [0, 1, 255, 3, 4, 5, 6, 7, 8], [-0.0] * 9
+    mask, wide, narrow = packed.pack(x)
+    assert len(wide) == 9 * 4 * 8 and len(narrow) == 9
+    assert packed.unpack(mask, wide, narrow, 9).tobytes() == x.tobytes()
+
+
+def test_networks_read_packed_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nw, "BLOCK_ROWS", 7)
+    df = spark.range(40).select(F.array((F.col("id") % 2).cast("double"), F.rand(1)).alias("x"), (F.col("id") % 2).cast("double").alias("y"),
+                                F.lit(1.0).alias("w"), F.array(F.lit(1)).alias("roles")).coalesce(1)
+    assert nw._blocks(df, 2).count() == 6

@@ -1,9 +1,9 @@
 """Dense networks with row weights, class weights and early stop.
 
 All folds' networks are fitted side by side on one stored table that holds
-every row once: a row carries one role (train, valid or none) per model.  A
-step is one job: each task runs its rows forward and backward in numpy, batch
-by batch, and gives one row of sums per model (loss and weight of train and
+every row once, packed in blocks: a row carries one role (train, valid or none)
+per model.  A step is one job: each task runs its rows forward and backward in
+numpy, block by block, and gives one row of sums per model (loss and weight of train and
 valid rows, gradient of the train rows); Spark adds them up by position.  The
 driver holds parameters only, so nothing there grows with the rows, and a lost
 task is run again from the stored table.
@@ -30,9 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from . import packed
 
 TRAIN, VALID = 1, 2
 
+#: Rows of one stored block.
+BLOCK_ROWS = 8192
+
 
 @dataclass
 class Network:
@@ -91,18 +95,32 @@ def gradient(x: np.ndarray, y: np.ndarray, w: np.ndarray, flat: np.ndarray, size
     return float(losses(z, y, w, pos_weight).sum()), np.concatenate(grads[::-1])
 
 
-def _pass(rows: DataFrame, nets: dict[int, Network], n: int) -> dict[int, np.ndarray]:
-    """Per model: train loss, train weight, valid loss, valid weight and gradient, summed over all rows."""
+def _blocks(data: DataFrame, n: int) -> DataFrame:
+    """Rows of (x, y, w, roles) in packed blocks, stored."""
+    names = ["mask", "wide", "narrow", "y", "w", "roles"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(at, BLOCK_ROWS)
+                y, w = (part.column(i).to_numpy(zero_copy_only=False).tobytes() for i in (1, 2))
+                roles = part.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()
+                cells = [*packed.pack(packed.matrix(part.column(0), n)), y, w, roles]
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names=names)
+
+    return cut_lineage(data.mapInArrow(run, ", ".join(f"{c} binary" for c in names)))
+
+
+def _pass(rows: DataFrame, nets: dict[int, Network]) -> dict[int, np.ndarray]:
+    """Per model: train loss, train weight, valid loss, valid weight and gradient, summed over all rows of the blocks."""
     given = {m: (net.flat, net.sizes, net.pos_weight) for m, net in nets.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {m: np.zeros(4 + len(flat)) for m, (flat, _, _) in given.items()}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
-            y, w = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-            roles = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)
+        for mask, wide, narrow, *rest in packed.rows(batches):
+            y, w = (np.frombuffer(c) for c in rest[:2])
+            x = packed.unpack(mask, wide, narrow, len(y))
+            roles = np.frombuffer(rest[2], np.uint8).reshape(len(y), -1)
             for m, (flat, sizes, pos) in given.items():
                 own = roles[:, m] == TRAIN
                 if own.any():
@@ -155,7 +173,7 @@ def fit_networks(
     whole = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v)) & (F.size(x) == n_features)
     data = rows.select(F.col(x).cast("array<double>").alias("x"), y.alias("y"), w.alias("w"), roles.alias("roles")).filter(
         y.isin(0.0, 1.0) & (w > 0) & ~F.isnan(w) & whole & (F.array_max(roles) > 0))
-    data = cut_lineage(data)
+    blocks = _blocks(data, n_features)
     is_train = [F.get("roles", F.lit(i)) == TRAIN for i in range(len(names))]
     mass = data.agg(*[F.sum(F.when(c & (F.col("y") == k), F.col("w"))).alias(f"m{i}_{k}") for i, c in enumerate(is_train) for k in (0, 1)]).first()
     sizes = (n_features, *hidden, 1)
@@ -173,7 +191,7 @@ def fit_networks(
     for t in range(1, steps + 2):
         if not active:
             break
-        sums = _pass(data, {i: nets[i] for i in active}, n_features)
+        sums = _pass(blocks, {i: nets[i] for i in active})
         for i in sorted(active):
             net, s = nets[i], sums[i]
             net.train_losses.append(s[0] / s[1])

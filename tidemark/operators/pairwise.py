@@ -13,13 +13,16 @@ Rows with a missing score, label or group take no part.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .ranks import join_back, prefix_sums
+from . import packed
+from .ranks import deal, join_back, prefix_sums
 
 
 #: Rows above which a group's line is split over many tasks.
@@ -95,32 +98,93 @@ def by_model(model: Column, x: Column, weights: dict) -> Column:
     return out
 
 
+def group_sums(x: np.ndarray, y: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Loss, pairs and derivative by the weights of one group's pairs, as :func:`pair_slopes` has them row by row."""
+    held = ~np.isnan(s)
+    x, y, s = x[held], y[held].astype(float), s[held]
+    at = s - y
+    order = np.argsort(at)
+    line = at[order]
+    values = np.stack([1 - y, (1 - y) * s, (1 - y) * s * s, y, y * s])
+    sums = np.concatenate([np.zeros((5, 1)), np.cumsum(values[:, order], axis=1)], axis=1)
+    upto = sums[:, np.searchsorted(line, at, "right")]
+    n, ns, nss = sums[:3, -1:] - upto[:3]
+    margin = 1 - s
+    slope = np.where(y == 1, -2 * (n * margin + ns), 2 * (upto[3] * (1 + s) - upto[4]))
+    loss = np.where(y == 1, n * margin * margin + 2 * margin * ns + nss, 0.0)
+    return np.concatenate([[loss.sum(), y.sum() * sums[0, -1]], slope @ x])
+
+
+def _group_blocks(rows: DataFrame, model: str, group: str, x: str, label: str, n_features: int) -> DataFrame:
+    """A packed block per (model, group), dealt to tasks by their rows and stored."""
+    y = F.col(label).cast("int")
+    whole = (F.size(x) >= n_features) & F.forall(F.slice(x, 1, n_features), lambda v: v.isNotNull() & ~F.isnan(v))
+    data = rows.filter(y.isin(0, 1) & F.col(model).isNotNull() & F.col(group).isNotNull() & whole).select(
+        model, group, F.slice(x, 1, n_features).cast("array<double>").alias("__x"), y.cast("tinyint").alias("__y"))
+    names = [model, "mask", "wide", "narrow", "y"]
+
+    def block(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        cells = packed.pack(packed.matrix(part.column("__x").combine_chunks(), n_features))
+        y = part.column("__y").to_numpy().tobytes()
+        return pa.Table.from_arrays([pa.repeat(key[0], 1), *(pa.array([c], pa.binary()) for c in (*cells, y))], names=names)
+
+    schema = f"`{model}` {dict(rows.dtypes)[model]}, mask binary, wide binary, narrow binary, y binary"
+    return cut_lineage(deal(data, data.count(), model, group).groupBy(model, group).applyInArrow(block, schema))
+
+
+def _group_pass(blocks: DataFrame, model: str, w: dict, n_features: int) -> dict:
+    """Per model: the sums of :func:`group_sums` over its groups, one row of them from each task."""
+    names = list(w)
+    given = {m: np.array(v) for m, v in w.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {m: np.zeros(2 + n_features) for m in names}
+        for m, mask, wide, narrow, y in packed.rows(batches):
+            y = np.frombuffer(y, np.int8)
+            x = packed.unpack(mask, wide, narrow, len(y))
+            with np.errstate(invalid="ignore"):
+                sums[m] += group_sums(x, y, x @ given[m])
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(names)), pa.int32()), pa.array([sums[m].tolist() for m in names], pa.list_(pa.float64()))],
+                                         names=["model", "sums"])
+
+    parts = blocks.mapInArrow(run, "model int, sums array<double>").select("model", F.posexplode("sums"))
+    out = {m: np.zeros(2 + n_features) for m in names}
+    for r in parts.groupBy("model", "pos").agg(F.sum("col").alias("v")).collect():
+        out[names[r["model"]]][r["pos"]] = r["v"]
+    return out
+
+
 def fit_pairwise(rows: DataFrame, model: str, group: str, x: str, label: str, n_features: int, iterations: int = 10,
                  l2: float = 1e-3) -> tuple[dict, dict[object, list[float]]]:
     """Weights of one linear ranker per value of ``model`` (few: folds or
-    windows), all fitted side by side: an iteration is one job over all rows.
+    windows), all fitted side by side.  A group that fits a task is moved once
+    and stored as one packed block: an iteration is one pass over the blocks,
+    which moves nothing but sums.  Larger groups are ordered by
+    :func:`pair_slopes` in every iteration.
 
     Gradient steps from zero with Barzilai-Borwein lengths; the weights with
     the smallest objective seen are kept.  Returns (weights, objectives).
     """
-    rows = cut_lineage(rows.select(model, group, x, label))
+    rows = rows.select(model, group, x, label)
     names = [r[0] for r in rows.select(model).distinct().collect()]
     hot = hot_groups(rows, [model, group])
+    calm = rows if hot is None else rows.join(F.broadcast(hot), [model, group], "left_anti")
+    busy = None if hot is None else cut_lineage(rows.join(F.broadcast(hot), [model, group], "left_semi"))
+    blocks = _group_blocks(calm, model, group, x, label, n_features)
     w = {m: [0.0] * n_features for m in names}
     best, history, last = dict(w), {m: [] for m in names}, {}
     for _ in range(iterations):
-        scored = rows.withColumn("__s", by_model(F.col(model), F.col(x), w))
-        slopes = pair_slopes(scored, [model, group], label, "__s", hot)
-        sums = slopes.groupBy(model).agg(
-            F.sum("pair_loss").alias("loss"), F.sum("pairs").alias("pairs"),
-            *[F.sum(F.col("pair_slope") * F.get(x, F.lit(i))).alias(f"g{i}") for i in range(n_features)])
-        for r in sums.collect():
-            m, pairs = r[model], r["pairs"]
+        sums = _group_pass(blocks, model, w, n_features)
+        if busy is not None:
+            slopes = pair_slopes(busy.withColumn("__s", by_model(F.col(model), F.col(x), w)), [model, group], label, "__s", hot)
+            for r in slopes.groupBy(model).agg(F.sum("pair_loss"), F.sum("pairs"), *[F.sum(F.col("pair_slope") * F.get(x, F.lit(i))) for i in range(n_features)]).collect():
+                sums[r[0]] += np.array([v or 0.0 for v in r[1:]])
+        for m, (loss, pairs, *slope) in sums.items():
             if not pairs:
                 continue
             now = w[m]
-            history[m].append(r["loss"] / pairs + l2 * sum(v * v for v in now))
-            g = [(r[f"g{i}"] or 0.0) / pairs + 2 * l2 * v for i, v in enumerate(now)]
+            history[m].append(float(loss / pairs) + l2 * sum(v * v for v in now))
+            g = [float(s / pairs) + 2 * l2 * v for s, v in zip(slope, now)]
             if history[m][-1] <= min(history[m]):
                 best[m] = now
             step = 0.25 / n_features
