@@ -89,9 +89,10 @@ def gradient(x: np.ndarray, y: np.ndarray, w: np.ndarray, flat: np.ndarray, size
     p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
     back = (w * ((1 - y) * p - pos_weight * y * (1 - p)))[:, None]
     grads, parts = [], layers(flat, sizes)
-    for (weights, _), inputs in zip(reversed(parts), reversed(seen)):
-        grads += [back.sum(axis=0), (inputs.T @ back).ravel()]
-        back = (back @ weights.T) * (inputs > 0)
+    for i in reversed(range(len(parts))):
+        grads += [back.sum(axis=0), (seen[i].T @ back).ravel()]
+        if i:  # nothing stands below the first layer
+            back = (back @ parts[i][0].T) * (seen[i] > 0)
     return float(losses(z, y, w, pos_weight).sum()), np.concatenate(grads[::-1])
 
 
