@@ -15,6 +15,7 @@ from tidemark.operators import network as nw
 from tidemark.operators import packed, ranks, splits
 from tidemark.operators import pairwise as pw
 from tidemark.plans import models as md
+from tidemark.plans import q_models as qm
 
 
 def _plan(df):
@@ -148,3 +149,21 @@ def test_networks_read_packed_blocks(spark, monkeypatch):
     df = spark.range(40).select(F.array((F.col("id") % 2).cast("double"), F.rand(1)).alias("x"), (F.col("id") % 2).cast("double").alias("y"),
                                 F.lit(1.0).alias("w"), F.array(F.lit(1)).alias("roles")).coalesce(1)
     assert nw._blocks(df, 2).count() == 6
+
+
+def test_pseudo_label_fits_read_stored_rows(spark, monkeypatch):
+    i = F.col("id")
+    apps = spark.range(300).select(
+        i.alias("front_id"), F.date_add(F.lit("2000-01-01").cast("date"), (i % 150).cast("int")).alias("decision_day"),
+        *[(i % m).cast("double").alias(c) for m, c in ((7, "loan_amount_last"), (5, "balance_amt"), (3, "cnt_30"), (2, "cnt_90"))],
+        F.lit("a").alias("db_group_last"), F.lit("b").alias("fl_adminarea"), (i % 3 == 0).cast("int").alias("target_value"), F.lit(0).alias("is_test"))
+    monkeypatch.setattr(qm.fx, "apps", lambda *_: apps)
+    plans = []
+
+    def fit_score(train, score, *_, **__):
+        plans.extend([_plan(train), _plan(score)])
+        return score.select("front_id", "target_value", ((F.col("front_id") % 100) / 100.0).alias("prediction")), None
+
+    monkeypatch.setattr(md, "fit_score", fit_score)
+    assert qm.k11_pseudo_label_probe(spark, "").count() == 3
+    assert len(plans) == 8 and not any("Range" in p for p in plans)
