@@ -167,3 +167,61 @@ def test_pseudo_label_fits_read_stored_rows(spark, monkeypatch):
     monkeypatch.setattr(md, "fit_score", fit_score)
     assert qm.k11_pseudo_label_probe(spark, "").count() == 3
     assert len(plans) == 8 and not any("Range" in p for p in plans)
+
+
+def test_fold_fits_read_stored_rows_and_fixed_days(spark, monkeypatch):
+    i = F.col("id")
+    df = spark.range(400).select(
+        i.alias("front_id"), F.date_add(F.lit("2000-01-01").cast("date"), (i % 90).cast("int")).alias("d"), (i % 7).cast("double").alias("f_x"),
+        F.when(i % 90 < 60, F.concat(F.lit("a"), i % 4)).otherwise(F.when(i % 5 > 0, i.cast("string"))).alias("k_c"), F.lit("one").alias("k_e"),
+        F.lit(None).cast("string").alias("k_n"), (i % 3 == 0).cast("int").alias("target_value"))
+    seen = []
+
+    def fit_model(train, *args):
+        distinct = train.agg(*[F.countDistinct(f"k_{c}").alias(c) for c in "cen"]).first().asDict()
+        seen.append((_plan(train), args[-1], distinct))
+        return md.FittedModel(type("Half", (), {"stages": [None], "transform": lambda _, x: x.withColumn("probability", F.array(F.lit(0.5), F.lit(0.5)))})(), {})
+
+    monkeypatch.setattr(md, "fit_model", fit_model)
+    monkeypatch.setattr(md, "positive_class_score", lambda c, _: F.col(c)[1])
+    spec = splits.fold_spec(df, "d", ["2000-02-01", "2000-03-01", "2000-03-15"], window_days=40)
+    parts, m = md.evaluate_folds(df, "d", spec, ["f_x"], ["c", "e", "n"], {"model_type": "logreg"}, 1)
+    assert len(seen) == 3 and not any("Range" in p or "ubquery" in p for p, *_ in seen)
+    assert all(sizes == distinct for _, sizes, distinct in seen) and {s["c"] for _, s, _ in seen} != {4}
+    assert parts.count() == df.filter("d >= '2000-02-01'").count() and {r.roc_auc for r in m.collect()} == {0.5}
+
+
+def test_feature_probe_joins_once_and_its_tasks_follow_the_rows(spark, monkeypatch):
+    i = F.col("id")
+    apps = spark.range(600).select(
+        i.alias("front_id"), F.date_add(F.lit("1998-06-01").cast("date"), i.cast("int")).alias("decision_day"),
+        *[(i % m).cast("double").alias(c) for m, c in ((7, "loan_amount_last"), (5, "balance_amt"), (3, "cnt_30"), (2, "cnt_90"))],
+        F.lit("a").alias("db_group_last"), F.lit("b").alias("fl_adminarea"), (i % 3 == 0).cast("int").alias("target_value"), (i % 6 == 5).cast("int").alias("is_test"))
+    monkeypatch.setattr(qm.fx, "apps", lambda *_: apps)
+    monkeypatch.setattr(md, "FIT_ROWS", 1)
+    read, stored, store_rows = [], [], md.store_rows
+
+    def keep(df, *args, **kw):
+        read.append(_plan(df))
+        stored.append(store_rows(df, *args, **kw))
+        return stored[-1]
+
+    def fit_model(train, num_cols, *_):
+        half = type("Half", (), {"stages": [None], "transform": lambda _, x: x.withColumn("probability", F.array(F.lit(0.5), F.lit(0.5)))})()
+        return md.FittedModel(half, {})
+
+    monkeypatch.setattr(md, "store_rows", keep)
+    monkeypatch.setattr(md, "fit_model", fit_model)
+    monkeypatch.setattr(md, "positive_class_score", lambda c, _: F.col(c)[1])
+    rows = qm.k07_feature_family_probe(spark, "").collect()
+    assert len({r.variant for r in rows}) == len(rows) == 8 and all(r["1"] == r["OOF_TIME_HOLDOUT"] == 0.5 for r in rows)
+    # The tables are read for the first frame only.
+    assert sum("Range" in p.split("InMemoryRelation")[0] for p in read) == 1 and len(read) == 9
+    assert all(s.count() == 500 for s in stored[1:]) and not spark.sparkContext._jsc.getPersistentRDDs()
+    tasks = lambda n: store_rows(apps, rows=n).rdd.getNumPartitions()
+    spark.conf.set("spark.sql.shuffle.partitions", "400")
+    try:
+        monkeypatch.setattr(md, "FIT_ROWS", 2)
+        assert tasks(600) == 300 and tasks(10) == 2 * spark.sparkContext.defaultParallelism and tasks(6000) == tasks(None) == 400
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
