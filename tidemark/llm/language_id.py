@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import one_text
-from .linear import Scaler, fit_logistic, fit_platt, fit_svm, sigmoid
+from .linear import Scaler, fit_logistic, fit_platt, fit_svm, products, sigmoid
 from .ngrams import DIMS, Grams, collect_dense
 from .text import slices, strings
 
@@ -112,12 +112,14 @@ def fit_languages(
         for f in families:
             w, b = scaler.fold(*fit_logistic(scaled, (family == f).astype(float), l2=0.02, steps=120))
             columns.append((w, b, 1.0))
+        del scaled
     pairs = [p for f in families for p in combinations(languages[f], 2)]
     for a, b in pairs:
         own = (y == a) | (y == b)
-        scaler = Scaler(x[own])
-        w, c = scaler.fold(*fit_svm(scaler.apply(x[own]), np.where(y[own] == a, 1.0, -1.0), l2=0.02, steps=120))
-        slope, shift = fit_platt(x[own] @ w + c, (y[own] == a).astype(float))
+        rows = x[own]
+        scaler = Scaler(rows)
+        w, c = scaler.fold(*fit_svm(scaler.apply(rows), np.where(y[own] == a, 1.0, -1.0), l2=0.02, steps=120))
+        slope, shift = fit_platt(products(rows, w) + c, (y[own] == a).astype(float))
         columns.append((w * slope, c * slope + shift, 1.0))
     if not columns:
         return LanguageModel(families, languages)

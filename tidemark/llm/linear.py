@@ -1,12 +1,17 @@
 """Small linear models fitted on bounded samples on the driver (numpy).
 
 All fits are full-batch and start from zero, so they are deterministic.
+A fit holds its sample and one scaled copy (float32); whatever needs double
+precision is done in blocks, so no third matrix is made.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Columns, or rows, that are widened to double precision at once.
+BLOCK = 256
+
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
@@ -16,19 +21,33 @@ class Scaler:
     """Centres and scales columns; ``fold`` turns weights back to raw columns."""
 
     def __init__(self, x: np.ndarray):
-        self.mean = x.mean(axis=0, dtype=np.float64)
-        sd = x.std(axis=0, dtype=np.float64)
+        self.mean, sd = np.empty(x.shape[1]), np.empty(x.shape[1])
+        for c in range(0, x.shape[1], BLOCK):
+            part = x[:, c : c + BLOCK].astype(np.float32)
+            self.mean[c : c + BLOCK] = part.mean(axis=0, dtype=np.float64)
+            sd[c : c + BLOCK] = part.std(axis=0, dtype=np.float64)
         # Columns that hardly vary would be blown up by their own scale.
         self.scale = np.maximum(sd, max(float(np.median(sd)), 1e-12) * 0.25)
 
     def apply(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.mean) / self.scale).astype(np.float32)
+        out = np.empty(x.shape, np.float32)
+        for r in range(0, len(x), BLOCK):
+            out[r : r + BLOCK] = (x[r : r + BLOCK] - self.mean) / self.scale
+        return out
 
     def fold(self, w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
         raw = w / self.scale
         return raw, float(b - raw @ self.mean)
 
 
+def products(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``x @ w`` in double precision."""
+    out = np.empty(len(x))
+    for r in range(0, len(x), BLOCK):
+        out[r : r + BLOCK] = x[r : r + BLOCK].astype(np.float64) @ w
+    return out
+
+
 def _descend(x: np.ndarray, slope, l2: float, curve: float, steps: int) -> tuple[np.ndarray, float]:
     """Accelerated gradient descent; ``slope(z)`` is the loss derivative by row, ``curve`` its bound."""
     n, d = x.shape

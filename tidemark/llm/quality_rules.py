@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import labelled_texts
-from .linear import Scaler, fit_logistic, fit_platt, sigmoid
+from .linear import Scaler, fit_logistic, fit_platt, products, sigmoid
 from .ngrams import DIMS, Grams, collect_dense
 from .text import binary, slices, strings
 
@@ -65,10 +65,14 @@ def fit_quality(
     held = np.arange(len(y)) % 5 == 4
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held[:] = False
-    scaler = Scaler(x[~held])
-    w, c = scaler.fold(*fit_logistic(scaler.apply(x[~held]), y[~held], l2=0.05))
     own = held if held.any() else ~held
-    a, b = fit_platt(x[own] @ w + c, y[own])
+    train, rest = x[~held], x[own]
+    del x
+    scaler = Scaler(train)
+    scaled = scaler.apply(train)
+    del train
+    w, c = scaler.fold(*fit_logistic(scaled, y[~held], l2=0.05))
+    a, b = fit_platt(products(rest, w) + c, y[own])
     return QualityModel(w.reshape(-1, 1), c, a, b)
 
 

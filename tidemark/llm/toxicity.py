@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import labelled_texts
-from .linear import fit_logistic, fit_platt, sigmoid
+from .linear import fit_logistic, fit_platt, products, sigmoid
 
 #: Seed lexicon: fixed values.
 SEEDS = ["idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "pathetic", "worthless", "disgusting", "imbecile", "dumbass", "bastard", "vermin", "filth"]
@@ -277,7 +277,7 @@ def fit_toxicity(
         if unseen[place[t]]:
             w[place[t]] = np.log(accuracies[v, 0] / accuracies[v, 1])
     y = np.array([r.y for r in rows], float)
-    a, b = fit_platt(x @ w + c, y) if n_pos and n_neg else (1.0, 0.0)
+    a, b = fit_platt(products(x, w) + c, y) if n_pos and n_neg else (1.0, 0.0)
     model.weights, model.intercept = w, c
     model.a, model.b = (a, b) if a > 0 else (1.0, 0.0)
     return model
