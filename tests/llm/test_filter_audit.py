@@ -85,6 +85,15 @@ def test_ids_may_be_text(spark):
     assert got["s", "EABCD", 1][:6] == (2, 1, 0, 0, 1, 0)
 
 
+def test_labels_are_not_broadcast(spark):
+    rows = spark.createDataFrame([(1, b"a", "p", 0, 2), (1, b"b", "p", 1, 1), (None, b"a", "q", 0, 1)], "id long, digest binary, part string, mask int, n long")
+    # Ids 0 to 2 and none: few rows by Spark's estimate.
+    labels = spark.range(4).selectExpr("if(id = 3, null, id) as doc_id", "1 as quality", "if(id = 1, null, 1) as toxic")
+    out = filter_audit.label_flags(rows, labels, ["quality", "toxic"])
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.part, r.mask, r.quality, r.toxic) for r in out.collect()) == [("p", 0, 1, 0), ("p", 1, 1, 0), ("q", 0, 0, 0)]
+
+
 @pytest.mark.parametrize("k", [1, 2, 3, 4, 5])
 def test_intervals_cover_each_removal_once(k):
     by = defaultdict(Counter)

@@ -15,7 +15,8 @@ on documents times orders.
 Scale: texts are read once and never move; rows of an id, a digest and a few
 bits do.  Equal rows are counted before any shuffle, the first of each group
 of copies is found by partial aggregation and matched on (digest, id), and
-labels meet an id in ``SALTS`` tasks, so no hot text, id or part is in one task.
+labels meet an id in ``SALTS`` tasks, so no hot text, id or part is in one task;
+labels are never broadcast.
 
 Cases: a null text is empty, a null part is the empty string; a row with a
 null id comes after no other, so it is no repeat, and it has no labels;
@@ -84,7 +85,8 @@ def label_flags(rows: DataFrame, labels: DataFrame, flags: Sequence[str], id_col
     # Rows with a null id meet nothing, wherever they are sent.
     salt = F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int")
     dealt = rows.withColumn("salt", F.when(F.col("id").isNotNull(), salt).otherwise(-1 - F.pmod(F.xxhash64("digest"), F.lit(1 << 20))).cast("int"))
-    return dealt.join(spread, ["id", "salt"], "left").drop("salt").fillna(0, list(flags))
+    # Each label stands SALTS times in ``spread``, which Spark's estimate leaves out: broadcast, it would fill the driver.
+    return dealt.join(spread.hint("merge"), ["id", "salt"], "left").drop("salt").fillna(0, list(flags))
 
 
 def removal_intervals(k: int) -> list[tuple[int, int, int, int]]:
