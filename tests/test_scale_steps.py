@@ -225,3 +225,59 @@ def test_feature_probe_joins_once_and_its_tasks_follow_the_rows(spark, monkeypat
         assert tasks(600) == 300 and tasks(10) == 2 * spark.sparkContext.defaultParallelism and tasks(6000) == tasks(None) == 400
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def _made_apps(spark, n):
+    i = F.col("id")
+    return spark.range(n).select(
+        i.alias("front_id"), F.date_add(F.lit("1998-06-01").cast("date"), (i * 1000 / n).cast("int")).alias("decision_day"),
+        *[(i % m).cast("double").alias(c) for m, c in ((7, "loan_amount_last"), (5, "balance_amt"), (3, "cnt_30"), (2, "cnt_90"))],
+        F.lit("a").alias("db_group_last"), F.lit("b").alias("fl_adminarea"), (i % 3 == 0).cast("int").alias("target_value"), (i % 6 == 5).cast("int").alias("is_test"))
+
+
+def _record_fits(monkeypatch, spark, n):
+    """Fits and scores replaced by recorders: (plan, tasks) of each."""
+    apps, fitted, scored = _made_apps(spark, n), [], []
+    monkeypatch.setattr(qm.fx, "apps", lambda *_: apps)
+
+    def transform(x):
+        scored.append((_plan(x), x.rdd.getNumPartitions()))
+        return x.withColumn("probability", F.array(F.lit(0.5), F.lit(0.5)))
+
+    def fit_model(train, *_):
+        fitted.append((_plan(train), train.rdd.getNumPartitions()))
+        half = type("Half", (), {"stages": [None], "transform": lambda _, x: transform(x)})()
+        return md.FittedModel(half, {})
+
+    monkeypatch.setattr(md, "fit_model", fit_model)
+    monkeypatch.setattr(md, "positive_class_score", lambda c, _: F.col(c)[1])
+    return fitted, scored
+
+
+def test_fits_have_as_many_tasks_as_their_rows_need(spark, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    few = -(-cores // md.PARALLEL_FITS)
+    fitted, scored = _record_fits(monkeypatch, spark, 900)
+    assert qm.k07_feature_family_probe(spark, "").count() == 8
+    assert len(fitted) == 24 and {n for _, n in fitted + scored} == {few}
+    assert md.fits_at_once(spark, 1) == max(md.PARALLEL_FITS, min(md.SMALL_FITS, 2 * cores // few)) and md.fits_at_once(spark, 10**9) == md.PARALLEL_FITS
+    monkeypatch.setattr(md, "FIT_ROWS", 90)
+    assert md._fit_tasks(spark, 900) == max(10, few)
+
+
+def test_calendar_variants_join_once(spark, monkeypatch):
+    fitted, scored = _record_fits(monkeypatch, spark, 900)
+    read, store_rows = [], md.store_rows
+    monkeypatch.setattr(md, "store_rows", lambda df, *a, **k: read.append(_plan(df)) or store_rows(df, *a, **k))
+    rows = qm.k12_multiseed_calendar_ablation(spark, "").collect()
+    assert sum("Range" in p for p in read) == 1 and len(read) == 8
+    assert len({r.variant for r in rows}) == len(rows) == 7 and all(r["3"] == r["OOF_TIME_HOLDOUT"] == r.lh_mean == r.lh_min == 0.5 for r in rows)
+    # Three folds and the one late holdout that trains on other rows.
+    assert len(fitted) == 7 * 4 and len(scored) == 7 * 6 and not any("Range" in p for p, _ in fitted + scored)
+
+
+def test_seeds_score_stored_rows(spark, monkeypatch):
+    fitted, scored = _record_fits(monkeypatch, spark, 900)
+    rows = {(r.seed, r.part): (r.n_rows, r.once) for r in qm.k12_multiseed_scores(spark, "").collect()}
+    assert len(rows) == 3 * 7 and all(once for _, once in rows.values()) and rows[44, "test"] == (150, True)
+    assert len(fitted) == 3 * 5 and len(scored) == 3 * 7 and not any("Range" in p for p, _ in fitted + scored)
