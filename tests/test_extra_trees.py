@@ -106,3 +106,14 @@ def test_no_rows_or_missing_labels_raise(spark):
         et.grow(df.limit(0), 1)
     one = et.grow(df.withColumn("y", F.lit(1.0)), 1, n_estimators=2)
     assert one.nodes.keys() == {(0, 1), (1, 1)} and df.select(one.score("x")).first()[0] == 1.0
+
+
+def test_rows_find_their_nodes_with_one_join(spark):
+    # Tree 0 splits its root and its right child, tree 1 is a leaf.
+    nodes = {(0, 1): (0, 0.5), (0, 2): (None, None), (0, 3): (1, 2.0), (0, 6): (None, None), (0, 7): (None, None), (1, 1): (None, None)}
+    forest = et.Forest(2, 2, {k: et.Node(1, 1.0, 0.5, f, c) for k, (f, c) in nodes.items()})
+    rows = spark.range(6).selectExpr("array(id % 2, double(id)) as x", "1.0D as y", "1.0D as w")
+    at = et._placed(rows, forest, 2)
+    assert at._jdf.queryExecution().executedPlan().toString().count("Join") == 1
+    assert sorted((r.tree, r.x[1], r.node) for r in at.collect() if r.node is not None) == [(0, 1.0, 6), (0, 3.0, 7), (0, 5.0, 7)]
+    assert {(r.tree, r.node) for r in et._placed(rows, forest, 1).collect()} == {(0, 2), (0, 3), (1, None)}
