@@ -281,3 +281,48 @@ def test_seeds_score_stored_rows(spark, monkeypatch):
     rows = {(r.seed, r.part): (r.n_rows, r.once) for r in qm.k12_multiseed_scores(spark, "").collect()}
     assert len(rows) == 3 * 7 and all(once for _, once in rows.values()) and rows[44, "test"] == (150, True)
     assert len(fitted) == 3 * 5 and len(scored) == 3 * 7 and not any("Range" in p for p, _ in fitted + scored)
+
+
+def test_two_views_share_one_stored_table_of_what_they_read(spark, monkeypatch):
+    i = F.col("id")
+    offers = spark.range(300).select(
+        (i / 3).cast("long").alias("l_orderkey"), (i % 3).cast("int").alias("l_linenumber"), i.alias("l_partkey"),
+        F.date_add(F.lit("1994-06-01").cast("date"), (i * 4).cast("int")).alias("decision_day"), F.lit("F").alias("l_linestatus"), F.lit("unread").alias("l_returnflag"),
+        *[(i % m).cast("double").alias(c) for m, c in ((7, "offered_rate"), (5, "overdraft_limit_min"), (11, "overdraft_limit_max"))], (i % 2).cast("int").alias("target_value"))
+    monkeypatch.setattr(qm.fx, "offers", lambda *_: offers)
+    fitted, scored = _record_fits(monkeypatch, spark, 1)
+    monkeypatch.setattr(md, "positive_class_score", lambda *_: F.pmod(F.xxhash64("row_key"), F.lit(7)) / 7.0)
+    stored, store_rows = [], md.store_rows
+    monkeypatch.setattr(md, "store_rows", lambda df, *a, **k: stored.append(df.columns) or store_rows(df, *a, **k))
+    rows = qm.k15_two_view_experiment(spark, "").collect()
+    assert len(fitted) == len(scored) == 6 and {r.fold for r in rows} >= {"1", "2", "3"}
+    assert len(stored) == 1 and {c for c in stored[0] if c[:2] not in ("f_", "k_")} == {"row_key", "decision_day", "target_value"}
+
+
+def test_folds_store_the_columns_they_read(spark, monkeypatch):
+    seen = []
+    _record_fits(monkeypatch, spark, 1)
+    fit = md.fit_model
+    monkeypatch.setattr(md, "fit_model", lambda train, *a: seen.append(set(train.columns)) or fit(train, *a))
+    df = _made_apps(spark, 600).withColumn("unread", F.lit("x")).withColumn("w", F.lit(2.0)).withColumn("f_x", F.lit(1.0)).withColumn("k_c", F.lit("c"))
+    md.evaluate_folds(df, "decision_day", splits.fold_spec(df, "decision_day", ["1999-01-01"]), ["f_x"], ["c"], {"model_type": "logreg"}, 1, weight_col="w")
+    assert seen == [{"front_id", "decision_day", "target_value", "w", "f_x", "k_c"}]
+
+
+def test_fold_features_are_packed_and_removed(spark, monkeypatch):
+    apps = md.cut_lineage(_made_apps(spark, 900).withColumn("unread", F.lit("x")))
+    monkeypatch.setattr(qm.fx, "apps", lambda *_: apps)
+    seen, paths, scratch = [], [], qm.scratch_path
+
+    def fit_score(train, score, ncols, *_, **__):
+        seen.append((train.columns, _plan(train), len(ncols)))
+        return score.select("front_id", "target_value", F.lit(0.5).alias("prediction")), None
+
+    monkeypatch.setattr(md, "fit_score", fit_score)
+    monkeypatch.setattr(qm, "scratch_path", lambda *a: paths.append(scratch(*a)) or paths[-1])
+    out = qm.k18_foldsafe_feature_model(spark, "")
+    assert len(seen) == 3 and all("FileScan parquet" in p and "unread" not in c and n == 4 + 2 * (2 * 6 + 1) for c, p, n in seen)
+    # The features are gone before the result is read.
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths[0])
+    assert not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    assert {r.fold: r.roc_auc for r in out.collect()} == dict.fromkeys(["1", "2", "3", "OOF_TIME_HOLDOUT"], 0.5)
